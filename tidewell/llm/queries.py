@@ -10,6 +10,8 @@ from .bpe import encode_digests
 from .chat import conversation_digests, format_conversations
 from .common import load
 from .packing import pack_documents, piece_digests
+from .quality_rules import oracle_sql as quality_rules_sql
+from .quality_rules import quality_rules
 from .token_counts import count_tokens
 
 
@@ -39,11 +41,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(load(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the line-first verdict of every document."""
+    return quality_rules(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_bpe": op4_bpe,
     "op8_chat": op8_chat,
     "op9_token_counts": op9_token_counts,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -59,4 +67,5 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(12 + length(replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\n')) + 1
     + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) + 10 + 1) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op10_quality_rules": quality_rules_sql(),
 }
