@@ -10,6 +10,7 @@ from .bpe import encode_digests
 from .chat import conversation_digests, format_conversations
 from .common import load
 from .packing import pack_documents, piece_digests
+from .quality_classifier import quality_scores
 from .quality_rules import oracle_sql as quality_rules_sql
 from .quality_rules import quality_rules
 from .token_counts import count_tokens
@@ -20,6 +21,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pack_documents(load(spark, sf_dir, "documents")))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text by the quadratic discriminant."""
+    return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every text with the segment-tree BPE."""
     return encode_digests(load(spark, sf_dir, "documents"))
@@ -48,6 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe": op4_bpe,
     "op8_chat": op8_chat,
     "op9_token_counts": op9_token_counts,
