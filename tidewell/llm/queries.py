@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_digests
 from .chat import conversation_digests, format_conversations
 from .common import load
+from .near_dup import near_duplicates
 from .packing import pack_documents, piece_digests
 from .quality_classifier import quality_scores
 from .quality_rules import oracle_sql as quality_rules_sql
@@ -21,6 +22,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pack_documents(load(spark, sf_dir, "documents")))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents at a similarity of 0.85."""
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every text by the quadratic discriminant."""
     return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -54,6 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_minhash": op2_minhash,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe": op4_bpe,
     "op8_chat": op8_chat,
