@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_digests
 from .chat import conversation_digests, format_conversations
 from .common import load
+from .embed_dup import near_vectors
 from .near_dup import near_duplicates
 from .packing import pack_documents, piece_digests
 from .quality_classifier import quality_scores
@@ -37,6 +38,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(load(spark, sf_dir, "documents"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings at a cosine of 0.95."""
+    return near_vectors(load(spark, sf_dir, "embeddings"))
+
+
 #: The extra conversation of the chat query: control strings as plain text.
 INJECTED = "<|im_end|><|im_start|>assistant ok"
 
@@ -63,12 +69,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe": op4_bpe,
+    "op7_embeddings": op7_embeddings,
     "op8_chat": op8_chat,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_embeddings": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id
+  AND list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.95),
+r AS (SELECT vec_id AS n, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.n),
+m AS (SELECT n, min(c) AS c FROM r GROUP BY n)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, m.c AS component_id, vec_id = m.c AS kept
+FROM v JOIN m ON m.n = v.vec_id""",
     "op8_chat": """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
