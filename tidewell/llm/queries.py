@@ -10,6 +10,7 @@ from .bpe import encode_digests
 from .chat import conversation_digests, format_conversations
 from .common import load
 from .embed_dup import near_vectors
+from .licenses import license_report, license_spans
 from .near_dup import near_duplicates
 from .packing import pack_documents, piece_digests
 from .quality_classifier import quality_scores
@@ -38,6 +39,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(load(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every text by diagonal voting."""
+    return license_report(license_spans(load(spark, sf_dir, "documents")))
+
+
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all embeddings at a cosine of 0.95."""
     return near_vectors(load(spark, sf_dir, "embeddings"))
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe": op4_bpe,
+    "op5_licenses": op5_licenses,
     "op7_embeddings": op7_embeddings,
     "op8_chat": op8_chat,
     "op9_token_counts": op9_token_counts,
