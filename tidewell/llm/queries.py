@@ -10,6 +10,7 @@ from .bpe import encode_digests
 from .chat import conversation_digests, format_conversations
 from .common import load
 from .embed_dup import near_vectors
+from .html_text import extract_pages
 from .licenses import license_report, license_spans
 from .near_dup import near_duplicates
 from .packing import pack_documents, piece_digests
@@ -44,6 +45,11 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(license_spans(load(spark, sf_dir, "documents")))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by boosted trees over its DOM."""
+    return extract_pages(load(spark, sf_dir, "pages"))
+
+
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all embeddings at a cosine of 0.95."""
     return near_vectors(load(spark, sf_dir, "embeddings"))
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe": op4_bpe,
     "op5_licenses": op5_licenses,
+    "op6_html_text": op6_html_text,
     "op7_embeddings": op7_embeddings,
     "op8_chat": op8_chat,
     "op9_token_counts": op9_token_counts,
