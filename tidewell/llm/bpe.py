@@ -129,6 +129,8 @@ class Bpe:
         self.last_id = [self.vocab.get(c + self.suffix, -1) for c in self.alphabet]
         self.pattern = regex.compile(WORD_PATTERN if self.wordy else BYTE_PATTERN)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        #: A character of every special token.
+        self.mark = max(set.intersection(*map(set, self.special)), default="") if self.special else ""
         self.words: dict[str, list[int]] = {}
 
     def normalize(self, text: str) -> str:
@@ -142,6 +144,19 @@ class Bpe:
                 text = text.translate(NEW_LOWER)
         return text.lower()
 
+    def split_words(self, text: str) -> tuple[str, ...] | list[str]:
+        """The pattern's pieces of a normalized text; all letters, or all but one mark, need no search."""
+        if self.wordy and text:
+            if text.isalpha():
+                return (text,)
+            if text[:-1].isalpha() and not text[-1].isspace():
+                return text[:-1], text[-1]
+        return self.pattern.findall(text)
+
+    def parts(self, text: str) -> list[str]:
+        """Special tokens and what stands between them."""
+        return self.cut.split(text) if self.cut and self.mark in text else [text]
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one piece of the pattern."""
         ids = self.words.get(word)
@@ -160,11 +175,11 @@ class Bpe:
     def encode_chunk(self, text: str) -> list[int]:
         """Ids of a text, special tokens taken out first as the library does by default."""
         out: list[int] = []
-        for part in self.cut.split(text) if self.cut else [text]:
+        for part in self.parts(text):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                for word in self.pattern.findall(self.normalize(part)):
+                for word in self.split_words(self.normalize(part)):
                     out += self.encode_word(word)
         return out
 
@@ -190,16 +205,17 @@ class Bpe:
 
 
 _RUN = regex.compile(r"\s*\S+|\s+")
-_ODD = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f]")
 
 
 def space_units(text: str) -> list[str]:
     """Cuts a text where the space-keeping pattern always cuts: before each run of white space."""
     if not text:
         return []
-    if _ODD.search(text):
-        return _RUN.findall(text)
     first, *rest = text.split(" ")
+    # as much white space as there are spaces, line breaks and gaps between words: each gap is one of them
+    words, gaps = text.split(), len(rest) + text.count("\n")
+    if len(words) != gaps + 1 or len(text) - sum(map(len, words)) != gaps:
+        return _RUN.findall(text)
     return [first, *[" " + x for x in rest]]
 
 

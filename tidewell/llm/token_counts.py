@@ -25,7 +25,8 @@ from .common import vocabulary
 
 _WHITE = regex.compile(r"\s+")
 _CONTRACTION = regex.compile(r"'(?:re|ve|ll)")
-_PAIRS = 1_000_000
+#: Pairs of tokens and pieces of text whose result a worker keeps.
+_PAIRS, CACHE_PIECES = 1_000_000, 600_000
 
 
 class PrefixCounter:
@@ -49,7 +50,8 @@ class PrefixCounter:
         self.longest = max(map(len, self.by_bytes))
         self.pairs: dict[tuple[int, int], bool] = {}
         self.counted: Cache = Cache(lambda piece: self.piece(piece.encode("utf-8", "replace")))
-        self.units: Cache = Cache(self._unit)
+        self.totals: Cache = Cache(self._total, CACHE_PIECES)
+        self.units: Cache = Cache(self._unit, CACHE_PIECES)
 
     def adjacent(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b, joined, encode as just (a, b).
@@ -83,7 +85,7 @@ class PrefixCounter:
     def piece(self, raw: bytes) -> list[int]:
         """counts[i] = number of tokens of raw[:i], for one piece of the pattern."""
         counts, last = [0], [-1]
-        find, longest, adjacent = self.by_bytes.get, self.longest, self.adjacent
+        find, longest, adjacent, known = self.by_bytes.get, self.longest, self.adjacent, self.pairs.get
         for end in range(1, len(raw) + 1):
             whole = find(raw[:end]) if end <= longest else None
             if whole is not None:  # an entry of the vocabulary encodes as itself
@@ -92,14 +94,20 @@ class PrefixCounter:
                 continue
             for start in range(end - longest if end > longest else 1, end):
                 token = find(raw[start:end])
-                if token is not None and adjacent(last[start], token):
-                    counts.append(counts[start] + 1)
-                    last.append(token)
-                    break
+                if token is not None:
+                    before = last[start]
+                    fits = known((before, token))
+                    if fits or (fits is None and adjacent(before, token)):
+                        counts.append(counts[start] + 1)
+                        last.append(token)
+                        break
         return counts
 
+    def _total(self, piece: str) -> int:
+        return self.piece(piece.encode("utf-8", "replace"))[-1]
+
     def _unit(self, unit: str) -> int:
-        return sum(self.counted[p][-1] for p in self.bpe.pattern.findall(unit))
+        return sum(map(self.totals.__getitem__, self.bpe.pattern.findall(unit)))
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; null is empty."""
