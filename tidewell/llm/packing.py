@@ -10,7 +10,6 @@ end of a task is one window, cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
-import os
 import struct
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -22,10 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SEPARATORS, Cache
+from .bpe import SEPARATORS, Cache, load_bpe
 from .common import vocabulary
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_000_000
 #: Bytes of pieces that a task holds before it hands them on.
 OUT_BYTES = 4_000_000
 #: (document key, start, length, document's tokens, ids as little-endian bytes)
@@ -136,16 +135,24 @@ class SumOfSquares:
 
 @lru_cache(maxsize=2)
 def _ids_of(path: str) -> Cache:
-    """white-space-free chunk -> its ids as bytes, from the tokenizers library."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    """white-space-free chunk -> its ids as bytes. The merges are the tokenizers library's; the cut into
+    words is ours, as the library's takes three times as long for one word."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    model = Tokenizer.from_file(path).model
+    own = load_bpe(path)
+    byte, tokenize = own.alphabet, model.tokenize
 
     def make(chunk: str) -> bytes:
-        ids = tokenizer.encode(chunk, add_special_tokens=False).ids
+        ids: list[int] = []
+        for part in own.cut.split(chunk):
+            if part in own.special:
+                ids.append(own.special[part])
+                continue
+            for word in own.split_words(own.normalize(part)):
+                if not (word.isascii() and word.isprintable()):
+                    word = "".join([byte[b] for b in word.encode("utf-8", "replace")])
+                ids += [x.id for x in tokenize(word)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     return Cache(make, CACHE_CHUNKS)
