@@ -1,0 +1 @@
+"""Analytics over HTTP Live Streaming data as Spark DataFrames: playlists, timed samples, audio, delivery."""
