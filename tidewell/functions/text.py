@@ -27,7 +27,7 @@ def parse_iso8601(text: Column) -> Column:
 
 def json_time(seconds: Column) -> Column:
     """An integer if integral and below a million, else one decimal."""
-    return F.when((seconds == F.floor(seconds)) & (seconds < 1e6), F.floor(seconds).cast("long").cast("string")).otherwise(F.format_string("%.1f", seconds))
+    return F.when((seconds == F.floor(seconds)) & (seconds < 1e6), F.floor(seconds).cast("long").cast("string")).otherwise(F.format_string("%.1f", F.round(seconds, 1)))
 
 
 def json_escape(text: Column) -> Column:

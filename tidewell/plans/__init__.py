@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import registry as q
+    from . import manifests, registry as q  # noqa: F401  (manifests registers its queries)
 
     return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import registry as q
+    from . import manifests, registry as q  # noqa: F401  (manifests registers its queries)
 
     return dict(q.SQL)
