@@ -2,71 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
+from ..stage import materialize, release, shared_dir  # noqa: F401
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder, through Spark's reader only."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a session that names none (local tests) gets a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = spark.sparkContext.getCheckpointDir()
-    if own:
-        return own
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="tidewell-")
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir()
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there and a lost
-    executor costs no more than a re-read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidewell-{uuid.uuid4().hex}-{label}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Deletes the tables that materialize() wrote in this session, once their readers are done."""
-    jvm = spark.sparkContext._jvm
-    for s, path in list(_WRITTEN):
-        if path not in keep:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-            _WRITTEN.remove((s, path))
-
-
-def _at_exit() -> None:
-    for s, path in _WRITTEN:
-        if path.startswith(("file:" + tempfile.gettempdir(), tempfile.gettempdir())):
-            import shutil
-
-            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
-
-
-atexit.register(_at_exit)
-
-
 def vocabulary(name_or_path: str) -> str:
     """A tokenizer file: a path, or a name that the public_tokenizers package knows."""
     if os.path.sep in name_or_path:
