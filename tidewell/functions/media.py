@@ -220,3 +220,74 @@ def normalise(a: Column, measured: Column, target: float, limit: float = -1.0) -
     # the factor is bound to a variable, else every sample would work it out anew
     factor = F.array(F.coalesce(F.pow(F.lit(10.0), gain / 20), F.lit(1.0)))
     return F.element_at(F.transform(factor, lambda g: F.transform(a, lambda x: clamp(x.cast("double") * g))), 1)
+
+
+def box_filter(a: Column, half: int) -> Column:
+    """Centred mean over up to 2 * half + 1 samples, fewer at the edges."""
+    n = F.size(a)
+
+    def at(_: Column, i: Column) -> Column:
+        low = F.greatest(i - half, F.lit(0))
+        part = F.slice(a, low + 1, F.least(i + half, n - 1) - low + 1)
+        return F.aggregate(part, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(part)
+
+    return F.transform(a, at)
+
+
+def resample_medium(a: Column, source: int, target: int) -> Column:
+    """Linear after a box filter of half the ratio when going down."""
+    half = max(1, int(source / target / 2)) if target < source else 0
+    return resample_linear(box_filter(a, half) if half else a, source, target)
+
+
+def resample_lanczos(a: Column, source: int, target: int, lobes: int = 4) -> Column:
+    """Windowed sinc with normalised weights; the window widens with the ratio when going down."""
+    n, ratio = F.size(a), float(source) / float(target)
+    scale = max(1.0, ratio)
+    reach = lobes * scale
+    count = F.ceil(n * F.lit(float(target)) / source).cast("int")
+    sinc = lambda x: F.when(F.abs(x) < 1e-9, 1.0).otherwise(F.sin(math.pi * x) / (math.pi * x))
+
+    def at(i: Column) -> Column:
+        pos = i * ratio
+        near = F.sequence(F.greatest(F.lit(0), F.ceil(pos - reach).cast("int")), F.least(n - 1, F.floor(pos + reach).cast("int")))
+
+        def add(s: Column, j: Column) -> Column:
+            x = (pos - j) / scale
+            w = sinc(x) * sinc(x / lobes)
+            return F.struct((s["v"] + w * F.get(a, j).cast("double")).alias("v"), (s["w"] + w).alias("w"))
+
+        total = F.aggregate(near, F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("w")), add)
+        return F.element_at(F.transform(F.array(total), lambda t: F.when(F.abs(t["w"]) > 1e-12, t["v"] / t["w"]).otherwise(0.0)), 1)
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), at)).otherwise(F.array().cast("array<double>"))
+
+
+def float_to_int32(a: Column) -> Column:
+    return F.transform(a, lambda x: (clamp(x.cast("double")) * 2147483647.0).cast("long"))
+
+
+def int32_to_float(a: Column) -> Column:
+    return F.transform(a, lambda x: x / 2147483648.0)
+
+
+#: Left, right, centre, effects, left and right side, left and right rear to stereo.
+SURROUND_71 = [[1, 0, HALF, 0, HALF, 0, HALF, 0], [0, 1, HALF, 0, 0, HALF, 0, HALF]]
+
+
+def byte_swap(data: Column, width: int) -> Column:
+    """Reverses the bytes of each sample of `width` bytes."""
+    hexed = F.regexp_extract_all(F.hex(data), F.lit("." * (2 * width)), 0)
+    return F.unhex(F.array_join(F.transform(hexed, lambda h: F.array_join(F.reverse(F.regexp_extract_all(h, F.lit(".."), 0)), "")), ""))
+
+
+def frames_in(size: Column, channels: int, width: int) -> Column:
+    return F.floor(size / (channels * width)).cast("long")
+
+
+def seconds_in(size: Column, channels: int, width: int, rate: int) -> Column:
+    return frames_in(size, channels, width) / float(rate)
+
+
+def bytes_for(seconds: Column, channels: int, width: int, rate: int) -> Column:
+    return (seconds * rate).cast("long") * (channels * width)

@@ -52,6 +52,13 @@ def swift_double(x: Column) -> Column:
     return F.when(x == F.floor(x), F.concat(F.floor(x).cast("string"), F.lit(".0"))).otherwise(x.cast("string"))
 
 
+def video_layout(text: Column) -> Column:
+    """struct(channels, projection) of a REQ-VIDEO-LAYOUT: the last known token of each kind; others are ignored."""
+    tokens = F.transform(F.split(text, ","), F.trim)
+    last = lambda *known: F.try_element_at(F.filter(tokens, lambda t: t.isin(*known)), F.lit(-1))
+    return F.struct(last("CH-STEREO", "CH-MONO").alias("channels"), last("PROJ-RECT", "PROJ-EQUI", "PROJ-HEQU", "PROJ-PRIM", "PROJ-AIV").alias("projection"))
+
+
 def master_findings(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rules and recommendations for master playlists."""
     r = Report(key)
@@ -61,8 +68,10 @@ def master_findings(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     groups = m.groupBy(key).agg(ids("AUDIO").alias("_a"), ids("SUBTITLES").alias("_s"), ids("CLOSED-CAPTIONS").alias("_c"))
     known = lambda ids, x: F.coalesce(F.array_contains(ids, x), F.lit(False))
     undefined = lambda attribute, c: F.concat(F.lit(f'{attribute} attribute references undefined GROUP-ID "'), F.col(c), F.lit('".'))
-    parts = F.split("video_layout", "[,/]")
-    stereo, immersive, half, mono = (F.coalesce(F.array_contains(parts, x), F.lit(False)) for x in ("CH-STEREO", "PROJ-AIV", "PROJ-HEQU", "CH-MONO"))
+    look = video_layout(F.col("video_layout"))
+    is_ = lambda part, x: F.coalesce(look[part] == x, F.lit(False))
+    stereo, immersive = is_("channels", "CH-STEREO"), is_("projection", "PROJ-AIV")
+    half, bare = is_("projection", "PROJ-HEQU"), look["channels"].isNull()
     layout = ("APPLE-2.9-video-layout", "warning", at("variants", "videoLayoutDescriptor"))
     r.rules(
         v.join(groups, key, "left"),
@@ -77,7 +86,7 @@ def master_findings(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
         ("resolution.height >= 2160 and hdcp_level is null", "APPLE-2.6-hdcp", "info", at("variants", "hdcpLevel"), "4K content should specify HDCP-LEVEL."),
         ("supplemental_codecs is not null and codecs is null", "APPLE-2.8-supplemental-codecs", "warning", at("variants", "supplementalCodecs"), "SUPPLEMENTAL-CODECS present without CODECS. The CODECS attribute should also be specified."),
         (immersive & ~stereo, *layout, "PROJ-AIV needs CH-STEREO."),
-        (half & ~immersive & ~stereo & ~mono, *layout, "PROJ-HEQU typically needs CH-STEREO."),
+        (half & bare, *layout, "PROJ-HEQU typically needs CH-STEREO."),
         (stereo & F.col("supplemental_codecs").isNull(), *layout, "CH-STEREO without SUPPLEMENTAL-CODECS."),
     )
     falls = F.col("bandwidth") < F.lag("bandwidth").over(Window.partitionBy(key).orderBy("pos"))

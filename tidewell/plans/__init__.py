@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import manifests, registry as q  # noqa: F401  (manifests registers its queries)
+    from . import delivery, manifests  # noqa: F401  (they register their queries)
+    from . import registry as q
 
     return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import manifests, registry as q  # noqa: F401  (manifests registers its queries)
+    from . import delivery, manifests  # noqa: F401  (they register their queries)
+    from . import registry as q
 
     return dict(q.SQL)

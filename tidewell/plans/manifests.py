@@ -105,7 +105,7 @@ def master_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = p.select(
         doc.alias("doc_id"), (F.row_number().over(w) - 1).alias("pos"), F.concat(F.lit("v"), F.col("p_partkey").cast("string"), F.lit(".m3u8")).alias("uri"), ((z - 3) * 100000).cast("long").alias("bandwidth"), F.lit(None).cast("long").alias("average_bandwidth"),
         F.when(F.col("p_type") != "ECONOMY", "avc1.4d401f,mp4a.40.2").alias("codecs"), F.when(z % 6 == 0, "dvh1.08.07/db4h").alias("supplemental_codecs"), F.when(z % 3 != 0, F.struct((z * 80).alias("width"), (z * 45).alias("height"))).alias("resolution"), F.when(z % 5 != 0, F.lit(29.97)).alias("frame_rate"),
-        F.when(z % 2 == 0, "TYPE-0").alias("hdcp_level"), F.when(z % 4 == 0, "PQ").when(z % 4 == 1, "SDR").alias("video_range"), F.concat(F.lit("g"), (z % 7).cast("string")).alias("audio"), none.alias("video"), none.alias("subtitles"), F.when(z % 9 == 0, "NONE").when(z % 9 == 1, "cc").alias("closed_captions"), F.when(z % 10 == 0, "CH-STEREO/PROJ-HEQU").when(z % 10 == 1, "PROJ-AIV").alias("video_layout"),
+        F.when(z % 2 == 0, "TYPE-0").alias("hdcp_level"), F.when(z % 4 == 0, "PQ").when(z % 4 == 1, "SDR").alias("video_range"), F.concat(F.lit("g"), (z % 7).cast("string")).alias("audio"), none.alias("video"), none.alias("subtitles"), F.when(z % 9 == 0, "NONE").when(z % 9 == 1, "cc").alias("closed_captions"), F.when(z % 10 == 0, "CH-STEREO,PROJ-HEQU").when(z % 10 == 1, "PROJ-AIV").alias("video_layout"),
     )
     brands = p.select(doc.alias("doc_id")).distinct()
     n = load(spark, sf_dir, "nation")

@@ -41,14 +41,14 @@ def stream_inf(v: DataFrame | None = None) -> Column:
     size = F.concat(c("resolution.width").cast("string"), F.lit("x"), c("resolution.height").cast("string"))
     captions = F.when(c("closed_captions") == "NONE", F.lit("CLOSED-CAPTIONS=NONE")).otherwise(T.quoted("CLOSED-CAPTIONS", c("closed_captions")))
     return F.concat(F.lit("#EXT-X-STREAM-INF:"), T.attribute_list(
-        T.plain("BANDWIDTH", c("bandwidth")), T.plain("AVERAGE-BANDWIDTH", c("average_bandwidth")), T.quoted("CODECS", c("codecs")), T.quoted("SUPPLEMENTAL-CODECS", c("supplemental_codecs")), T.plain("RESOLUTION", size), T.plain("FRAME-RATE", T.decimal(c("frame_rate"), 3, False)), T.plain("HDCP-LEVEL", c("hdcp_level")), T.plain("VIDEO-RANGE", c("video_range")), T.quoted("REQ-VIDEO-LAYOUT", c("video_layout")), T.quoted("AUDIO", c("audio")), T.quoted("VIDEO", c("video")), T.quoted("SUBTITLES", c("subtitles")), captions))
+        T.plain("BANDWIDTH", c("bandwidth")), T.plain("AVERAGE-BANDWIDTH", c("average_bandwidth")), T.plain("RESOLUTION", size), T.plain("FRAME-RATE", T.decimal(c("frame_rate"), 3, False)), T.quoted("CODECS", c("codecs")), T.quoted("AUDIO", c("audio")), T.quoted("VIDEO", c("video")), T.quoted("SUBTITLES", c("subtitles")), captions, T.plain("HDCP-LEVEL", c("hdcp_level")), T.plain("VIDEO-RANGE", c("video_range")), T.quoted("SUPPLEMENTAL-CODECS", c("supplemental_codecs")), T.quoted("REQ-VIDEO-LAYOUT", c("video_layout"))))
 
 
 def media_line() -> Column:
     """MEDIA of a row of renditions."""
     c = F.col
     return F.concat(F.lit("#EXT-X-MEDIA:"), T.attribute_list(
-        T.plain("TYPE", c("type")), T.quoted("GROUP-ID", c("group_id")), T.quoted("NAME", c("name")), T.quoted("LANGUAGE", c("language")), T.quoted("ASSOC-LANGUAGE", c("assoc_language")), T.flag("DEFAULT", c("is_default")), T.flag("AUTOSELECT", c("autoselect")), T.flag("FORCED", c("forced")), T.quoted("URI", c("uri")), T.quoted("INSTREAM-ID", c("instream_id")), T.quoted("CHANNELS", c("channels")), T.quoted("CHARACTERISTICS", c("characteristics"))))
+        T.plain("TYPE", c("type")), T.quoted("GROUP-ID", c("group_id")), T.quoted("NAME", c("name")), T.flag("DEFAULT", c("is_default")), T.flag("AUTOSELECT", c("autoselect")), T.flag("FORCED", c("forced")), T.quoted("LANGUAGE", c("language")), T.quoted("ASSOC-LANGUAGE", c("assoc_language")), T.quoted("INSTREAM-ID", c("instream_id")), T.quoted("CHARACTERISTICS", c("characteristics")), T.quoted("CHANNELS", c("channels")), T.quoted("URI", c("uri"))))
 
 
 def part_line() -> Column:
