@@ -48,7 +48,8 @@ def ticks(seconds: Column, timescale: Column) -> Column:
 
 def rescale(value: Column, source: Column, target: Column) -> Column:
     """Integer value * target / source, no less than 0."""
-    return F.greatest(F.lit(0).cast("long"), F.floor(value * target / source).cast("long"))
+    product = value.cast("long") * target.cast("long")
+    return F.greatest(F.lit(0).cast("long"), ((product - product % source) / source).cast("long"))
 
 
 def decibels(x: Column) -> Column:
