@@ -98,6 +98,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS l FROM w),
+s AS (SELECT doc_id, len(l) AS n, md5_number_lower(unnest(l)) AS h FROM l),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p WHERE 100 * i >= 85 * (na + nb - i)),
+r AS (SELECT doc_id AS n, doc_id AS c FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.n),
+m AS (SELECT n, min(c) AS c FROM r GROUP BY n)
+SELECT l.doc_id, len(l.l)::BIGINT AS n_shingles, m.c AS component_id, l.doc_id = m.c AS kept FROM l JOIN m ON m.n = l.doc_id""",
     "op7_embeddings": """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 g AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
