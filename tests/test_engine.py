@@ -75,3 +75,15 @@ def test_tag_writers(spark):
     assert one(tags.steering_line(), server_uri="/s", pathway_id="A") == '#EXT-X-CONTENT-STEERING:SERVER-URI="/s",PATHWAY-ID="A"'
     assert one(tags.part_inf_line(F.lit(0.33334))) == "#EXT-X-PART-INF:PART-TARGET=0.333"
     assert one(tags.rendition_report_line(), uri="u", last_msn=3, last_part=1) == '#EXT-X-RENDITION-REPORT:URI="u",LAST-MSN=3,LAST-PART=1'
+
+
+def test_command_line(spark, tmp_path, capfd):
+    from tidewell.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/good.m3u8").write_text(GOOD_MEDIA)
+    assert main(["validate", str(tmp_path / "in"), "--strict"], spark) == 0
+    assert main(["regenerate", str(tmp_path / "in"), str(tmp_path / "out")], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).first().text == GOOD_MEDIA
+    (tmp_path / "in/bad.m3u8").write_text(GOOD_MEDIA.replace("TARGETDURATION:6", "TARGETDURATION:0"))
+    assert main(["validate", str(tmp_path / "in")], spark) == 2 and main(["info", str(tmp_path / "in")], spark) == 0

@@ -53,8 +53,8 @@ def audio_renditions(tracks: DataFrame, keys: list[str], order: str, fallback: b
 
 def fallback_uri(uri: Column) -> Column:
     """The stereo twin of a spatial rendition's URI."""
-    dot = F.length(uri) - F.length(F.substring_index(uri, ".", -1))
-    suffixed = F.when(F.instr(uri, ".") > 0, F.concat(F.substr(uri, F.lit(1), dot - 1), F.lit("_stereo."), F.substring_index(uri, ".", -1))).otherwise(F.concat(uri, F.lit("_stereo")))
+    listed = uri.endswith(".m3u8")
+    suffixed = F.when(listed, F.concat(F.replace(uri, F.lit(".m3u8"), F.lit("")), F.lit("_stereo.m3u8"))).otherwise(F.concat(uri, F.lit("_stereo")))
     return F.when(uri.contains("atmos"), F.replace(uri, F.lit("atmos"), F.lit("stereo"))).when(uri.contains("spatial"), F.replace(uri, F.lit("spatial"), F.lit("stereo"))).otherwise(suffixed)
 
 
