@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .patterns import BUCKET, last_known
+
 
 def decode_times(runs: DataFrame, keys: list[str], order: str, count: str, delta: str) -> DataFrame:
     """(keys, sample, dts, delta): one row per sample of the run-length table, samples from 0.
@@ -31,12 +33,12 @@ def sample_offsets(samples: DataFrame, keys: list[str], sample: str, size: str,
     return samples.withColumn("file_offset", F.col(offset) + F.coalesce(F.sum(size).over(w), F.lit(0)))
 
 
-def nearest_sync(samples: DataFrame, keys: list[str], sample: str, sync: Column) -> DataFrame:
+def nearest_sync(samples: DataFrame, keys: list[str], sample: str, sync: Column, bucket: int = BUCKET) -> DataFrame:
     """samples with nearest_sync: the last sync sample up to each, else the first of all; without any, the sample itself."""
-    w = Window.partitionBy(*keys).orderBy(sample).rowsBetween(Window.unboundedPreceding, 0)
     own = F.when(F.coalesce(sync, F.lit(False)), F.col(sample))
     first = samples.groupBy(*keys).agg(F.min(own).alias("_first"))
-    return samples.join(first, keys).withColumn("nearest_sync", F.coalesce(F.last(own, ignorenulls=True).over(w), F.col("_first"), F.col(sample))).drop("_first")
+    known = last_known(samples, keys, [sample], own, "_last", bucket)
+    return known.join(first, keys).withColumn("nearest_sync", F.coalesce("_last", "_first", F.col(sample))).drop("_last", "_first")
 
 
 def presentation_times(samples: DataFrame, offsets: DataFrame, keys: list[str], sample: str, dts: str, order: str, count: str, offset: str) -> DataFrame:

@@ -57,6 +57,19 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name:
     return b.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0))).join(totals, [*keys, "_b"]).withColumn(name, F.col("_before") + F.col("_in")).select(*df.columns, name)
 
 
+def last_known(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, bucket: float = BUCKET) -> DataFrame:
+    """The last non-null `value` of a key up to and with each row, by `order` (its first column a number).
+
+    Taken inside buckets of the first order column; each bucket then falls back on the last value of
+    the buckets before it, of which there are few to a key."""
+    b = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(order[0]) / bucket).cast("long"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.when(F.col("_v").isNotNull(), F.struct(*order))
+    ends = b.groupBy(*keys, "_b").agg(F.max_by("_v", known).alias("_end")).withColumn("_before", F.last("_end", ignorenulls=True).over(across)).drop("_end")
+    return b.withColumn("_in", F.last("_v", ignorenulls=True).over(inside)).join(ends, [*keys, "_b"]).withColumn(name, F.coalesce("_in", "_before")).select(*df.columns, name)
+
+
 def trailing(df: DataFrame, keys: list[str], order: Column, width: int, aggregates: dict[str, Callable[[object], Column]]) -> DataFrame:
     """Aggregates over the rows of a key within `width` (in units of the whole-number `order`) before
     each row, itself and ties included. Buckets of several widths, each with a copy of the rows just
@@ -70,16 +83,16 @@ def trailing(df: DataFrame, keys: list[str], order: Column, width: int, aggregat
     return b.where("_bucket_ = _home_").drop("_order_", "_home_", "_bucket_")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, take: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, take: list[str], bucket: float = BUCKET) -> DataFrame:
     """left with the columns `take` of right's last row of the key whose `right_at` <= `at`, null if none.
 
-    One sorted pass over the union; ties take the right row.
+    One sorted pass over the union, by buckets of the time; ties take the right row.
     """
-    both = left.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(StructType([right.schema[c] for c in take])).alias("_r")).unionByName(
+    kind = StructType([right.schema[c] for c in take])
+    both = left.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(kind).alias("_r")).unionByName(
         right.select(*keys, F.col(right_at).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema).alias("_l"), F.struct(*take).alias("_r"))
     )
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_f", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    found = last_known(both, keys, ["_t", "_side"], F.col("_r"), "_f", bucket).where("_side = 1")
     return found.select(*[F.col(f"_l.{c}").alias(c) for c in left.columns], *[F.col(f"_f.{c}").alias(c) for c in take])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .patterns import BUCKET, running_sum
 
 
 def sliding_state(segments: DataFrame, keys: list[str], index: str, duration: str, size: int = 5) -> DataFrame:
@@ -26,10 +27,12 @@ def last_segments(segments: DataFrame, keys: list[str], index: str, size: int =
 
 def sequences(segments: DataFrame, keys: list[str], index: str, discontinuity: Column, size: int = 5) -> DataFrame:
     """MEDIA-SEQUENCE and DISCONTINUITY-SEQUENCE of each stream's last `size` segments: how many were
-    evicted, and how many of these began with a discontinuity."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(index))
-    r = segments.withColumn("_r", F.row_number().over(w)).withColumn("_d", F.coalesce(discontinuity, F.lit(False)))
-    return r.groupBy(*keys).agg(F.count_if(F.col("_r") > size).alias("media_sequence"), F.count_if((F.col("_r") > size) & F.col("_d")).alias("discontinuity_sequence"))
+    evicted, and how many of these began with a discontinuity. Totals less what is kept, so that a
+    stream is summed by parts and only its last segments are ranked."""
+    s = segments.withColumn("_d", F.coalesce(discontinuity, F.lit(False)))
+    kept = last_segments(s, keys, index, size).groupBy(*keys).agg(F.count_if("_d").alias("_kept"))
+    totals = s.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if("_d").alias("_all"))
+    return totals.join(kept, keys).select(*keys, F.greatest(F.col("_n") - size, F.lit(0)).alias("media_sequence"), (F.col("_all") - F.col("_kept")).alias("discontinuity_sequence"))
 
 
 def dvr_window(segments: DataFrame, keys: list[str], at: str, duration: str, window: float) -> DataFrame:
@@ -60,11 +63,11 @@ def emit_date(index: Column, policy: str, every: int = 1, discontinuity: Column
     return (index == 0) | F.coalesce(discontinuity if discontinuity is not None else F.lit(False), F.lit(False))
 
 
-def skipped(segments: DataFrame, keys: list[str], index: str, duration: str, skip_until: Column) -> DataFrame:
+def skipped(segments: DataFrame, keys: list[str], index: str, duration: str, skip_until: Column, bucket: int = BUCKET) -> DataFrame:
     """How many leading segments a delta update leaves out: those that end `skip_until` or more before the end."""
-    run = F.sum(duration).over(Window.partitionBy(*keys).orderBy(index).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum(duration).over(Window.partitionBy(*keys))
-    return segments.select(*keys, (run <= total - skip_until).alias("_s")).groupBy(*keys).agg(F.count_if("_s").alias("skipped_segments"))
+    run = running_sum(segments, keys, index, F.col(duration), "_run", bucket, inclusive=True)
+    total = segments.groupBy(*keys).agg(F.sum(duration).alias("_total"))
+    return run.join(total, keys).select(*keys, (F.col("_run") <= F.col("_total") - skip_until).alias("_s")).groupBy(*keys).agg(F.count_if("_s").alias("skipped_segments"))
 
 
 def target_duration(segments: DataFrame, keys: list[str], duration: str, default: int = 6) -> DataFrame:
@@ -114,15 +117,13 @@ def gap_alerts(segments: DataFrame, keys: list[str], index: str, gap: Column, mo
     return segments.withColumn("_g", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("alert", F.sum("_g").over(w) == most).drop("_g")
 
 
-def tile_layout(frames: DataFrame, keys: list[str], order: str, duration: str, columns: int, rows: int) -> DataFrame:
+def tile_layout(frames: DataFrame, keys: list[str], order: str, duration: str, columns: int, rows: int, bucket: int = BUCKET) -> DataFrame:
     """Thumbnails in row-major sheets: sheet, column, row and start time of each frame; missing durations count 6 s."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    i = F.row_number().over(w) - 1
-    d = F.coalesce(F.col(duration), F.lit(6.0))
-    return frames.withColumn("_i", i).select(
+    f = running_sum(frames, keys, order, F.lit(1).cast("long"), "_i", bucket)
+    f = running_sum(f, keys, order, F.coalesce(F.col(duration), F.lit(6.0)), "start", bucket)
+    return f.select(
         *keys, order, F.floor(F.col("_i") / (columns * rows)).cast("int").alias("sheet"), (F.col("_i") % columns).cast("int").alias("tile_column"),
-        (F.floor(F.col("_i") / columns) % rows).cast("int").alias("tile_row"),
-        F.coalesce(F.sum(d).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("start"),
+        (F.floor(F.col("_i") / columns) % rows).cast("int").alias("tile_row"), F.col("start").cast("double").alias("start"),
     )
 
 

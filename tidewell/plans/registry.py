@@ -149,7 +149,7 @@ def byte_range_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
   sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run, sum(value) OVER (PARTITION BY user_id) AS total FROM events) GROUP BY 1""")
 def delta_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.6.31, 2.6.32, 2.10.9, 2.9.31."""
-    return playlists.skipped(load(spark, sf_dir, "events"), ["user_id"], "event_id", "value", F.lit(36.0))
+    return playlists.skipped(load(spark, sf_dir, "events"), ["user_id"], "event_id", "value", F.lit(36.0), 4096)
 
 
 @query("SELECT l_orderkey, ceil(max(l_quantity))::BIGINT AS target_duration FROM lineitem GROUP BY 1")
@@ -207,14 +207,14 @@ def as_of_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.4.3–2.4.5, 2.4.7: the last sync event before each other event."""
     e = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     right = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("sync_id"))
-    return as_of(e.where("event_type <> 'view'").select("user_id", "event_id"), right, ["user_id"], "event_id", "sync_id", ["sync_id"])
+    return as_of(e.where("event_type <> 'view'").select("user_id", "event_id"), right, ["user_id"], "event_id", "sync_id", ["sync_id"], 4096)
 
 
 @query("""SELECT user_id, event_id, coalesce(max(CASE WHEN event_type = 'view' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id), min(CASE WHEN event_type = 'view' THEN event_id END) OVER (PARTITION BY user_id), event_id) AS nearest_sync FROM events""")
 def nearest_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.4.5, 2.6.16."""
     e = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    return media.nearest_sync(e, ["user_id"], "event_id", F.col("event_type") == "view").drop("event_type")
+    return media.nearest_sync(e, ["user_id"], "event_id", F.col("event_type") == "view", 4096).drop("event_type")
 
 
 @query("""SELECT user_id, us, kind, row_number() OVER (PARTITION BY user_id ORDER BY us, kind DESC) AS position FROM (SELECT user_id, epoch_us(ts) AS us, CASE event_type WHEN 'view' THEN 'video' ELSE 'audio' END AS kind FROM events WHERE event_type IN ('view', 'click'))""")
@@ -464,7 +464,7 @@ def blocking_reload_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tile_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.6.53, 2.2.46: thumbnails in 4 x 3 sheets."""
     e = load(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("d"))
-    return playlists.tile_layout(e, ["user_id"], "event_id", "d", 4, 3).withColumn("start", F.round("start", 6))
+    return playlists.tile_layout(e, ["user_id"], "event_id", "d", 4, 3, 4096).withColumn("start", F.round("start", 6))
 
 
 @query("""SELECT user_id, count(*) FILTER (WHERE event_type <> 'error') AS successes, count(*) FILTER (WHERE event_type = 'error') AS failures, coalesce(sum((value * 1000)::BIGINT) FILTER (WHERE event_type <> 'error'), 0)::BIGINT AS bytes,
