@@ -40,11 +40,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Deletes the tables that materialize() wrote in this session, once their readers are done."""
+def mark() -> int:
+    """A point in the order of materialize() calls, for settle()."""
+    return len(_WRITTEN)
+
+
+def settle(df: DataFrame, label: str, since: int) -> DataFrame:
+    """materialize(df), after which the tables written since that point are deleted: df was their reader."""
+    out = materialize(df, label)
+    release(df.sparkSession, [path for _, path in _WRITTEN[since:-1]])
+    return out
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes tables that materialize() wrote in this session (all, or these), once their readers are done."""
     jvm = spark.sparkContext._jvm
     for s, path in list(_WRITTEN):
-        if path not in keep:
+        if paths is None or path in paths:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
             _WRITTEN.remove((s, path))
