@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm.common import load, materialize
+from tidewell.llm.common import load, mark, settle
 from tidewell.llm.near_dup import drop_near_duplicates
 from tidewell.llm.packing import pack_documents, piece_digests
 from tidewell.llm.quality_classifier import keep_good
@@ -53,8 +53,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written as Parquet to the shared folder and read again."""
-    docs = load(spark, sf_dir, "documents")
+    """Applies the stages to documents, each written as Parquet to the shared folder and read again.
+    What a stage wrote on its way, and its input, go once its output is written."""
+    docs, since = load(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = settle(stage(spark, docs, sf_dir), name, since)
     return STAGES[-1][1](spark, docs, sf_dir)

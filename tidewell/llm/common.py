@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..stage import materialize, release, shared_dir  # noqa: F401
+from ..stage import mark, materialize, release, settle, shared_dir  # noqa: F401
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder, through Spark's reader only."""
