@@ -397,7 +397,7 @@ def training_page(rng: random.Random) -> tuple[str, str]:
         tag, attr = rng.choice([("article", ""), ("article", ""), ("article", mark("post", "entry", "story")), ("main", ""), ("div", mark("content", "article", "post-body", "entry-content", "main-content", "story")), ("section", mark("article", "content", "post"))])
         parts = [own(rng.choice(["h1", "h1", "h2"]), 2, 14, rng.choice(["", "."]))] if rng.random() < 0.9 else []
         if parts and rng.random() < 0.15:
-            parts = [f"<header{y}>{parts[0]}</header>"]
+            parts = [f"<header{y}>{parts[0]}{own('p', 1, 6, '') if rng.random() < 0.4 else ''}</header>"]
         for _ in range(rng.choice([1, 2, 4, 8, 14])):
             r = rng.random()
             if r < 0.75:
@@ -431,7 +431,17 @@ def training_page(rng: random.Random) -> tuple[str, str]:
         top, end = top[:2], end[1:]
     foot = rng.choice([f"<footer>&copy; {_words(rng, 2, 20)}</footer>", f"<footer>{para(3, 15)}{menu('div', '')}</footer>", f"<div{mark('footer', 'copyright', 'legal')}>{_words(rng, 2, 20)}</div>", ""])
     head = f"<head><title>{_words(rng, 2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
-    return f"<!DOCTYPE html><html>{head}<body>{''.join(top)}<!-- x -->{main}{''.join(end)}{foot}{rng.choice(['</body></html>', ''])}", "\n".join(_SPACE.sub(" ", t).strip() for t in text)
+    body = f"{''.join(top)}<!-- x -->{main}{''.join(end)}{foot}"
+    shape = rng.random()
+    if shape < 0.08:  # a fragment
+        page = body
+    elif shape < 0.16:  # the article alone
+        page = main
+    elif shape < 0.28:
+        page = f"<body>{body}{rng.choice(['</body>', ''])}"
+    else:
+        page = f"<!DOCTYPE html><html>{head}<body>{body}{rng.choice(['</body></html>', ''])}"
+    return page, "\n".join(_SPACE.sub(" ", t).strip() for t in text)
 
 
 #: The training mark: an attribute that parses to a group no other token has.
@@ -447,7 +457,7 @@ def marks(source: str) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 900, seed: int = 17) -> Boosted:
+def trained(pages: int = 1400, seed: int = 17) -> Boosted:
     """The trees, fitted on `pages` generated pages (a bounded set, alike on every run)."""
     rng = random.Random(seed)
     sources = [training_page(rng)[0] for _ in range(pages)]
