@@ -54,6 +54,8 @@ def test_kept_documents(spark):
     assert out.columns == df.columns and out.dtypes == df.dtypes
     got = sorted(map(tuple, out.collect()), key=repr)
     assert got == sorted([(1, prose, None, "s", len(prose))] * 2 + [(None, prose, "en", None, len(prose))], key=repr)
+    clash = keep_clean(df.selectExpr("*", "'mine' kept", "-1 n_words", "'own' n_symbols"))
+    assert {tuple(r)[-3:] for r in clash.collect()} == {("mine", -1, "own")}
     assert keep_clean(df.limit(0)).count() == 0 and clean_lines(df.limit(0)).count() == 0
 
 

@@ -113,8 +113,8 @@ def line_fails(line: Column, rules: Rules) -> Column:
     return punctuation | navigation | stock
 
 
-def clean_lines(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:
-    """Adds the columns of the rules to docs, row by row:
+def clean_lines(docs: DataFrame, rules: Rules = Rules(), text: str = "text", prefix: str = "") -> DataFrame:
+    """Adds the columns of the rules to docs, row by row, their names after `prefix`:
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean),
     n_lines, n_removed_lines, removed_chars (long), cleaned_text (string).
@@ -122,7 +122,7 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), text: str = "text") ->
     Null and empty texts have no words: zeros, base_failed, not kept, cleaned_text empty. Columns
     of docs with these names are replaced; null keys and repeated rows pass as they are.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_removed_lines", "removed_chars", "cleaned_text"]
+    made = [prefix + c for c in ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_removed_lines", "removed_chars", "cleaned_text"]]
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in made]
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
@@ -144,24 +144,13 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), text: str = "text") ->
 
         return let(F.filter(lines, lambda x: ~line_fails(x, rules)), of_good)
 
-    w, ln = F.col("_w"), F.col("_l")
-    step = docs.select(*rest, let(words_of(t), of_words).alias("_w"), let(F.split(t, "\n"), of_lines).alias("_l"), F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
-    step = step.withColumn("_lost", F.when(ln["n_removed_lines"] > 0, w["word_chars"] - ink(ln["cleaned_text"])).otherwise(F.lit(0)).cast("long"))
+    w, ln, lost, symbols = (F.col(f"{prefix}_{c}_") for c in ("words", "lines", "lost", "symbols"))
+    step = docs.select(*rest, let(words_of(t), of_words).alias(f"{prefix}_words_"), let(F.split(t, "\n"), of_lines).alias(f"{prefix}_lines_"), F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias(f"{prefix}_symbols_"))
+    step = step.withColumn(f"{prefix}_lost_", F.when(ln["n_removed_lines"] > 0, w["word_chars"] - ink(ln["cleaned_text"])).otherwise(F.lit(0)).cast("long"))
     failed = (w["n_words"] < rules.min_words) | (w["n_repeat_words"] * 100 > w["n_words"] * rules.max_repeat_percent)
-    return step.select(
-        *rest,
-        w["n_words"].alias("n_words"),
-        w["word_chars"].alias("word_chars"),
-        "n_symbols",
-        ln["n_dup_lines"].alias("n_dup_lines"),
-        w["n_repeat_words"].alias("n_repeat_words"),
-        failed.alias("base_failed"),
-        (~failed & (F.col("_lost") * 100 <= w["word_chars"] * rules.max_lost_percent)).alias("kept"),
-        ln["n_lines"].alias("n_lines"),
-        ln["n_removed_lines"].alias("n_removed_lines"),
-        F.col("_lost").alias("removed_chars"),
-        ln["cleaned_text"].alias("cleaned_text"),
-    )
+    kept = ~failed & (lost * 100 <= w["word_chars"] * rules.max_lost_percent)
+    values = [w["n_words"], w["word_chars"], symbols, ln["n_dup_lines"], w["n_repeat_words"], failed, kept, ln["n_lines"], ln["n_removed_lines"], lost, ln["cleaned_text"]]
+    return step.select(*rest, *[v.alias(n) for v, n in zip(values, made, strict=True)])
 
 
 def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -172,11 +161,12 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text", k
 def keep_clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """docs without the rejected documents, failing lines removed, in the columns of docs; n_chars,
     if there, counts the text that is left. Clean documents pass unchanged."""
-    out = clean_lines(docs, rules).where("kept")
-    changed = F.col("n_removed_lines") > 0
-    cols = {"text": F.when(changed, F.col("cleaned_text")).otherwise(F.col("text"))}
+    p = "__rule_"  # a column of docs with a name of the rules' keeps its values
+    out = clean_lines(docs, rules, prefix=p).where(f"{p}kept")
+    changed = F.col(f"{p}n_removed_lines") > 0
+    cols = {"text": F.when(changed, F.col(f"{p}cleaned_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(changed, F.length("cleaned_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        cols["n_chars"] = F.when(changed, F.length(f"{p}cleaned_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumns(cols).select(*[f"`{c}`" for c in docs.columns])
 
 
