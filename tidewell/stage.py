@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext.getCheckpointDir()
     if own:
         return own
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="tidewell-")
     spark.sparkContext.setCheckpointDir(own)
