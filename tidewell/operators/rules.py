@@ -47,7 +47,7 @@ def at(kind: str, field: str) -> Column:
     return F.concat(F.lit(f"{kind}["), F.col("pos").cast("string"), F.lit(f"].{field}"))
 
 
-def swift_double(x: Column) -> Column:
+def double_text(x: Column) -> Column:
     """A double as the messages write it: at least one decimal."""
     return F.when(x == F.floor(x), F.concat(F.floor(x).cast("string"), F.lit(".0"))).otherwise(x.cast("string"))
 
@@ -143,7 +143,7 @@ def media_findings(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     target = F.col("target_duration").cast("string")
     r.rules(
         hs,
-        (F.round("duration") > F.col("target_duration"), "RFC8216-4.3.3.1-segment-duration", "error", at("segments", "duration"), F.concat(F.lit("Segment duration "), swift_double(F.col("duration")), F.lit("s exceeds TARGETDURATION "), target, F.lit("s."))),
+        (F.round("duration") > F.col("target_duration"), "RFC8216-4.3.3.1-segment-duration", "error", at("segments", "duration"), F.concat(F.lit("Segment duration "), double_text(F.col("duration")), F.lit("s exceeds TARGETDURATION "), target, F.lit("s."))),
         ("duration < 0", "RFC8216-4.3.2.1-extinf", "error", at("segments", "duration"), "Segment duration must not be negative."),
         ("uri = ''", "RFC8216-4.3.2.1-uri", "error", at("segments", "uri"), "Segment URI must not be empty."),
         ("key_tag.method <> 'NONE' and key_tag.uri is null", "RFC8216-4.3.2.4-key-uri", "error", at("segments", "key.uri"), "EXT-X-KEY with METHOD != NONE must have URI."),
@@ -170,7 +170,7 @@ def media_findings(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
         ("not independent_segments", "APPLE-3.5-independent", "warning", "independentSegments", "EXT-X-INDEPENDENT-SEGMENTS recommended."),
         ("segments > 0 and not maps", "APPLE-3.4-fmp4", "info", "segments", "fMP4 (EXT-X-MAP) preferred over MPEG-TS."),
     )
-    r.rules(p.join(h.select(key, "part_target"), key), ("duration > part_target", "RFC8216bis-part-duration", "error", at("partialSegments", "duration"), F.concat(F.lit("PART duration "), swift_double(F.col("duration")), F.lit("s exceeds PART-TARGET "), swift_double(F.col("part_target")), F.lit("s."))))
+    r.rules(p.join(h.select(key, "part_target"), key), ("duration > part_target", "RFC8216bis-part-duration", "error", at("partialSegments", "duration"), F.concat(F.lit("PART duration "), double_text(F.col("duration")), F.lit("s exceeds PART-TARGET "), double_text(F.col("part_target")), F.lit("s."))))
     return r.all()
 
 
