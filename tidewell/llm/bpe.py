@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import vocabulary
+from .common import slices, vocabulary
 
 CACHE_CHUNKS = 600_000
 _NONE = 1 << 62
@@ -265,7 +265,7 @@ def encode_documents(docs: DataFrame, vocab: str = "word_bpe_49k.json", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load_bpe(path)
         cache = Cache(bpe.encode_chunk)
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, b.schema.get_field_index(text))):
             found = [[i for c in bpe.chunks(t or "") for i in cache[c]] for t in batch.column(text).to_pylist()]
             back = [bpe.decode(x) for x in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(found, pa.list_(pa.int32())), pa.array(back, pa.string())], [*rest, ids, decoded])

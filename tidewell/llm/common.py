@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +67,15 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts in `column` have about `limit` bytes together, or one row beyond it:
+    what a worker makes of a part is bounded however much larger than the text it is."""
+    held = first = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if held and held + n > limit:
+            yield batch.slice(first, i - first)
+            held, first = 0, i
+        held += n
+    yield batch.slice(first)

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import Bpe, Cache, load_bpe, space_units
-from .common import vocabulary
+from .common import slices, vocabulary
 
 _WHITE = regex.compile(r"\s+")
 _CONTRACTION = regex.compile(r"'(?:re|ve|ll)")
@@ -213,7 +213,7 @@ def count_tokens(docs: DataFrame, vocab: str = "byte_bpe_50k.json", limit: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load_counter(path)
-        for batch in batches:
+        for batch in (part for b in batches for part in (slices(b, 1) if prefixes else [b])):
             sizes, tokens, tables, fits = [], [], [], []
             for t in batch.column(1):
                 if prefixes:
