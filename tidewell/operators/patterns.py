@@ -57,6 +57,15 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name:
     return b.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0))).join(totals, [*keys, "_b"]).withColumn(name, F.col("_before") + F.col("_in")).select(*df.columns, name)
 
 
+def last_rows(df: DataFrame, keys: list[str], order: str, size: int, aggregates: dict[str, Callable[[object], Column]], bucket: int = BUCKET, ordinal: str | None = None) -> DataFrame:
+    """Aggregates over each row and the `size` - 1 before it, by a row number made of running sums, so that
+    the rows of one key spread over buckets of row numbers. `ordinal` names that number, from 0, if it is kept."""
+    name = ordinal or "_ordinal_"
+    numbered = running_sum(df, keys, order, F.lit(1).cast("long"), name, bucket)
+    out = trailing(numbered, keys, F.col(name), size - 1, aggregates, 1 << 16)
+    return out if ordinal else out.drop(name)
+
+
 def last_known(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, bucket: float = BUCKET) -> DataFrame:
     """The last non-null `value` of a key up to and with each row, by `order` (its first column a number).
 
@@ -70,7 +79,7 @@ def last_known(df: DataFrame, keys: list[str], order: list[str], value: Column,
     return b.withColumn("_in", F.last("_v", ignorenulls=True).over(inside)).join(ends, [*keys, "_b"]).withColumn(name, F.coalesce("_in", "_before")).select(*df.columns, name)
 
 
-def trailing(df: DataFrame, keys: list[str], order: Column, width: int, aggregates: dict[str, Callable[[object], Column]]) -> DataFrame:
+def trailing(df: DataFrame, keys: list[str], order: Column, width: int, aggregates: dict[str, Callable[[object], Column]], span: int | None = None) -> DataFrame:
     """Aggregates over the rows of a key within `width` (in units of the whole-number `order`) before
     each row, itself and ties included. Buckets of several widths, each with a copy of the rows just
     before it, bound a task by time instead of by key."""

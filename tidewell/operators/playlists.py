@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from .patterns import BUCKET, running_sum
+from .patterns import BUCKET, last_rows, running_sum
 
 
-def sliding_state(segments: DataFrame, keys: list[str], index: str, duration: str, size: int = 5) -> DataFrame:
+def sliding_state(segments: DataFrame, keys: list[str], index: str, duration: str, size: int = 5, bucket: int = BUCKET) -> DataFrame:
     """The playlist after each segment: first and last index, MEDIA-SEQUENCE, target, total."""
-    w = Window.partitionBy(*keys).orderBy(index).rowsBetween(-(size - 1), 0)
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(index))
-    return segments.select(*keys, index, F.min(index).over(w).alias("first_index"), F.greatest(n - size, F.lit(0)).cast("long").alias("media_sequence"), F.ceil(F.max(duration).over(w)).cast("long").alias("target_duration"), F.round(F.sum(duration).over(w), 6).alias("total_duration"))
+    aggregates = {"first_index": lambda w: F.min(index).over(w), "_most": lambda w: F.max(duration).over(w), "_sum": lambda w: F.sum(duration).over(w)}
+    s = last_rows(segments, keys, index, size, aggregates, bucket, "_i")
+    return s.select(*keys, index, "first_index", F.greatest(F.col("_i") + 1 - size, F.lit(0)).cast("long").alias("media_sequence"), F.ceil("_most").cast("long").alias("target_duration"), F.round("_sum", 6).alias("total_duration"))
 
 
 def last_segments(segments: DataFrame, keys: list[str], index: str, size: int = 5) -> DataFrame:
@@ -111,10 +111,11 @@ def blocking_wait(requests: DataFrame, parts: DataFrame, keys: list[str], at: st
     return r.withColumn("wait", F.when(F.col("_ready").isNull() | (wait > timeout), F.lit(float(timeout))).otherwise(wait)).withColumn("timed_out", F.col("_ready").isNull() | (wait > timeout)).drop("_ready")
 
 
-def gap_alerts(segments: DataFrame, keys: list[str], index: str, gap: Column, most: int = 3) -> DataFrame:
+def gap_alerts(segments: DataFrame, keys: list[str], index: str, gap: Column, most: int = 3, bucket: int = BUCKET) -> DataFrame:
     """Whether the last `most` segments up to each one are all gaps."""
-    w = Window.partitionBy(*keys).orderBy(index).rowsBetween(-(most - 1), 0)
-    return segments.withColumn("_g", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("alert", F.sum("_g").over(w) == most).drop("_g")
+    s = segments.withColumn("_g", F.coalesce(gap, F.lit(False)).cast("int"))
+    out = last_rows(s, keys, index, most, {"_n": lambda w: F.sum("_g").over(w)}, bucket)
+    return out.withColumn("alert", F.col("_n") == most).drop("_g", "_n")
 
 
 def tile_layout(frames: DataFrame, keys: list[str], order: str, duration: str, columns: int, rows: int, bucket: int = BUCKET) -> DataFrame:
