@@ -74,10 +74,10 @@ def test_tensor_finds_close_pairs():
         b[:15] = rng.integers(0, 1 << 62, 15).astype(np.uint64)  # similarity 0.86
         c[:160] = rng.integers(0, 1 << 62, 160).astype(np.uint64)  # 0.11
         k = tensor.keys(np.stack([tensor.signature(x) for x in (a, b, c)]))
-        assert k.shape == (3, 100)
+        assert k.shape == (3, 144)
         hit += bool(set(k[0].tolist()) & set(k[1].tolist()))
         far += bool(set(k[0].tolist()) & set(k[2].tolist()))
-    assert hit >= 297 and far == 0
+    assert hit >= 299 and far <= 2
 
 
 def test_components(spark):

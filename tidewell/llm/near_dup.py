@@ -108,7 +108,7 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
 class Tensor:
     """The two collections of signatures."""
 
-    def __init__(self, rows: int = 4, side: int = 10, seed: int = 5):
+    def __init__(self, rows: int = 3, side: int = 12, seed: int = 5):
         self.rows, self.side = rows, side
         self.a, self.b = _constants(seed, 2 * side * rows), _constants(seed + 1, 2 * side * rows)
         self.left, self.right = _constants(seed + 2, side), _constants(seed + 3, side)
@@ -202,7 +202,7 @@ def true_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tu
         held = owner[order[np.repeat(count == c, count)]].reshape(-1, c)
         for p in range(c):
             for q in range(p + 1, c):
-                shared += np.bincount(held[:, p] * k + held[:, q], minlength=k * k).reshape(k, k).astype(np.float32)
+                np.add.at(shared, (held[:, p], held[:, q]), 1)
     many = count > few
     number = np.cumsum(many) - 1
     use = many[code]
@@ -216,10 +216,9 @@ def true_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tu
         has = np.zeros((k, step), np.float32)
         has[rows[lo:hi], cols[lo:hi] - at] = 1
         product += has @ has.T
-    shared = shared + shared.T + product
     links = np.empty((k, k), bool)
     for i in range(k):
-        both = shared[i].astype(np.int64)
+        both = (shared[i] + shared[:, i] + product[i]).astype(np.int64)
         links[i] = both * 100 >= percent * (sizes[i] + sizes - both)
     np.fill_diagonal(links, False)
     out, left = [], np.ones(k, bool)
@@ -237,7 +236,7 @@ def true_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tu
     return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, rows: int = 4, side: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, rows: int = 3, side: int = 12, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, kept) of each row of docs; key must be bigint.
 
     Links are 100 * intersection >= percent * union of shingle sets, confirmed on full sets; the
