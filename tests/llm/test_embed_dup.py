@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 
+from tidewell.llm import embed_dup
 from tidewell.llm.embed_dup import MultiIndex, multi_sequence, near_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label string, node int, unit string"
@@ -82,3 +83,44 @@ def test_recall_of_index():
         total += len(near)
         met += np.isin(home[near], cells).sum()
     assert total > 200 and met / total >= 0.9
+
+
+def test_links_that_one_side_finds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(embed_dup, "CELL", 4)
+    monkeypatch.setattr(MultiIndex, "_calibrate", lambda self, *a: made.append(self) or 2)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 8))
+    x[200:] = x[:200] + rng.normal(size=(200, 8)) * 0.15
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = rng.permutation(400) * 3
+    rows = [(int(k), v.tolist(), 1 + int(k) % 2) for k, v in zip(ids, x)]
+    df = spark.createDataFrame([(k + c, v) for k, v, n in rows for c in range(n)], "vec_id long, embedding array<double>").repartition(3)
+    out = {r.vec_id: r for r in near_vectors(df).collect()}
+    (index,) = made
+    home, cells = index.cell(*index.codes(x)), index.visited(x)
+    near = (x @ x.T >= 0.95) & ~np.eye(400, dtype=bool)
+    finds = near & np.array([[h in c for h in home] for c in cells])
+    assert (finds & ~finds.T).sum() > 10
+    both = finds | finds.T
+    weight = np.array([n for _, _, n in rows])
+    least = ids.copy()
+    for _ in range(400):
+        least = np.minimum(least, np.where(both, least[None], 1 << 40).min(1))
+    for (k, _, n), links, c in zip(rows, both @ weight + weight - 1, least):
+        for copy in range(n):
+            assert (out[k + copy].n_links, out[k + copy].component_id, out[k + copy].kept) == (links, c, k + copy == c)
+
+
+def test_recall_where_neighbours_differ_in_few_directions():
+    rng = np.random.default_rng(6)
+    spread = np.where(np.arange(64) % 32 < 3, 1.0, 0.02)
+    x = rng.normal(size=(8000, 64)) * spread
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = MultiIndex(x, 200_000, 0.95, 0.999)
+    y = x[:2000]
+    side = rng.normal(size=y.shape) * spread
+    side -= (side * y).sum(1)[:, None] * y
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    home = index.cell(*index.codes(0.95 * y + math.sqrt(1 - 0.95**2) * side))
+    assert np.mean([h in c for h, c in zip(home, index.visited(y))]) >= 0.995

@@ -6,13 +6,14 @@ multi-sequence order: a heap over the two sorted lists), as many as it takes for
 and is compared in double precision with all vectors there.
 
 How many cells that is comes from a calibration: sample vectors are turned by just the angle of the
-threshold into random directions, and the rank of the turned vector's cell in the order of its
-origin is noted.  The codebooks and the calibration use a bounded sample; every vector is indexed
+threshold, into random directions and along differences of sample vectors, and the rank of the
+turned vector's cell in the order of its origin is noted; the larger need holds.  The codebooks and the calibration use a bounded sample; every vector is indexed
 and every vector is a query.
 
 Equal vectors are one from the start.  Crowded cells are cut into blocks of members and blocks of
-queries, and each pair of blocks is a task of bounded size that returns, for each query, a count and
-one link of a spanning forest, never the pairs.
+queries, and each pair of blocks is a task of bounded size that returns, for each row with a link, a
+count and one link of a spanning forest, never the pairs.  A pair that only one side finds counts for
+both and joins their components.
 """
 
 from __future__ import annotations
@@ -93,15 +94,21 @@ class MultiIndex:
         """Cells to visit so that a neighbour at the threshold is met with a chance of `recall`."""
         rng = np.random.default_rng(seed)
         x = sample[rng.choice(len(sample), PROBES, replace=len(sample) < PROBES)]
-        side = rng.normal(size=x.shape)
-        side -= (side * x).sum(1)[:, None] * x
-        side /= np.maximum(np.linalg.norm(side, axis=1), 1e-300)[:, None]
-        y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * side
         left, right = distances(x[:, : self.half], self.books[0]), distances(x[:, self.half :], self.books[1])
-        i, j = self.codes(y)
-        at = left[np.arange(len(x)), i] + right[np.arange(len(x)), j]
-        ranks = np.array([(left[q][:, None] + right[q][None] <= at[q]).sum() for q in range(len(x))])
-        return int(np.quantile(ranks, recall, method="higher"))
+        isotropic = rng.normal(size=x.shape)
+        # the sample's own spread may lie in a few directions, which the codebooks then resolve finely
+        a = rng.integers(len(sample), size=len(x))
+        b = (a + rng.integers(1, max(2, len(sample)), size=len(x))) % len(sample)
+        need = 1
+        for side in (isotropic, sample[a] - sample[b]):
+            side -= (side * x).sum(1)[:, None] * x
+            side /= np.maximum(np.linalg.norm(side, axis=1), 1e-300)[:, None]
+            y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * side
+            i, j = self.codes(y)
+            at = left[np.arange(len(x)), i] + right[np.arange(len(x)), j]
+            ranks = np.array([(left[q][:, None] + right[q][None] <= at[q]).sum() for q in range(len(x))])
+            need = max(need, int(np.quantile(ranks, recall, method="higher")))
+        return need
 
     def visited(self, x: np.ndarray) -> list[list[int]]:
         """The cells that each row of x visits, nearest first; its own is among them."""
@@ -132,11 +139,15 @@ def _unit(v: list | None) -> np.ndarray | None:
     return x / np.linalg.norm(x) + 0.0
 
 
-def compare(ids: np.ndarray, units: np.ndarray, weights: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For queries with a link to a member other than themselves: (id, linked rows, smallest id of the part)."""
+def compare(ids: np.ndarray, units: np.ndarray, weights: np.ndarray, cells: list[list[int]], query_ids: np.ndarray, queries: np.ndarray, query_weights: np.ndarray, homes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For queries and members of found links: (id, linked rows, smallest id of the part).
+
+    cells are those the members visit, homes those of the queries: a member counts only the queries
+    that it does not find by its own visits, so that a pair counts once for each end.
+    """
     link = queries @ units.T >= threshold
     same = query_ids[:, None] == ids[None]
-    count = (link & ~same) @ weights
+    other = link & ~same
     link |= same
     q, m = query_ids.copy(), ids.copy()
     far = np.iinfo(np.int64).max
@@ -146,15 +157,26 @@ def compare(ids: np.ndarray, units: np.ndarray, weights: np.ndarray, query_ids:
         if (q2 == q).all() and (m2 == m).all():
             break
         q, m = q2, m2
-    hit = count > 0
-    return query_ids[hit], count[hit], q[hit]
+    known, at = np.unique(homes, return_inverse=True)
+    flat = np.concatenate([np.asarray(c, np.int64) for c in cells])
+    owner = np.repeat(np.arange(len(ids)), [len(c) for c in cells])
+    place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    visits = np.zeros((len(known), len(ids)), bool)
+    visits[place[known[place] == flat], owner[known[place] == flat]] = True
+    finds, met = other.any(1), other.any(0)
+    node, first, at_node = np.unique(np.concatenate([query_ids[finds], ids[met]]), return_index=True, return_inverse=True)
+    n = np.zeros(len(node), np.int64)
+    np.add.at(n, at_node, np.concatenate([other[finds] @ weights, query_weights @ (other & ~visits[at])[:, met]]))
+    least = np.concatenate([q[finds], m[met]])[first]
+    told = (n > 0) | (least != node)
+    return node[told], n[told], least[told]
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999, embedding: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(key, n_links, component_id, kept) of each row; key must be bigint.
 
     Links join rows whose vectors have a cosine of `threshold` or more; n_links counts the other rows
-    that a row is linked to, equal vectors included. Vectors that are null, empty or zero or hold a
+    that a row is linked to, equal vectors included. A link that either side finds is one of both. Vectors that are null, empty or zero or hold a
     null or non-finite component, and rows with a null key, link with nothing (component the key
     itself). Of vectors of unequal length, the shorter count as padded with zeros. A repeated row is
     another row. Other columns don't matter, an empty table gives no rows.
@@ -184,23 +206,23 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
             for batch in batches:
                 x = matrix(batch.column(2))
                 home = index.cell(*index.codes(x))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(home, pa.int64()), pa.array(index.visited(x), pa.list_(pa.int64()))], ["node", "weight", "unit", "home", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(home, pa.int32()), pa.array(index.visited(x), pa.list_(pa.int32()))], ["node", "weight", "unit", "home", "cells"])
 
-        placed = materialize(sets.select("node", "weight", "unit").mapInArrow(place, "node long, weight long, unit binary, home long, cells array<long>"), "cells")
-        members = placed.select(F.col("home").alias("cell"), "node", "weight", "unit")
-        queries = placed.select(F.explode("cells").alias("cell"), "node", F.lit(0).cast("long").alias("weight"), "unit")
+        placed = materialize(sets.select("node", "weight", "unit").mapInArrow(place, "node long, weight long, unit binary, home int, cells array<int>"), "cells")
+        members = placed.select(F.col("home").alias("cell"), "node", "weight", "unit", F.lit(-1).alias("home"), "cells")
+        queries = placed.select(F.explode("cells").alias("cell"), "node", "weight", "unit", "home", F.lit(None).cast("array<int>").alias("cells"))
         sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("mb")).join(queries.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qb")), "cell")
-        # weight 0 marks a query; members go to every block of queries and queries to every block of members
+        # home -1 marks a member; members go to every block of queries and queries to every block of members
         own = lambda n: F.expr(f"cast(pmod(xxhash64(node), {n}) as int)")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        tasks = members.join(sizes, "cell").select("cell", own("mb").alias("m"), every("qb").alias("q"), "node", "weight", "unit").union(queries.join(sizes, "cell").select("cell", every("mb").alias("m"), own("qb").alias("q"), "node", "weight", "unit"))
+        tasks = members.join(sizes, "cell").select("cell", own("mb").alias("m"), every("qb").alias("q"), "node", "weight", "unit", "home", "cells").union(queries.join(sizes, "cell").select("cell", every("mb").alias("m"), own("qb").alias("q"), "node", "weight", "unit", "home", "cells"))
 
         def verify(table: pa.Table) -> pa.Table:
-            weight = table.column("weight").to_numpy()
+            weight, home = table.column("weight").to_numpy(), table.column("home").to_numpy()
             node, x = table.column("node").to_numpy(), matrix(table.column("unit"))
-            m = weight > 0
+            m = home < 0
             if m.any() and not m.all():
-                ids, n, least = compare(node[m], x[m], weight[m], node[~m], x[~m], threshold)
+                ids, n, least = compare(node[m], x[m], weight[m], table.column("cells").filter(pa.array(m)).to_pylist(), node[~m], x[~m], weight[~m], home[~m], threshold)
             else:
                 ids = n = least = np.empty(0, np.int64)
             return pa.table({"node": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "least": pa.array(least, pa.int64())})
