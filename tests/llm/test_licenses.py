@@ -77,3 +77,13 @@ def test_merge_needs_whole_phrase():
     gpl = next(i for i, x in enumerate(t) if x.text == "general public license")
     assert merge_spans([(gpl, 5, [0])], t, 0.6, 6) == []
     assert merge_spans([(gpl, 5, [0, 1])], t, 0.6, 6) == [(gpl, 5, 7, 1.0)]
+
+
+def test_merge_past_many_stray_runs():
+    t = default_templates()
+    mit = next(i for i, x in enumerate(t) if x.label == "mit" and x.k == 4)
+    need = t[mit].n_words - 3
+    half = need // 2
+    kept = [a for a in range(need) if not half - 10 <= a < half + 10]
+    strays = [(mit, 10 + half - 8 + j, [0]) for j in range(12)]  # copies of the first gram in the gap
+    assert merge_spans([(mit, 10, kept), *strays], t, 0.6, 6) == [(mit, 10, 10 + t[mit].n_words - 1, len(kept) / need)]

@@ -174,18 +174,24 @@ def merge_spans(hits: list[tuple[int, int, list[int]]], templates: list[Template
         t = templates[template]
         need = t.n_words - t.k + 1
         runs: list[list[tuple[int, int]]] = []
+        ends: dict[int, int] = {}  # diagonal: the one run that ends there, as a vote on it always continues that run
         for word, a in sorted(votes):
             # the run whose end this vote continues: on the same or the nearest diagonal, further on in the template
-            best = None
-            for run in runs[-8:]:
-                w, b = run[-1]
-                move = abs((word - a) - (w - b))
-                if a > b and word > w and move <= slack and (best is None or move < best[0]):
-                    best = (move, run)
-            if best:
-                best[1].append((word, a))
+            diagonal, best = word - a, None
+            for move in range(slack + 1):
+                near = [ends[d] for d in {diagonal - move, diagonal + move} if d in ends]
+                near = [r for r in near if a > runs[r][-1][1] and word > runs[r][-1][0]]
+                if near:
+                    best = min(near)
+                    break
+            if best is None:
+                best = len(runs)
+                runs.append([])
             else:
-                runs.append([(word, a)])
+                w, b = runs[best][-1]
+                del ends[w - b]
+            runs[best].append((word, a))
+            ends[diagonal] = best
         for run in runs:
             found = len({a for _, a in run}) / need
             if found >= share:
