@@ -87,3 +87,22 @@ def test_merge_past_many_stray_runs():
     kept = [a for a in range(need) if not half - 10 <= a < half + 10]
     strays = [(mit, 10 + half - 8 + j, [0]) for j in range(12)]  # copies of the first gram in the gap
     assert merge_spans([(mit, 10, kept), *strays], t, 0.6, 6) == [(mit, 10, 10 + t[mit].n_words - 1, len(kept) / need)]
+
+
+def test_notices_with_edits_at_the_default_share(spark):
+    rng = random.Random(11)
+    rows = []
+    for label, text in NOTICES.items():
+        for _ in range(25):
+            w = text.split()
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), "extra")
+            del w[len(w) // 2]
+            rows.append((len(rows), " ".join(w), label))
+        rows.append((len(rows), " ".join(text.split()[: len(text.split()) // 4]), None))
+    hpnd = "Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted, provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation"
+    rows.append((len(rows), hpnd, None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    out = {r.doc_id: [s.label for s in r.spans if s.notice] for r in license_spans(df).collect()}
+    for d, text, label in rows:
+        assert out[d] == ([label] if label else []), (d, text, label, out[d])

@@ -4,7 +4,8 @@ Every text's rolling word k-gram hashes are joined with the positions of the sam
 templates.  A hit votes for the diagonal (word position minus template position); hits of a copy of
 a template pile up on one diagonal, and an inserted or lost word moves the rest to a neighbouring
 one.  Votes are summed by diagonal in Spark; then neighbouring diagonals of a document are merged
-and each span is verified: a phrase must be there word for word, a notice to a stated share.
+and each span is verified: a phrase must be there word for word, a notice to a stated share,
+less for short notices, so that three inserted words and a lost one leave each its label.
 
 Templates are phrases (hashed by 2 words) and notices (by 4).  They are the small side of the join
 and broadcast only while they have at most MAX_BROADCAST positions.
@@ -26,6 +27,8 @@ MAX_BROADCAST = 100_000
 #: Grams of a text that go into one row.
 CHUNK = 65_536
 PHRASE_K, NOTICE_K = 2, 4
+#: Grams of a notice that three inserted words and a lost one break, and the least share whatever is lost.
+LOST, LEAST_SHARE = 3 * (NOTICE_K - 1) + NOTICE_K, 0.4
 
 #: Phrases of the query's contract, with their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -155,12 +158,13 @@ def template_positions(spark: SparkSession, templates: list[Template]) -> DataFr
     return F.broadcast(df) if len(rows) <= MAX_BROADCAST else df
 
 
-def merge_spans(hits: list[tuple[int, int, list[int]]], templates: list[Template], share: float, slack: int) -> list[tuple[int, int, int, float]]:
+def merge_spans(hits: list[tuple[int, int, list[int]]], templates: list[Template], share: float, slack: int, lost: int = LOST) -> list[tuple[int, int, int, float]]:
     """(template, first word, last word, share of its grams) of each verified span.
 
     hits: (template, diagonal, template positions). A phrase needs all of its grams on one diagonal.
     A notice's hits are taken in text order and cut where the diagonal moves by more than `slack`
-    or the template starts over; a span counts with `share` of its grams.
+    or the template starts over; a span counts with `share` of its grams, or, as a few edits cost a
+    short notice more than that, with all but `lost` of them and LEAST_SHARE at least.
     """
     out, notices = [], {}
     for template, diagonal, at in hits:
@@ -173,6 +177,7 @@ def merge_spans(hits: list[tuple[int, int, list[int]]], templates: list[Template
     for template, votes in notices.items():
         t = templates[template]
         need = t.n_words - t.k + 1
+        enough = min(share, max((need - lost) / need, LEAST_SHARE))
         runs: list[list[tuple[int, int]]] = []
         ends: dict[int, int] = {}  # diagonal: the one run that ends there, as a vote on it always continues that run
         for word, a in sorted(votes):
@@ -194,7 +199,7 @@ def merge_spans(hits: list[tuple[int, int, list[int]]], templates: list[Template
             ends[diagonal] = best
         for run in runs:
             found = len({a for _, a in run}) / need
-            if found >= share:
+            if found >= enough:
                 out.append((template, run[0][0], run[-1][0] + t.k - 1, found))
     return sorted(out)
 
@@ -203,9 +208,10 @@ _SPAN_SQL = "array<struct<label:string,base:boolean,notice:boolean,first_word:lo
 _SPAN = pa.struct([("label", pa.string()), ("base", pa.bool_()), ("notice", pa.bool_()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("share", pa.float64())])
 
 
-def license_spans(docs: DataFrame, templates: list[Template] | None = None, share: float = 0.6, slack: int = 6, text: str = "text", key: str = "doc_id") -> DataFrame:
+def license_spans(docs: DataFrame, templates: list[Template] | None = None, share: float = 0.6, slack: int = 6, text: str = "text", key: str = "doc_id", lost: int = LOST) -> DataFrame:
     """(key, n_words, spans) of each row of docs; spans are verified places of templates, by template
-    and then place, in words from 0.
+    and then place, in words from 0. A notice needs `share` of its grams or all but `lost` of them,
+    see merge_spans().
 
     Null and empty texts: no words, no spans. Repeated rows come out as often as they occur, null
     keys pass, other columns don't matter, an empty table gives no rows. Texts of any length are
@@ -253,7 +259,7 @@ def license_spans(docs: DataFrame, templates: list[Template] | None = None, shar
         for batch in batches:
             out = []
             for hits in batch.column(2).to_pylist():
-                spans = merge_spans([(h["template"], h["diagonal"], h["at"]) for h in hits], templates, share, slack) if hits else []
+                spans = merge_spans([(h["template"], h["diagonal"], h["at"]) for h in hits], templates, share, slack, lost) if hits else []
                 out.append([{"label": templates[t].label, "base": templates[t].base, "notice": templates[t].k == NOTICE_K, "first_word": a, "last_word": b, "share": s} for t, a, b, s in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(_SPAN))], ["key", "n_words", "spans"])
 
