@@ -102,3 +102,18 @@ def test_odd_rows(spark):
     want = "Title here\n" + ("Long text, with words. " * 5000).strip()
     assert got[4].text == got[None].text == want and got[4].n_chars == len(want)
     assert extract_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tag", "template svg object canvas audio video".split())
+def test_embedded_elements(tag):
+    assert every_block(f"<p>a<{tag} x='>'><p>b</p>c") == ["a", "b", "c"]  # no end tag: the rest stays
+    assert every_block(f"a<{tag}>no<p>no</{tag.upper()} >b<{tag}/>c") == ["abc"]
+    assert every_block(f"a<{tag}>b<{tag}>no</{tag}>c") == ["abc"]
+    assert every_block(f"a<{tag}>no<{tag}>no</{tag}>no</{tag}>b") == ["ab"]
+
+
+def test_raw_elements_without_end_and_math():
+    for tag in "script style noscript iframe title".split():
+        assert every_block(f"a<{tag}>no<p>no") == ["a"]
+    assert every_block("<p>Let <math><semantics><mrow><mi>n</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='t'>no</annotation></semantics></math> be<p>x") == ["Let n=2 be", "x"]
+    assert every_block("<p>a<math><mi>n</mi><p>b") == ["an", "b"]

@@ -25,8 +25,11 @@ from pyspark.sql import DataFrame
 
 #: Elements of HTML by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var img br wbr".split())
+RAW = frozenset("script style noscript iframe title".split())
+#: Left out with their content, too, but without an end tag of their own only the tag is.
+EMBEDDED = frozenset("template svg object canvas audio video annotation annotation-xml".split())
+MATH = frozenset("math semantics mrow mi mn mo ms mtext mspace mstyle mpadded mphantom mfenced menclose merror maction mfrac msqrt mroot msup msub msubsup mover munder munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var img br wbr".split())
 #: An opening tag on the left closes an open element on the right.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "body": ("head",)}
 #: Elements past which no implied end tag reaches.
@@ -95,11 +98,14 @@ class Node:
 def parse(source: str | None) -> Node:
     """The tree of block elements; scripts, styles and other raw elements are left out.
 
-    Text keeps its references; an unfinished tag at the end is dropped.
+    A raw element without end tag takes the rest of the page with it, as HTML prescribes; of an
+    embedded one (video, svg, ...) only the tag is left out then. The text of math stays, without its
+    annotations. Text keeps its references; an unfinished tag at the end is dropped.
     """
     root = Node("#root", None, "")
     now, link, at, source = root, 0, 0, source or ""
     raw = None
+    ends_of: dict[str, dict[int, int]] = {}
     for m in _TOKEN.finditer(source):
         if m.start() < at:
             continue
@@ -116,6 +122,12 @@ def parse(source: str | None) -> Node:
                 raw = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 at = raw.end() if raw else len(source)
             continue
+        if tag in EMBEDDED:
+            if not closing and not attributes.endswith("/"):
+                if tag not in ends_of:
+                    ends_of[tag] = _ends(source, tag, m.start())
+                at = ends_of[tag].get(m.start(), at)
+            continue
         if tag == "a":
             link = 0 if closing else 1
         if tag in INLINE:
@@ -149,6 +161,20 @@ def parse(source: str | None) -> Node:
     return root
 
 
+def _ends(source: str, tag: str, at: int) -> dict[int, int]:
+    """Where the elements of this tag begin and end, from `at` on; those without end tag are left out."""
+    out: dict[int, int] = {}
+    begun: list[int] = []
+    name = rf"<(/?){re.escape(tag)}(?![^\s/>])"
+    for m in re.compile(rf"{name}((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|{name}([^>]*)>", re.I).finditer(source, at):
+        if (m[1] or m[3]) == "/":
+            if begun:
+                out[begun.pop()] = m.end()
+        elif not (m[2] or m[4] or "").endswith("/"):
+            begun.append(m.start())
+    return out
+
+
 def _text(node: Node, text: str, link: int) -> None:
     node.content.append(text)
     n = len(text) - text.count(" ") - text.count("\n")
