@@ -11,8 +11,9 @@ from tokenizers import Tokenizer
 
 from tidewell.llm.bpe import encode_digests, encode_documents, load_bpe, merge_symbols
 from tidewell.llm.chat import PartVisitor, Flattened, conversation_digests, escape, format_conversations, parse, unescape
-from tidewell.llm.packing import SumOfSquares, pack_documents, piece_digests
-from tidewell.llm.token_counts import PrefixCounter, count_tokens, load_counter
+from tidewell.llm.packing import SumOfSquares, pack_documents, piece_digests, text_ids
+from tidewell.llm import token_counts
+from tidewell.llm.token_counts import count_tokens, load_counter
 
 ODD = ["", "  a  b ", "a\x1cb", "foo<|endoftext|>bar  <|startoftext|> x", "ΣΑΣ Σ", "é x́", "İstanbul ²³½ Ⅷ一二", "a b c\u0085d", "don't I'LL we've 'S", "́a", "a" * 3000, "ab" * 500 + "!!!!" * 50, "x\n \n y\n\n\n z", "日本語テキスト🙂🙂🙂", "<|endoftext|", "\x00\x01\x7f", "x \n\n", "\n x"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, key string, sequence_id int"
@@ -69,8 +70,41 @@ def test_prefix_counts():
         got = counter.prefixes(text)
         assert got == want, text
         assert counter.count(text) == want[-1]
-        fits = PrefixCounter.longest_prefix(got, 3)
-        assert all(c <= 3 for c in want[: fits + 1]) and (fits == len(text) or want[fits + 1] > 3)
+        total, fits = counter.budget(text, 3)
+        assert total == want[-1] and all(c <= 3 for c in want[: fits + 1]) and (fits == len(text) or want[fits + 1] > 3)
+
+
+def test_prefix_table_in_parts(monkeypatch):
+    library, counter = Tokenizer.from_file(P.path("byte_bpe_50k.json")), load_counter(P.path("byte_bpe_50k.json"))
+    text = "Some words, 1234 numbers\n\n and  <|endoftext|> l'été \u0870x. " * 40
+    whole = counter.prefixes(text)
+    monkeypatch.setattr(token_counts, "BLOCK_UNITS", 3)
+    assert counter.prefixes(text) == whole
+    for i in (0, 1, 30, 47, 400, len(text)):
+        assert whole[i] == len(library.encode(text[:i], add_special_tokens=False).ids)
+    long = "word " * 600_000 + "\u4e00" * 100_000
+    assert counter.count(long) == len(library.encode(long, add_special_tokens=False).ids)
+
+
+def code_points():
+    """Texts with every code point, but for most of the unassigned and private planes, where one in eight stands."""
+    for low in range(0, 0x110000, 512):
+        if low < 0x20000 or low % 4096 == 0:
+            yield [chr(c) for c in range(low, low + 512) if not 0xD800 <= c < 0xE000]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_all_code_points_as_library(name):
+    library, own = Tokenizer.from_file(P.path(name)), load_bpe(P.path(name))
+    for chars in code_points():
+        texts = [x for c in chars for x in (f"a{c}{c}1{c}!{c}", f"{c}'s \u1eb9\u0301{c}\u0301 B{c}")]
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [own.encode(x) for x in texts] == want
+        if own.wordy:
+            path = P.path(name)
+            assert [np.frombuffer(text_ids(x, path, 2), "<u4").tolist() for x in texts] == [[*w, 2] for w in want]
+        else:
+            assert [load_counter(P.path(name)).count(x) for x in texts] == list(map(len, want))
 
 
 def test_token_count_query(spark):
@@ -81,7 +115,9 @@ def test_token_count_query(spark):
     for i, text in enumerate(texts):
         n = len(t.encode(text or "", add_special_tokens=False).ids)
         assert (rows[i].n_tokens, rows[i].n_bytes, rows[i].over_limit) == (n, len((text or "").encode()), n > 512)
-        assert more[i].prefix_tokens[-1] == n and len(more[i].prefix_tokens) == len(text or "") + 1
+        counts = more[i].prefix_tokens
+        assert counts[-1] == n and len(counts) == len(text or "") + 1
+        assert rows[i].fits == more[i].fits == next((k for k, c in enumerate(counts[1:]) if c > 512), len(text or ""))
     assert count_tokens(table(spark, []).limit(0)).count() == 0
 
 

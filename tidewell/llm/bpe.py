@@ -32,11 +32,6 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: str.split() and re's \s also take these for white space; Unicode's White_Space does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
-#: Capitals that Unicode 16 added, which the library lowers and this Python does not.
-NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
-NEWER = re.compile("[" + "".join(map(chr, NEW_LOWER)) + "]")
-
-
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 stands for
     itself, the rest count up from U+0100."""
@@ -132,6 +127,40 @@ class Bpe:
         #: A character of every special token.
         self.mark = max(set.intersection(*map(set, self.special)), default="") if self.special else ""
         self.words: dict[str, list[int]] = {}
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.model, self.cutter, self.normalizer = library.model, library.pre_tokenizer, library.normalizer
+        #: Characters looked at so far, and those of them that the library may take for another kind of character.
+        self.checked: set[str] = set(map(chr, range(128)))
+        self.odd: set[str] = set()
+
+    def is_odd(self, text: str) -> bool:
+        """Whether the library, whose Unicode tables are of another version than Python's and regex's,
+        may lower, compose or cut this text otherwise. Characters are tried on the library once each."""
+        if not self.checked.issuperset(text):
+            for c in set(text) - self.checked:
+                self.checked.add(c)
+                if self._differs(c):
+                    self.odd.add(c)
+        return not self.odd.isdisjoint(text)
+
+    def _differs(self, c: str) -> bool:
+        kind = unicodedata.category(c)
+        if kind in ("Cn", "Cs") or (kind[0] == "M" and c > "\uffff"):
+            return True
+        if self.wordy and any(self.normalizer.normalize_str(x) != self.normalize(x) for x in (c, f"a\u0301{c}\u0323", f"a{c}\u0301")):
+            return True
+        return any(self._library_cut(x) != self.split_words(x) for x in map(self.normalize, (f"a{c}{c}1{c}!{c}", f"a{c}", f"aa{c}a", f" {c}a{c} ")))
+
+    def _library_cut(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text)]
+
+    def words_of(self, text: str) -> list[str]:
+        """The normalized words or pieces of a text without special tokens, as the library cuts it."""
+        if not text.isascii() and self.is_odd(text):
+            return self._library_cut(self.normalizer.normalize_str(text) if self.wordy else text)
+        return self.split_words(self.normalize(text))
 
     def normalize(self, text: str) -> str:
         """What the word-end kind does before it splits. Every letter is lowered on its own, so a
@@ -140,17 +169,15 @@ class Bpe:
             return text
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            if NEWER.search(text):
-                text = text.translate(NEW_LOWER)
         return text.lower()
 
-    def split_words(self, text: str) -> tuple[str, ...] | list[str]:
+    def split_words(self, text: str) -> list[str]:
         """The pattern's pieces of a normalized text; all letters, or all but one mark, need no search."""
         if self.wordy and text:
             if text.isalpha():
-                return (text,)
+                return [text]
             if text[:-1].isalpha() and not text[-1].isspace():
-                return text[:-1], text[-1]
+                return [text[:-1], text[-1]]
         return self.pattern.findall(text)
 
     def parts(self, text: str) -> list[str]:
@@ -179,7 +206,7 @@ class Bpe:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                for word in self.split_words(self.normalize(part)):
+                for word in self.words_of(part):
                     out += self.encode_word(word)
         return out
 

@@ -137,11 +137,8 @@ class SumOfSquares:
 def _ids_of(path: str) -> Cache:
     """white-space-free chunk -> its ids as bytes. The merges are the tokenizers library's; the cut into
     words is ours, as the library's takes three times as long for one word."""
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path).model
     own = load_bpe(path)
-    byte, tokenize = own.alphabet, model.tokenize
+    byte, tokenize = own.alphabet, own.model.tokenize
 
     def make(chunk: str) -> bytes:
         ids: list[int] = []
@@ -149,7 +146,7 @@ def _ids_of(path: str) -> Cache:
             if part in own.special:
                 ids.append(own.special[part])
                 continue
-            for word in own.split_words(own.normalize(part)):
+            for word in own.words_of(part):
                 if not (word.isascii() and word.isprintable()):
                     word = "".join([byte[b] for b in word.encode("utf-8", "replace")])
                 ids += [x.id for x in tokenize(word)]
