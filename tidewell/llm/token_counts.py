@@ -12,10 +12,11 @@ Texts whose vocabulary does not number its entries in merge order are refused.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,8 +26,8 @@ from .common import slices, vocabulary
 
 _WHITE = regex.compile(r"\s+")
 _CONTRACTION = regex.compile(r"'(?:re|ve|ll)")
-#: Pairs of tokens and pieces of text whose result a worker keeps.
-_PAIRS, CACHE_PIECES = 1_000_000, 600_000
+#: Pairs of tokens and pieces of text whose result a worker keeps; units whose tables are joined at a time.
+_PAIRS, CACHE_PIECES, BLOCK_UNITS = 1_000_000, 600_000, 1 << 16
 
 
 class PrefixCounter:
@@ -49,9 +50,9 @@ class PrefixCounter:
             self.by_bytes[bytes(bpe.byte_of[ch] for ch in bpe.token[i])] = i
         self.longest = max(map(len, self.by_bytes))
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.counted: Cache = Cache(lambda piece: self.piece(piece.encode("utf-8", "replace")))
-        self.totals: Cache = Cache(self._total, CACHE_PIECES)
-        self.units: Cache = Cache(self._unit, CACHE_PIECES)
+        self.counted: Cache = Cache(lambda piece: self.piece(piece.encode("utf-8", "replace")), CACHE_PIECES)
+        #: unit -> its prefix table without the 0 at its start, as native 32-bit numbers.
+        self.units: Cache = Cache(lambda unit: array("i", self._unit(unit)[1:]).tobytes(), CACHE_PIECES)
 
     def adjacent(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b, joined, encode as just (a, b).
@@ -87,14 +88,12 @@ class PrefixCounter:
         counts, last = [0], [-1]
         find, longest, adjacent, known = self.by_bytes.get, self.longest, self.adjacent, self.pairs.get
         for end in range(1, len(raw) + 1):
-            whole = find(raw[:end]) if end <= longest else None
-            if whole is not None:  # an entry of the vocabulary encodes as itself
+            if end <= longest and (whole := find(raw[:end])) is not None:  # an entry encodes as itself
                 counts.append(1)
                 last.append(whole)
                 continue
             for start in range(end - longest if end > longest else 1, end):
-                token = find(raw[start:end])
-                if token is not None:
+                if (token := find(raw[start:end])) is not None:
                     before = last[start]
                     fits = known((before, token))
                     if fits or (fits is None and adjacent(before, token)):
@@ -103,76 +102,102 @@ class PrefixCounter:
                         break
         return counts
 
-    def _total(self, piece: str) -> int:
-        return self.piece(piece.encode("utf-8", "replace"))[-1]
+    def tables(self, text: str | None) -> Iterator[np.ndarray]:
+        """The prefix table of a whole text in parts, its first 0 left out: entry i of all parts
+        together is the exact number of tokens of text[: i + 1]. Null and empty texts have none.
 
-    def _unit(self, unit: str) -> int:
-        return sum(map(self.totals.__getitem__, self.bpe.pattern.findall(unit)))
+        A part covers BLOCK_UNITS units, so a text of any length needs bounded memory here.
+        """
+        base, before = 0, ""
+        for part in self.bpe.parts(text or ""):
+            if part in self.bpe.special:
+                # a special token that is cut short is ordinary text and may join what stands before it
+                tail = space_units(before)[-1] if before else ""
+                joined = base - (self._table(tail)[-1] if tail else 0)
+                own = [joined + self._table(tail + part[:k])[-1] for k in range(1, len(part))]
+                base += 1
+                yield np.array([*own, base], np.int64)
+                before = ""
+                continue
+            before = part
+            units = space_units(part)
+            for at in range(0, len(units), BLOCK_UNITS):
+                found = list(map(self.units.__getitem__, units[at : at + BLOCK_UNITS]))
+                table = np.frombuffer(b"".join(found), np.int32).astype(np.int64)
+                sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+                totals = table[np.cumsum(sizes) - 1]
+                ends = base + np.cumsum(totals)
+                yield table + np.repeat(ends - totals, sizes)
+                base = int(ends[-1])
+
+    def prefixes(self, text: str | None) -> list[int]:
+        """counts[i] = number of tokens of text[:i] encoded on its own, for each i in code points."""
+        return [0, *(c for part in self.tables(text) for c in part.tolist())]
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; null is empty."""
-        if not text:
-            return 0
-        if self.bpe.cut is None or not any(s in text for s in self.bpe.special):
-            return sum(map(self.units.__getitem__, space_units(text)))
-        return sum(1 if p in self.bpe.special else sum(map(self.units.__getitem__, space_units(p))) for p in self.bpe.cut.split(text))
+        total = 0
+        for part in self.tables(text):
+            total = int(part[-1])
+        return total
+
+    def budget(self, text: str | None, limit: int) -> tuple[int, int]:
+        """(tokens of the text, the most code points whose every prefix fits in `limit` tokens)."""
+        total = at = 0
+        fits = -1
+        for part in self.tables(text):
+            if fits < 0:
+                over = part > limit
+                first = int(over.argmax())
+                if over[first]:
+                    fits = at + first
+            at += len(part)
+            total = int(part[-1])
+        return total, at if fits < 0 else fits
+
+    def _unit(self, unit: str) -> list[int]:
+        """The table of one unit; ASCII without a run of white space or a quote has no special tails."""
+        if not unit.isascii() or "'" in unit or unit[:2].isspace():
+            return self._table(unit)
+        first, *rest = self.bpe.words_of(unit)
+        out = self.piece(first.encode()) if not rest else list(self.counted[first])
+        for piece in rest:
+            total = out[-1]
+            out += [total + c for c in self.counted[piece][1:]]
+        return out
 
-    def prefixes(self, text: str | None) -> list[int]:
-        """counts[i] = number of tokens of text[:i] encoded on its own, for each i in code points.
+    def _table(self, text: str) -> list[int]:
+        """counts of one ordinary text's prefixes.
 
         Where a prefix ends inside a piece that the pattern would cut otherwise if the text ended
-        there (a run of white space, a contraction, a special token), the tail that differs has its
-        own programme.
+        there (a run of white space, a contraction), the tail that differs has its own programme.
         """
-        text = text or ""
-        out = [0]
-        total = 0  # tokens before `at`
-        parts = self.bpe.cut.split(text) if self.bpe.cut else [text]
-        before = ""  # the ordinary part before a special token
-        base = 0  # tokens before that part
-        for part in parts:
-            if part in self.bpe.special:
-                for k in range(1, len(part)):
-                    out.append(base + self._split_count(before + part[:k]))
-                total += 1
-                out.append(total)
-                before, base = "", total
-                continue
-            before, base = part, total
-            at = 0
-            for m in self.bpe.pattern.finditer(part):
-                if m.start() < at:
-                    continue
-                piece = m.group()
-                run = _WHITE.match(part, m.start())
-                if run and run.end() > m.start() + 1 or (run and run.end() == m.end()):
-                    # the whole run of white space: prefixes end in it as one piece
-                    counts = self._by_char(run.group())
-                    out += [total + c for c in counts[1:]]
-                    stop = run.end()
-                    if m.end() < stop:  # the run gave up its last character to the next piece
-                        total += self.counted[piece][-1]
-                        nxt = self.bpe.pattern.match(part, m.end())
-                        word = nxt.group()
-                        seen = stop - m.end()
-                        out += [total + c for c in self._by_char(word)[seen + 1:]]
-                        total += self.counted[word][-1]
-                        at = nxt.end()
-                    else:
-                        total += self.counted[piece][-1]
-                        at = stop
-                    continue
+        out, total, at, k = [0], 0, 0, 0
+        pieces = self.bpe.words_of(text)
+        while k < len(pieces):
+            piece = pieces[k]
+            k += 1
+            end = at + len(piece)
+            run = _WHITE.match(text, at)
+            if run and (run.end() > at + 1 or run.end() == end):
+                # the whole run of white space: prefixes end in it as one piece
+                out += [total + c for c in self._by_char(run.group())[1:]]
+                total += self.counted[piece][-1]
+                if end < run.end():  # the run gave up its last character to the next piece
+                    word, seen = pieces[k], run.end() - end
+                    k += 1
+                    out += [total + c for c in self._by_char(word)[seen + 1 :]]
+                    total += self.counted[word][-1]
+                    end += len(word)
+            else:
                 counts = self._by_char(piece)
                 if _CONTRACTION.fullmatch(piece):
                     counts[2] = 2  # cut short, the quote and the letter are two pieces
                 out += [total + c for c in counts[1:]]
                 total += counts[-1]
-                at = m.end()
+            at = end
         return out
 
-    def _split_count(self, text: str) -> int:
-        return sum(self.counted[p][-1] for p in self.bpe.pattern.findall(text))
-
     def _by_char(self, piece: str) -> list[int]:
         """counts[i] = tokens of piece[:i], i in code points."""
         counts = self.counted[piece]
@@ -184,15 +209,6 @@ class PrefixCounter:
             out.append(counts[at])
         return out
 
-    @staticmethod
-    def longest_prefix(prefixes: list[int], budget: int) -> int:
-        """The most code points whose every shorter prefix also fits in `budget` tokens."""
-        top, best = 0, []
-        for c in prefixes:
-            top = max(top, c)
-            best.append(top)
-        return bisect_right(best, budget) - 1
-
 
 @lru_cache(maxsize=2)
 def load_counter(path: str) -> PrefixCounter:
@@ -201,35 +217,35 @@ def load_counter(path: str) -> PrefixCounter:
 
 
 def count_tokens(docs: DataFrame, vocab: str = "byte_bpe_50k.json", limit: int = 512, text: str = "text", key: str = "doc_id", prefixes: bool = False) -> DataFrame:
-    """(key, n_bytes, n_tokens, over_limit[, prefix_tokens array<int>, fits long]) of each row.
-
-    n_bytes is the text's length in UTF-8, over_limit is n_tokens > limit. With `prefixes`,
-    prefix_tokens[i] is the exact count of the text's first i code points and fits the longest
-    prefix within the limit. Null and empty texts: zeros. Repeated rows stay, null keys pass,
-    other columns don't matter. No shuffle; whole texts of any length.
+    """(key, n_bytes, n_tokens, over_limit, fits long[, prefix_tokens array<int>]) of each row.
+
+    n_bytes is the text's length in UTF-8, over_limit is n_tokens > limit, fits the code points of
+    the longest prefix of which no shorter one passes the limit, read from the text's prefix table.
+    The table is made part by part; with `prefixes` the whole of it is returned, too:
+    prefix_tokens[i] is the exact count of the text's first i code points. Null and empty texts:
+    zeros. Repeated rows stay, null keys pass, other columns don't matter. No shuffle; whole texts
+    of any length.
     """
     path = vocabulary(vocab)
     kind = docs.schema[key].dataType.simpleString()
+    names = ["key", "n_bytes", "n_tokens", "over_limit", "fits"] + ["prefix_tokens"] * prefixes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load_counter(path)
         for batch in (part for b in batches for part in (slices(b, 1) if prefixes else [b])):
-            sizes, tokens, tables, fits = [], [], [], []
+            sizes, tokens, fits, tables = [], [], [], []
             for t in batch.column(1):
-                if prefixes:
-                    table = counter.prefixes(s := t.as_py() or "")
-                    tables.append(table)
-                    fits.append(counter.longest_prefix(table, limit))
-                    tokens.append(table[-1])
-                else:
-                    tokens.append(counter.count(s := t.as_py() or ""))
+                s = t.as_py() or ""
+                n, fit = counter.budget(s, limit)
+                tokens.append(n)
+                fits.append(fit)
                 sizes.append(len(s) if s.isascii() else len(s.encode("utf-8", "replace")))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())]
-            names = ["key", "n_bytes", "n_tokens", "over_limit"]
+                if prefixes:
+                    tables.append(counter.prefixes(s))
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fits, pa.int64())]
             if prefixes:
-                columns += [pa.array(tables, pa.list_(pa.int32())), pa.array(fits, pa.int64())]
-                names += ["prefix_tokens", "fits"]
+                columns.append(pa.array(tables, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = f"key {kind}, n_bytes long, n_tokens long, over_limit boolean" + ", prefix_tokens array<int>, fits long" * prefixes
+    schema = f"key {kind}, n_bytes long, n_tokens long, over_limit boolean, fits long" + ", prefix_tokens array<int>" * prefixes
     return docs.selectExpr(f"`{key}` as key", f"`{text}` as text").mapInArrow(run, schema).withColumnRenamed("key", key)
