@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 
 #: Elements of HTML by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe title".split())
+RAW = frozenset("script style title textarea".split())
 #: Left out with their content, too, but without an end tag of their own only the tag is.
-EMBEDDED = frozenset("template svg object canvas audio video annotation annotation-xml".split())
+EMBEDDED = frozenset("noscript iframe template svg object canvas audio video annotation annotation-xml".split())
 MATH = frozenset("math semantics mrow mi mn mo ms mtext mspace mstyle mpadded mphantom mfenced menclose merror maction mfrac msqrt mroot msup msub msubsup mover munder munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd".split())
 INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var img br wbr".split())
 #: An opening tag on the left closes an open element on the right.
@@ -36,7 +36,7 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 WALLS = frozenset("table ul ol dl article section div main body html aside nav footer header form blockquote figure select".split())
 CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|data-component|hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-z]+")
@@ -95,16 +95,44 @@ class Node:
             parent.content.append(self)
 
 
+class _Open:
+    """The open elements from the root down, found by tag in constant time."""
+
+    def __init__(self, root: Node):
+        self.path = [root]
+        self.at: dict[str, list[int]] = {}
+        self.walls = [0]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.path))
+        if node.tag in WALLS:
+            self.walls.append(len(self.path))
+        self.path.append(node)
+
+    def close(self, depth: int) -> None:
+        """Closes the element at this place of the path and all below it."""
+        while len(self.path) > depth:
+            tag = self.path.pop().tag
+            self.at[tag].pop()
+            if tag in WALLS:
+                self.walls.pop()
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
+
+
 def parse(source: str | None) -> Node:
     """The tree of block elements; scripts, styles and other raw elements are left out.
 
     A raw element without end tag takes the rest of the page with it, as HTML prescribes; of an
-    embedded one (video, svg, ...) only the tag is left out then. The text of math stays, without its
-    annotations. Text keeps its references; an unfinished tag at the end is dropped.
+    embedded one (video, svg, iframe, ...) only the tag is left out then. The text of math stays,
+    without its annotations. Text keeps its references; an unfinished tag at the end is dropped, and
+    so is an end tag that nothing open has. Linear in the page, but for attributes of unclosed quotes.
     """
     root = Node("#root", None, "")
     now, link, at, source = root, 0, 0, source or ""
-    raw = None
+    opened, raw = _Open(root), None
     ends_of: dict[str, dict[int, int]] = {}
     for m in _TOKEN.finditer(source):
         if m.start() < at:
@@ -119,7 +147,7 @@ def parse(source: str | None) -> Node:
         attributes = m[3] or m[6] or ""
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
-                raw = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                raw = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 at = raw.end() if raw else len(source)
             continue
         if tag in EMBEDDED:
@@ -135,26 +163,23 @@ def parse(source: str | None) -> Node:
                 now.content.append(" ")
             continue
         if closing:
-            node = now
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node is not root:
-                now = node.parent
+            if place := opened.last((tag,)):
+                opened.close(place)
+                now = opened.path[-1]
             continue
         ends = CLOSES.get(tag, ())
         if tag in CLOSE_P:
             ends = ("p", *ends)
-        if ends:
-            node = now
-            while node.parent is not None and node.tag not in ends and node.tag not in WALLS:
-                node = node.parent
-            if node.tag in ends:
-                now = node.parent
-                if tag in ("tr", "tbody") and now.tag in ends:
-                    while now.tag in ends and now.parent is not None:
-                        now = now.parent
+        place = opened.last(ends)
+        if place > opened.walls[-1]:
+            if tag in ("tr", "tbody"):
+                while opened.path[place - 1].tag in ends:
+                    place -= 1
+            opened.close(place)
+            now = opened.path[-1]
         node = Node(tag, now, attributes)
         if tag not in VOID:
+            opened.push(node)
             now = node
     if at < len(source):
         _text(now, source[at:], link)
