@@ -209,8 +209,20 @@ def test_chat_parts():
     assert out == "<|im_start|>user\nsee <\\|image|><|image|><|audio|>?<|document|><|im_end|>\n"
     assert [a["type"] for a in state.attachments] == ["image", "audio", "document"] and state.expanded == 7 + 750 + 3
     assert all(out[a["position"]:].startswith(f"<|{a['type']}|>") for a in state.attachments)
-    with pytest.raises(ValueError):
-        PartVisitor().turn("user", [{"type": "video"}], Flattened())
+    state = Flattened()
+    PartVisitor().turn("user", [{"type": "video", "ref": "c.mp4"}, {"type": None, "text": "x"}], state)
+    assert "".join(state.out) == "<|im_start|>user\n<|other|>x<|im_end|>\n" and state.expanded == 0
+    assert state.attachments[0]["type"] == "video" and state.attachments[0]["ref"] == "c.mp4"
+
+
+def test_long_conversation_in_parts(spark):
+    turns = [(c, i, "assistant" if i % 2 else "user", f"turn {i} of {c} <|im_end|>" + "z" * (i % 7)) for c in (1, 2) for i in range(200)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    want = conversation_digests(format_conversations(df)).orderBy("conv_id").collect()
+    assert format_conversations(df).count() == 2
+    small = format_conversations(df, part_chars=500)
+    assert small.count() > 20
+    assert conversation_digests(small).orderBy("conv_id").collect() == want
 
 
 def test_chat_query(spark):
@@ -226,5 +238,7 @@ def test_chat_query(spark):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert format_conversations(df.limit(0)).count() == 0
     parts = spark.createDataFrame([(1, 0, "user", [("text", "hi", None, None), ("image", None, "i.png", 5)])], "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string,tokens:long>>")
-    r = format_conversations(parts.selectExpr("*", "'' as text"), parts="parts").first()
+    d = conversation_digests(format_conversations(parts, parts="parts")).first()
+    assert (d.n_turns, d.n_attachments, d.expanded_tokens, d.loss_chars) == (1, 1, 5, 0)
+    r = format_conversations(parts, parts="parts").first()
     assert r.expanded_tokens == 5 and r.attachments[0].ref == "i.png" and parse(r.formatted) == [("user", "hi<|image|>")]
