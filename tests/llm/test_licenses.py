@@ -4,7 +4,7 @@ import random
 import re
 
 from tidewell.llm.common import load
-from tidewell.llm.licenses import BASE_PHRASES, CHUNK, NOTICES, PHRASES, license_report, license_spans, merge_spans, default_templates, words
+from tidewell.llm.licenses import BASE_PHRASES, CHUNK, NOTICES, PHRASES, license_places, license_report, license_spans, merge_spans, default_templates, words, _votes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -37,7 +37,7 @@ def test_query_against_plain_search(spark):
     texts += ["z " * (CHUNK - 2) + "general public license " + "q " * CHUNK + "cc by"]
     rows = [(i, t, "clash", 0) for i, t in enumerate(texts)] + [(3, "CC BY-NC 4.0", "clash", 0), (None, "cc by", "clash", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, labels string, row int").repartition(4)
-    got = license_report(license_spans(df))
+    got = license_report(license_places(df))
     assert got.columns == ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     out = sorted([tuple(r) for r in got.collect()], key=repr)
     want = sorted([(r[0], *brute(r[1]), 0.5 if brute(r[1])[5] else 0.0) for r in rows], key=repr)
@@ -47,7 +47,7 @@ def test_query_against_plain_search(spark):
 
 def test_corpus_against_plain_search(spark):
     docs = load(spark, "/root/testdata/sf0.001", "documents")
-    out = {r.doc_id: tuple(r)[1:7] for r in license_report(license_spans(docs)).collect()}
+    out = {r.doc_id: tuple(r)[1:7] for r in license_report(license_places(docs)).collect()}
     for r in docs.collect():
         assert out[r.doc_id] == brute(r.text)
 
@@ -75,8 +75,8 @@ def test_notices_with_edits(spark):
 def test_merge_needs_whole_phrase():
     t = default_templates()
     gpl = next(i for i, x in enumerate(t) if x.text == "general public license")
-    assert merge_spans([(gpl, 5, [0])], t, 0.6, 6) == []
-    assert merge_spans([(gpl, 5, [0, 1])], t, 0.6, 6) == [(gpl, 5, 7, 1.0)]
+    assert list(merge_spans([(gpl, 5, [0])], t, 0.6, 6)) == []
+    assert list(merge_spans([(gpl, 5, [0, 1])], t, 0.6, 6)) == [(gpl, 5, 7, 1.0)]
 
 
 def test_merge_past_many_stray_runs():
@@ -86,7 +86,7 @@ def test_merge_past_many_stray_runs():
     half = need // 2
     kept = [a for a in range(need) if not half - 10 <= a < half + 10]
     strays = [(mit, 10 + half - 8 + j, [0]) for j in range(12)]  # copies of the first gram in the gap
-    assert merge_spans([(mit, 10, kept), *strays], t, 0.6, 6) == [(mit, 10, 10 + t[mit].n_words - 1, len(kept) / need)]
+    assert list(merge_spans(sorted([(mit, 10, kept), *strays]), t, 0.6, 6)) == [(mit, 10, 10 + t[mit].n_words - 1, len(kept) / need)]
 
 
 def test_notices_with_edits_at_the_default_share(spark):
@@ -106,3 +106,24 @@ def test_notices_with_edits_at_the_default_share(spark):
     out = {r.doc_id: [s.label for s in r.spans if s.notice] for r in license_spans(df).collect()}
     for d, text, label in rows:
         assert out[d] == ([label] if label else []), (d, text, label, out[d])
+
+
+def test_long_text_of_one_phrase(spark):
+    """Hits by the hundred thousand are counted, not gathered; notices among them are found."""
+    text = "cc by " * 150_000 + NOTICES["mit"] + " mit license" * 50_000 + " " + NOTICES["isc"]
+    r = license_report(license_places(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert (r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == (150_000, 0, 299_998, "cc-by", "cc-by,isc,mit", 1.0)
+
+
+def test_notice_with_stray_words_after_every_tenth(spark):
+    w = NOTICES["mit"].split()
+    text = " ".join(" ".join(w[i : i + 10] + w[-4:]) for i in range(0, len(w), 10))
+    r = license_report(license_places(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert r.labels == "mit" and r.score > 0.8
+
+
+def test_votes_come_by_word():
+    rng = random.Random(6)
+    for _ in range(50):
+        diagonals = sorted((rng.randrange(-5, 40), sorted(rng.sample(range(20), rng.randint(1, 6)))) for _ in range(rng.randint(0, 20)))
+        assert list(_votes(diagonals)) == sorted((d + a, a) for d, at in diagonals for a in at)

@@ -13,8 +13,11 @@ and broadcast only while they have at most MAX_BROADCAST positions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from heapq import heappop, heappush
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +104,7 @@ class Template:
     k: int
     base: bool = False
 
-    @property
+    @cached_property
     def n_words(self) -> int:
         return len(words(self.text))
 
@@ -158,64 +161,89 @@ def template_positions(spark: SparkSession, templates: list[Template]) -> DataFr
     return F.broadcast(df) if len(rows) <= MAX_BROADCAST else df
 
 
-def merge_spans(hits: list[tuple[int, int, list[int]]], templates: list[Template], share: float, slack: int, lost: int = LOST) -> list[tuple[int, int, int, float]]:
+def merge_spans(hits: Iterable[tuple[int, int, list[int]]], templates: list[Template], share: float, slack: int, lost: int = LOST) -> Iterator[tuple[int, int, int, float]]:
     """(template, first word, last word, share of its grams) of each verified span.
 
-    hits: (template, diagonal, template positions). A phrase needs all of its grams on one diagonal.
-    A notice's hits are taken in text order and cut where the diagonal moves by more than `slack`
-    or the template starts over; a span counts with `share` of its grams, or, as a few edits cost a
-    short notice more than that, with all but `lost` of them and LEAST_SHARE at least.
+    hits: (template, diagonal, template positions), in order of template and diagonal. A phrase needs
+    all of its grams on one diagonal. A notice's hits are taken in text order and cut where the
+    diagonal moves by more than `slack` or the template starts over; a span counts with `share` of
+    its grams, or, as a few edits cost a short notice more than that, with all but `lost` of them and
+    LEAST_SHARE at least. What is held is bounded by the template, not by the number of hits.
     """
-    out, notices = [], {}
-    for template, diagonal, at in hits:
+    for template, group in groupby(hits, key=lambda h: h[0]):
         t = templates[template]
         if t.k == PHRASE_K:
-            if len(at) == t.n_words - t.k + 1:
-                out.append((template, diagonal, diagonal + t.n_words - 1, 1.0))
+            for _, diagonal, at in group:
+                if len(at) == t.n_words - t.k + 1:
+                    yield template, diagonal, diagonal + t.n_words - 1, 1.0
         else:
-            notices.setdefault(template, []).extend((diagonal + a, a) for a in at)
-    for template, votes in notices.items():
-        t = templates[template]
-        need = t.n_words - t.k + 1
-        enough = min(share, max((need - lost) / need, LEAST_SHARE))
-        runs: list[list[tuple[int, int]]] = []
-        ends: dict[int, int] = {}  # diagonal: the one run that ends there, as a vote on it always continues that run
-        for word, a in sorted(votes):
-            # the run whose end this vote continues: on the same or the nearest diagonal, further on in the template
-            diagonal, best = word - a, None
-            for move in range(slack + 1):
-                near = [ends[d] for d in {diagonal - move, diagonal + move} if d in ends]
-                near = [r for r in near if a > runs[r][-1][1] and word > runs[r][-1][0]]
-                if near:
-                    best = min(near)
-                    break
-            if best is None:
-                best = len(runs)
-                runs.append([])
-            else:
-                w, b = runs[best][-1]
-                del ends[w - b]
-            runs[best].append((word, a))
-            ends[diagonal] = best
-        for run in runs:
-            found = len({a for _, a in run}) / need
-            if found >= enough:
-                out.append((template, run[0][0], run[-1][0] + t.k - 1, found))
-    return sorted(out)
-
-
-_SPAN_SQL = "array<struct<label:string,base:boolean,notice:boolean,first_word:long,last_word:long,share:double>>"
-_SPAN = pa.struct([("label", pa.string()), ("base", pa.bool_()), ("notice", pa.bool_()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("share", pa.float64())])
-
-
-def license_spans(docs: DataFrame, templates: list[Template] | None = None, share: float = 0.6, slack: int = 6, text: str = "text", key: str = "doc_id", lost: int = LOST) -> DataFrame:
-    """(key, n_words, spans) of each row of docs; spans are verified places of templates, by template
-    and then place, in words from 0. A notice needs `share` of its grams or all but `lost` of them,
-    see merge_spans().
-
-    Null and empty texts: no words, no spans. Repeated rows come out as often as they occur, null
+            need = t.n_words - t.k + 1
+            enough = min(share, max((need - lost) / need, LEAST_SHARE))
+            for first, last, found in _runs(_votes((d, at) for _, d, at in group), need + slack, slack):
+                if found / need >= enough:
+                    yield template, first, last + t.k - 1, found / need
+
+
+def _votes(diagonals: Iterable[tuple[int, list[int]]]) -> Iterator[tuple[int, int]]:
+    """(word, template position) of diagonals in ascending order, by word."""
+    waiting: list[tuple[int, int]] = []
+    for diagonal, at in diagonals:
+        while waiting and waiting[0][0] < diagonal:  # later diagonals begin at `diagonal` or after it
+            yield heappop(waiting)
+        for a in at:
+            heappush(waiting, (diagonal + a, a))
+    while waiting:
+        yield heappop(waiting)
+
+
+def _runs(votes: Iterable[tuple[int, int]], reach: int, slack: int) -> Iterator[tuple[int, int, int]]:
+    """(first word, last word, distinct template positions) of each run of votes. A run that ends
+    `reach` words before a vote can't go on."""
+    runs: dict[int, list] = {}  # [first word, last word, last position, positions]
+    ends: dict[int, int] = {}  # diagonal: the one run that ends there, as a vote on it always continues that run
+    begun, sweep = 0, 0
+    for word, a in votes:
+        if word > sweep:
+            for r in [r for r, run in runs.items() if run[1] + reach < word]:
+                first, last, at, seen = runs.pop(r)
+                if ends.get(last - at) == r:
+                    del ends[last - at]
+                yield first, last, len(seen)
+            sweep = word + reach
+        # the run whose end this vote continues: on the same or the nearest diagonal, further on in the template
+        diagonal, best = word - a, None
+        for move in range(slack + 1):
+            near = [ends[d] for d in {diagonal - move, diagonal + move} if d in ends]
+            near = [r for r in near if a > runs[r][2] and word > runs[r][1]]
+            if near:
+                best = min(near)
+                break
+        if best is None:
+            best, begun = begun, begun + 1
+            runs[best] = [word, word, a, {a}]
+        else:
+            run = runs[best]
+            del ends[run[1] - run[2]]
+            run[1], run[2] = word, a
+            run[3].add(a)
+        ends[diagonal] = best
+    for first, last, _, seen in runs.values():
+        yield first, last, len(seen)
+
+
+_PLACE_SQL = "label string, base boolean, notice boolean, first_word long, last_word long, share double"
+_PLACE = [pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
+
+
+def license_places(docs: DataFrame, templates: list[Template] | None = None, share: float = 0.6, slack: int = 6, text: str = "text", key: str = "doc_id", lost: int = LOST) -> DataFrame:
+    """(row, key, n_words, label, base, notice, first_word, last_word, share): one row for each
+    verified place of a template, in words from 0, and one with null from label on for each row of
+    docs. A notice needs `share` of its grams or all but `lost` of them, see merge_spans().
+
+    Null and empty texts: no words, no places. Repeated rows have a `row` of their own each, null
     keys pass, other columns don't matter, an empty table gives no rows. Texts of any length are
-    read whole; a text's grams travel in rows of at most CHUNK.
+    read whole; a text's grams travel in rows of at most CHUNK, its diagonals in rows of at most a
+    template's length, and the worker streams over them, so no text's hits are gathered.
     """
     templates = default_templates() if templates is None else templates
     sizes = sorted({t.k for t in templates})
@@ -252,27 +280,68 @@ def license_spans(docs: DataFrame, templates: list[Template] | None = None, shar
     grams_df = hashed.select("row", "key", "n_words", "k", "base", F.posexplode("hashes").alias("i", "hash"))
     votes = grams_df.join(template_positions(docs.sparkSession, templates), ["k", "hash"])
     # every row of docs votes once for template -1, so rows without hits stay
-    diagonals = votes.groupBy("row", "key", "n_words", "template", (F.col("base") + F.col("i") - F.col("at")).alias("diagonal")).agg(F.sort_array(F.collect_list("at")).alias("at"))
-    per_row = diagonals.groupBy("row", "key", "n_words").agg(F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "diagonal", "at"))).alias("hits"))
+    by_row = votes.repartition("row").groupBy("row", "key", "n_words", "template", (F.col("base") + F.col("i") - F.col("at")).alias("diagonal"))
+    diagonals = by_row.agg(F.sort_array(F.collect_list("at")).alias("at")).sortWithinPartitions("row", "template", "diagonal")
+    place = ["row", "key", "n_words", "label", "base", "notice", "first_word", "last_word", "share"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for hits in batch.column(2).to_pylist():
-                spans = merge_spans([(h["template"], h["diagonal"], h["at"]) for h in hits], templates, share, slack, lost) if hits else []
-                out.append([{"label": templates[t].label, "base": templates[t].base, "notice": templates[t].k == NOTICE_K, "first_word": a, "last_word": b, "share": s} for t, a, b, s in spans])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(_SPAN))], ["key", "n_words", "spans"])
-
-    return per_row.select("key", "n_words", "hits").mapInArrow(verify, f"key {kind}, n_words long, spans {_SPAN_SQL}").withColumnRenamed("key", key)
-
-
-def license_report(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n_words, n_base, first_word, last_word, base_labels, labels, score) from license_spans().
-
-    score is 0 without a span, 0.5 for a phrase, and 0.5 plus half the share found of a notice.
+        key_type = pa.null()
+        out: list[tuple] = []
+
+        def rows() -> Iterator[tuple]:
+            nonlocal key_type
+            for batch in batches:
+                key_type = batch.column(1).type
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        def flush() -> pa.RecordBatch:
+            c = list(zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, [pa.int64(), key_type, pa.int64(), *_PLACE], strict=True)], place)
+
+        for row, group in groupby(rows(), key=lambda r: r[0]):
+            _, k, n, *_ = next(group)
+            out.append((row, k, n, *[None] * 6))
+            for template, first, last, found in merge_spans(((r[3], r[4], r[5]) for r in group), templates, share, slack, lost):
+                t = templates[template]
+                out.append((row, k, n, t.label, t.base, t.k == NOTICE_K, first, last, found))
+                if len(out) >= 8192:
+                    yield flush()
+            if len(out) >= 8192:
+                yield flush()
+        if out:
+            yield flush()
+
+    return diagonals.mapInArrow(verify, f"row long, key {kind}, n_words long, {_PLACE_SQL}").withColumnRenamed("key", key)
+
+
+def license_spans(docs: DataFrame, templates: list[Template] | None = None, key: str = "doc_id", **options) -> DataFrame:
+    """(key, n_words, spans) of each row of docs: license_places() gathered by row, by label and place.
+    For texts whose places fit one row; license_report() needs no such gathering."""
+    places = license_places(docs, templates, key=key, **options)
+    span = F.when(F.col("label").isNotNull(), F.struct("label", "base", "notice", "first_word", "last_word", "share"))
+    return places.groupBy("row", key).agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_list(span)).alias("spans")).drop("row")
+
+
+def license_report(places: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n_words, n_base, first_word, last_word, base_labels, labels, score) from license_places().
+
+    score is 0 without a place, 0.5 for a phrase, and 0.5 plus half the share found of a notice.
+    Counts, ends and label sets only: partial aggregates of bounded size.
     """
-    base = F.filter("spans", lambda s: s["base"])
-    starts = F.transform(base, lambda s: s["first_word"])
-    joined = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda s: s["label"]))), ",")
-    score = F.aggregate("spans", F.lit(0.0), lambda best, s: F.greatest(best, F.when(s["notice"], 0.5 + s["share"] / 2).otherwise(F.lit(0.5))))
-    return spans.select(key, "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"), joined(F.col("spans")).alias("labels"), F.least(score, F.lit(1.0)).alias("score"))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    base = lambda c: F.when(F.col("base"), F.col(c))
+    score = F.when(F.col("notice"), 0.5 + F.col("share") / 2).when(F.col("label").isNotNull(), 0.5).otherwise(0.0)
+    return (
+        places.groupBy("row", key)
+        .agg(
+            F.max("n_words").alias("n_words"),
+            F.count(base("label")).alias("n_base"),
+            F.min(base("first_word")).alias("first_word"),
+            F.max(base("first_word")).alias("last_word"),
+            joined(base("label")).alias("base_labels"),
+            joined("label").alias("labels"),
+            F.least(F.max(score), F.lit(1.0)).alias("score"),
+        )
+        .drop("row")
+    )

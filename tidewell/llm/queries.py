@@ -12,7 +12,7 @@ from .chat import conversation_digests, format_conversations
 from .common import load
 from .embed_dup import near_vectors
 from .html_text import extract_pages
-from .licenses import license_report, license_spans
+from .licenses import license_places, license_report
 from .near_dup import near_duplicates
 from .packing import pack_documents, piece_digests
 from .quality_classifier import quality_scores
@@ -43,7 +43,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices of every text by diagonal voting."""
-    return license_report(license_spans(load(spark, sf_dir, "documents")))
+    return license_report(license_places(load(spark, sf_dir, "documents")))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
