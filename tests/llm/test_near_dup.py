@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from tidewell.llm import near_dup
 from tidewell.llm.common import connected_components
 from tidewell.llm.near_dup import SPAN, Tensor, drop_near_duplicates, near_duplicates, shingles, true_links, word_hashes
 
@@ -109,3 +110,51 @@ def test_odd_rows(spark):
     kept = drop_near_duplicates(df)
     assert kept.columns == df.columns and sorted(map(tuple, kept.select("doc_id", "lang").collect()), key=repr) == sorted([(1, "a"), (None, "b"), (None, "c"), (4, "e"), (5, "f"), (6, "g")], key=repr)
     assert drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def cliques_and_chains(rng):
+    """Parts of more than a block: near copies of one text, a chain of weak candidates, a chain of links."""
+    rows, base = [], [f"b{i}" for i in range(120)]
+    for _ in range(150):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"y{rng.randrange(10**6)}"
+        rows.append(" ".join(copy))
+    stream = [f"s{i}" for i in range(4000)]
+    rows += [" ".join(stream[i : i + 100]) for i in range(0, 3000, 20)]  # neighbours share 0.65
+    stream = [f"t{i}" for i in range(4000)]
+    rows += [" ".join(stream[i : i + 100]) for i in range(0, 450, 3)]  # neighbours share 0.94, ends nothing
+    return [(7 * i % 1009, t) for i, t in enumerate(rng.sample(rows, len(rows)))]
+
+
+@pytest.mark.parametrize("levels", [near_dup.LEVELS, ()])
+def test_large_parts_against_all_pairs(spark, monkeypatch, levels):
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(near_dup._true_links, "__defaults__", (levels,))
+    rows = cliques_and_chains(random.Random(4))
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert out == brute(rows)
+
+
+def test_weak_chain_breaks_up(spark, monkeypatch):
+    """20,000 texts in one part of weak candidates: every round sends each text to one block, and none is
+    left for all pairs of blocks."""
+    sent = []
+    code = near_dup._verified
+    monkeypatch.setattr(near_dup, "_verified", lambda blocks, *a: (sent.append(blocks.count()), code(blocks, *a))[1])
+    df = spark.range(20_000).selectExpr("id as doc_id", "array_join(transform(sequence(id * 25, id * 25 + 99), x -> concat('w', x)), ' ') as text")
+    assert near_duplicates(df).where("kept").count() == 20_000  # neighbours share 0.6
+    assert sum(sent) <= 5 * 20_000
+
+
+def test_other_keys_are_refused(spark):
+    with pytest.raises(TypeError):
+        near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_clashing_columns_long_texts_and_ties(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(5, long), (3, long + " end"), (9, "a b c d e f"), (9, "a b c d e f"), (8, "a b c d e f"), (None, "a b")]
+    df = spark.createDataFrame([(*r, 1, 2, "r", "s") for r in rows], "doc_id long, text string, node int, n int, rep string, key string")
+    kept = drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 8]

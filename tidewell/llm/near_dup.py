@@ -6,9 +6,13 @@ the key of table (i, j) is signature i of the one with signature j of the other.
 
 Documents that share a key are candidates.  Only the smallest id of a bucket is linked to the rest,
 first within each map task, so no bucket is ever gathered or paired up.  The connected parts of
-these links are then checked on full shingle sets: a part is cut into blocks, and each pair of
-blocks counts all its intersections as a matrix product.  Every candidate pair of a part is
-compared, and only a spanning forest of the true links leaves the task.
+these links are then checked on full shingle sets, in blocks that count all their intersections as
+a matrix product; only a spanning forest of the true links leaves a task.  A part of one block is
+done then.  Of a larger one, every text goes into one block, the blocks' representatives (one for
+each group found) into blocks of their own, and a part that has become one group is done, whatever
+its size.  What is left is a chain of weak candidates: its members are sketched again by more rows,
+which break it into smaller parts, and so on; only at the last of LEVELS are all blocks of a part
+compared with each other, so no pair that meets in the tables is left out.
 
 Documents with equal shingle sets are one from the start (by a 128-bit hash of the set).
 """
@@ -16,6 +20,7 @@ Documents with equal shingle sets are one from the start (by a 128-bit hash of t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,11 @@ from .common import connected_components, materialize
 U64 = np.uint64
 #: Bytes that are hashed at a time; longer texts are taken in pieces cut at white space.
 SPAN = 1 << 20
-BLOCK_DOCS, BLOCK_SHINGLES, SMALL_BLOCK, MAX_SPREAD = 2048, 1_000_000, 128, 16
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_000_000
+#: (rows, side) of the tables that break large parts up: they miss a pair of similarity 0.85 with a chance of 0.0005 % and 0.0006 %.
+LEVELS = ((5, 22), (8, 40))
+#: Parts of more than a block, up to which they are broadcast.
+MAX_BROADCAST = 50_000
 
 
 def _constants(seed: int, n: int) -> np.ndarray:
@@ -132,9 +141,10 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U64 else x, pa.int64())
 
 
-def sketch(docs: DataFrame, text: str, key: str, size: int, tensor: Tensor) -> DataFrame:
-    """(key, n, h1, h2, sig binary): set size, hash of the set, signatures of each row."""
-    kind = docs.schema[key].dataType.simpleString()
+def sketch(docs: DataFrame, text: str, key: str, size: int, tensor: Tensor, extra: str | None = None) -> DataFrame:
+    """(key, n, h1, h2, sig binary[, extra]): set size, hash of the set, signatures of each row."""
+    columns = [f"`{key}` as key", f"`{text}` as text"] + ([f"`{extra}` as extra"] if extra else [])
+    kept = [f"{alias} {docs.schema[c].dataType.simpleString()}" for alias, c in (("key", key), ("extra", extra)) if c]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,9 +155,10 @@ def sketch(docs: DataFrame, text: str, key: str, size: int, tensor: Tensor) -> D
                 h1.append(int(s.sum(dtype=U64).view(np.int64)) if len(s) else 0)
                 h2.append(int(mix(s ^ _BASE).sum(dtype=U64).view(np.int64)) if len(s) else 0)
                 sig.append(tensor.signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], ["key", "n", "h1", "h2", "sig"])
+            out = [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out + ([batch.column(2)] if extra else []), ["key", "n", "h1", "h2", "sig"] + (["extra"] if extra else []))
 
-    return docs.selectExpr(f"`{key}` as key", f"`{text}` as text").mapInArrow(run, f"key {kind}, n long, h1 long, h2 long, sig binary")
+    return docs.selectExpr(*columns).mapInArrow(run, ", ".join([kept[0], "n long, h1 long, h2 long, sig binary", *kept[1:]]))
 
 
 def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +173,7 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def candidate_links(sets: DataFrame, tensor: Tensor) -> DataFrame:
-    """(a, b) links that join whatever shares a table key. sets: (node long, sig binary).
+    """(a, b) links that join whatever shares a table key within a part. sets: (node long, sig binary, part long).
 
     A map task links the members of its own buckets and sends on one row a bucket, and each link as a
     bucket of its own; so however large a bucket is, it gets a row from each map task at most.
@@ -174,7 +185,7 @@ def candidate_links(sets: DataFrame, tensor: Tensor) -> DataFrame:
                 part = batch.slice(at, 4096)
                 sigs = np.frombuffer(b"".join(part.column(1).to_pylist()), U64).reshape(part.num_rows, -1)
                 nodes = part.column(0).to_numpy()
-                keys = tensor.keys(sigs)
+                keys = mix(tensor.keys(sigs) ^ part.column(2).to_numpy().view(U64)[:, None])
                 keys, least, a, b = _stars(keys.ravel(), np.repeat(nodes, keys.shape[1]))
                 own = mix(mix(a.view(U64)) + b.view(U64) * _STEP)
                 yield pa.RecordBatch.from_arrays([_long(np.concatenate([keys, own, own])), _long(np.concatenate([least, a, b]))], ["bucket", "node"])
@@ -185,7 +196,7 @@ def candidate_links(sets: DataFrame, tensor: Tensor) -> DataFrame:
             _, _, a, b = _stars(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             yield pa.RecordBatch.from_arrays([_long(a), _long(b)], ["a", "b"])
 
-    return sets.select("node", "sig").mapInArrow(spread, "bucket long, node long").repartition("bucket").mapInArrow(gather, "a long, b long")
+    return sets.select("node", "sig", "part").mapInArrow(spread, "bucket long, node long").repartition("bucket").mapInArrow(gather, "a long, b long")
 
 
 def true_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -236,28 +247,19 @@ def true_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tu
     return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, rows: int = 3, side: int = 12, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of each row of docs; key must be bigint.
+def _blocks(nodes: DataFrame, by: str) -> DataFrame:
+    """Adds to (node, n, ...) nb, the number of blocks of a row's part `by`. Only parts of more than a
+    block are joined back, so a part of any size is not dealt to one task unless they are many."""
+    sizes = nodes.groupBy(by).agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    sizes = sizes.select(by, F.greatest(F.ceil(F.col("k") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    large = materialize(sizes.where("nb > 1"), "large-parts")
+    if large.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        large = F.broadcast(large)
+    return nodes.join(large, by, "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
 
-    Links are 100 * intersection >= percent * union of shingle sets, confirmed on full sets; the
-    tables miss a pair of similarity s with a chance of 1 - (1 - (1 - s**rows)**side)**2.
 
-    Rows without words: size 0, linked with nothing. Null keys: component null, kept, linked with
-    nothing. Repeated rows are alike; rows that share a key but not a text are judged each by its
-    text, and texts whose smallest key is the same are one. Other columns don't matter, an empty
-    table gives no rows.
-    """
-    tensor = Tensor(rows, side)
-    sketches = materialize(sketch(docs, text, key, size, tensor), "sketches")
-    sets = materialize(sketches.where("n > 0 and key is not null").groupBy("h1", "h2").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
-    parts = connected_components(candidate_links(sets, tensor), "candidates")
-    # how many blocks a part is cut into, by its documents and shingles
-    weights = parts.join(sets.groupBy(F.col("node")).agg(F.sum("n").alias("n")), "node").groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
-    blocks = F.greatest(F.ceil(F.col("k") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_SHINGLES), F.least(F.lit(MAX_SPREAD), F.ceil(F.col("k") / SMALL_BLOCK))).cast("int")
-    members = parts.join(weights, "component").select("node", "component", blocks.alias("nb")).withColumn("i", F.expr("cast(pmod(xxhash64(node), nb) as int)"))
-    texts = docs.select(F.col(f"`{key}`").alias("node"), F.col(f"`{text}`").alias("text")).where("node is not null").join(members.hint("shuffle_hash"), "node")
-    pairs = texts.withColumn("j", F.explode(F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: j != F.col("i")))))
-    tasks = pairs.select("component", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "node", "text")
+def _verified(blocks: DataFrame, percent: int, size: int) -> DataFrame:
+    """(a, b, nb): spanning forests of the true links among the texts of each (part, p, q)."""
 
     def compare(table: pa.Table) -> pa.Table:
         nodes, sets, seen = [], [], set()
@@ -268,15 +270,80 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, rows: int
                 nodes.append(node)
                 sets.append(s)
         found = true_links(np.array(nodes, np.int64), sets, percent) if len(sets) > 1 else []
-        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+        a, b = ([x[i] for x in found] for i in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "nb": pa.array([table.column("nb")[0].as_py()] * len(found), pa.int32())})
+
+    return blocks.groupBy("part", "p", "q").applyInArrow(compare, "a long, b long, nb int")
+
+
+def _dealt(nb: str = "nb", salt: int = 0) -> F.Column:
+    return F.expr(f"cast(pmod(xxhash64(node, {salt}), {nb}) as int)")
+
+
+def _true_links(docs: DataFrame, members: DataFrame, percent: int, size: int, levels: tuple = LEVELS) -> list[DataFrame]:
+    """Links (a, b) that connect whatever is linked within a part. docs: (node, text); members:
+    (node, n, part), one row a node."""
+    members = materialize(_blocks(members, "part"), "members")
+    texts = docs.join(members, "node")
+    if not members.where("nb > 1").limit(1).count():
+        return [_verified(texts.select("part", F.lit(0).alias("p"), F.lit(0).alias("q"), "node", "text", "nb"), percent, size)]
+    texts = materialize(texts, "texts")
+    if not levels:  # all pairs of a part's blocks
+        others = F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: j != F.col("i")))
+        pairs = texts.withColumn("i", _dealt()).withColumn("j", F.explode(others))
+        return [_verified(pairs.select("part", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "node", "text", "nb"), percent, size)]
+    # each text in one block
+    local = materialize(_verified(texts.select("part", _dealt().alias("p"), F.lit(0).alias("q"), "node", "text", "nb"), percent, size), "local")
+    large, texts = members.where("nb > 1").drop("nb"), texts.where("nb > 1").select("node", "text")
+    # one member of each group found there, in blocks of their own
+    groups = connected_components(local.where("nb > 1"), "groups")
+    least = materialize(_blocks(large.join(groups.where("node <> component"), "node", "left_anti"), "part"), "representatives")
+    across = texts.join(least, "node").select("part", _dealt(salt=1).alias("p"), F.lit(0).alias("q"), "node", "text", "nb")
+    across = materialize(_verified(across, percent, size), "across")
+    groups = connected_components(local.where("nb > 1").unionByName(across), "groups")
+    # parts that are still several groups
+    grouped = large.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = materialize(grouped.groupBy("part").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("part"), "several")
+    n = several.limit(MAX_BROADCAST + 1).count()
+    links = [local, across]
+    if n:
+        left = materialize(large.join(F.broadcast(several) if n <= MAX_BROADCAST else several, "part", "left_semi"), "left")
+        texts = materialize(texts.join(left, "node"), "texts")
+        tensor = Tensor(*levels[0])
+        finer = sketch(texts, "text", "node", size, tensor, extra="part").withColumnRenamed("key", "node").withColumnRenamed("extra", "part")
+        again = connected_components(candidate_links(finer, tensor), "candidates").withColumnRenamed("component", "part")
+        links += _true_links(texts.select("node", "text"), left.drop("part").join(again, "node"), percent, size, levels[1:])
+    return links
+
 
-    links = tasks.groupBy("component", "p", "q").applyInArrow(compare, "a long, b long")
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, rows: int = 3, side: int = 12, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, n_shingles, component_id, kept) of each row of docs; key must be bigint.
+
+    Links are 100 * intersection >= percent * union of shingle sets, confirmed on full sets; the
+    tables miss a pair of similarity s with a chance of 1 - (1 - (1 - s**rows)**side)**2.
+
+    Rows without words: size 0, linked with nothing. Null keys: component null, kept, linked with
+    nothing. Repeated rows are alike; rows that share a key but not a text are judged each by its
+    text, and texts whose smallest key is the same are one. Other columns don't matter, an empty
+    table gives no rows. A key of another type is refused.
+    """
+    if (kind := docs.schema[key].dataType.simpleString()) != "bigint":
+        raise TypeError(f"{key} is {kind}; near duplicates need a bigint key")
+    tensor = Tensor(rows, side)
+    sketches = materialize(sketch(docs, text, key, size, tensor), "sketches")
+    sets = materialize(sketches.where("n > 0 and key is not null").groupBy("h1", "h2").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
+    parts = connected_components(candidate_links(sets.withColumn("part", F.lit(0).cast("long")), tensor), "candidates").withColumnRenamed("component", "part")
+    members = parts.join(sets.groupBy("node").agg(F.sum("n").alias("n")), "node").select("node", "n", "part")
+    texts = docs.select(F.col(f"`{key}`").alias("node"), F.col(f"`{text}`").alias("text")).where("node is not null")
+    links = _true_links(texts, members, percent, size)
+    links = reduce(DataFrame.union, [x.select("a", "b") for x in links])
     groups = connected_components(links, "links").withColumnRenamed("node", "rep")
+    # a group of equal sets, however many rows it has, is one row here
+    named = sets.select("h1", "h2", F.col("node").alias("rep")).join(groups, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     return (
         sketches.select("key", "n", "h1", "h2")
-        .join(sets.select("h1", "h2", F.col("node").alias("rep")), ["h1", "h2"], "left")
-        .join(groups, "rep", "left")
-        .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("key"))).alias("component_id"))
+        .join(named, ["h1", "h2"], "left")
+        .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key"))).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
     )
 
@@ -286,5 +353,5 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85, **options: int) ->
     docs. Repeated rows of a kept doc_id become one; rows with a null doc_id all stay."""
     kept = near_duplicates(docs, percent, **options).where("kept and doc_id is not null").select("doc_id").distinct()
     columns = [f"`{c}`" for c in docs.columns]
-    one = docs.where("doc_id is not null").join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
+    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
     return one.union(docs.where("doc_id is null").select(*columns))
