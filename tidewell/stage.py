@@ -45,10 +45,15 @@ def mark() -> int:
     return len(_WRITTEN)
 
 
+def discard(spark: SparkSession, since: int) -> None:
+    """Deletes the tables written since that point but for the last: nothing reads them any more."""
+    release(spark, [path for _, path in _WRITTEN[since:-1]])
+
+
 def settle(df: DataFrame, label: str, since: int) -> DataFrame:
     """materialize(df), after which the tables written since that point are deleted: df was their reader."""
     out = materialize(df, label)
-    release(df.sparkSession, [path for _, path in _WRITTEN[since:-1]])
+    discard(df.sparkSession, since)
     return out
 
 
@@ -63,9 +68,13 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
 
 
 def _at_exit() -> None:
-    for s, path in _WRITTEN:
-        if path.startswith(("file:" + tempfile.gettempdir(), tempfile.gettempdir())):
-            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+    """What queries left in the shared folder goes when the driver ends."""
+    for s, path in list(_WRITTEN):
+        try:
+            release(s, [path])
+        except Exception:  # the session has ended before
+            if path.startswith(("file:" + tempfile.gettempdir(), tempfile.gettempdir())):
+                shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
 
 
 atexit.register(_at_exit)
