@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..stage import mark, materialize, release, settle, shared_dir  # noqa: F401
+from ..stage import discard, mark, materialize, release, settle, shared_dir  # noqa: F401
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder, through Spark's reader only."""
@@ -39,6 +39,7 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         .where("a is not null and b is not null and a <> b")
         .distinct()
     )
+    since = mark()
     e = materialize(e, label)
     seen = None
     while True:
@@ -63,6 +64,7 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
             .distinct()
         )
         e = materialize(e, label)
+        discard(e.sparkSession, since)
     # every edge is now (node, smallest node)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

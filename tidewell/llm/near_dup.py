@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, discard, mark, materialize
 
 U64 = np.uint64
 #: Bytes that are hashed at a time; longer texts are taken in pieces cut at white space.
@@ -332,12 +332,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, rows: int
     tensor = Tensor(rows, side)
     sketches = materialize(sketch(docs, text, key, size, tensor), "sketches")
     sets = materialize(sketches.where("n > 0 and key is not null").groupBy("h1", "h2").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
+    since = mark()
     parts = connected_components(candidate_links(sets.withColumn("part", F.lit(0).cast("long")), tensor), "candidates").withColumnRenamed("component", "part")
     members = parts.join(sets.groupBy("node").agg(F.sum("n").alias("n")), "node").select("node", "n", "part")
     texts = docs.select(F.col(f"`{key}`").alias("node"), F.col(f"`{text}`").alias("text")).where("node is not null")
     links = _true_links(texts, members, percent, size)
     links = reduce(DataFrame.union, [x.select("a", "b") for x in links])
     groups = connected_components(links, "links").withColumnRenamed("node", "rep")
+    discard(docs.sparkSession, since)
     # a group of equal sets, however many rows it has, is one row here
     named = sets.select("h1", "h2", F.col("node").alias("rep")).join(groups, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     return (
