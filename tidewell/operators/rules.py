@@ -59,10 +59,11 @@ def video_layout(text: Column) -> Column:
     return F.struct(last("CH-STEREO", "CH-MONO").alias("channels"), last("PROJ-RECT", "PROJ-EQUI", "PROJ-HEQU", "PROJ-PRIM", "PROJ-AIV").alias("projection"))
 
 
-def master_findings(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rules and recommendations for master playlists."""
+def master_findings(line_rows: DataFrame, key: str = "doc_id", variants: DataFrame | None = None) -> DataFrame:
+    """Rules and recommendations for master playlists. variants: those of line_rows, if already scanned."""
     r = Report(key)
-    v, m, d = S.variants(line_rows, key), S.renditions(line_rows, key), S.session_data(line_rows, key)
+    v = S.variants(line_rows, key) if variants is None else variants
+    m, d = S.renditions(line_rows, key), S.session_data(line_rows, key)
     # a document's group ids travel with its variants: references need no join per kind
     ids = lambda kind: F.collect_set(F.when(F.col("type") == kind, F.col("group_id")))
     groups = m.groupBy(key).agg(ids("AUDIO").alias("_a"), ids("SUBTITLES").alias("_s"), ids("CLOSED-CAPTIONS").alias("_c"))
@@ -135,11 +136,13 @@ def required_version() -> Column:
     return F.greatest(use("decimals", 3), use("ranges", 4), use("iframes_only", 4), use("ivs", 2), use("formats", 5), F.when(F.col("maps") & ~F.col("iframes_only"), 6).otherwise(1), F.when(F.col("definitions") > 0, 8).otherwise(1))
 
 
-def media_findings(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rules and recommendations for media playlists, low latency included."""
+def media_findings(line_rows: DataFrame, key: str = "doc_id", segments: DataFrame | None = None) -> DataFrame:
+    """Rules and recommendations for media playlists, low latency included. segments: those of
+    line_rows, if already scanned. Headers and the join of both are written once."""
     r = Report(key)
-    h, s, p = S.media_headers(line_rows, key).where("error is null"), S.segments(line_rows, key), S.parts(line_rows, key)
-    hs = s.join(h, key)
+    h = materialize(S.media_headers(line_rows, key).where("error is null"), "headers")
+    s, p = S.segments(line_rows, key) if segments is None else segments, S.parts(line_rows, key)
+    hs = s.join(h.select(key, "version", "target_duration"), key)
     target = F.col("target_duration").cast("string")
     r.rules(
         hs,
@@ -194,33 +197,41 @@ def variable_rules(line_rows: DataFrame, fields: DataFrame, media: bool, key: st
     return r.all()
 
 
-def master_fields(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
+def master_fields(line_rows: DataFrame, variants: DataFrame, key: str = "doc_id") -> DataFrame:
     one = lambda rows, kind: rows.where("uri like '%{$%'").select(key, at(kind, "uri").alias("field"), F.col("uri").alias("text"))
-    return one(S.variants(line_rows, key), "variants").unionByName(one(S.iframe_variants(line_rows, key), "iFrameVariants")).unionByName(one(S.renditions(line_rows, key), "renditions"))
+    return one(variants, "variants").unionByName(one(S.iframe_variants(line_rows, key), "iFrameVariants")).unionByName(one(S.renditions(line_rows, key), "renditions"))
 
 
-def media_fields(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
+def media_fields(segments: DataFrame, key: str = "doc_id") -> DataFrame:
     one = lambda name, text: F.when(text.contains("{$"), F.struct(at("segments", name).alias("field"), text.alias("text")))
     found = F.array_compact(F.array(one("uri", F.col("uri")), one("key.uri", F.col("key_tag.uri")), one("map.uri", F.col("map.uri"))))
-    return S.segments(line_rows, key).select(key, F.explode(found).alias("_x")).select(key, "_x.*")
+    return segments.select(key, F.explode(found).alias("_x")).select(key, "_x.*")
 
 
 def validate(docs: DataFrame, rule_set: str = "all", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Findings of whole texts: rfc8216, appleHLS or all. Texts that can't be scanned give one error
-    with rule_id `parse`; nothing else fails for them."""
-    kinds = S.classify(docs, key, text, keep=[text])
-    # the lines are written once: every group of rules reads the columns it needs of them
-    staged = materialize(S.lines(kinds, key, text, keep=["kind"]).where("kind is not null"), "lines")
-    rows = lambda kind: staged.where(F.col("kind") == kind).drop("kind")
-    master, media = rows("master"), rows("media")
-    out = [
-        kinds.where("error is not null").select(key, F.lit("error").alias("severity"), F.col("error").alias("message"), F.lit("manifest").alias("field"), F.lit("rfc8216").alias("rule_set"), F.lit("parse").alias("rule_id")),
-        master_findings(master, key), media_findings(media, key),
-    ]
-    if rule_set != "appleHLS":
-        out += [variable_rules(master, master_fields(master, key), False, key), variable_rules(media, media_fields(media, key), True, key)]
-    found = reduce(DataFrame.unionByName, out)
-    return found if rule_set == "all" else found.where(F.col("rule_set") == rule_set)
+    """Findings of whole texts: rfc8216, appleHLS or all. A text that can't be scanned gives one error
+    of rule_id `parse` (field: the kind of error), whatever the rule set, and no other finding.
+
+    Texts are read once; scanned lines, segments, headers and variants are each written once to the
+    shared folder. Only refused texts and two booleans decide what is planned.
+    """
+    staged = materialize(S.scan(docs, key, text), "lines")
+    refused = materialize(S.problems(staged, key), "refused")
+    out = [refused.select(key, F.lit("error").alias("severity"), F.col("message"), F.col("code").alias("field"), F.lit("rfc8216").alias("rule_set"), F.lit("parse").alias("rule_id"))]
+    good = staged.drop("problem")
+    if refused.limit(1).count():
+        good = good.join(refused.select(key), key, "left_anti")
+    for kind in ("master", "media"):
+        rows = good.where(F.col("kind") == kind).drop("kind")
+        if not staged.where(F.col("kind") == kind).limit(1).count():
+            continue
+        parts = materialize(S.variants(rows, key) if kind == "master" else S.segments(rows, key), kind)
+        found = master_findings(rows, key, parts) if kind == "master" else media_findings(rows, key, parts)
+        out.append(found if rule_set == "all" else found.where(F.col("rule_set") == rule_set))
+        if rule_set != "appleHLS":
+            fields = master_fields(rows, parts, key) if kind == "master" else media_fields(parts, key)
+            out.append(variable_rules(rows, fields, kind == "media", key))
+    return reduce(DataFrame.unionByName, out)
 
 
 def roll_up(docs: DataFrame, findings: DataFrame, key: str = "doc_id") -> DataFrame:

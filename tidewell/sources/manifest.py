@@ -6,6 +6,8 @@ the ones that stay in force) is a window over the lines of its document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,27 +16,173 @@ from ..functions import attributes as A
 from ..functions import text as T
 
 #: Tags that make a playlist a master or a media one.
-MASTER_TAGS = ("#EXT-X-STREAM-INF", "#EXT-X-I-FRAME-STREAM-INF", "#EXT-X-MEDIA:")
-MEDIA_TAGS = ("#EXTINF", "#EXT-X-TARGETDURATION")
+MASTER_TAGS = ("#EXT-X-STREAM-INF:", "#EXT-X-I-FRAME-STREAM-INF:", "#EXT-X-MEDIA:")
+MEDIA_TAGS = ("#EXTINF:", "#EXT-X-TARGETDURATION:")
+
+#: Encryption methods, kinds of renditions and of preload hints.
+METHODS = ("NONE", "AES-128", "SAMPLE-AES", "SAMPLE-AES-CTR")
+RENDITIONS = ("AUDIO", "VIDEO", "SUBTITLES", "CLOSED-CAPTIONS")
+HINTS = ("PART", "MAP")
+
+#: The attributes that a tag must have, with their kind or the values allowed, by kind of playlist.
+REQUIRED = {
+    "master": {
+        "EXT-X-STREAM-INF": {"BANDWIDTH": "int"},
+        "EXT-X-I-FRAME-STREAM-INF": {"BANDWIDTH": "int", "URI": "text"},
+        "EXT-X-MEDIA": {"TYPE": RENDITIONS, "GROUP-ID": "text", "NAME": "text"},
+        "EXT-X-SESSION-DATA": {"DATA-ID": "text"},
+        "EXT-X-SESSION-KEY": {"METHOD": METHODS},
+        "EXT-X-CONTENT-STEERING": {"SERVER-URI": "text"},
+        "EXT-X-START": {"TIME-OFFSET": "double"},
+    },
+    "media": {
+        "EXT-X-KEY": {"METHOD": METHODS},
+        "EXT-X-MAP": {"URI": "text", "BYTERANGE": "range"},
+        "EXT-X-DATERANGE": {"ID": "text", "START-DATE": "date"},
+        "EXT-X-PART": {"URI": "text", "DURATION": "double"},
+        "EXT-X-PART-INF": {"PART-TARGET": "double"},
+        "EXT-X-PRELOAD-HINT": {"TYPE": HINTS, "URI": "text"},
+        "EXT-X-RENDITION-REPORT": {"URI": "text"},
+        "EXT-X-SKIP": {"SKIPPED-SEGMENTS": "int"},
+        "EXT-X-START": {"TIME-OFFSET": "double"},
+    },
+}
+#: Tags of one whole number, and names under which problems of a tag are told.
+NUMBERS = ("EXT-X-TARGETDURATION", "EXT-X-MEDIA-SEQUENCE", "EXT-X-DISCONTINUITY-SEQUENCE")
+TOLD_AS = {"EXT-X-SESSION-KEY": "EXT-X-KEY"}
+
+#: What is said of texts that can't be scanned.
+SAID = {
+    "emptyManifest": "The manifest is empty or contains only whitespace.",
+    "missingHeader": "The playlist does not start with #EXTM3U.",
+    "ambiguousPlaylistType": "Unable to determine if the manifest is a master or media playlist.",
+}
+
+
+def _trimmed(text: Column) -> Column:
+    """The lines of a text, empty ones included."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\n|\r"), lambda x: F.btrim(x, F.lit(" \t")))
+
+
+def _numbered(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Explodes the array _l to (columns, line_no, line, tag, value, is_uri), empty lines left out."""
+    rows = rows.select(*columns, F.posexplode("_l").alias("_n", "line")).where("line <> ''")
+    mark = F.col("line").startswith("#")
+    return rows.select(
+        *columns, (F.col("_n") + 1).alias("line_no"), "line",
+        F.when(mark, F.substring_index("line", ":", 1)).alias("tag"),
+        F.when(mark & (F.instr("line", ":") > 0), F.substr("line", F.instr("line", ":") + 1)).alias("value"),
+        (~mark).alias("is_uri"),
+    )
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(key, *keep, line_no, line, tag, value, is_uri): trimmed lines that aren't empty, numbered from 1.
 
     tag is the part of a # line up to its colon; comments have the tag of their text."""
-    cut = F.split(F.coalesce(F.col(text), F.lit("")), "\r\n|\n|\r")
-    rows = docs.select(F.col(key), *(keep or []), F.posexplode(cut).alias("_n", "_l")).select(key, *(keep or []), (F.col("_n") + 1).alias("line_no"), F.trim("_l").alias("line")).where("line <> ''")
-    mark = F.col("line").startswith("#")
-    return rows.withColumn("tag", F.when(mark, F.substring_index("line", ":", 1))).withColumn("value", F.when(mark & (F.instr("line", ":") > 0), F.substr("line", F.instr("line", ":") + 1))).withColumn("is_uri", ~mark)
+    return _numbered(docs.select(F.col(key), *(keep or []), _trimmed(F.col(text)).alias("_l")), [key, *(keep or [])])
+
+
+def _kind_and_error(rows: Column) -> tuple[Column, Column]:
+    """(master or media, error code) of the array of a text's lines; one of them is null."""
+    found = F.filter(rows, lambda x: x != "")
+    has = lambda tags: F.exists(found, lambda x: reduce(Column.__or__, [x.startswith(t) for t in tags]))
+    master = has(MASTER_TAGS)
+    error = F.when(F.size(found) == 0, "emptyManifest").when(F.element_at(found, 1) != "#EXTM3U", "missingHeader")
+    error = error.when(~master & ~has(MEDIA_TAGS), "ambiguousPlaylistType")
+    return F.when(error.isNull(), F.when(master, "master").otherwise("media")), error
 
 
 def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(key, *keep, kind, error): master, media, or the error emptyManifest, missingHeader, ambiguousPlaylistType."""
-    t = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^[\s]+|[\s]+$", ""))
-    first = F.trim(F.regexp_extract(t, r"^([^\r\n]*)", 1))
-    has = lambda tags: F.concat(F.lit("\n"), F.regexp_replace(t, r"[\r\n]+[ \t]*", "\n")).rlike("|".join("\n" + x for x in tags))
-    error = F.when(t == "", "emptyManifest").when(first != "#EXTM3U", "missingHeader").when(~has(MASTER_TAGS) & ~has(MEDIA_TAGS), "ambiguousPlaylistType")
-    return docs.select(key, *(keep or []), F.when(error.isNull(), F.when(has(MASTER_TAGS), "master").otherwise("media")).alias("kind"), error.alias("error"))
+    kind, error = _kind_and_error(_trimmed(F.col(text)))
+    return docs.select(key, *(keep or []), kind.alias("kind"), error.alias("error"))
+
+
+def _problem(code: str, *message: Column | str) -> Column:
+    text = F.concat(*[m if isinstance(m, Column) else F.lit(m) for m in message])
+    return F.struct(F.lit(code).alias("code"), text.alias("message"))
+
+
+def _bad_value(tag: str, attribute: str, value: Column) -> Column:
+    return _problem("invalidAttributeValue", "Invalid value '", value, f"' for attribute '{attribute}' in {tag}.")
+
+
+def _range_problem(value: Column) -> Column:
+    """Of LENGTH[@OFFSET]."""
+    p = F.filter(F.split(value, "@"), lambda x: x != "")
+    length, offset = F.try_element_at(p, F.lit(1)), F.try_element_at(p, F.lit(2))
+    whole = r"^[+-]?\d{1,18}$"
+    bad = F.when(F.coalesce(~length.rlike(whole), F.lit(True)), _bad_value("EXT-X-BYTERANGE", "length", value))
+    return bad.when(~offset.rlike(whole), _bad_value("EXT-X-BYTERANGE", "offset", offset))
+
+
+def _attribute_problem(tag: str, rules: dict, m: Column) -> Column:
+    checks, told = [], TOLD_AS.get(tag, tag)
+    good = {"int": A.int_of, "double": A.double_of, "text": A.text_of, "date": lambda m, k: T.parse_iso8601(A.text_of(m, k))}
+    for name, kind in rules.items():
+        raw = A.text_of(m, name)
+        if kind == "range":
+            checks.append(F.when(raw.isNotNull(), _range_problem(raw)))
+            continue
+        checks.append(F.when(raw.isNull(), _problem("missingRequiredAttribute", f"Missing required attribute '{name}' in {told}.")))
+        if kind != "text":
+            wrong = ~raw.isin(*kind) if isinstance(kind, tuple) else good[kind](m, name).isNull()
+            checks.append(F.when(wrong, _bad_value(told, name, raw)))
+    return F.coalesce(*checks)
+
+
+def line_problem(kind: Column, m: Column) -> Column:
+    """What is wrong with a tag's value, as struct(code, message); null if nothing is. m: its attribute map."""
+    tag, value = F.col("tag"), F.col("value")
+    out = F.when(tag == "#EXT-X-VERSION", F.when(version(value).isNull(), _problem("invalidVersion", "Invalid or unsupported EXT-X-VERSION value: ", value, ".")))
+    for which, tags in REQUIRED.items():
+        for name, rules in tags.items():
+            out = out.when((kind == which) & (tag == f"#{name}"), _attribute_problem(name, rules, m))
+    media = kind == "media"
+    number = F.col("line_no").cast("string")
+    for name in NUMBERS:
+        out = out.when(media & (tag == f"#{name}"), F.when(~value.rlike(r"^[+-]?\d{1,18}$"), _problem("invalidTagFormat", f"Invalid format for tag '{name}' at line ", number, ".")))
+    seconds = extinf_seconds(value)
+    out = out.when(media & (tag == "#EXTINF"), F.when(seconds.isNull(), _bad_value("EXTINF", "duration", value)))
+    out = out.when(media & (tag == "#EXT-X-BYTERANGE"), _range_problem(value))
+    return out.when(media & (tag == "#EXT-X-PROGRAM-DATE-TIME"), F.when(T.parse_iso8601(value).isNull(), _bad_value("EXT-X-PROGRAM-DATE-TIME", "date", value)))
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, kind, line_no, line, tag, value, is_uri, problem): lines() of every text with its kind, and
+    what is wrong with a line as struct(code, message). A text that is no playlist has one line, its
+    kind null. One pass without a shuffle."""
+    rows = docs.select(key, _trimmed(F.col(text)).alias("_l"))
+    kind, error = _kind_and_error(F.col("_l"))
+    rows = rows.select(key, kind.alias("kind"), error.alias("_e"), F.when(error.isNull(), F.col("_l")).otherwise(F.array(F.lit("#"))).alias("_l"))
+    said = reduce(lambda c, x: c.when(F.col("_e") == x[0], x[1]), SAID.items(), F.when(F.lit(False), ""))
+    listed = [f"#{t}" for tags in REQUIRED.values() for t in tags]
+    out = _numbered(rows, [key, "kind", "_e"])
+    out = out.withColumn("_m", F.when(F.col("tag").isin(listed), A.attribute_map(F.col("value"))))
+    known = F.col("kind").isNotNull() & F.col("value").isNotNull()
+    problem = F.when(F.col("kind").isNull(), _problem("", said).withField("code", F.col("_e"))).when(known, line_problem(F.col("kind"), F.col("_m")))
+    return out.withColumn("problem", problem).drop("_e", "_m")
+
+
+def problems(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, code, message) of each text that is refused: its first bad line, or else a STREAM-INF that no
+    URI follows or a missing target duration."""
+    d = scanned.groupBy(key).agg(
+        F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("line_no"))).alias("p"), F.first("kind").alias("kind"),
+        F.max(F.when((F.col("tag") == "#EXT-X-STREAM-INF") & F.col("value").isNotNull(), F.col("line_no"))).alias("_i"), F.max(F.when(F.col("is_uri"), F.col("line_no"))).alias("_u"),
+        F.bool_or((F.col("tag") == "#EXT-X-TARGETDURATION") & F.col("value").isNotNull()).alias("_t"),
+    )
+    waits = (F.col("kind") == "master") & (F.col("_i") > F.coalesce("_u", F.lit(0)))
+    no_uri = F.when(waits, _problem("missingURI", "Missing URI after EXT-X-STREAM-INF at line ", F.col("_i").cast("string"), "."))
+    no_target = F.when((F.col("kind") == "media") & ~F.coalesce("_t", F.lit(False)), _problem("missingRequiredTag", "Missing required tag: EXT-X-TARGETDURATION."))
+    return d.select(key, F.coalesce("p", no_uri, no_target).alias("p")).where("p is not null").select(key, "p.*")
+
+
+def extinf_seconds(value: Column) -> Column:
+    """The duration of an EXTINF's value; null if it is none."""
+    first = F.trim(F.substring_index(F.regexp_replace(value, "^,+", ""), ",", 1))
+    return F.when(first.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), first.try_cast("double"))
 
 
 def _last(tag: str, value: str = "value") -> Column:
@@ -98,7 +246,7 @@ def segments(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     g = g.withColumn("_km", A.attribute_map(F.col("_key"))).withColumn("_mm", A.attribute_map(F.col("_map")))
     m = F.col("_mm")
     return g.select(
-        key, (F.row_number().over(Window.partitionBy(key).orderBy("_g")) - 1).alias("pos"), F.trim(F.substring_index("_inf", ",", 1)).try_cast("double").alias("duration"),
+        key, (F.row_number().over(Window.partitionBy(key).orderBy("_g")) - 1).alias("pos"), extinf_seconds(F.col("_inf")).alias("duration"),
         F.when((F.instr("_inf", ",") > 0) & (title != ""), title).alias("title"), "uri", A.byte_range(F.col("_range")).alias("byte_range"), T.parse_iso8601(F.col("_date")).alias("date"), "discontinuity", "gap", key_struct(F.col("_km")).alias("key_tag"),
         F.when(F.col("_map").isNotNull(), F.struct(A.text_of(m, "URI").alias("uri"), A.byte_range(A.text_of(m, "BYTERANGE")).alias("byte_range"))).alias("map"), F.col("_rate").try_cast("long").alias("bitrate"),
     )
