@@ -11,13 +11,24 @@ from .sources.tags import recording
 
 
 def parse(docs: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, DataFrame]:
-    """Tables of whole texts: kinds, headers, segments, variants, renditions and the rest, by key."""
-    kinds = manifest.classify(docs, key, text, keep=[text])
-    rows = {k: manifest.lines(kinds.where(F.col("kind") == k), key, text) for k in ("master", "media")}
-    master, media = rows["master"], rows["media"]
+    """Tables of whole texts: kinds, headers, segments, variants, renditions and the rest, by key.
+
+    References to variables that a text defines by value are resolved in the URIs of segments, keys,
+    maps, variants, I-frame variants, renditions, session keys and session data; those of parts,
+    hints and reports are left as they stand. problems names the texts that are refused, and why.
+    """
+    scanned = manifest.scan(docs, key, text)
+    master, media = (scanned.where(F.col("kind") == k) for k in ("master", "media"))
+    own = lambda rows, table, *columns: manifest.resolved(table(rows, key), rows, columns, key)
     return {
-        "kinds": kinds.drop(text), "headers": manifest.media_headers(media, key), "segments": manifest.segments(media, key), "parts": manifest.parts(media, key), "date_ranges": manifest.date_ranges(media, key),
-        "variants": manifest.variants(master, key), "renditions": manifest.renditions(master, key), "iframe_variants": manifest.iframe_variants(master, key), "session_data": manifest.session_data(master, key),
+        "kinds": manifest.classify(docs, key, text), "problems": manifest.problems(scanned, key),
+        "headers": manifest.media_headers(media, key), "segments": own(media, manifest.segments, "uri", "key_tag.uri", "map.uri"),
+        "parts": manifest.parts(media, key), "date_ranges": manifest.date_ranges(media, key),
+        "preload_hints": manifest.preload_hints(media, key), "rendition_reports": manifest.rendition_reports(media, key),
+        "variants": own(master, manifest.variants, "uri"), "renditions": own(master, manifest.renditions, "uri"),
+        "iframe_variants": own(master, manifest.iframe_variants, "uri"), "session_data": own(master, manifest.session_data, "uri"),
+        "session_keys": own(master, manifest.session_keys, "uri"), "steering": manifest.steering(master, key),
+        "definitions": manifest.definitions(scanned, key),
     }
 
 

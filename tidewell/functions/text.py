@@ -83,16 +83,22 @@ def variable_names(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(NAME), 1)
 
 
-def resolve_variables(text: Column, values: Column, passes: int = 4) -> Column:
+#: Characters from which a text is not resolved any further: definitions that name each other twice would double it each time.
+MAX_RESOLVED = 1_000_000
+
+
+def resolve_variables(text: Column, values: Column) -> Column:
     """Replaces each {$name} that `values` (a map) defines; unknown references stay.
 
-    Definitions are applied in the order of their names, `passes` times, so nested references
-    resolve however the definitions are ordered.
+    Definitions are applied in the order of their names, over and over until nothing changes, as often as
+    there are definitions at most: chains of any length resolve however they are ordered, cycles end.
     """
     entries = F.array_sort(F.map_entries(values))
-    for _ in range(passes):
-        text = F.aggregate(entries, text, lambda t, e: F.replace(t, F.concat(F.lit("{$"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
-    return text
+    once = lambda t: F.aggregate(entries, t, lambda t, e: F.replace(t, F.concat(F.lit("{$"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
+    start = F.struct(text.alias("now"), F.lit(None).cast("string").alias("before"))
+    more = lambda s: s["now"].contains("{$") & ~s["now"].eqNullSafe(s["before"]) & (F.length(s["now"]) < MAX_RESOLVED)
+    passes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(entries)))
+    return F.aggregate(passes, start, lambda s, _: F.when(more(s), F.struct(once(s["now"]).alias("now"), s["now"].alias("before"))).otherwise(s))["now"]
 
 
 def unresolved(text: Column, values: Column) -> Column:

@@ -81,9 +81,9 @@ def last_known(df: DataFrame, keys: list[str], order: list[str], value: Column,
 
 def trailing(df: DataFrame, keys: list[str], order: Column, width: int, aggregates: dict[str, Callable[[object], Column]], span: int | None = None) -> DataFrame:
     """Aggregates over the rows of a key within `width` (in units of the whole-number `order`) before
-    each row, itself and ties included. Buckets of several widths, each with a copy of the rows just
-    before it, bound a task by time instead of by key."""
-    span = 8 * max(1, width)
+    each row, itself and ties included. Buckets of `span` (eight widths), each with a copy of the rows
+    just before it, bound a task by time instead of by key."""
+    span = max(span or 8 * width, width, 1)
     b = df.withColumn("_order_", order).withColumn("_home_", F.floor(F.col("_order_") / span).cast("long"))
     b = b.withColumn("_bucket_", F.explode(F.when((F.col("_home_") + 1) * span - F.col("_order_") <= width, F.array("_home_", F.col("_home_") + 1)).otherwise(F.array("_home_"))))
     w = Window.partitionBy(*keys, "_bucket_").orderBy("_order_").rangeBetween(-width, 0)

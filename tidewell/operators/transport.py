@@ -91,13 +91,15 @@ def push_totals(pushes: DataFrame, keys: list[str], order: str, size: str, laten
     )
 
 
-def fan_out(segments: DataFrame, destinations: DataFrame) -> DataFrame:
-    """Every segment for every destination. Destinations are a configuration: at most MAX_DESTINATIONS
-    are broadcast; more are refused, as a product of two large tables is no fan-out."""
-    n = destinations.limit(MAX_DESTINATIONS + 1).count()
-    if n > MAX_DESTINATIONS:
-        raise ValueError(f"more than {MAX_DESTINATIONS} destinations")
-    return segments.crossJoin(F.broadcast(destinations))
-
-
-MAX_DESTINATIONS = 1000
+#: Destinations that are broadcast, and parts of the segments that a larger set is sent to.
+MAX_DESTINATIONS, FAN_PARTS = 1000, 64
+
+
+def fan_out(segments: DataFrame, destinations: DataFrame, most: int = MAX_DESTINATIONS) -> DataFrame:
+    """Every segment for every destination. Up to `most` destinations are broadcast; a larger set is
+    dealt, whole, to each of FAN_PARTS parts of the segments and joined there, with spill."""
+    if destinations.limit(most + 1).count() <= most:
+        return segments.crossJoin(F.broadcast(destinations))
+    own = segments.withColumn("_part", F.expr(f"cast(pmod(xxhash64(struct(*)), {FAN_PARTS}) as int)"))
+    every = destinations.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(FAN_PARTS - 1))))
+    return own.join(every.hint("merge"), "_part").drop("_part")

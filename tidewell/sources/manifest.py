@@ -317,6 +317,20 @@ def definitions(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, "pos", F.coalesce(_t("NAME"), _t("IMPORT"), _t("QUERYPARAM")).alias("name"), F.when(kind == "value", F.coalesce(_t("VALUE"), F.lit(""))).alias("value"), kind.alias("kind")).where("kind is not null")
 
 
+def resolved(table: DataFrame, line_rows: DataFrame, columns: tuple[str, ...], key: str = "doc_id") -> DataFrame:
+    """table with the references in `columns` (of strings, or fields of structs) replaced by what the text
+    defines by value; the last definition of a name holds."""
+    d = definitions(line_rows, key).where("kind = 'value'")
+    last = d.groupBy(key, "name").agg(F.max_by("value", "pos").alias("value"))
+    values = last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_values"))
+    out = table.join(values, key, "left")
+    for c in columns:
+        holder, _, field = c.partition(".")
+        value = F.when(F.col("_values").isNotNull(), T.resolve_variables(F.col(c), F.col("_values"))).otherwise(F.col(c))
+        out = out.withColumn(holder, F.when(F.col(holder).isNotNull(), F.col(holder).withField(field, value)) if field else value)
+    return out.select(*table.columns)
+
+
 def date_ranges(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Date ranges with their X- attributes as a map; a bad END-DATE is null."""
     f = {"id": _t("ID"), "class": _t("CLASS"), "start_date": T.parse_iso8601(_t("START-DATE")), "end_date": T.parse_iso8601(_t("END-DATE")), "duration": A.double_of(F.col("attrs"), "DURATION"), "planned_duration": A.double_of(F.col("attrs"), "PLANNED-DURATION"), "end_on_next": _yes("END-ON-NEXT"), "client": F.map_filter("attrs", lambda k, _: k.startswith("X-"))}
