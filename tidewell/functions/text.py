@@ -94,7 +94,8 @@ def resolve_variables(text: Column, values: Column) -> Column:
     there are definitions at most: chains of any length resolve however they are ordered, cycles end.
     """
     entries = F.array_sort(F.map_entries(values))
-    once = lambda t: F.aggregate(entries, t, lambda t, e: F.replace(t, F.concat(F.lit("{$"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
+    put = lambda t, e: F.replace(t, F.concat(F.lit("{$"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit("")))
+    once = lambda t: F.aggregate(entries, t, lambda t, e: F.when(F.length(t) < MAX_RESOLVED, put(t, e)).otherwise(t))
     start = F.struct(text.alias("now"), F.lit(None).cast("string").alias("before"))
     more = lambda s: s["now"].contains("{$") & ~s["now"].eqNullSafe(s["before"]) & (F.length(s["now"]) < MAX_RESOLVED)
     passes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(entries)))
