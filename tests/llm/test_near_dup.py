@@ -126,9 +126,10 @@ def cliques_and_chains(rng):
     return [(7 * i % 1009, t) for i, t in enumerate(rng.sample(rows, len(rows)))]
 
 
-@pytest.mark.parametrize("levels", [near_dup.LEVELS, ()])
-def test_large_parts_against_all_pairs(spark, monkeypatch, levels):
+@pytest.mark.parametrize("paired,levels", [(1, near_dup.LEVELS), (4, near_dup.LEVELS), (4, ())])
+def test_large_parts_against_all_pairs(spark, monkeypatch, paired, levels):
     monkeypatch.setattr(near_dup, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(near_dup, "PAIRED", paired)
     monkeypatch.setattr(near_dup._true_links, "__defaults__", (levels,))
     rows = cliques_and_chains(random.Random(4))
     out = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}

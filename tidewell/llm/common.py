@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from ..stage import discard, mark, materialize, release, settle, shared_dir  # noqa: F401
 
+#: Links up to whose number their minima are broadcast; a minimum is two numbers.
+MAX_BROADCAST = 200_000
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder, through Spark's reader only."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -30,8 +34,9 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(a, b) links between bigint nodes -> (node, component), component = smallest node reachable.
 
     Alternating large-star and small-star steps.  Each takes a minimum for a node (partial
-    aggregation, so a hub of any degree costs one row per task) and a join back that adaptive
-    execution may split; nothing is gathered by node or on the driver except a checksum.
+    aggregation, so a hub of any degree costs one row per task) and a join back, with minima that are
+    broadcast up to MAX_BROADCAST links, and beyond that in a join that adaptive execution may split;
+    nothing is gathered by node or on the driver except a checksum.
     Nodes without links don't appear.  Null ends and loops are ignored.
     """
     e = (
@@ -47,17 +52,18 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         if state == seen or not state["n"]:
             break
         seen = state
+        sized = F.broadcast if state["n"] <= MAX_BROADCAST else (lambda minima: minima)
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         large = (
             both.where("b > a")
-            .join(least, "a")
+            .join(sized(least), "a")
             .select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
             .distinct()
         )
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         e = (
-            large.join(small, "a")
+            large.join(sized(small), "a")
             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
             .select("x.a", "x.b")
             .where("a <> b")

@@ -7,12 +7,12 @@ the key of table (i, j) is signature i of the one with signature j of the other.
 Documents that share a key are candidates.  Only the smallest id of a bucket is linked to the rest,
 first within each map task, so no bucket is ever gathered or paired up.  The connected parts of
 these links are then checked on full shingle sets, in blocks that count all their intersections as
-a matrix product; only a spanning forest of the true links leaves a task.  A part of one block is
-done then.  Of a larger one, every text goes into one block, the blocks' representatives (one for
-each group found) into blocks of their own, and a part that has become one group is done, whatever
-its size.  What is left is a chain of weak candidates: its members are sketched again by more rows,
-which break it into smaller parts, and so on; only at the last of LEVELS are all blocks of a part
-compared with each other, so no pair that meets in the tables is left out.
+a matrix product; only a spanning forest of the true links leaves a task.  The blocks of a part of
+up to PAIRED blocks are all compared with each other.  Of a larger one, every text goes into one
+block, the blocks' representatives (one for each group found) into blocks of their own, and a part
+that has become one group is done, whatever its size.  What is left is a chain of weak candidates:
+its members are sketched again by more rows, which break it into smaller parts, and so on; after the
+last of LEVELS all blocks of a part are compared, so no pair that meets in the tables is left out.
 
 Documents with equal shingle sets are one from the start (by a 128-bit hash of the set).
 """
@@ -32,7 +32,9 @@ from .common import connected_components, discard, mark, materialize
 U64 = np.uint64
 #: Bytes that are hashed at a time; longer texts are taken in pieces cut at white space.
 SPAN = 1 << 20
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK_DOCS, BLOCK_SHINGLES, PAIRED = 512, 1_000_000, 8
+#: Table keys that a worker makes at a time.
+KEYS_AT_ONCE = 600_000
 #: (rows, side) of the tables that break large parts up: they miss a pair of similarity 0.85 with a chance of 0.0005 % and 0.0006 %.
 LEVELS = ((5, 22), (8, 40))
 #: Parts of more than a block, up to which they are broadcast.
@@ -180,9 +182,10 @@ def candidate_links(sets: DataFrame, tensor: Tensor) -> DataFrame:
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, KEYS_AT_ONCE // tensor.side**2)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 sigs = np.frombuffer(b"".join(part.column(1).to_pylist()), U64).reshape(part.num_rows, -1)
                 nodes = part.column(0).to_numpy()
                 keys = mix(tensor.keys(sigs) ^ part.column(2).to_numpy().view(U64)[:, None])
@@ -284,31 +287,36 @@ def _true_links(docs: DataFrame, members: DataFrame, percent: int, size: int, le
     """Links (a, b) that connect whatever is linked within a part. docs: (node, text); members:
     (node, n, part), one row a node."""
     members = materialize(_blocks(members, "part"), "members")
-    texts = docs.join(members, "node")
-    if not members.where("nb > 1").limit(1).count():
-        return [_verified(texts.select("part", F.lit(0).alias("p"), F.lit(0).alias("q"), "node", "text", "nb"), percent, size)]
-    texts = materialize(texts, "texts")
-    if not levels:  # all pairs of a part's blocks
-        others = F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: j != F.col("i")))
-        pairs = texts.withColumn("i", _dealt()).withColumn("j", F.explode(others))
-        return [_verified(pairs.select("part", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "node", "text", "nb"), percent, size)]
-    # each text in one block
-    local = materialize(_verified(texts.select("part", _dealt().alias("p"), F.lit(0).alias("q"), "node", "text", "nb"), percent, size), "local")
-    large, texts = members.where("nb > 1").drop("nb"), texts.where("nb > 1").select("node", "text")
-    # one member of each group found there, in blocks of their own
-    groups = connected_components(local.where("nb > 1"), "groups")
-    least = materialize(_blocks(large.join(groups.where("node <> component"), "node", "left_anti"), "part"), "representatives")
-    across = texts.join(least, "node").select("part", _dealt(salt=1).alias("p"), F.lit(0).alias("q"), "node", "text", "nb")
+    # sorted with spill on both sides, at every size
+    texts = docs.join(members.hint("merge"), "node")
+    rounds = bool(levels) and members.where(F.col("nb") > PAIRED).limit(1).count() > 0
+    if rounds:
+        texts = materialize(texts, "texts")
+    # one block alone, with every other one, or (in rounds) on its own for now
+    others = F.when(F.col("nb") > PAIRED, F.array("i")) if rounds else F.when(F.lit(False), F.array("i"))
+    others = others.when(F.col("nb") > 1, F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: j != F.col("i"))).otherwise(F.array("i"))
+    pairs = texts.withColumn("i", _dealt()).withColumn("j", F.explode(others))
+    local = _verified(pairs.select("part", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "node", "text", "nb"), percent, size)
+    if not rounds:
+        return [local]
+    local = materialize(local, "local")
+    # there, a link is (member, smallest member of its group in the block)
+    many = F.col("nb") > PAIRED
+    large, texts = members.where(many).drop("nb"), texts.where(many).select("node", "text")
+    grouped = materialize(large.join(local.where(many).select(F.col("a").alias("node"), F.col("b").alias("first")), "node", "left"), "grouped")
+    # one member of each group found there, in blocks of their own; links again name the smallest
+    least = _blocks(grouped.where("first is null").drop("first"), "part")
+    across = texts.join(least.hint("merge"), "node").select("part", _dealt(salt=1).alias("p"), F.lit(0).alias("q"), "node", "text", "nb")
     across = materialize(_verified(across, percent, size), "across")
-    groups = connected_components(local.where("nb > 1").unionByName(across), "groups")
     # parts that are still several groups
-    grouped = large.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = materialize(grouped.groupBy("part").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("part"), "several")
+    named = grouped.withColumn("first", F.coalesce("first", "node")).join(across.select(F.col("a").alias("first"), "b"), "first", "left")
+    several = named.groupBy("part").agg(F.min(F.coalesce("b", "first")).alias("lo"), F.max(F.coalesce("b", "first")).alias("hi")).where("lo <> hi").select("part")
+    several = materialize(several, "several")
     n = several.limit(MAX_BROADCAST + 1).count()
     links = [local, across]
     if n:
         left = materialize(large.join(F.broadcast(several) if n <= MAX_BROADCAST else several, "part", "left_semi"), "left")
-        texts = materialize(texts.join(left, "node"), "texts")
+        texts = materialize(texts.join(left.hint("merge"), "node"), "texts")
         tensor = Tensor(*levels[0])
         finer = sketch(texts, "text", "node", size, tensor, extra="part").withColumnRenamed("key", "node").withColumnRenamed("extra", "part")
         again = connected_components(candidate_links(finer, tensor), "candidates").withColumnRenamed("component", "part")
