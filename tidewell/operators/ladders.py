@@ -23,6 +23,11 @@ KEY_FORMATS = {"widevine": "urn:uuid:edef8ba9-79d6-4ace-a3c8-27dcd51d21ed", "pla
 SYSTEM_IDS = {"widevine": "edef8ba9-79d6-4ace-a3c8-27dcd51d21ed", "playready": "9a04f079-9840-4286-ab92-e65be0885f95", "fairplay": "94ce86fb-07ff-4f43-adb8-93d2fa968ca2"}
 
 
+def system_id(system: Column) -> Column:
+    """The id of a content protection system."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in SYSTEM_IDS.items() for x in kv]), system)
+
+
 def _pick(x: Column, limits: tuple, values: tuple) -> Column:
     """values[i] for the first limit above x, the last value beyond all."""
     out = F.lit(values[-1])

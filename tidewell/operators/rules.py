@@ -54,11 +54,16 @@ def double_text(x: Column) -> Column:
 
 def video_layout(text: Column) -> Column:
     """struct(channels, projection) of a REQ-VIDEO-LAYOUT: the last known token of each kind; others are ignored."""
-    tokens = F.transform(F.split(text, ","), F.trim)
+    tokens = F.transform(F.split(text, ","), lambda t: F.trim(t))
     last = lambda *known: F.try_element_at(F.filter(tokens, lambda t: t.isin(*known)), F.lit(-1))
     return F.struct(last("CH-STEREO", "CH-MONO").alias("channels"), last("PROJ-RECT", "PROJ-EQUI", "PROJ-HEQU", "PROJ-PRIM", "PROJ-AIV").alias("projection"))
 
 
+def layout_fits(source: Column, target: Column) -> Column:
+    """Whether audio of `source` channels can be brought to `target` channels: never to more."""
+    return source >= target
+
+
 def master_findings(line_rows: DataFrame, key: str = "doc_id", variants: DataFrame | None = None) -> DataFrame:
     """Rules and recommendations for master playlists. variants: those of line_rows, if already scanned."""
     r = Report(key)

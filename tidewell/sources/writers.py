@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import struct
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .binary import box, full_box
 
 #: Unity matrix of movie and track headers.
@@ -67,6 +70,13 @@ def pssh(system_id: str, data: bytes) -> bytes:
     return full_box("pssh", 0, 0, bytes.fromhex(system_id.replace("-", "")), struct.pack(">I", len(data)), data)
 
 
+def pssh_hex(system_id: Column, data: Column) -> Column:
+    """The hex digits of pssh() of a column, without leaving the JVM."""
+    n = F.octet_length(data)
+    word = lambda c: F.lpad(F.lower(F.hex(c.cast("long"))), 8, "0")
+    return F.concat(word(n + 32), F.lit("7073736800000000"), F.replace(system_id, F.lit("-"), F.lit("")), word(n), F.lower(F.hex(data)))
+
+
 def splice_section(command: str, event_id: int = 0, out_of_network: bool = False, pts: int | None = None, duration: int | None = None) -> bytes:
     """A SCTE-35 section; its checksum is left as all ones, as specified."""
     stamp = lambda t: struct.pack(">BI", 0xFE | t >> 32 & 1, t & 0xFFFFFFFF)
