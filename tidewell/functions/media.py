@@ -192,6 +192,12 @@ def resample_linear(a: Column, source: int, target: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), at)).otherwise(F.array().cast("array<double>"))
 
 
+def simple_ratio(source: Column, target: Column) -> Column:
+    """Whether one of two positive rates is, within a thousandth, a whole multiple of the other."""
+    whole = lambda x: F.abs(x - F.round(x)) < 0.001
+    return F.when((source > 0) & (target > 0), whole(target / source) | whole(source / target)).otherwise(False)
+
+
 def true_peak(a: Column) -> Column:
     """Largest magnitude of the samples and of three cubic interpolations after each, edges repeated."""
     n = F.size(a)

@@ -9,8 +9,8 @@ NAME = r"\{\$([^}]+)\}"
 
 
 def decimal(x: Column, places: int = 3, trim: bool = True) -> Column:
-    """Seconds with `places` decimals; trailing zeros go, but one decimal stays, unless trim is off."""
-    text = F.format_string(f"%.{places}f", x.cast("double"))
+    """Seconds with `places` decimals; trailing zeros go, but one decimal stays, unless trim is off; null stays null."""
+    text = F.when(x.isNotNull(), F.format_string(f"%.{places}f", x.cast("double")))
     return F.regexp_replace(text, r"(\.\d+?)0+$", "$1") if trim else text
 
 
@@ -46,6 +46,13 @@ def vtt_time(seconds: Column, short: bool = False) -> Column:
     return _clock(F.floor(seconds * 1000).cast("long"), short)
 
 
+def cue(begin: Column, end: Column, text: Column, position: Column | None = None, align: Column | None = None) -> Column:
+    """A WebVTT cue of seconds, hours left out when zero; position in percent and alignment where not null."""
+    settings = [F.concat(F.lit(f" {name}:"), value.cast("string"), F.lit(end_)) for name, value, end_ in (("position", position, "%"), ("align", align, "")) if value is not None]
+    settings = [F.coalesce(x, F.lit("")) for x in settings]
+    return F.concat(vtt_time(begin, True), F.lit(" --> "), vtt_time(end, True), *settings, F.lit("\n"), text, F.lit("\n"))
+
+
 def ttml_time(seconds: Column) -> Column:
     """HH:MM:SS.mmm, milliseconds rounded."""
     return _clock(F.round(seconds * 1000).cast("long"), False)

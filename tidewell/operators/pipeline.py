@@ -102,3 +102,21 @@ def speed_factor(source: Column, spent: Column) -> Column:
 def presets(spark: SparkSession) -> DataFrame:
     """The quality presets as a table."""
     return spark.createDataFrame(M.QUALITY, "name string, width int, height int, video_rate long, audio_rate long")
+
+
+def ladder_masters(rungs: DataFrame, key: str) -> DataFrame:
+    """(key, text): the master playlist of each ladder (rows of presets()), by total bandwidth."""
+    from ..sources import sinks
+
+    none = F.lit(None).cast("string")
+    total = F.col("video_rate") + F.col("audio_rate")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(total, "name")) - 1
+    v = rungs.select(
+        key, place.alias("pos"), F.concat("name", F.lit("/playlist.m3u8")).alias("uri"), total.alias("bandwidth"), F.lit(None).cast("long").alias("average_bandwidth"), F.struct("width", "height").alias("resolution"),
+        F.lit(None).cast("double").alias("frame_rate"), *[none.alias(c) for c in ("codecs", "supplemental_codecs", "audio", "video", "subtitles", "closed_captions", "hdcp_level", "video_range", "video_layout")],
+    )
+    flags = ("is_default", "autoselect", "forced")
+    texts = ("type", "group_id", "name", "language", "assoc_language", "uri", "instream_id", "channels", "characteristics")
+    m = rungs.select(key).limit(0).select(key, F.lit(0).alias("pos"), *[none.alias(c) for c in texts], *[F.lit(False).alias(c) for c in flags])
+    heads = rungs.select(key).distinct().select(key, F.lit(7).alias("version"), F.lit(True).alias("independent_segments"))
+    return sinks.master_playlist(heads, m, v, key)

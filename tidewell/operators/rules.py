@@ -141,6 +141,11 @@ def required_version() -> Column:
     return F.greatest(use("decimals", 3), use("ranges", 4), use("iframes_only", 4), use("ivs", 2), use("formats", 5), F.when(F.col("maps") & ~F.col("iframes_only"), 6).otherwise(1), F.when(F.col("definitions") > 0, 8).otherwise(1))
 
 
+def required_version_master(hdcp: Column, definitions: Column, steering: Column) -> Column:
+    """The least version of a master playlist: 10 with steering, 8 with definitions, 7 with HDCP levels."""
+    return F.when(steering, 10).when(definitions, 8).when(hdcp, 7).otherwise(1)
+
+
 def media_findings(line_rows: DataFrame, key: str = "doc_id", segments: DataFrame | None = None) -> DataFrame:
     """Rules and recommendations for media playlists, low latency included. segments: those of
     line_rows, if already scanned. Headers and the join of both are written once."""

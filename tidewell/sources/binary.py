@@ -279,6 +279,12 @@ def splice_info(data: bytes) -> list[tuple]:
     return []
 
 
+def splice_info_of(rows: DataFrame, key: str, digits: str) -> DataFrame:
+    """(key, command, splice_id, ...) of sections in hex, with or without 0x; none for what is no section."""
+    raw = rows.select(key, F.unhex(F.regexp_replace(digits, "^0[xX]", "")).alias("_b"))
+    return rows_of(raw, key, "_b", SCTE.replace("event_id", "splice_id"), splice_info)
+
+
 def box(kind: str, *parts: bytes) -> bytes:
     """A box around its parts."""
     body = b"".join(parts)

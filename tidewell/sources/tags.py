@@ -68,6 +68,21 @@ def date_range_line() -> Column:
     return tag("DATERANGE", T.quoted("ID", C("id")), T.quoted("START-DATE", day("start_date")), T.quoted("CLASS", C("class")), T.quoted("END-DATE", day("end_date")), T.plain("DURATION", T.decimal(C("duration"))), T.plain("PLANNED-DURATION", T.decimal(C("planned_duration"))), T.flag("END-ON-NEXT", C("end_on_next")), F.when(F.size(client) > 0, F.array_join(client, ",")))
 
 
+def splice_attributes(section: Column, out_of_network: Column) -> Column:
+    """The DATERANGE attributes of a splice section (binary) as a map: its command, and OUT or IN."""
+    digits = F.concat(F.lit("0x"), F.hex(section))
+    return F.create_map(F.lit("SCTE35-CMD"), digits, F.when(out_of_network, "SCTE35-OUT").otherwise("SCTE35-IN"), digits)
+
+
+def description_line() -> Column:
+    """MEDIA of a row of audio descriptions (group_id, language, name, is_default, characteristics, uri)."""
+    yes = F.when(C("is_default"), "YES").otherwise("NO")
+    return tag(
+        "MEDIA", F.lit("TYPE=AUDIO"), T.quoted("GROUP-ID", C("group_id")), T.quoted("LANGUAGE", C("language")), T.quoted("NAME", C("name")), T.plain("DEFAULT", yes), F.lit("AUTOSELECT=YES"),
+        T.quoted("CHARACTERISTICS", C("characteristics")), T.quoted("URI", C("uri")),
+    )
+
+
 def low_latency_playlist(segments: DataFrame, parts: DataFrame, keys: list[str], target: float, part_target: float, open_segments: Column) -> DataFrame:
     """(keys, text): parts stand before the EXTINF of their segment; a segment that is open (or null
     duration) has parts only, and the part after the last is hinted. segments: (keys, segment, duration,

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .binary import box, full_box
 
@@ -84,13 +87,30 @@ def splice_section(command: str, event_id: int = 0, out_of_network: bool = False
         kind, flags = 5, 0x80 * out_of_network | 0x40 | 0x20 * (duration is not None) | 0x10 * (pts is None) | 0x0F
         body = struct.pack(">IBB", event_id, 0, flags) + (stamp(pts) if pts is not None else b"") + (stamp(duration) if duration is not None else b"") + struct.pack(">HBB", 0, 0, 0)
     elif command == "time_signal":
-        kind, body = 6, stamp(pts) if pts is not None else b"\x7f"
+        kind, body = 6, stamp(pts) if pts is not None else b"\x7e"
     else:
         kind, body = 0, b""
     head = struct.pack(">BHBIBBHB", 0xFC, 0x3000 | (11 + len(body) + 4), 0, 0, 0, 0, 0xFFF0 | len(body) >> 8, len(body) & 0xFF)
     return head + bytes([kind]) + body + struct.pack(">HI", 0, 0xFFFFFFFF)
 
 
+def written(rows: DataFrame, columns: list[str], make: Callable[..., bytes | None], name: str = "content") -> DataFrame:
+    """rows with the bytes that `make` writes from their columns: a file, section or frame a row."""
+    schema = StructType([*rows.schema.fields, StructField(name, BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([make(*v) for v in values], pa.binary())], [f.name for f in schema])
+
+    return rows.mapInArrow(run, schema)
+
+
+def splice_sections(rows: DataFrame, event: str, out: str, pts: str, duration: str) -> DataFrame:
+    """rows with `section`: a splice_insert of each."""
+    return written(rows, [event, out, pts, duration], lambda e, o, p, d: splice_section("splice_insert", e, o, p, d), "section")
+
+
 def bits(data: bytes):
     """A reader of bits and exp-Golomb codes."""
     at = 0
