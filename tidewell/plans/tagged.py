@@ -206,7 +206,7 @@ def required_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT event_id, value, event_id % 2 = 0 AS leaves, upper(printf('%08x', event_id)) AS id, trunc(value * 90000)::BIGINT AS t FROM events),
 b AS (SELECT *, CASE WHEN leaves THEN 'EF' ELSE '4F' END AS f, 'FE' || upper(printf('%08x', t)) AS stamp, 'FE' || upper(printf('%08x', 90000 * 30)) AS length FROM e),
-h AS (SELECT *, '0xFC30' || CASE WHEN leaves THEN '23' ELSE '1E' END || '0000000000000000FFF0' || CASE WHEN leaves THEN '14' ELSE '0F' END || '05' || id || '00' || f || stamp || CASE WHEN leaves THEN length ELSE '' END || '00000000' || '0000FFFFFFFF' AS x FROM b)
+h AS (SELECT *, '0xFC30' || CASE WHEN leaves THEN '23' ELSE '1E' END || '00000000000000FFF0' || CASE WHEN leaves THEN '14' ELSE '0F' END || '05' || id || '00' || f || stamp || CASE WHEN leaves THEN length ELSE '' END || '00000000' || '0000FFFFFFFF' AS x FROM b)
 SELECT event_id, x AS command, CASE WHEN leaves THEN x END AS leaving, CASE WHEN NOT leaves THEN x END AS returning, 'splice_insert' AS kind, event_id AS splice_id, leaves AS out_of_network, t AS pts, CASE WHEN leaves THEN 2700000 END::BIGINT AS ticks FROM h""")
 def splice_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.1.70, 2.1.71, 2.2.75, 2.9.80: splice sections written, put into date range attributes, and read back from their hex."""
