@@ -194,6 +194,63 @@ def access_units(nals: DataFrame, codec: str, key: str = "path") -> DataFrame:
     return r.groupBy(key, "access_unit").agg(F.count("*").alias("nals"), F.bool_or("_v").alias("_v"), F.bool_or(M.is_keyframe(F.lit(codec), F.col("nal_type"))).alias("keyframe")).where("_v").drop("_v")
 
 
+def protected_pieces(data: bytes, kind: str) -> list[tuple]:
+    """(position, piece, protected): the whole stream in order, cut where sample encryption begins and ends."""
+    regions, at = [], 0
+    if kind == "video":
+        starts = []
+        while (at := data.find(b"\0\0\0\1", at)) >= 0:
+            starts.append(at)
+            at += 4
+        for s, end in zip(starts, [*starts[1:], len(data)], strict=False):
+            if s + 4 < len(data) and data[s + 4] & 31 in (1, 5) and end - (s + 5) > 48:
+                regions.append((s + 5 + 32, end))
+    else:
+        while at < len(data) - 7:
+            if data[at] != 0xFF or data[at + 1] & 0xF0 != 0xF0:
+                at += 1
+                continue
+            n = (data[at + 3] & 3) << 11 | data[at + 4] << 3 | data[at + 5] >> 5
+            if n <= 0 or at + n > len(data):
+                break
+            regions.append((at + 7 + 16, at + n))
+            at += n
+    out, done = [], 0
+    for begin, end in regions:
+        end = begin + max(0, end - begin) // 16 * 16
+        if end > begin:
+            out += [(len(out), data[done:begin], False), (len(out) + 1, data[begin:end], True)]
+            done = end
+    return [*out, (len(out), data[done:], False)]
+
+
+def fragment_samples(data: bytes) -> list[tuple]:
+    """(sequence, track, sample, time, duration, offset, sync, payload) of a fragmented file's runs, as
+    media_segment() and muxed_segment() write them."""
+    out: list[tuple] = []
+    tree = boxes(data)
+    for moof in (b for b in tree if b[0] == "/moof"):
+        inside = [b for b in tree if moof[4] < b[4] < moof[4] + moof[5]]
+        sequence = next(struct.unpack_from(">I", b[7], 4)[0] for b in inside if b[1] == "mfhd")
+        for traf in (b for b in inside if b[1] == "traf"):
+            own = {b[1]: b[7] for b in inside if b[3] == traf[4]}
+            track, time = struct.unpack_from(">I", own["tfhd"], 4)[0], struct.unpack_from(">Q", own["tfdt"], 4)[0]
+            n, at = struct.unpack_from(">Ii", own["trun"], 4)
+            at += moof[4]
+            for i in range(n):
+                length, size, flags, offset = struct.unpack_from(">IIIi", own["trun"], 12 + 16 * i)
+                out.append((sequence, track, i, time, length, offset, not flags & 0x10000, data[at : at + size]))
+                at, time = at + size, time + length
+    return out
+
+
+FRAGMENT = "sequence long, track long, sample int, time long, duration long, composition long, sync boolean, payload binary"
+
+
+def fragment_table(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    return rows_of(files, key, content, FRAGMENT, fragment_samples)
+
+
 def to_annex_b(data: bytes) -> bytes:
     """Length-prefixed units to start codes."""
     out, at = bytearray(), 0
@@ -295,10 +352,24 @@ def full_box(kind: str, version: int, flags: int, *parts: bytes) -> bytes:
     return box(kind, struct.pack(">I", version << 24 | flags), *parts)
 
 
-def media_segment(sequence: int, track: int, base_time: int, samples: list[tuple[int, int, bool, bytes]], styp: bool = True) -> bytes:
-    """styp, moof and mdat of one run of samples: (duration, composition offset, sync, payload)."""
+def muxed_segment(sequence: int, tracks: list[tuple[int, int, list[tuple[int, int, bool, bytes]]]], styp: bool = True) -> bytes:
+    """styp, moof and mdat of a run of samples for each track: (track, base time, samples); a sample is
+    (duration, composition offset, sync, payload)."""
     flags = lambda sync: 0x02000000 if sync else 0x01010000
-    run = b"".join(struct.pack(">IIIi", d, len(p), flags(s), c) for d, c, s, p in samples)
-    moof = lambda offset: box("moof", full_box("mfhd", 0, 0, struct.pack(">I", sequence)), box("traf", full_box("tfhd", 0, 0x020000, struct.pack(">I", track)), full_box("tfdt", 1, 0, struct.pack(">Q", base_time)), full_box("trun", 1, 0x000F01, struct.pack(">Ii", len(samples), offset), run)))
+
+    def moof(first: int) -> bytes:
+        trafs, at = [], first
+        for track, base_time, samples in tracks:
+            run = b"".join(struct.pack(">IIIi", d, len(p), flags(s), c) for d, c, s, p in samples)
+            trafs.append(box("traf", full_box("tfhd", 0, 0x020000, struct.pack(">I", track)), full_box("tfdt", 1, 0, struct.pack(">Q", base_time)), full_box("trun", 1, 0x000F01, struct.pack(">Ii", len(samples), at), run)))
+            at += sum(len(p) for *_, p in samples)
+        return box("moof", full_box("mfhd", 0, 0, struct.pack(">I", sequence)), *trafs)
+
     head = moof(len(moof(0)) + 8)
-    return (box("styp", b"msdh", struct.pack(">I", 0), b"msdhmsix") if styp else b"") + head + box("mdat", *(p for *_, p in samples))
+    start = box("styp", b"msdh", struct.pack(">I", 0), b"msdhmsix") if styp else b""
+    return start + head + box("mdat", *(p for *_, samples in tracks for *_, p in samples))
+
+
+def media_segment(sequence: int, track: int, base_time: int, samples: list[tuple[int, int, bool, bytes]], styp: bool = True) -> bytes:
+    """styp, moof and mdat of one run of samples: (duration, composition offset, sync, payload)."""
+    return muxed_segment(sequence, [(track, base_time, samples)], styp)

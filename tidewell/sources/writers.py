@@ -42,6 +42,36 @@ def sample_entry(kind: str, codec: str = "", width: int = 0, height: int = 0, ra
     return box("stpp", start, b"http://www.w3.org/ns/ttml\0\0\0")
 
 
+def sample_tables(durations: list[int], sizes: list[int], chunks: list[tuple[int, int]], offsets: list[int] | None = None, sync: list[int] | None = None, wide: bool = False) -> list[bytes]:
+    """stts, stsc, stsz, stco (or co64 if wide), and ctts and stss if given. chunks: (offset, samples) of each;
+    sync: sample numbers from 1. Runs of equal values are written once, sizes that are all alike as one."""
+    def runs(values: list[int]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for v in values:
+            out = [*out[:-1], (out[-1][0] + 1, v)] if out and out[-1][1] == v else [*out, (1, v)]
+        return out
+
+    table = lambda name, rows, fields, version=0: full_box(name, version, 0, struct.pack(">I", len(rows)), *(struct.pack(f">{fields}", *r) for r in rows))
+    firsts = [(i + 1, n, 1) for i, (_, n) in enumerate(chunks) if i == 0 or chunks[i - 1][1] != n]
+    alike = len(set(sizes)) == 1
+    stsz = full_box("stsz", 0, 0, struct.pack(">II", sizes[0] if alike else 0, len(sizes)), b"" if alike else struct.pack(f">{len(sizes)}I", *sizes))
+    out = [table("stts", runs(durations), "II"), table("stsc", firsts, "III"), stsz, table("co64" if wide else "stco", [(at,) for at, _ in chunks], "Q" if wide else "I")]
+    if offsets is not None:
+        out.append(table("ctts", runs(offsets), "Ii", 1))
+    if sync is not None:
+        out.append(table("stss", [(s,) for s in sync], "I"))
+    return out
+
+
+def movie(handler: str, timescale: int, language: str, tables: list[bytes], duration: int = 0, payload: bytes = b"") -> bytes:
+    """A file of one track: ftyp, moov with the given sample tables, mdat."""
+    letters = [ord(c) - 96 for c in language]
+    mdhd = full_box("mdhd", 0, 0, struct.pack(">IIIIHH", 0, 0, timescale, duration, letters[0] << 10 | letters[1] << 5 | letters[2], 0))
+    hdlr = full_box("hdlr", 0, 0, b"\0" * 4, handler.encode(), b"\0" * 12, b"main\0")
+    track = box("trak", box("mdia", mdhd, hdlr, box("minf", box("stbl", *tables))))
+    return box("ftyp", b"isom", struct.pack(">I", 0)) + box("moov", track) + box("mdat", payload)
+
+
 def init_segment(tracks: list[dict], timescale: int = 1000) -> bytes:
     """ftyp and moov of tracks (id, kind, timescale, language and what sample_entry takes); for fMP4, CMAF
     audio and video, and IMSC1 text."""
