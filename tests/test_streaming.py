@@ -85,3 +85,30 @@ def test_windowed_bandwidth(spark, events):
     batch = e.groupBy(F.window(F.timestamp_seconds("at"), "1 day").alias("w"), "event_type").agg(F.sum("bytes").alias("b"))
     want = {(r.w.start, r.event_type): r.b for r in batch.collect()}
     assert got and all(want[g[0], g[2]] == g[3] for g in got)
+
+
+def test_new_files_of_any_name_are_read_once(spark, tmp_path):
+    """A file whose name sorts before those that were read is new all the same."""
+    from tidewell.sources import datasource
+
+    datasource.register(spark)
+    folder, frame = tmp_path / "in", binary.adts_header(2, 48000, 2, 5) + b"x" * 5
+    folder.mkdir()
+
+    def drain():
+        q = spark.readStream.format("adts").option("path", str(folder)).load().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        q.trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.path.rsplit("/", 1)[1] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    (folder / "b1").write_bytes(frame)
+    assert drain() == ["b1"]
+    (folder / "a2").write_bytes(frame)
+    assert drain() == ["a2", "b1"]
+
+
+def test_files_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.aac").write_bytes(binary.adts_header(2, 48000, 2, 5) + b"x" * 5)
+    frames = binary.adts_table(binary.stream_files(spark, str(tmp_path / "in")))
+    frames.writeStream.format("memory").queryName("streamed_files").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("streamed_files").count() == 1

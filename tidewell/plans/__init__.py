@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import binaries, delivery, manifests, scalars, tagged  # noqa: F401  (they register their queries)
+    from . import binaries, delivery, live, manifests, scalars, tagged  # noqa: F401  (they register their queries)
     from . import registry as q
 
     return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import binaries, delivery, manifests, scalars, tagged  # noqa: F401  (they register their queries)
+    from . import binaries, delivery, live, manifests, scalars, tagged  # noqa: F401  (they register their queries)
     from . import registry as q
 
     return dict(q.SQL)

@@ -214,7 +214,7 @@ def id3_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {LINES} SELECT k, CASE WHEN l_returnflag = 'A' THEN 257 ELSE 256 END AS pid, 9000 * (i + 1) + k AS pts, CASE WHEN l_returnflag <> 'A' AND l_linenumber % 2 = 0 THEN 9000 * (i + 1) + k - 100 END AS dts, true AS continuous, l_partkey % 700 + 1 AS bytes FROM l""")
 def transport_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.2.64–2.2.70, 2.10.26: transport segments of video and audio: tables, packets, headers with both times, read back."""
+    """2.2.64–2.2.70: transport segments of video and audio: tables, packets, headers with both times, read back."""
     def make(k: int, x: list[dict]) -> bytes:
         out = []
         for i, r in enumerate(x):

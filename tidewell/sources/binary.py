@@ -25,6 +25,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def stream_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of every file under a path as a stream: each is read once, when it is there."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
 def rows_of(files: DataFrame, key: str, content: str, schema: str, walk: Callable[[bytes], list[tuple]]) -> DataFrame:
     """(key, *schema): the rows that `walk` finds in each file's bytes; none for null content."""
     made = StructType.fromDDL(schema)

@@ -3,8 +3,9 @@
     spark.dataSource.register(AdtsSource)
     spark.read.format("adts").option("path", folder).load()
 
-A partition is a file; a stream's offset is the number of files seen, in the order of their names, so
-new files are read once.  Paths must be reachable from every executor.
+A partition is a file; a stream's offset names the files seen, so each new file is read once whatever
+its name.  Paths must be reachable from every executor as local or mounted ones; for stores that only
+Spark reads, binary.read_files() and binary.stream_files() feed the same walks.
 """
 
 from __future__ import annotations
@@ -49,13 +50,14 @@ class _Stream(DataSourceStreamReader):
         self.path, self.walk = path, walk
 
     def initialOffset(self) -> dict:
-        return {"files": 0}
+        return {"seen": []}
 
     def latestOffset(self) -> dict:
-        return {"files": len(_files(self.path))}
+        return {"seen": _files(self.path)}
 
     def partitions(self, start: dict, end: dict) -> list[FilePartition]:
-        return [FilePartition(p) for p in _files(self.path)[start["files"] : end["files"]]]
+        before = set(start["seen"])
+        return [FilePartition(p) for p in end["seen"] if p not in before]
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         return _Reader(self.path, self.walk).read(partition)

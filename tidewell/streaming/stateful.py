@@ -7,6 +7,7 @@ partitioned queue delivers them.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,8 +43,9 @@ def stateful(stream: DataFrame, keys: list[str], order: list[str], output: str,
 def live_segments(stream: DataFrame, keys: list[str], order: str, duration: str, keyframe: Column | None, target: float = 6.0, most: float | None = None, end: Column | None = None) -> DataFrame:
     """Segments as they close: (keys, segment_index, frames, duration, first_frame, last_frame, independent).
 
-    A row for which `end` holds is no frame: it closes the open segment of its key (the final flush).
-    A frame older than the last one of its key is rejected."""
+    A row for which `end` holds is no frame: it closes the open segment of its key, as a forced boundary
+    or the final flush; without an open one it does nothing. A frame older than the last one of its key
+    is rejected."""
     most = 1.5 * target if most is None else most
     rows = stream.withColumn("_cut", F.lit(True) if keyframe is None else F.coalesce(keyframe, F.lit(False))).withColumn("_end", F.lit(False) if end is None else F.coalesce(end, F.lit(False)))
 
@@ -51,7 +53,7 @@ def live_segments(stream: DataFrame, keys: list[str], order: str, duration: str,
         inner, open_, newest = state
         out = []
         if row["_end"]:
-            return (inner, None, newest), [open_] if open_ else []
+            return (((0.0, 0, open_[0] + 1), None, newest), [open_]) if open_ else (state, [])
         if newest is not None and row[order] < newest:
             return state, []
         d = float(row[duration] or 0.0)
@@ -154,3 +156,22 @@ def windowed_bandwidth(stream: DataFrame, keys: list[str], ts: str, size: Column
     """Bits a second by event-time window and key, late rows accepted up to the watermark; built-in state."""
     w = stream.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), *keys)
     return w.agg(F.sum(size).alias("bytes"), F.sum(F.greatest(seconds, F.lit(0.001))).alias("seconds")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "bytes", (F.col("bytes") * 8 / F.col("seconds")).alias("bps"))
+
+
+def drained(rows: DataFrame, make: Callable[[DataFrame], DataFrame], label: str, batches: int = 1) -> DataFrame:
+    """What a streaming operator gives for rows that are there already: they are written to the shared
+    folder, `batches` files one after the other along their first column (a number), each a micro-batch;
+    run through `make` until the input is used up; and the output table is read back."""
+    from ..stage import shared_dir
+
+    spark, at = rows.sparkSession, F.col(rows.columns[0])
+    top = f"{shared_dir(spark).rstrip('/')}/tidewell-{uuid.uuid4().hex}-{label}"
+    cuts = rows.approxQuantile(rows.columns[0], [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = rows if low is None else rows.where(at > low)
+        (part if high is None else part.where(at <= high)).coalesce(1).write.parquet(f"{top}/in/{i}")
+    read = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{top}/in")
+    stream = make(read)
+    writer = stream.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{top}/out")
