@@ -111,7 +111,7 @@ def sample_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 RATES = "CASE l_linenumber % 3 WHEN 0 THEN 44100 WHEN 1 THEN 48000 ELSE 16000 END"
 
 
-@query(f"""WITH {LINES} SELECT k, 3 + sum(l_partkey % 900 + 7) OVER (PARTITION BY k ORDER BY i) - (l_partkey % 900 + 7) AS "offset", l_partkey % 900 + 7 AS length, {RATES} AS sample_rate, 1 + l_suppkey % 2 AS channels FROM l""")
+@query(f"""WITH {LINES} SELECT k, (3 + sum(l_partkey % 900 + 7) OVER (PARTITION BY k ORDER BY i) - (l_partkey % 900 + 7))::BIGINT AS "offset", l_partkey % 900 + 7 AS length, {RATES} AS sample_rate, 1 + l_suppkey % 2 AS channels FROM l""")
 def adts_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.1.58, 2.9.72: AAC frames written with their headers behind three bytes of damage, and found again."""
     rates = (44100, 48000, 16000)

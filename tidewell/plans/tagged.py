@@ -63,7 +63,7 @@ def session_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(e, "doc_id").join(S.steering(rows).select("doc_id", "server_uri", "pathway_id"), "doc_id")
 
 
-@query("""SELECT s_suppkey AS doc_id, s_suppkey * 0.5 - 9 AS time_offset, s_suppkey % 2 = 0 AS precise, 'v' || s_nationkey AS name, CASE s_suppkey % 3 WHEN 0 THEN 'value' WHEN 1 THEN 'import' ELSE 'queryparam' END AS kind,
+@query("""SELECT s_suppkey AS doc_id, (s_suppkey * 0.5 - 9)::DOUBLE AS time_offset, s_suppkey % 2 = 0 AS precise, 'v' || s_nationkey AS name, CASE s_suppkey % 3 WHEN 0 THEN 'value' WHEN 1 THEN 'import' ELSE 'queryparam' END AS kind,
   CASE WHEN s_suppkey % 3 = 0 THEN s_name END AS value FROM supplier""")
 def start_and_define_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.1.30, 2.1.31, 2.2.26, 2.2.27: start offsets and the three kinds of definitions."""
