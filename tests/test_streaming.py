@@ -64,7 +64,7 @@ def test_alerts(spark, events):
     e, path = events
     got = run(spark, path, e.schema, lambda s: st.bandwidth_alerts(s, ["user_id"], "event_id", "at", "bytes", "value", 8000.0), "alr")
     m = transport.bandwidth(e, ["user_id"], (F.col("at") * 1_000_000).cast("long"), "bytes", F.col("value"), 10.0)
-    want = transport.bandwidth_alerts(m, ["user_id"], ["event_id"], F.lit(8000.0)).select("user_id", "event_id", "state")
+    want = transport.bandwidth_alerts(m, ["user_id"], "event_id", F.lit(8000.0)).select("user_id", "event_id", "state")
     assert [g[:3] for g in got] == rows(want)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +38,35 @@ def silence(windows: DataFrame, keys: list[str], index: str, rms: str, seconds:
     return out.withColumn("duration", F.col("end") - F.col("start")).where(F.col("duration") >= least).drop("_run")
 
 
+#: Samples that a filter takes at a time.
+CHUNK = 128
+
+
+@lru_cache(maxsize=8)
+def _section(b: tuple, a: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A second-order section over a chunk: what its samples and the state before give, as outputs and as
+    the state after."""
+    step, into = np.array([[-a[0], 1.0], [-a[1], 0.0]]), np.array([b[1] - a[0] * b[0], b[2] - a[1] * b[0]])
+    powers = [np.eye(2)]
+    for _ in range(CHUNK):
+        powers.append(step @ powers[-1])
+    response = np.array([b[0], *(powers[k][0] @ into for k in range(CHUNK - 1))])
+    place = np.subtract.outer(np.arange(CHUNK), np.arange(CHUNK))
+    outputs = np.where(place >= 0, response[np.maximum(place, 0)], 0.0)
+    return outputs, np.array([p[0] for p in powers[:CHUNK]]), np.array([powers[CHUNK - 1 - j] @ into for j in range(CHUNK)]), powers[CHUNK]
+
+
 def _biquad(x: np.ndarray, b: tuple, a: tuple) -> np.ndarray:
-    """One second-order section over each row of x."""
-    y = np.empty_like(x)
-    x1 = x2 = y1 = y2 = np.zeros(x.shape[0])
-    for i in range(x.shape[1]):
-        v = x[:, i]
-        out = b[0] * v + b[1] * x1 + b[2] * x2 - a[0] * y1 - a[1] * y2
-        x2, x1, y2, y1 = x1, v, y1, out
-        y[:, i] = out
-    return y
+    """One second-order section over each row of x, a chunk at a time with the state carried on."""
+    outputs, held, kept, after = _section(b, a)
+    n = x.shape[1]
+    padded = np.pad(x, ((0, 0), (0, -n % CHUNK)))
+    y, state = np.empty_like(padded), np.zeros((x.shape[0], 2))
+    for at in range(0, padded.shape[1], CHUNK):
+        part = padded[:, at : at + CHUNK]
+        y[:, at : at + CHUNK] = part @ outputs.T + state @ held.T
+        state = state @ after.T + part @ kept
+    return y[:, :n]
 
 
 def weighted_energy(samples: np.ndarray, rate: int) -> np.ndarray:

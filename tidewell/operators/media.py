@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .patterns import BUCKET, last_known
+from .patterns import BUCKET, last_known, running_sum
 
 
-def decode_times(runs: DataFrame, keys: list[str], order: str, count: str, delta: str) -> DataFrame:
+def decode_times(runs: DataFrame, keys: list[str], order: str, count: str, delta: str, bucket: int = BUCKET) -> DataFrame:
     """(keys, sample, dts, delta): one row per sample of the run-length table, samples from 0.
 
-    The runs' own prefix sums place each run; samples inside a run need none.
+    Prefix sums of the runs, in buckets of `order`, place each run; samples inside a run need none.
     """
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    r = runs.where(F.col(count) > 0).withColumn("_n", F.coalesce(F.sum(count).over(before), F.lit(0))).withColumn("_t", F.coalesce(F.sum(F.col(count) * F.col(delta)).over(before), F.lit(0)))
+    length = F.greatest(F.col(count), F.lit(0)).cast("long")
+    r = running_sum(runs, keys, order, length, "_n", bucket)
+    r = running_sum(r, keys, order, length * F.col(delta), "_t", bucket).where(F.col(count) > 0)
     s = r.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1)))
     return s.select(*keys, (F.col("_n") + F.col("_i")).cast("long").alias("sample"), (F.col("_t") + F.col("_i") * F.col(delta)).cast("long").alias("dts"), F.col(delta).cast("long").alias("delta"))
 

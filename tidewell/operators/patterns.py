@@ -44,14 +44,15 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], inputs: list[
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str, bucket: int = BUCKET, inclusive: bool = False) -> DataFrame:
-    """Sum of `value` over a key's earlier rows by `order` (a whole-number column, ties by no order).
+def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str, bucket: int = BUCKET, inclusive: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Sum of `value` over a key's earlier rows by `order` (a whole-number column) and then `ties`; rows
+    alike in both come in no order.
 
     Rows are summed inside buckets of the order column; the buckets' totals, few to a key, are summed
     across, and the two parts added.
     """
     b = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / bucket).cast("long"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inside = Window.partitionBy(*keys, "_b").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = b.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(across), F.lit(0))).drop("_t")
     return b.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0))).join(totals, [*keys, "_b"]).withColumn(name, F.col("_before") + F.col("_in")).select(*df.columns, name)
@@ -113,7 +114,7 @@ def range_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, be
     return p.join(s, [*keys, "_b"]).where((F.col(at) >= F.col(begin)) & (F.col(at) < F.col(end))).drop("_b")
 
 
-def islands(df: DataFrame, keys: list[str], order: str, inside: Column, name: str = "run") -> DataFrame:
+def islands(df: DataFrame, keys: list[str], order: str, inside: Column, name: str = "run", bucket: int = BUCKET) -> DataFrame:
     """Rows where `inside` holds, with a number for each run of consecutive `order` values."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.where(inside).withColumn(name, F.col(order) - F.row_number().over(w))
+    counted = running_sum(df.where(inside), keys, order, F.lit(1).cast("long"), "_place_", bucket, inclusive=True)
+    return counted.withColumn(name, F.col(order) - F.col("_place_")).drop("_place_")

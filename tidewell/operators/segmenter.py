@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .patterns import ordered_scan
+from .patterns import BUCKET, ordered_scan, running_sum
 
 
 def segment_start() -> tuple[float, int, int]:
@@ -72,12 +72,13 @@ def vod_cuts(samples: DataFrame, keys: list[str], order: str, duration: str, syn
     return ordered_scan(rows, keys, [order], ["_d", "_s"], "segment_index int", lambda: (0.0, -1), step).where("segment_index is not null").drop("_s", "_d")
 
 
-def interleaved(video: DataFrame, audio: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The union of two sets of frames with their place in presentation order; video first on ties."""
-    from pyspark.sql.window import Window
-
+def interleaved(video: DataFrame, audio: DataFrame, keys: list[str], at: str, bucket: int = BUCKET) -> DataFrame:
+    """The union of two sets of frames with their place in presentation order, from 1, by `at` (a whole
+    number); video first on ties. Places are counted in buckets of time."""
     both = video.withColumn("kind", F.lit("video")).unionByName(audio.withColumn("kind", F.lit("audio")))
-    return both.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(at, F.desc("kind"))))
+    rank = (F.col("kind") == "audio").cast("int")
+    counted = running_sum(both.withColumn("_rank", rank), keys, at, F.lit(1).cast("long"), "position", bucket, inclusive=True, ties=("_rank",))
+    return counted.drop("_rank")
 
 
 def align_audio(video: DataFrame, audio: DataFrame, keys: list[str], begin: str, end: str, at: str, index: str, width: float) -> DataFrame:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import media as M
-from .patterns import ordered_scan, trailing
+from .patterns import BUCKET, last_known, last_rows, ordered_scan, running_sum, trailing
 
 
 def bandwidth(samples: DataFrame, keys: list[str], micros: Column, size: str, seconds: Column, window: float = 10.0) -> DataFrame:
@@ -17,15 +16,15 @@ def bandwidth(samples: DataFrame, keys: list[str], micros: Column, size: str, se
     return out.withColumn("bps", F.when(F.col("_s") > 0, F.col("_b") * 8 / F.col("_s")).otherwise(F.lit(0.0))).drop("_bytes", "_secs", "_b", "_s")
 
 
-def bandwidth_alerts(measured: DataFrame, keys: list[str], order: list[str], required: Column, preset: str = "standard") -> DataFrame:
-    """Rows where the state (normal, insufficient, critical) changes, once enough samples are in."""
+def bandwidth_alerts(measured: DataFrame, keys: list[str], order: str, required: Column, preset: str = "standard", bucket: int = BUCKET) -> DataFrame:
+    """Rows where the state (normal, insufficient, critical) changes, once enough samples are in, by
+    `order` (a whole number); in buckets of row numbers."""
     _, alert, critical, least = M.BANDWIDTH[preset]
-    w = Window.partitionBy(*keys).orderBy(*order)
     ratio = F.col("bps") / required
     state = F.when(ratio < critical, "critical").when(ratio < alert, "insufficient").otherwise("normal")
-    rows = measured.withColumn("state", state).withColumn("_n", F.row_number().over(w)).where(F.col("_n") >= least)
-    before = F.coalesce(F.lag("state").over(w), F.lit("normal"))
-    return rows.withColumn("_before", before).where("state <> _before").drop("_n", "_before")
+    rows = last_rows(measured.withColumn("state", state), keys, order, 2, {"_before": lambda w: F.first("state").over(w)}, bucket, "_n")
+    before = F.when(F.col("_n") >= least, F.col("_before")).otherwise("normal")
+    return rows.where((F.col("_n") >= least - 1) & (F.col("state") != before)).drop("_n", "_before")
 
 
 def dashboard(destinations: DataFrame, keys: list[str], grade: str) -> DataFrame:
@@ -37,22 +36,25 @@ def dashboard(destinations: DataFrame, keys: list[str], grade: str) -> DataFrame
     )
 
 
-def abr_adjustments(recommendations: DataFrame, keys: list[str], order: list[str], direction: Column, needed: int = 3) -> DataFrame:
-    """Rows at which `needed` like recommendations have come in a row since the last adjustment."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+def abr_adjustments(recommendations: DataFrame, keys: list[str], order: str, direction: Column, needed: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """Rows at which `needed` like recommendations have come in a row since the last adjustment, by
+    `order` (a whole number); in buckets of row numbers."""
     r = recommendations.withColumn("direction", direction)
-    r = r.withColumn("_new", (~F.col("direction").eqNullSafe(F.lag("direction").over(w))).cast("int")).withColumn("_run", F.sum("_new").over(w))
-    r = r.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(*order)))
-    return r.where(F.col("_k") % needed == 0).drop("_new", "_run", "_k")
+    r = last_rows(r, keys, order, 2, {"_prior": lambda w: F.first("direction").over(w)}, bucket, "_n")
+    first = (F.col("_n") == 0) | ~F.col("direction").eqNullSafe(F.col("_prior"))
+    r = last_known(r, keys, ["_n"], F.when(first, F.col("_n")), "_start", bucket)
+    return r.where((F.col("_n") - F.col("_start") + 1) % needed == 0).drop("_n", "_prior", "_start")
 
 
-def failover(events: DataFrame, keys: list[str], order: list[str], failed: Column, recovered: Column, backups: Column) -> DataFrame:
+def failover(events: DataFrame, keys: list[str], order: str, failed: Column, recovered: Column, backups: Column, bucket: int = BUCKET) -> DataFrame:
     """The backup in use after each event: none until a failure, one further with each up to the last,
-    none again after a recovery."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    r = events.withColumn("_run", F.count_if(recovered).over(w))
-    n = F.count_if(failed).over(Window.partitionBy(*keys, "_run").orderBy(*order))
-    return r.withColumn("active_backup", F.when(n > 0, F.least(n - 1, backups - 1)).cast("int")).drop("_run")
+    none again after a recovery. Failures are summed in buckets of `order` (a whole number) and counted
+    from the last recovery."""
+    one = F.coalesce(failed, F.lit(False)).cast("long")
+    r = running_sum(events, keys, order, one, "_f", bucket, inclusive=True)
+    r = last_known(r, keys, [order], F.when(recovered, F.col("_f") - one), "_base", bucket)
+    n = F.col("_f") - F.coalesce("_base", F.lit(0))
+    return r.withColumn("active_backup", F.when(n > 0, F.least(n - 1, backups - 1)).cast("int")).drop("_f", "_base")
 
 
 def failure_policy(destinations: DataFrame, keys: list[str], failed: Column, primary: Column, policy: str) -> DataFrame:

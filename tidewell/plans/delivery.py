@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import media as M
 from ..functions import text as T
-from ..operators import crypto, ladders, playlists
+from ..operators import audio, crypto, ladders, playlists
 from ..operators.patterns import running_sum
 from ..sources import manifest as S
 from ..sources import tags, ttml
@@ -203,13 +203,30 @@ def resample_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", "i", F.round("sample", 6).alias("sample"))
 
 
-@query()
+#: The two weighting sections in SQL, of the sample x and the samples before.
+SECTION = "{b[0]} * {x} + {b[1]} * {x}1 + {b[2]} * {x}2 - ({a[0]}) * {y}1 - ({a[1]}) * {y}2"
+FIRST, SECOND = (SECTION.format(b=b, a=a, x=x, y=y) for (b, a), x, y in zip(audio.K_WEIGHTING[48000], "xy", "yz", strict=True))
+LEVEL = "(-0.691::DOUBLE + 10 * log10({0}))"
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, len(embedding) * 12 AS n FROM embeddings),
+f AS (SELECT vec_id, ch, e, n, -1 AS i, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS x2, 0.0::DOUBLE AS y1, 0.0::DOUBLE AS y2, 0.0::DOUBLE AS z1, 0.0::DOUBLE AS z2 FROM v, (VALUES (0), (1)) t(ch)
+  UNION ALL SELECT vec_id, ch, e, n, i + 1, x, x1, y, y1, {SECOND}, z1 FROM (SELECT *, {FIRST} AS y FROM (SELECT *, e[(2 * (i + 1) + ch) % len(e) + 1] AS x FROM f WHERE i < n - 1))),
+g AS (SELECT vec_id, i, any_value(n) AS n, avg(z1 * z1) AS en FROM f WHERE i >= 0 GROUP BY 1, 2),
+w AS (SELECT *, avg(en) OVER (PARTITION BY vec_id ORDER BY i ROWS 39 PRECEDING) AS m, avg(en) OVER (PARTITION BY vec_id ORDER BY i ROWS 299 PRECEDING) AS s FROM g),
+b AS (SELECT vec_id, m, {LEVEL.format('m')} AS l FROM w WHERE i >= 39 AND (i - 39) % 10 = 0 AND {LEVEL.format('m')} > -70),
+gate AS (SELECT vec_id, {LEVEL.format('avg(m)')} - 10 AS l FROM b GROUP BY 1),
+it AS (SELECT b.vec_id, {LEVEL.format('avg(m)')} AS integrated FROM b JOIN gate USING (vec_id) WHERE b.l > gate.l GROUP BY 1),
+h AS (SELECT vec_id, {LEVEL.format('s')} AS l FROM w WHERE i >= 299 AND (i - 299) % 100 = 0 AND {LEVEL.format('s')} > -70),
+k AS (SELECT h.vec_id, list_sort(list(h.l)) AS l FROM h JOIN (SELECT vec_id, avg(l) - 20 AS least FROM h GROUP BY 1) m USING (vec_id) WHERE h.l > least GROUP BY 1),
+t AS (SELECT vec_id, max(m) FILTER (WHERE i = n - 1) AS m, max(s) FILTER (WHERE i = n - 1) AS s FROM w GROUP BY 1)
+SELECT vec_id, round(integrated, 6) AS integrated, round(CASE WHEN len(l) > 1 THEN l[floor(len(l) * 0.95::DOUBLE)::BIGINT + 1] - l[floor(len(l) * 0.10::DOUBLE)::BIGINT + 1] ELSE 0 END, 6) AS "range", round({LEVEL.format('m')}, 6) AS momentary, round({LEVEL.format('s')}, 6) AS short_term
+FROM t LEFT JOIN it USING (vec_id) LEFT JOIN k USING (vec_id)""")
 def loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.5.20, 2.5.21, 2.6.34–2.6.37, 2.9.38: gated loudness; a recursive filter, so no SQL (tests hold it to a plain loop)."""
-    from ..operators import audio
-
-    v = load(spark, sf_dir, "embeddings").select("vec_id", F.flatten(F.array_repeat(C("embedding"), 8)).alias("samples"))
-    return audio.loudness(v, "vec_id", "samples", 2, 100)
+    """2.5.20, 2.5.21, 2.6.34–2.6.37, 2.9.38: gated loudness of stereo signals; the SQL filters sample by sample."""
+    v = load(spark, sf_dir, "embeddings").select("vec_id", F.flatten(F.array_repeat(C("embedding"), 24)).alias("samples"))
+    out = audio.loudness(v, "vec_id", "samples", 2, 100)
+    return out.select("vec_id", *[F.round(c, 6).alias(c) for c in ("integrated", "range", "momentary", "short_term")])
 
 
 @query("""WITH n AS (SELECT *, epoch_us(ts) AS us FROM events) SELECT user_id, event_id FROM n WHERE us BETWEEN 1704672000000000 AND 1705276800000000 AND NOT EXISTS (SELECT 1 FROM n d WHERE d.user_id = n.user_id AND d.event_type = 'purchase' AND d.value > 100)""")

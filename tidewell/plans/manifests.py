@@ -165,7 +165,7 @@ def line_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT c_custkey, c_name || ', ' || c_mktsegment AS name, c_nationkey::BIGINT AS nation, c_acctbal AS balance, c_nationkey % 2 = 0 AS even, NULL::BIGINT AS missing, c_custkey % 3000 || 'x' || 720 AS size FROM customer""")
 def attribute_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.1.6–2.1.16: attribute lists written and read."""
+    """2.1.6, 2.1.11–2.1.14, 2.1.16: attribute lists written and read."""
     c = load(spark, sf_dir, "customer")
     text = T.attribute_list(T.plain("NAME", F.lit("early")), T.quoted("NAME", F.concat("c_name", F.lit(", "), "c_mktsegment")), T.plain("NATION", F.col("c_nationkey")), T.plain("BALANCE", F.col("c_acctbal")), T.plain("EVEN", F.when(F.col("c_nationkey") % 2 == 0, "YES").otherwise("NO")), T.plain("BAD", F.lit("12a")), T.plain("RESOLUTION", F.concat((F.col("c_custkey") % 3000).cast("string"), F.lit("x720"))))
     m = c.select("c_custkey", A.attribute_map(text).alias("m"))

@@ -172,7 +172,7 @@ f AS (SELECT user_id, event_id, value, i, CASE WHEN sync THEN 0 ELSE -1 END AS s
     CASE WHEN e.sync AND (f.seg < 0 OR f.held >= 100) THEN e.value ELSE f.held + e.value END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
 SELECT user_id, seg AS segment_index, min(event_id) AS first_sample, count(*) AS samples, round(sum(value), 6) AS duration FROM f WHERE seg >= 0 GROUP BY 1, 2""")
 def vod_cut_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.6.7, 2.6.8, 2.12.11: VOD cutting at sync samples."""
+    """2.6.7, 2.6.8: VOD cutting at sync samples."""
     e = load(spark, sf_dir, "events").select("user_id", "event_id", "value", "event_type")
     cut = segmenter.vod_cuts(e, ["user_id"], "event_id", "value", F.col("event_type") == "view", 100.0)
     return cut.groupBy("user_id", "segment_index").agg(F.min("event_id").alias("first_sample"), F.count("*").alias("samples"), F.round(F.sum("value"), 6).alias("duration"))
@@ -183,12 +183,10 @@ s AS (SELECT track, run, delta, unnest(range(0, n)) AS i FROM r)
 SELECT track, (row_number() OVER w - 1)::BIGINT AS sample, coalesce(sum(delta) OVER (PARTITION BY track ORDER BY run, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS dts, delta::BIGINT AS delta
 FROM s WINDOW w AS (PARTITION BY track ORDER BY run, i)""")
 def sample_decode_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.6.9, 2.6.11, 2.1.50: run-length table to samples with decode times."""
-    from pyspark.sql.window import Window
-
+    """2.6.9, 2.6.11: run-length table to samples with decode times."""
     li = load(spark, sf_dir, "lineitem").withColumn("track", F.col("l_orderkey") % 500)
-    w = Window.partitionBy("track").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    runs = li.select("track", F.row_number().over(w).alias("run"), (F.col("l_quantity").cast("long") % 5).alias("n"), (F.col("l_linenumber") + 1000).alias("delta"))
+    numbered = running_sum(li, ["track"], "l_orderkey", F.lit(1).cast("long"), "run", 4096, inclusive=True, ties=("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    runs = numbered.select("track", "run", (F.col("l_quantity").cast("long") % 5).alias("n"), (F.col("l_linenumber") + 1000).alias("delta"))
     return media.decode_times(runs, ["track"], "run", "n", "delta")
 
 
@@ -222,7 +220,7 @@ def ordered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.4.6: video and audio in presentation order."""
     e = events(spark, sf_dir)
     take = lambda t: e.where(F.col("event_type") == t).select("user_id", "us")
-    return segmenter.interleaved(take("view"), take("click"), ["user_id"], "us")
+    return segmenter.interleaved(take("view"), take("click"), ["user_id"], "us", 86_400_000_000)
 
 
 BANDWIDTH_SQL = """WITH b AS (SELECT user_id, event_id, sum((value * 1000)::BIGINT) OVER w * 8 / sum(greatest(value / 10, 0.001)) OVER w AS bps
@@ -249,7 +247,7 @@ def bandwidth_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.6.39: changes of the alert state."""
     e = events(spark, sf_dir).withColumn("bytes", F.round(F.col("value") * 1000).cast("long"))
     m = transport.bandwidth(e, ["user_id"], F.col("us"), "bytes", F.get_json_object("props", "$.k").cast("long"), 172_800.0)
-    return transport.bandwidth_alerts(m, ["user_id"], ["event_id"], F.lit(8000.0)).select("user_id", "event_id", "state")
+    return transport.bandwidth_alerts(m, ["user_id"], "event_id", F.lit(8000.0), bucket=4096).select("user_id", "event_id", "state")
 
 
 GRADE_SQL = "CASE WHEN {0} > 0.9 THEN 'excellent' WHEN {0} > 0.7 THEN 'good' WHEN {0} > 0.5 THEN 'fair' WHEN {0} > 0.3 THEN 'poor' ELSE 'critical' END"
@@ -257,7 +255,7 @@ GRADE_SQL = "CASE WHEN {0} > 0.9 THEN 'excellent' WHEN {0} > 0.7 THEN 'good' WHE
 
 @query(f"SELECT event_id, {GRADE_SQL.format('(props::JSON->>chr(107))::BIGINT / 100')} AS grade FROM events")
 def quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.9.27, 2.7.6, 2.3.42."""
+    """2.9.27, 2.7.6."""
     return load(spark, sf_dir, "events").select("event_id", M.grade(F.get_json_object("props", "$.k").cast("long") / 100).alias("grade"))
 
 
@@ -280,7 +278,7 @@ def abr_adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.6.41: after two like recommendations in a row."""
     e = load(spark, sf_dir, "events").select("user_id", "event_id", "value")
     d = F.when(F.col("value") < 20, "decrease").when(F.col("value") > 60, "increase").otherwise("maintain")
-    return transport.abr_adjustments(e, ["user_id"], ["event_id"], d, 2).drop("value")
+    return transport.abr_adjustments(e, ["user_id"], "event_id", d, 2, 4096).drop("value")
 
 
 @query("""WITH r AS (SELECT *, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events),
@@ -289,7 +287,7 @@ SELECT user_id, event_id, (CASE WHEN n > 0 THEN least(n - 1, 2) END)::INT AS act
 def failover_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.6.50, 2.6.51, 2.4.14."""
     e = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    return transport.failover(e, ["user_id"], ["event_id"], F.col("event_type") == "error", F.col("event_type") == "purchase", F.lit(3)).drop("event_type")
+    return transport.failover(e, ["user_id"], "event_id", F.col("event_type") == "error", F.col("event_type") == "purchase", F.lit(3), 4096).drop("event_type")
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000 AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
@@ -419,7 +417,7 @@ j AS (SELECT p.user_id, start_us, f, arg_max(t_at, o) FILTER (WHERE k = 'close'
   count(*) FILTER (WHERE k = 'update' AND o > f) AS updates FROM p JOIN e USING (user_id) GROUP BY 1, 2, 3)
 SELECT user_id, start_us, end_us, CASE WHEN co IS NULL THEN 'open' WHEN eo > co THEN 'expired' ELSE 'closed' END AS state, updates FROM j""")
 def interval_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.10.13–2.10.17, 2.3.48: date ranges opened, updated, closed, expired."""
+    """2.10.13–2.10.17: date ranges opened, updated, closed, expired."""
     kind = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "open", "purchase", "close", "error", "expire", "click", "update", "signup", "none")]), F.col("event_type"))
     out = intervals.lifecycle(events(spark, sf_dir), ["user_id"], "event_id", kind, F.col("us"))
     return out.select("user_id", F.col("start").alias("start_us"), F.col("end").alias("end_us"), "state", "updates")
