@@ -48,7 +48,12 @@ class PrefixCounter:
             self.merged[a, b] = self.order[c]
         for i in self.order:
             self.by_bytes[bytes(bpe.byte_of[ch] for ch in bpe.token[i])] = i
-        self.longest = max(map(len, self.by_bytes))
+        #: The length of the longest entry that begins, or ends, in these three bytes.
+        self.begun: dict[bytes, int] = {}
+        self.reach: dict[bytes, int] = {}
+        for entry in sorted(self.by_bytes, key=len):
+            if len(entry) > 2:
+                self.begun[entry[:3]] = self.reach[entry[-3:]] = len(entry)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.counted: Cache = Cache(lambda piece: self.piece(piece.encode("utf-8", "replace")), CACHE_PIECES)
         #: unit -> its prefix table without the 0 at its start, as native 32-bit numbers.
@@ -86,13 +91,15 @@ class PrefixCounter:
     def piece(self, raw: bytes) -> list[int]:
         """counts[i] = number of tokens of raw[:i], for one piece of the pattern."""
         counts, last = [0], [-1]
-        find, longest, adjacent, known = self.by_bytes.get, self.longest, self.adjacent, self.pairs.get
+        find, adjacent, known, reach = self.by_bytes.get, self.adjacent, self.pairs.get, self.reach.get
+        first = self.begun.get(raw[:3], 2)
         for end in range(1, len(raw) + 1):
-            if end <= longest and (whole := find(raw[:end])) is not None:  # an entry encodes as itself
+            if end <= first and (whole := find(raw[:end])) is not None:  # an entry encodes as itself
                 counts.append(1)
                 last.append(whole)
                 continue
-            for start in range(end - longest if end > longest else 1, end):
+            low = end - reach(raw[end - 3 : end], 2) if end > 3 else 1
+            for start in range(low if low > 1 else 1, end):
                 if (token := find(raw[start:end])) is not None:
                     before = last[start]
                     fits = known((before, token))
@@ -156,14 +163,14 @@ class PrefixCounter:
         return total, at if fits < 0 else fits
 
     def _unit(self, unit: str) -> list[int]:
-        """The table of one unit; ASCII without a run of white space or a quote has no special tails."""
-        if not unit.isascii() or "'" in unit or unit[:2].isspace():
+        """The table of one unit; without a run of white space or a quote it has no special tails."""
+        if "'" in unit or unit[:2].isspace():
             return self._table(unit)
         first, *rest = self.bpe.words_of(unit)
-        out = self.piece(first.encode()) if not rest else list(self.counted[first])
+        out = self._chars(first, self.piece(first.encode("utf-8", "replace"))) if not rest else list(self._by_char(first))
         for piece in rest:
             total = out[-1]
-            out += [total + c for c in self.counted[piece][1:]]
+            out += [total + c for c in self._by_char(piece)[1:]]
         return out
 
     def _table(self, text: str) -> list[int]:
@@ -198,16 +205,17 @@ class PrefixCounter:
             at = end
         return out
 
+    @staticmethod
+    def _chars(piece: str, counts: list[int]) -> list[int]:
+        """Of counts by byte, those at the ends of code points."""
+        if len(counts) == len(piece) + 1:
+            return counts
+        following = piece.encode("utf-8", "replace")[1:] + b"\0"
+        return [0, *(c for c, b in zip(counts[1:], following, strict=True) if b & 0xC0 != 0x80)]
+
     def _by_char(self, piece: str) -> list[int]:
         """counts[i] = tokens of piece[:i], i in code points."""
-        counts = self.counted[piece]
-        if piece.isascii():
-            return list(counts)
-        at, out = 0, [0]
-        for ch in piece:
-            at += len(ch.encode("utf-8", "replace"))
-            out.append(counts[at])
-        return out
+        return self._chars(piece, self.counted[piece])
 
 
 @lru_cache(maxsize=2)
