@@ -97,15 +97,33 @@ def test_media_segment():
 
 
 def test_ttml(spark):
-    text = '<tt xml:lang="en"><body><p begin="00:00:01.000" end="00:00:03.000">Hello &amp; <b>you</b></p><p begin="00:00:01:12" end="00:00:02.5">x</p></body></tt>'
+    text = '<tt xml:lang="en"><body><p begin="00:00:01.000" end="00:00:03.000">Hello &amp; <span>you</span><b>!</b></p><p begin="00:00:01:12" end="00:00:02.5">x</p></body></tt>'
     df = spark.createDataFrame([(1, text), (2, "<p>no</p>"), (3, "<tt><p/></tt>"), (4, None)], "doc_id long, text string")
     rows = {(r.doc_id, r.pos): r for r in ttml.cues(df).collect()}
     assert (rows[1, 0].begin, rows[1, 0].end, rows[1, 0].text, rows[1, 0].error) == (1.0, 3.0, "Hello & you", None)
-    assert rows[1, 1].error == "invalidTimecode" and rows[2, None].error == "missingTT" and rows[3, None].error == "missingLanguage"
+    assert len(rows) == 4 and rows[1, 1].error == "invalidTimecode" and rows[2, None].error == "missingTT" and rows[3, None].error == "missingLanguage"
     back = ttml.cues(ttml.render(ttml.cues(df).where("error is null"))).first()
     assert (back.begin, back.end, back.text) == (1.0, 3.0, "Hello & you")
 
 
+def test_ttml_is_read_as_xml(spark):
+    text = """<?xml version='1.0'?><t:tt xmlns:t='http://www.w3.org/ns/ttml' xmlns:tts='s' xml:lang='de'><t:head><t:styling><t:style xml:id='s1' tts:color='red'/><t:style/></t:styling>
+<t:layout><t:region xml:id='r1' tts:origin='10% 80.5%' tts:extent='80% 10%'/><t:region xml:id='r2'/></t:layout></t:head><t:body><!-- <p begin='0:0:0' end='0:0:1'>no</p> --><t:div>
+<t:p begin='00:00:01' end='00:00:02' region='r1' style='s1'>&#39;a&quot; &amp;lt; <![CDATA[<b>]]></t:p><t:p begin='00:00:03'>no end</t:p></t:div></t:body></t:tt>"""
+    df = spark.createDataFrame([(1, text), (2, "<tt xml:lang='x'><p>"), (3, "no xml")], "doc_id long, text string")
+    rows = ttml.cues(df).orderBy("doc_id").collect()
+    assert [r.error for r in rows] == [None, "invalidXML", "invalidXML"]
+    assert (rows[0].text, rows[0].language, rows[0].region, rows[0].style) == ("'a\" &lt; <b>", "de", "r1", "s1")
+    assert [(r.id, r.x, r.y, r.width, r.height) for r in ttml.regions(df).orderBy("pos").collect()] == [("r1", 10.0, 80.5, 80.0, 10.0), ("r2", 0.0, 0.0, 0.0, 0.0)]
+    assert [(r.id, r.color, r.font_size) for r in ttml.styles(df).collect()] == [("s1", "red", None)]
+    back = ttml.render(ttml.cues(df).where("error is null"), "doc_id", "de", ttml.styles(df), ttml.regions(df))
+    assert "10% 80.50%" in back.first().text
+    again = ttml.cues(back).first()
+    assert (again.text, again.region, again.style, again.begin, again.end) == ("'a\" &lt; <b>", "r1", "s1", 1.0, 2.0)
+    assert ttml.styles(back).select("id", "color").collect() == ttml.styles(df).select("id", "color").collect()
+    assert ttml.regions(back).drop("pos").orderBy("id").collect() == ttml.regions(df).drop("pos").orderBy("id").collect()
+
+
 def test_encryption(spark):
     key, iv = bytes(range(16)), (7).to_bytes(16, "big")
     df = spark.createDataFrame([(7, b"payload"), (8, b"")], "seq long, data binary")

@@ -184,6 +184,27 @@ def ttml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(C("doc_id").alias("user_id"), "cues", "begins", "ends", F.array_join(F.transform("_t", lambda x: x["text"]), "|").alias("texts"))
 
 
+@query("""SELECT s_suppkey AS doc_id, s_suppkey + 1 AS sequence, s_suppkey * 1000 AS time, 2000::BIGINT AS duration, (s_suppkey + 0.25)::DOUBLE AS begin, (s_suppkey + 1.5)::DOUBLE AS "end", s_name || ' & ' || s_nationkey AS text, CASE WHEN s_suppkey % 2 = 0 THEN 'r1' END AS region, 's' || s_nationkey AS style,
+  's' || s_nationkey AS style_id, CASE WHEN s_suppkey % 3 = 0 THEN '#ff0000' END AS color, 'r1' AS region_id, (s_nationkey + 0.5)::DOUBLE AS x, 80.0::DOUBLE AS width FROM supplier""")
+def subtitle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.1.68, 2.2.48, 2.2.72: cues with styles and regions as documents, each the sample of a media segment, read back."""
+    from ..sources.binary import fragment_table
+
+    k = C("s_suppkey")
+    nation = C("s_nationkey").cast("string")
+    s = load(spark, sf_dir, "supplier").withColumn("doc_id", k)
+    cue = s.select("doc_id", (k + 0.25).alias("begin"), (k + 1.5).alias("end"), F.concat("s_name", F.lit(" & "), nation).alias("text"), F.when(k % 2 == 0, "r1").alias("region"), F.concat(F.lit("s"), nation).alias("style"))
+    none = F.lit(None).cast("string")
+    style = s.select("doc_id", F.lit(0).alias("pos"), F.concat(F.lit("s"), nation).alias("id"), *[(F.when(k % 3 == 0, "#ff0000") if c == "color" else none).alias(c) for c in ttml.STYLE])
+    region = s.select("doc_id", F.lit(0).alias("pos"), F.lit("r1").alias("id"), (C("s_nationkey") + 0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(80.0).alias("width"), F.lit(10.0).alias("height"))
+    docs = ttml.render(cue, "doc_id", "en", style, region).select("doc_id", "text", (C("doc_id") + 1).alias("sequence"), (C("doc_id") * 1000).alias("at"), F.lit(2000).cast("long").alias("length"))
+    files = ttml.segments(docs, "sequence", "at", "length").select("doc_id", "content")
+    read = fragment_table(files, "doc_id").select("doc_id", "sequence", "time", "duration", C("payload").cast("string").alias("text"))
+    back = ttml.cues(read).select("doc_id", "begin", "end", "text", "region", "style")
+    looks = ttml.styles(read).select("doc_id", C("id").alias("style_id"), "color").join(ttml.regions(read).select("doc_id", C("id").alias("region_id"), "x", "width"), "doc_id")
+    return read.drop("text").join(back, "doc_id").join(looks, "doc_id")
+
+
 @query(f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 f AS (SELECT vec_id, list_transform(range(1, len(e) + 1), lambda i: list_aggregate(e[greatest(1, i - 1):least(len(e), i + 1)], 'sum') / len(e[greatest(1, i - 1):least(len(e), i + 1)])) AS e FROM v)
 SELECT vec_id, {LISTS.format('list_transform(range(0, ceil(len(e) * 16000.0 / 48000)::BIGINT), lambda i: e[i * 3 + 1])')} AS samples FROM f""")
