@@ -61,6 +61,14 @@ def segment(frames: DataFrame, keys: list[str], order: str, duration: str, keyfr
     return rows, recording(rows, keys, "segment_index", True, init="init.mp4")
 
 
+def segment_files(samples: DataFrame, keys: list[str], order: str, duration: str, payload: str, sync: str, target: float = 6.0, container: str = "fmp4", timescale: int = 90000) -> DataFrame:
+    """(keys, segment_index, content, samples, ticks): finished streams cut at sync samples, each segment
+    written as fragmented MP4 or transport stream."""
+    cut = segmenter.vod_cuts(samples, keys, order, duration, F.col(sync), target)
+    ready = cut.withColumn("_ticks", F.round(F.col(duration) * timescale).cast("long"))
+    return segmenter.vod_files(ready, keys, order, "_ticks", payload, sync, container, timescale)
+
+
 def encrypt(segments: DataFrame, payload: str, key: Column, sequence: str) -> DataFrame:
     """segments with encrypted payloads, the IV of each from its sequence number."""
     return crypto.encrypt(segments, payload, key, crypto.iv_bytes(F.col(sequence)))

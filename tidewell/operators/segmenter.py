@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,3 +89,38 @@ def align_audio(video: DataFrame, audio: DataFrame, keys: list[str], begin: str,
 
     inside = range_join(audio.select(*keys, at, index), video, keys, at, begin, end, width)
     return inside.groupBy(*keys, begin, end).agg(F.min(index).alias("first_sample"), F.max(index).alias("last_sample"), F.count("*").alias("samples"))
+
+
+def vod_files(cut: DataFrame, keys: list[str], order: str, ticks: str, payload: str, sync: str, container: str = "fmp4", timescale: int = 90000) -> DataFrame:
+    """(keys, segment_index, content, samples, ticks): the bytes of each segment of vod_cuts(), as fragmented
+    MP4 or transport stream (one video track). ticks: a sample's duration on the clock `timescale`.
+
+    A segment starts at the sum of the ticks before it, which is taken over segments, not samples; a
+    task holds the samples of one segment.
+    """
+    from pyspark.sql.window import Window
+
+    from ..sources import transport_stream
+    from ..sources.binary import media_segment
+
+    length = cut.groupBy(*keys, "segment_index").agg(F.sum(ticks).alias("_length"))
+    before = Window.partitionBy(*keys).orderBy("segment_index").rowsBetween(Window.unboundedPreceding, -1)
+    starts = length.withColumn("_start", F.coalesce(F.sum("_length").over(before), F.lit(0))).drop("_length")
+    rows = cut.join(starts, [*keys, "segment_index"]).select(*keys, "segment_index", "_start", F.col(order).alias("_o"), F.col(ticks).cast("long").alias("_d"), F.col(payload).cast("binary").alias("_p"), F.col(sync).cast("boolean").alias("_k"))
+    kinds = ", ".join(f"`{k}` {cut.schema[k].dataType.simpleString()}" for k in keys)
+
+    def write(table: pa.Table) -> pa.Table:
+        own = sorted(table.select(["_o", "_d", "_p", "_k"]).to_pylist(), key=lambda r: r["_o"])
+        at, index = table.column("_start")[0].as_py(), table.column("segment_index")[0].as_py()
+        if container == "fmp4":
+            content = media_segment(index + 1, 1, at, [(r["_d"], 0, r["_k"], r["_p"] or b"") for r in own])
+        else:
+            frames, t = [], at
+            for r in own:
+                frames.append((transport_stream.VIDEO, t * 90000 // timescale, None, r["_k"], r["_p"] or b""))
+                t += r["_d"]
+            content = transport_stream.segment(frames)
+        head = [table.column(k).slice(0, 1).combine_chunks() for k in [*keys, "segment_index"]]
+        return pa.table([*head, pa.array([content], pa.binary()), pa.array([len(own)], pa.int64()), pa.array([sum(r["_d"] for r in own)], pa.int64())], [*keys, "segment_index", "content", "samples", "ticks"])
+
+    return rows.groupBy(*keys, "segment_index").applyInArrow(write, f"{kinds}, segment_index int, content binary, samples long, ticks long")

@@ -10,6 +10,7 @@ from ..functions import media as M
 from ..operators import crypto, intervals, pipeline, playlists, segmenter, transport
 from ..sources import binary as B
 from ..sources import tags
+from ..sources import transport_stream as TS
 from ..sources import writers as W
 from ..streaming import stateful
 from .registry import LIVE_SQL, load, query
@@ -150,13 +151,41 @@ s AS (SELECT user_id, seg, count(*) AS samples, sum(value) AS d FROM f WHERE seg
 SELECT user_id, count(*) AS segments, sum(samples)::BIGINT AS samples, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || chr(10) || '#EXT-X-TARGETDURATION:' || ceil(max(d))::BIGINT || chr(10) || '#EXT-X-PLAYLIST-TYPE:VOD' || chr(10) || '#EXT-X-MAP:URI="init.mp4"' || chr(10)
   || string_agg('#EXTINF:' || printf('%.3f', d) || ',' || chr(10) || 'segment_' || seg || '.m4s' || chr(10), '' ORDER BY seg) || '#EXT-X-ENDLIST' || chr(10) AS text FROM s GROUP BY 1""")
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.12.6, 2.11.1, 2.12.15: the segment facade, its rows passed through a hook, and the playlist rendered from them."""
+    """2.11.1, 2.12.15: the segment facade, its rows passed through a hook, and the playlist rendered from them."""
     e = events(spark, sf_dir).select("user_id", "event_id", "value", "event_type")
     rows, text = engine.segment(e, ["user_id"], "event_id", "value", F.col("event_type") == "view", 60.0)
     seen = engine.transform(rows, lambda s: s.groupBy("user_id").agg(F.count("*").alias("segments"), F.sum("samples").alias("samples")))
     return seen.join(text, "user_id")
 
 
+VOD_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT user_id, event_id, event_type, value, i, CASE WHEN event_type = 'view' THEN 0 ELSE -1 END AS seg, CASE WHEN event_type = 'view' THEN value ELSE 0 END AS held FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.event_type, e.value, e.i, CASE WHEN e.event_type = 'view' AND (f.seg < 0 OR f.held >= 60) THEN f.seg + 1 ELSE f.seg END, CASE WHEN e.event_type = 'view' AND (f.seg < 0 OR f.held >= 60) THEN e.value ELSE f.held + e.value END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1),
+t AS (SELECT *, round(value * 1000)::BIGINT AS ticks FROM f WHERE seg >= 0),
+u AS (SELECT *, sum(ticks) OVER (PARTITION BY user_id ORDER BY event_id) - ticks AS begun FROM t)
+"""
+
+
+def vod_samples(spark: SparkSession, sf_dir: str, container: str) -> DataFrame:
+    """(user_id, segment_index, content) of events as samples, cut at views."""
+    e = events(spark, sf_dir).select("user_id", "event_id", "value", (F.col("event_type") == "view").alias("sync"), F.concat("event_type", F.lit("/"), F.col("event_id").cast("string")).cast("binary").alias("payload"))
+    return engine.segment_files(e, ["user_id"], "event_id", "value", "payload", "sync", 60.0, container, 1000).withColumn("path", F.struct("user_id", "segment_index"))
+
+
+@query(VOD_SQL + """SELECT user_id, seg AS segment_index, (seg + 1)::BIGINT AS sequence, begun::BIGINT AS time, ticks AS duration, event_type = 'view' AS sync, event_type || '/' || event_id AS payload FROM u""")
+def vod_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.12.11, 2.12.6: finished streams cut and written as fragmented MP4, every sample read back with its time."""
+    files = vod_samples(spark, sf_dir, "fmp4")
+    return B.fragment_table(files, "path").select("path.user_id", "path.segment_index", "sequence", "time", "duration", "sync", F.col("payload").cast("string").alias("payload"))
+
+
+@query(VOD_SQL + """SELECT user_id, seg AS segment_index, (begun * 90)::BIGINT AS pts, event_type || '/' || event_id AS payload FROM u""")
+def vod_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.12.12, 2.6.18: finished streams cut and written as transport streams, every unit read back with its time."""
+    files = vod_samples(spark, sf_dir, "ts")
+    return TS.unit_table(files, "path").select("path.user_id", "path.segment_index", "pts", F.col("payload").cast("string").alias("payload"))
+
+
 @query("""SELECT s_suppkey, true AS opened, octet_length(encode(s_name)) // 16 * 16 + 16 AS size, 'identity' AS provider FROM supplier""")
 def encrypted_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.12.8, 2.11.5, 2.11.7: payloads sealed by the facade with keys that a provider (any column) gives, and opened again."""
