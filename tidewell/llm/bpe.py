@@ -6,7 +6,7 @@ lowest-rank merge.  A merge changes three leaves, each in a logarithmic walk; th
 when the root holds no rank.  A word of n bytes takes O(n log n), however long it is.
 
 Texts are cut where no token can cross (white space), and a chunk's ids are kept for the next time
-it turns up in the same worker (at most CACHE_CHUNKS of them, then afresh).
+it turns up in the same worker (at most CACHE_CHUNKS of them, the last ones).
 """
 
 from __future__ import annotations
@@ -253,16 +253,20 @@ def load_bpe(path: str) -> Bpe:
 
 
 class Cache(dict):
-    """chunk -> make(chunk), emptied when full; long chunks aren't kept."""
+    """chunk -> make(chunk) of the last `limit` chunks or so; long ones aren't kept. A full half becomes
+    the older one, whose chunks move back when they turn up again, and replaces the one before."""
 
     def __init__(self, make: Callable[[str], object], limit: int = CACHE_CHUNKS):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.half, self.older = make, limit // 2, {}
 
     def __missing__(self, chunk: str):
-        value = self.make(chunk)
+        value = self.older.pop(chunk, None)
+        if value is None:
+            value = self.make(chunk)
         if len(chunk) <= 64:
-            if len(self) >= self.limit:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = value
         return value

@@ -27,7 +27,7 @@ from .common import slices, vocabulary
 _WHITE = regex.compile(r"\s+")
 _CONTRACTION = regex.compile(r"'(?:re|ve|ll)")
 #: Pairs of tokens and pieces of text whose result a worker keeps; units whose tables are joined at a time.
-_PAIRS, CACHE_PIECES, BLOCK_UNITS = 1_000_000, 600_000, 1 << 16
+_PAIRS, CACHE_PIECES, CACHE_UNITS, BLOCK_UNITS = 1_000_000, 600_000, 1_200_000, 1 << 16
 
 
 class PrefixCounter:
@@ -57,7 +57,7 @@ class PrefixCounter:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.counted: Cache = Cache(lambda piece: self.piece(piece.encode("utf-8", "replace")), CACHE_PIECES)
         #: unit -> its prefix table without the 0 at its start, as native 32-bit numbers.
-        self.units: Cache = Cache(lambda unit: array("i", self._unit(unit)[1:]).tobytes(), CACHE_PIECES)
+        self.units: Cache = Cache(lambda unit: array("i", self._unit(unit)[1:]).tobytes(), CACHE_UNITS)
 
     def adjacent(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b, joined, encode as just (a, b).
