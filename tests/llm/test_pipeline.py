@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, against brute force on the small tables."""
 
+import random
+
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -54,3 +56,27 @@ def test_odd_rows(spark, rows):
         assert out.columns == docs.columns
         out.collect()
     assert sum(r.start == 0 for r in corpus_pipeline.packing(spark, docs, SF).collect()) == len(rows)
+
+
+def test_clashing_columns_long_texts_and_ties(spark):
+    """Columns named like the operators' own, a text of megabytes, and copies that tie."""
+    rng = random.Random(3)
+    prose = lambda n: ". ".join(" ".join("".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(2, 8))) for _ in range(9)) for _ in range(n)) + "."
+    long, copy = prose(20_000), prose(30)
+    rows = [(1, long), (9, copy), (4, copy), (4, copy), (7, copy + " more words here"), (None, prose(30)), (12, None)]
+    extra = "key string, n int, node long, rep string, a int, score double, kept string, part int, text2 string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + extra
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "k", 1, 2, "r", 3, 0.0, "no", 4, "t") for d, t in rows], schema)
+    labels = load(spark, SF, "labels")
+    assert docs.select("doc_id").join(labels, "doc_id").count() >= 0
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialize(stage(spark, out, SF), "stage")
+        assert out.columns == docs.columns
+        assert all((r.key, r.n, r.node, r.kept, r.score) == ("k", 1, 2, "no", 0.0) for r in out.select("key", "n", "node", "kept", "score").collect())
+    clean = corpus_pipeline.quality_rules(spark, docs, SF)
+    assert sorted((r.doc_id or 0) for r in clean.collect()) == [0, 1, 4, 4, 7, 9]
+    single = corpus_pipeline.near_duplicates(spark, clean, SF)
+    assert sorted((r.doc_id or 0) for r in single.collect()) == [0, 1, 4]
+    pieces = corpus_pipeline.packing(spark, single, SF).collect()
+    assert {r.doc_id for r in pieces} == {None, 1, 4} and sum(r.start == 0 for r in pieces) == 3

@@ -189,7 +189,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, shrink: Shrinkage = Shrinkage()) -> DataFrame:
-    """docs that score at least `threshold`, in the columns of docs."""
+    """docs that score at least `threshold`, in the columns of docs, whatever their names.
+
+    Null and empty texts have the zero vector's score; null keys, ties at the threshold (kept) and
+    repeated rows are judged by their text alone, each row on its own; an empty table gives no rows.
+    Without labels of both classes every row scores 0.5. Scores are made from the texts a second time,
+    which costs less than writing vectors and texts side by side.
+    """
     model = train(materialize(text_features(docs), "vectors"), labels, folds, shrink)
     kind = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in docs.schema)
 
