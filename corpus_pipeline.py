@@ -54,7 +54,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each written as Parquet to the shared folder and read again.
-    What a stage wrote on its way, and its input, go once its output is written."""
+    What a stage wrote on its way, and its input, go once its output is written. An empty table gives
+    no rows; null keys pass every stage, null texts end at the first, repeated rows become one at the
+    third, ties of copies keep the smallest doc_id. Columns beyond those of documents pass, too."""
     docs, since = load(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name, since)
