@@ -44,7 +44,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     if a.command == "info":
         tables = engine.parse(docs)
-        tables["kinds"].join(tables["segments"].groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum("duration").alias("seconds")), "doc_id", "left").join(tables["variants"].groupBy("doc_id").agg(F.count("*").alias("variants")), "doc_id", "left").show(1000, False)
+        tables["kinds"].join(
+            tables["segments"].groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum("duration").alias("seconds")), "doc_id", "left"
+        ).join(tables["variants"].groupBy("doc_id").agg(F.count("*").alias("variants")), "doc_id", "left").show(1000, False)
         return 0
     found = engine.validate(docs, a.rules)
     rows = found.groupBy("doc_id", "severity", "rule_id", "field", "message").count().orderBy("doc_id", F.desc("severity"), "rule_id")

@@ -50,18 +50,26 @@ def regenerate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return generate(parse(docs, key, text), key)
 
 
-def segment(frames: DataFrame, keys: list[str], order: str, duration: str, keyframe: Column | None, target: float = 6.0, name: str = "segment_%d.m4s") -> tuple[DataFrame, DataFrame]:
+def segment(
+    frames: DataFrame, keys: list[str], order: str, duration: str, keyframe: Column | None, target: float = 6.0,
+    name: str = "segment_%d.m4s"
+) -> tuple[DataFrame, DataFrame]:
     """(segments, playlists) of finished streams: cut at sync samples, VOD playlists with ENDLIST."""
     from .functions.text import file_name
 
     sync = F.lit(True) if keyframe is None else keyframe
     cut = segmenter.vod_cuts(frames, keys, order, duration, sync, target)
-    rows = cut.groupBy(*keys, "segment_index").agg(F.count("*").alias("samples"), F.sum(duration).alias("duration"), F.min(order).alias("first_sample"))
+    rows = cut.groupBy(*keys, "segment_index").agg(
+        F.count("*").alias("samples"), F.sum(duration).alias("duration"), F.min(order).alias("first_sample")
+    )
     rows = rows.withColumn("uri", file_name(F.lit(name), F.col("segment_index"))).withColumn("discontinuity", F.lit(False))
     return rows, recording(rows, keys, "segment_index", True, init="init.mp4")
 
 
-def segment_files(samples: DataFrame, keys: list[str], order: str, duration: str, payload: str, sync: str, target: float = 6.0, container: str = "fmp4", timescale: int = 90000) -> DataFrame:
+def segment_files(
+    samples: DataFrame, keys: list[str], order: str, duration: str, payload: str, sync: str, target: float = 6.0, container: str = "fmp4",
+    timescale: int = 90000
+) -> DataFrame:
     """(keys, segment_index, content, samples, ticks): finished streams cut at sync samples, each segment
     written as fragmented MP4 or transport stream."""
     cut = segmenter.vod_cuts(samples, keys, order, duration, F.col(sync), target)

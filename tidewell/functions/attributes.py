@@ -14,7 +14,13 @@ def attribute_map(text: Column) -> Column:
     later duplicates win, nothing is unescaped."""
     # an unclosed quote swallows all that follows: cut there first
     whole = F.regexp_extract_all(text, F.lit(r'[^=,]+=(?:"[^"]*"|"[^"]*$|[^",][^,]*|(?=,|$))'), 0)
-    pairs = F.transform(whole, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.regexp_replace(F.substr(p, F.instr(p, "=") + 1), '^"|"$', "").alias("value")))
+    pairs = F.transform(
+        whole,
+        lambda p: F.struct(
+            F.trim(F.substring_index(p, "=", 1)).alias("key"),
+            F.regexp_replace(F.substr(p, F.instr(p, "=") + 1), '^"|"$', "").alias("value")
+        )
+    )
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
     return F.map_from_entries(last)
 
@@ -65,6 +71,8 @@ def problem(m: Column, tag: str, **kinds: str) -> Column:
     for name, kind in kinds.items():
         key = name.replace("_", "-")
         raw = text_of(m, key)
-        make = lambda code, key=key, raw=raw: F.struct(F.lit(code).alias("code"), F.lit(tag).alias("tag"), F.lit(key).alias("attribute"), raw.alias("value"))
+        make = lambda code, key=key, raw=raw: F.struct(
+            F.lit(code).alias("code"), F.lit(tag).alias("tag"), F.lit(key).alias("attribute"), raw.alias("value")
+        )
         checks += [F.when(raw.isNull(), make("missingRequiredAttribute")), F.when(rule[kind](m, key).isNull(), make("invalidAttributeValue"))]
     return F.coalesce(*checks)

@@ -15,7 +15,10 @@ RETRY = {"default": (3, 1.0, 2.0, 30.0), "aggressive": (5, 0.5, 1.5, 10.0), "con
 #: Window seconds, alert and critical ratio and least samples of the bandwidth presets.
 BANDWIDTH = {"standard": (10.0, 0.9, 0.5, 3), "aggressive": (5.0, 0.95, 0.5, 2), "conservative": (30.0, 0.8, 0.4, 5)}
 #: Name, width, height, video and audio bits a second of the quality presets.
-QUALITY = (("360p", 640, 360, 800_000, 64_000), ("480p", 854, 480, 1_400_000, 96_000), ("720p", 1280, 720, 2_800_000, 128_000), ("1080p", 1920, 1080, 5_000_000, 128_000), ("2160p", 3840, 2160, 14_000_000, 192_000))
+QUALITY = (
+    ("360p", 640, 360, 800_000, 64_000), ("480p", 854, 480, 1_400_000, 96_000), ("720p", 1280, 720, 2_800_000, 128_000),
+    ("1080p", 1920, 1080, 5_000_000, 128_000), ("2160p", 3840, 2160, 14_000_000, 192_000)
+)
 #: Loudness targets.
 LOUDNESS = {"podcast": -16.0, "music": -14.0, "broadcast": -23.0, "film": -24.0}
 
@@ -34,7 +37,9 @@ def grade_ordinal(name: Column) -> Column:
 
 def effective_grade(state: Column, quality: Column) -> Column:
     """A lost connection is critical; without a measurement a pending one is poor, a live one good."""
-    return F.when(state.isin("disconnected", "failed"), "critical").when(state.isin("connecting", "reconnecting"), F.coalesce(quality, F.lit("poor"))).otherwise(F.coalesce(quality, F.lit("good")))
+    return F.when(state.isin("disconnected", "failed"), "critical").when(
+        state.isin("connecting", "reconnecting"), F.coalesce(quality, F.lit("poor"))
+    ).otherwise(F.coalesce(quality, F.lit("good")))
 
 
 def backoff(attempt: Column, base: float = 1.0, growth: float = 2.0, longest: float = 30.0) -> Column:
@@ -64,7 +69,10 @@ def lufs(energy: Column) -> Column:
 def aspect_ratio(width: Column, height: Column) -> Column:
     """w:h in lowest terms."""
     # Euclid's steps as a fold; 64 suffice for any int
-    gcd = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(width.cast("long").alias("a"), height.cast("long").alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b"))))["a"]
+    gcd = F.aggregate(
+        F.sequence(F.lit(1), F.lit(64)), F.struct(width.cast("long").alias("a"), height.cast("long").alias("b")),
+        lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b")))
+    )["a"]
     return F.concat((width / gcd).cast("long").cast("string"), F.lit(":"), (height / gcd).cast("long").cast("string"))
 
 
@@ -91,7 +99,10 @@ def instream_id(standard: Column, service: Column) -> Column:
 def scale_preset(src_w: Column, src_h: Column, src_rate: Column, w: Column, h: Column, rate: Column) -> Column:
     """struct(width, height, rate) without upscaling: beyond the source in a dimension, the source's size and the lower rate."""
     over = (w > src_w) | (h > src_h)
-    return F.struct(F.when(over, src_w).otherwise(w).alias("width"), F.when(over, src_h).otherwise(h).alias("height"), F.when(over, F.least(rate, src_rate)).otherwise(rate).alias("rate"))
+    return F.struct(
+        F.when(over, src_w).otherwise(w).alias("width"), F.when(over, src_h).otherwise(h).alias("height"),
+        F.when(over, F.least(rate, src_rate)).otherwise(rate).alias("rate")
+    )
 
 
 def packed_language(code: Column) -> Column:
@@ -170,7 +181,14 @@ def mix(a: Column, matrix: list[list[float]]) -> Column:
     """Interleaved frames times a matrix (rows: outputs), clamped to full scale."""
     n_in = len(matrix[0])
     frames = F.sequence(F.lit(0), (F.size(a) / n_in).cast("int") - 1)
-    return F.flatten(F.transform(frames, lambda f: F.array(*[clamp(sum((F.get(a, f * n_in + i).cast("double") * g for i, g in enumerate(row) if g), F.lit(0.0))) for row in matrix])))
+    return F.flatten(
+        F.transform(
+            frames,
+            lambda f: F.array(
+                *[clamp(sum((F.get(a, f * n_in + i).cast("double") * g for i, g in enumerate(row) if g), F.lit(0.0))) for row in matrix]
+            )
+        )
+    )
 
 
 #: Left, right, centre, effects, left and right surround to stereo.
@@ -208,7 +226,9 @@ def true_peak(a: Column) -> Column:
         a0 = y3 - y2 - y0 + y1
         return F.abs(a0 * t**3 + (y0 - y1 - a0) * t**2 + (y2 - y0) * t + y1)
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda m, i: F.greatest(m, F.abs(x(i)), cubic(i, 0.25), cubic(i, 0.5), cubic(i, 0.75)))
+    return F.aggregate(
+        F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda m, i: F.greatest(m, F.abs(x(i)), cubic(i, 0.25), cubic(i, 0.5), cubic(i, 0.75))
+    )
 
 
 def rms(a: Column) -> Column:

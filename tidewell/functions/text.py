@@ -27,7 +27,9 @@ def parse_iso8601(text: Column) -> Column:
 
 def json_time(seconds: Column) -> Column:
     """An integer if integral and below a million, else one decimal."""
-    return F.when((seconds == F.floor(seconds)) & (seconds < 1e6), F.floor(seconds).cast("long").cast("string")).otherwise(F.format_string("%.1f", F.round(seconds, 1)))
+    return F.when(
+        (seconds == F.floor(seconds)) & (seconds < 1e6), F.floor(seconds).cast("long").cast("string")
+    ).otherwise(F.format_string("%.1f", F.round(seconds, 1)))
 
 
 def json_escape(text: Column) -> Column:
@@ -36,7 +38,10 @@ def json_escape(text: Column) -> Column:
 
 
 def _clock(ms: Column, short: bool) -> Column:
-    full = F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3600000).cast("long"), F.floor(ms / 60000).cast("long") % 60, F.floor(ms / 1000).cast("long") % 60, ms % 1000)
+    full = F.format_string(
+        "%02d:%02d:%02d.%03d", F.floor(ms / 3600000).cast("long"), F.floor(ms / 60000).cast("long") % 60,
+        F.floor(ms / 1000).cast("long") % 60, ms % 1000
+    )
     brief = F.format_string("%02d:%02d.%03d", F.floor(ms / 60000).cast("long") % 60, F.floor(ms / 1000).cast("long") % 60, ms % 1000)
     return F.when(ms < 3600000, brief).otherwise(full) if short else full
 
@@ -48,7 +53,10 @@ def vtt_time(seconds: Column, short: bool = False) -> Column:
 
 def cue(begin: Column, end: Column, text: Column, position: Column | None = None, align: Column | None = None) -> Column:
     """A WebVTT cue of seconds, hours left out when zero; position in percent and alignment where not null."""
-    settings = [F.concat(F.lit(f" {name}:"), value.cast("string"), F.lit(end_)) for name, value, end_ in (("position", position, "%"), ("align", align, "")) if value is not None]
+    settings = [
+        F.concat(F.lit(f" {name}:"), value.cast("string"), F.lit(end_)) for name, value,
+        end_ in (("position", position, "%"), ("align", align, "")) if value is not None
+    ]
     settings = [F.coalesce(x, F.lit("")) for x in settings]
     return F.concat(vtt_time(begin, True), F.lit(" --> "), vtt_time(end, True), *settings, F.lit("\n"), text, F.lit("\n"))
 
@@ -62,7 +70,10 @@ def parse_timecode(text: Column) -> Column:
     """Seconds of HH:MM:SS[.fraction]; null for anything else, frame counts included."""
     ok = text.rlike(r"^\d+:\d+:\d+(\.\d+)?$")
     p = F.split(text, ":")
-    return F.when(ok, F.try_element_at(p, F.lit(1)).cast("double") * 3600 + F.try_element_at(p, F.lit(2)).cast("double") * 60 + F.try_element_at(p, F.lit(3)).cast("double"))
+    return F.when(
+        ok,
+        F.try_element_at(p, F.lit(1)).cast("double") * 3600 + F.try_element_at(p, F.lit(2)).cast("double") * 60 + F.try_element_at(p, F.lit(3)).cast("double")
+    )
 
 
 def xml_escape(text: Column) -> Column:
@@ -106,7 +117,9 @@ def resolve_variables(text: Column, values: Column) -> Column:
     start = F.struct(text.alias("now"), F.lit(None).cast("string").alias("before"))
     more = lambda s: s["now"].contains("{$") & ~s["now"].eqNullSafe(s["before"]) & (F.length(s["now"]) < MAX_RESOLVED)
     passes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(entries)))
-    return F.aggregate(passes, start, lambda s, _: F.when(more(s), F.struct(once(s["now"]).alias("now"), s["now"].alias("before"))).otherwise(s))["now"]
+    return F.aggregate(
+        passes, start, lambda s, _: F.when(more(s), F.struct(once(s["now"]).alias("now"), s["now"].alias("before"))).otherwise(s)
+    )["now"]
 
 
 def unresolved(text: Column, values: Column) -> Column:

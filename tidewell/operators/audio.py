@@ -16,8 +16,14 @@ from .patterns import islands
 
 #: K-weighting biquads (b then a) for 44.1 kHz, and the 48 kHz set for every other rate.
 K_WEIGHTING = {
-    44100: (((1.53089120535743, -2.65065413033401, 1.16905863028857), (-1.66363794256169, 0.71268798052460)), ((1.0, -2.0, 1.0), (-1.98916967592870, 0.98919177890368))),
-    48000: (((1.53512485958697, -2.69169618940638, 1.19839281085285), (-1.69065929318241, 0.73248077421585)), ((1.0, -2.0, 1.0), (-1.99004745483398, 0.99007225036621))),
+    44100: (
+        ((1.53089120535743, -2.65065413033401, 1.16905863028857), (-1.66363794256169, 0.71268798052460)),
+        ((1.0, -2.0, 1.0), (-1.98916967592870, 0.98919177890368))
+    ),
+    48000: (
+        ((1.53512485958697, -2.69169618940638, 1.19839281085285), (-1.69065929318241, 0.73248077421585)),
+        ((1.0, -2.0, 1.0), (-1.99004745483398, 0.99007225036621))
+    ),
 }
 
 
@@ -25,7 +31,12 @@ def block_levels(blocks: DataFrame, samples: str) -> DataFrame:
     """blocks with rms, peak and true_peak of their samples; empty blocks are zero."""
     s = F.col(samples)
     some = F.size(s) > 0
-    return blocks.withColumns({"rms": F.when(some, M.rms(s)).otherwise(0.0), "peak": F.when(some, M.peak(s)).otherwise(0.0), "true_peak": F.when(some, M.true_peak(s)).otherwise(0.0)})
+    return blocks.withColumns(
+        {
+            "rms": F.when(some, M.rms(s)).otherwise(0.0), "peak": F.when(some, M.peak(s)).otherwise(0.0),
+            "true_peak": F.when(some, M.true_peak(s)).otherwise(0.0)
+        }
+    )
 
 
 def silence(windows: DataFrame, keys: list[str], index: str, rms: str, seconds: float, least: float = 1.0, threshold: float = -40.0) -> DataFrame:
@@ -34,7 +45,9 @@ def silence(windows: DataFrame, keys: list[str], index: str, rms: str, seconds:
     db = M.decibels(F.col(rms))
     w = windows.withColumn("_db", db)
     runs = islands(w, keys, index, F.coalesce(F.col("_db") < threshold, F.lit(True)), "_run")
-    out = runs.groupBy(*keys, "_run").agg((F.min(index) * F.lit(seconds)).alias("start"), ((F.max(index) + 1) * F.lit(seconds)).alias("end"), F.avg("_db").alias("mean_db"))
+    out = runs.groupBy(*keys, "_run").agg(
+        (F.min(index) * F.lit(seconds)).alias("start"), ((F.max(index) + 1) * F.lit(seconds)).alias("end"), F.avg("_db").alias("mean_db")
+    )
     return out.withColumn("duration", F.col("end") - F.col("start")).where(F.col("duration") >= least).drop("_run")
 
 
@@ -112,9 +125,15 @@ def loudness(streams: DataFrame, key: str, samples: str, channels: int, rate: in
             for s in batch.column(1).to_pylist():
                 x = np.array(s or [], np.float64)
                 frames = len(x) // channels
-                found = gated(weighted_energy(x[: frames * channels].reshape(frames, channels).T, rate), rate) if frames else dict.fromkeys(("integrated", "range", "momentary", "short_term"))
+                found = gated(
+                    weighted_energy(x[: frames * channels].reshape(frames, channels).T, rate), rate
+                ) if frames else dict.fromkeys(("integrated", "range", "momentary", "short_term"))
                 out.append([None if v is None or not math.isfinite(v) else float(v) for v in found.values()])
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in cols)], ["key", "integrated", "range", "momentary", "short_term"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, pa.float64()) for c in cols)], ["key", "integrated", "range", "momentary", "short_term"]
+            )
 
-    return streams.select(F.col(key).alias("key"), F.col(samples).alias("s")).mapInArrow(run, f"key {kind}, integrated double, range double, momentary double, short_term double").withColumnRenamed("key", key)
+    return streams.select(F.col(key).alias("key"), F.col(samples).alias("s")).mapInArrow(
+        run, f"key {kind}, integrated double, range double, momentary double, short_term double"
+    ).withColumnRenamed("key", key)

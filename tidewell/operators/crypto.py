@@ -41,7 +41,10 @@ def _open(piece: Column, key: Column, iv: Column) -> Column:
     return F.aes_decrypt(F.concat(iv, piece, padding), key, F.lit("CBC"), F.lit("PKCS"))
 
 
-def sample_crypt(files: DataFrame, kind: str, key: Column, iv: Column, decrypt: bool = False, name: str = "path", content: str = "content", out: str = "crypted") -> DataFrame:
+def sample_crypt(
+    files: DataFrame, kind: str, key: Column, iv: Column, decrypt: bool = False, name: str = "path", content: str = "content",
+    out: str = "crypted"
+) -> DataFrame:
     """(name, out): sample encryption of elementary streams, `video` (H.264 with 4-byte start codes: pictures
     from their 33rd payload byte on) or `audio` (ADTS: frames from their 17th payload byte on).
 

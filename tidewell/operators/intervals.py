@@ -17,7 +17,11 @@ def lifecycle(events: DataFrame, keys: list[str], order: str, kind: Column, at:
     j = e.join(opened, keys)
     closed = (F.col("_k") == "close") & (F.col("_o") > F.col("_last"))
     expired = (F.col("_k") == "expire") & (F.col("_o") > F.col("_last"))
-    s = j.groupBy(*keys, "start").agg(F.max_by(F.when(closed, F.col("_at")), F.when(closed, F.col("_o"))).alias("end"), F.bool_or(closed).alias("_c"), F.max(F.when(closed, F.col("_o"))).alias("_co"), F.max(F.when(expired, F.col("_o"))).alias("_eo"), F.count_if((F.col("_k") == "update") & (F.col("_o") > F.col("_first"))).alias("updates"))
+    s = j.groupBy(*keys, "start").agg(
+        F.max_by(F.when(closed, F.col("_at")), F.when(closed, F.col("_o"))).alias("end"), F.bool_or(closed).alias("_c"),
+        F.max(F.when(closed, F.col("_o"))).alias("_co"), F.max(F.when(expired, F.col("_o"))).alias("_eo"),
+        F.count_if((F.col("_k") == "update") & (F.col("_o") > F.col("_first"))).alias("updates")
+    )
     state = F.when(F.col("_c") & (F.col("_eo") > F.col("_co")), "expired").when(F.col("_c"), "closed").otherwise("open")
     return s.select(*keys, "start", "end", state.alias("state"), "updates")
 
@@ -41,7 +45,10 @@ def merge_short(chapters: DataFrame, keys: list[str], start: str, end: str, leas
         return (n + 1, a, b), n + 1
 
     marked = ordered_scan(chapters, keys, [start], [start, end], "chapter int", tuple, step)
-    return marked.groupBy(*keys, "chapter").agg(F.min(start).alias("start"), F.max_by(end, start).alias("end"), F.min_by(F.struct(*[c for c in chapters.columns if c not in keys]), start).alias("first"))
+    return marked.groupBy(*keys, "chapter").agg(
+        F.min(start).alias("start"), F.max_by(end, start).alias("end"),
+        F.min_by(F.struct(*[c for c in chapters.columns if c not in keys]), start).alias("first")
+    )
 
 
 def epochs_every(segments: DataFrame, index: Column, every: int, first: int | Column = 0) -> DataFrame:

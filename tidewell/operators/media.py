@@ -18,14 +18,19 @@ def decode_times(runs: DataFrame, keys: list[str], order: str, count: str, delta
     r = running_sum(runs, keys, order, length, "_n", bucket)
     r = running_sum(r, keys, order, length * F.col(delta), "_t", bucket).where(F.col(count) > 0)
     s = r.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1)))
-    return s.select(*keys, (F.col("_n") + F.col("_i")).cast("long").alias("sample"), (F.col("_t") + F.col("_i") * F.col(delta)).cast("long").alias("dts"), F.col(delta).cast("long").alias("delta"))
+    return s.select(
+        *keys, (F.col("_n") + F.col("_i")).cast("long").alias("sample"),
+        (F.col("_t") + F.col("_i") * F.col(delta)).cast("long").alias("dts"), F.col(delta).cast("long").alias("delta")
+    )
 
 
 def chunk_runs(stsc: DataFrame, keys: list[str], first: str, per: str, chunks: Column) -> DataFrame:
     """Expands (first chunk, samples per chunk) to (keys, chunk, samples), chunks from 1 up to `chunks`."""
     nxt = F.coalesce(F.lead(first).over(Window.partitionBy(*keys).orderBy(first)) - 1, chunks)
     r = stsc.withColumn("_last", nxt).where(F.col("_last") >= F.col(first))
-    return r.withColumn("chunk", F.explode(F.sequence(F.col(first).cast("long"), F.col("_last").cast("long")))).select(*keys, "chunk", F.col(per).cast("long").alias("samples"))
+    return r.withColumn(
+        "chunk", F.explode(F.sequence(F.col(first).cast("long"), F.col("_last").cast("long")))
+    ).select(*keys, "chunk", F.col(per).cast("long").alias("samples"))
 
 
 def sample_offsets(samples: DataFrame, keys: list[str], sample: str, size: str, chunk: str, offset: str) -> DataFrame:
@@ -42,11 +47,15 @@ def nearest_sync(samples: DataFrame, keys: list[str], sample: str, sync: Column,
     return known.join(first, keys).withColumn("nearest_sync", F.coalesce("_last", "_first", F.col(sample))).drop("_last", "_first")
 
 
-def presentation_times(samples: DataFrame, offsets: DataFrame, keys: list[str], sample: str, dts: str, order: str, count: str, offset: str) -> DataFrame:
+def presentation_times(
+    samples: DataFrame, offsets: DataFrame, keys: list[str], sample: str, dts: str, order: str, count: str, offset: str
+) -> DataFrame:
     """samples with pts: dts plus the run-length offset that covers the sample, none beyond the table."""
     from .patterns import range_join
 
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    runs = offsets.withColumn("_lo", F.coalesce(F.sum(count).over(before), F.lit(0)).cast("long")).withColumn("_hi", F.col("_lo") + F.col(count)).select(*keys, "_lo", "_hi", F.col(offset).alias("_off"))
+    runs = offsets.withColumn(
+        "_lo", F.coalesce(F.sum(count).over(before), F.lit(0)).cast("long")
+    ).withColumn("_hi", F.col("_lo") + F.col(count)).select(*keys, "_lo", "_hi", F.col(offset).alias("_off"))
     hit = range_join(samples, runs, keys, sample, "_lo", "_hi", 4096).select(*keys, sample, "_off")
     return samples.join(hit, [*keys, sample], "left").withColumn("pts", F.col(dts) + F.coalesce("_off", F.lit(0))).drop("_off")

@@ -19,7 +19,10 @@ from pyspark.sql.window import Window
 BUCKET = 1 << 20
 
 
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], output: str, start: Callable[[], object], step: Callable[..., tuple]) -> DataFrame:
+def ordered_scan(
+    df: DataFrame, keys: list[str], order: list[str], inputs: list[str], output: str, start: Callable[[], object],
+    step: Callable[..., tuple]
+) -> DataFrame:
     """df with the columns of `output` (a DDL) added: step(state, *inputs) -> (state, *outputs) along
     each key's rows in order. Rows stream through the worker; only the state is held."""
     added = StructType.fromDDL(output)
@@ -44,7 +47,10 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], inputs: list[
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str, bucket: int = BUCKET, inclusive: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
+def running_sum(
+    df: DataFrame, keys: list[str], order: str, value: Column, name: str, bucket: int = BUCKET, inclusive: bool = False,
+    ties: tuple[str, ...] = ()
+) -> DataFrame:
     """Sum of `value` over a key's earlier rows by `order` (a whole-number column) and then `ties`; rows
     alike in both come in no order.
 
@@ -55,10 +61,15 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name:
     inside = Window.partitionBy(*keys, "_b").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = b.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(across), F.lit(0))).drop("_t")
-    return b.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0))).join(totals, [*keys, "_b"]).withColumn(name, F.col("_before") + F.col("_in")).select(*df.columns, name)
+    return b.withColumn(
+        "_in", F.coalesce(F.sum("_v").over(inside), F.lit(0))
+    ).join(totals, [*keys, "_b"]).withColumn(name, F.col("_before") + F.col("_in")).select(*df.columns, name)
 
 
-def last_rows(df: DataFrame, keys: list[str], order: str, size: int, aggregates: dict[str, Callable[[object], Column]], bucket: int = BUCKET, ordinal: str | None = None) -> DataFrame:
+def last_rows(
+    df: DataFrame, keys: list[str], order: str, size: int, aggregates: dict[str, Callable[[object], Column]], bucket: int = BUCKET,
+    ordinal: str | None = None
+) -> DataFrame:
     """Aggregates over each row and the `size` - 1 before it, by a row number made of running sums, so that
     the rows of one key spread over buckets of row numbers. `ordinal` names that number, from 0, if it is kept."""
     name = ordinal or "_ordinal_"
@@ -76,17 +87,28 @@ def last_known(df: DataFrame, keys: list[str], order: list[str], value: Column,
     inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     known = F.when(F.col("_v").isNotNull(), F.struct(*order))
-    ends = b.groupBy(*keys, "_b").agg(F.max_by("_v", known).alias("_end")).withColumn("_before", F.last("_end", ignorenulls=True).over(across)).drop("_end")
-    return b.withColumn("_in", F.last("_v", ignorenulls=True).over(inside)).join(ends, [*keys, "_b"]).withColumn(name, F.coalesce("_in", "_before")).select(*df.columns, name)
+    ends = b.groupBy(*keys, "_b").agg(F.max_by("_v", known).alias("_end")).withColumn(
+        "_before", F.last("_end", ignorenulls=True).over(across)
+    ).drop("_end")
+    return b.withColumn(
+        "_in", F.last("_v", ignorenulls=True).over(inside)
+    ).join(ends, [*keys, "_b"]).withColumn(name, F.coalesce("_in", "_before")).select(*df.columns, name)
 
 
-def trailing(df: DataFrame, keys: list[str], order: Column, width: int, aggregates: dict[str, Callable[[object], Column]], span: int | None = None) -> DataFrame:
+def trailing(
+    df: DataFrame, keys: list[str], order: Column, width: int, aggregates: dict[str, Callable[[object], Column]], span: int | None = None
+) -> DataFrame:
     """Aggregates over the rows of a key within `width` (in units of the whole-number `order`) before
     each row, itself and ties included. Buckets of `span` (eight widths), each with a copy of the rows
     just before it, bound a task by time instead of by key."""
     span = max(span or 8 * width, width, 1)
     b = df.withColumn("_order_", order).withColumn("_home_", F.floor(F.col("_order_") / span).cast("long"))
-    b = b.withColumn("_bucket_", F.explode(F.when((F.col("_home_") + 1) * span - F.col("_order_") <= width, F.array("_home_", F.col("_home_") + 1)).otherwise(F.array("_home_"))))
+    b = b.withColumn(
+        "_bucket_",
+        F.explode(
+            F.when((F.col("_home_") + 1) * span - F.col("_order_") <= width, F.array("_home_", F.col("_home_") + 1)).otherwise(F.array("_home_"))
+        )
+    )
     w = Window.partitionBy(*keys, "_bucket_").orderBy("_order_").rangeBetween(-width, 0)
     for name, make in aggregates.items():
         b = b.withColumn(name, make(w))
@@ -100,7 +122,10 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
     """
     kind = StructType([right.schema[c] for c in take])
     both = left.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(kind).alias("_r")).unionByName(
-        right.select(*keys, F.col(right_at).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema).alias("_l"), F.struct(*take).alias("_r"))
+        right.select(
+            *keys, F.col(right_at).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema).alias("_l"),
+            F.struct(*take).alias("_r")
+        )
     )
     found = last_known(both, keys, ["_t", "_side"], F.col("_r"), "_f", bucket).where("_side = 1")
     return found.select(*[F.col(f"_l.{c}").alias(c) for c in left.columns], *[F.col(f"_f.{c}").alias(c) for c in take])

@@ -48,20 +48,29 @@ def audio_renditions(tracks: DataFrame, keys: list[str], order: str, fallback: b
     if not fallback:
         return t.withColumn("kind", F.lit("spatial"))
     both = t.withColumn("kind", F.explode(F.array(F.lit("spatial"), F.lit("stereo"))))
-    return both.withColumn("is_default", F.col("is_default") & (F.col("kind") == "spatial")).withColumn("uri", F.when(F.col("kind") == "stereo", fallback_uri(F.col("uri"))).otherwise(F.col("uri")))
+    return both.withColumn("is_default", F.col("is_default") & (F.col("kind") == "spatial")).withColumn(
+        "uri", F.when(F.col("kind") == "stereo", fallback_uri(F.col("uri"))).otherwise(F.col("uri"))
+    )
 
 
 def fallback_uri(uri: Column) -> Column:
     """The stereo twin of a spatial rendition's URI."""
     listed = uri.endswith(".m3u8")
     suffixed = F.when(listed, F.concat(F.replace(uri, F.lit(".m3u8"), F.lit("")), F.lit("_stereo.m3u8"))).otherwise(F.concat(uri, F.lit("_stereo")))
-    return F.when(uri.contains("atmos"), F.replace(uri, F.lit("atmos"), F.lit("stereo"))).when(uri.contains("spatial"), F.replace(uri, F.lit("spatial"), F.lit("stereo"))).otherwise(suffixed)
+    return F.when(uri.contains("atmos"), F.replace(uri, F.lit("atmos"), F.lit("stereo"))).when(
+        uri.contains("spatial"), F.replace(uri, F.lit("spatial"), F.lit("stereo"))
+    ).otherwise(suffixed)
 
 
 def session_keys(systems: DataFrame, system: str, uri: Column) -> DataFrame:
     """A session key for each content protection system: FairPlay by sample, the others by counter mode."""
     formats = F.create_map(*[F.lit(x) for kv in KEY_FORMATS.items() for x in kv])
-    return systems.withColumns({"method": F.when(F.col(system) == "fairplay", "SAMPLE-AES").otherwise("SAMPLE-AES-CTR"), "uri": uri, "key_format": F.element_at(formats, F.col(system)), "key_format_versions": F.lit("1")})
+    return systems.withColumns(
+        {
+            "method": F.when(F.col(system) == "fairplay", "SAMPLE-AES").otherwise("SAMPLE-AES-CTR"), "uri": uri,
+            "key_format": F.element_at(formats, F.col(system)), "key_format_versions": F.lit("1")
+        }
+    )
 
 
 def random_key() -> Column:
@@ -72,17 +81,23 @@ def random_key() -> Column:
 def describe_policy(kind: Column, n: Column) -> Column:
     """A rotation policy in words."""
     num = n.cast("long").cast("string")
-    return F.when(kind == "everySegment", "Rotate every segment").when(kind == "interval", F.concat(F.lit("Rotate every "), num, F.lit(" seconds"))).when(kind == "everyNSegments", F.concat(F.lit("Rotate every "), num, F.lit(" segments"))).when(kind == "manual", "Manual rotation").otherwise("No rotation")
+    return F.when(kind == "everySegment", "Rotate every segment").when(kind == "interval", F.concat(F.lit("Rotate every "), num, F.lit(" seconds"))).when(
+        kind == "everyNSegments", F.concat(F.lit("Rotate every "), num, F.lit(" segments"))
+    ).when(kind == "manual", "Manual rotation").otherwise("No rotation")
 
 
 def rotates(kind: Column, n: Column, segment: Column, elapsed: Column, last: Column) -> Column:
     """Whether a segment takes a new key under its policy."""
-    return F.when(kind == "everySegment", True).when(kind == "interval", elapsed >= n).when(kind == "everyNSegments", segment - last >= n).otherwise(False)
+    return F.when(kind == "everySegment", True).when(kind == "interval", elapsed >= n).when(
+        kind == "everyNSegments", segment - last >= n
+    ).otherwise(False)
 
 
 def captions_and_more(captions: DataFrame, subtitles: DataFrame, descriptions: DataFrame) -> DataFrame:
     """All accessibility renditions of a configuration, told apart by `source`."""
-    return captions.withColumn("source", F.lit("captions")).unionByName(subtitles.withColumn("source", F.lit("subtitles")), allowMissingColumns=True).unionByName(descriptions.withColumn("source", F.lit("description")), allowMissingColumns=True)
+    return captions.withColumn("source", F.lit("captions")).unionByName(subtitles.withColumn("source", F.lit("subtitles")), allowMissingColumns=True).unionByName(
+        descriptions.withColumn("source", F.lit("description")), allowMissingColumns=True
+    )
 
 
 def poll_progress(job: Column, fraction: Column) -> Column:
@@ -92,7 +107,10 @@ def poll_progress(job: Column, fraction: Column) -> Column:
 
 def run_summary(events: DataFrame, keys: list[str], at: str, size: str, reason: str) -> DataFrame:
     """Seconds, segments, bytes and the last reason of each run."""
-    return events.groupBy(*keys).agg((F.max(at) - F.min(at)).alias("seconds"), F.count("*").alias("segments"), F.sum(size).alias("bytes"), F.max_by(reason, at).alias("reason"))
+    return events.groupBy(*keys).agg(
+        (F.max(at) - F.min(at)).alias("seconds"), F.count("*").alias("segments"), F.sum(size).alias("bytes"),
+        F.max_by(reason, at).alias("reason")
+    )
 
 
 def speed_factor(source: Column, spent: Column) -> Column:
@@ -112,8 +130,12 @@ def ladder_masters(rungs: DataFrame, key: str) -> DataFrame:
     total = F.col("video_rate") + F.col("audio_rate")
     place = F.row_number().over(Window.partitionBy(key).orderBy(total, "name")) - 1
     v = rungs.select(
-        key, place.alias("pos"), F.concat("name", F.lit("/playlist.m3u8")).alias("uri"), total.alias("bandwidth"), F.lit(None).cast("long").alias("average_bandwidth"), F.struct("width", "height").alias("resolution"),
-        F.lit(None).cast("double").alias("frame_rate"), *[none.alias(c) for c in ("codecs", "supplemental_codecs", "audio", "video", "subtitles", "closed_captions", "hdcp_level", "video_range", "video_layout")],
+        key, place.alias("pos"), F.concat("name", F.lit("/playlist.m3u8")).alias("uri"), total.alias("bandwidth"),
+        F.lit(None).cast("long").alias("average_bandwidth"), F.struct("width", "height").alias("resolution"),
+        F.lit(None).cast("double").alias("frame_rate"), *[
+            none.alias(c)
+            for c in ("codecs", "supplemental_codecs", "audio", "video", "subtitles", "closed_captions", "hdcp_level", "video_range", "video_layout")
+        ],
     )
     flags = ("is_default", "autoselect", "forced")
     texts = ("type", "group_id", "name", "language", "assoc_language", "uri", "instream_id", "channels", "characteristics")

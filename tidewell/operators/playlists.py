@@ -12,9 +12,15 @@ from .patterns import BUCKET, last_rows, running_sum
 
 def sliding_state(segments: DataFrame, keys: list[str], index: str, duration: str, size: int = 5, bucket: int = BUCKET) -> DataFrame:
     """The playlist after each segment: first and last index, MEDIA-SEQUENCE, target, total."""
-    aggregates = {"first_index": lambda w: F.min(index).over(w), "_most": lambda w: F.max(duration).over(w), "_sum": lambda w: F.sum(duration).over(w)}
+    aggregates = {
+        "first_index": lambda w: F.min(index).over(w), "_most": lambda w: F.max(duration).over(w),
+        "_sum": lambda w: F.sum(duration).over(w)
+    }
     s = last_rows(segments, keys, index, size, aggregates, bucket, "_i")
-    return s.select(*keys, index, "first_index", F.greatest(F.col("_i") + 1 - size, F.lit(0)).cast("long").alias("media_sequence"), F.ceil("_most").cast("long").alias("target_duration"), F.round("_sum", 6).alias("total_duration"))
+    return s.select(
+        *keys, index, "first_index", F.greatest(F.col("_i") + 1 - size, F.lit(0)).cast("long").alias("media_sequence"),
+        F.ceil("_most").cast("long").alias("target_duration"), F.round("_sum", 6).alias("total_duration")
+    )
 
 
 def last_segments(segments: DataFrame, keys: list[str], index: str, size: int = 5) -> DataFrame:
@@ -32,7 +38,10 @@ def sequences(segments: DataFrame, keys: list[str], index: str, discontinuity: C
     s = segments.withColumn("_d", F.coalesce(discontinuity, F.lit(False)))
     kept = last_segments(s, keys, index, size).groupBy(*keys).agg(F.count_if("_d").alias("_kept"))
     totals = s.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if("_d").alias("_all"))
-    return totals.join(kept, keys).select(*keys, F.greatest(F.col("_n") - size, F.lit(0)).alias("media_sequence"), (F.col("_all") - F.col("_kept")).alias("discontinuity_sequence"))
+    return totals.join(kept, keys).select(
+        *keys, F.greatest(F.col("_n") - size, F.lit(0)).alias("media_sequence"),
+        (F.col("_all") - F.col("_kept")).alias("discontinuity_sequence")
+    )
 
 
 def dvr_window(segments: DataFrame, keys: list[str], at: str, duration: str, window: float) -> DataFrame:
@@ -47,7 +56,9 @@ def read_from_offset(segments: DataFrame, keys: list[str], index: str, at: str,
     if there is none; at most `most`."""
     newest = segments.groupBy(*keys).agg(F.max(at).alias("_newest"))
     rows = segments.join(newest, keys)
-    start = rows.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col(at) >= F.col("_newest") + F.lit(offset), F.col(index))), F.min(index)).alias("_start"))
+    start = rows.groupBy(*keys).agg(
+        F.coalesce(F.min(F.when(F.col(at) >= F.col("_newest") + F.lit(offset), F.col(index))), F.min(index)).alias("_start")
+    )
     out = rows.join(start, keys).where(F.col(index) >= F.col("_start")).drop("_newest", "_start")
     if most is not None:
         out = out.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(index))).where(F.col("_r") <= most).drop("_r")
@@ -67,7 +78,9 @@ def skipped(segments: DataFrame, keys: list[str], index: str, duration: str, ski
     """How many leading segments a delta update leaves out: those that end `skip_until` or more before the end."""
     run = running_sum(segments, keys, index, F.col(duration), "_run", bucket, inclusive=True)
     total = segments.groupBy(*keys).agg(F.sum(duration).alias("_total"))
-    return run.join(total, keys).select(*keys, (F.col("_run") <= F.col("_total") - skip_until).alias("_s")).groupBy(*keys).agg(F.count_if("_s").alias("skipped_segments"))
+    return run.join(total, keys).select(
+        *keys, (F.col("_run") <= F.col("_total") - skip_until).alias("_s")
+    ).groupBy(*keys).agg(F.count_if("_s").alias("skipped_segments"))
 
 
 def target_duration(segments: DataFrame, keys: list[str], duration: str, default: int = 6) -> DataFrame:
@@ -91,7 +104,9 @@ def parts(rows: DataFrame, keys: list[str], segment: str, order: str, retain: in
     newest = rows.groupBy(*keys).agg(F.max(segment).alias("_top"))
     r = rows.join(newest, keys).withColumn("part_index", (F.row_number().over(inside) - 1).cast("int"))
     last = F.col("part_index") + 1 >= per_segment
-    return r.withColumn("retained", F.col(segment) > F.col("_top") - retain).withColumn("hint_segment", F.col(segment) + F.when(last, 1).otherwise(0)).withColumn("hint_part", F.when(last, 0).otherwise(F.col("part_index") + 1)).drop("_top")
+    return r.withColumn("retained", F.col(segment) > F.col("_top") - retain).withColumn("hint_segment", F.col(segment) + F.when(last, 1).otherwise(0)).withColumn(
+        "hint_part", F.when(last, 0).otherwise(F.col("part_index") + 1)
+    ).drop("_top")
 
 
 def request_satisfied(msn: Column, part: Column, have_msn: Column, have_part: Column) -> Column:
@@ -108,7 +123,9 @@ def blocking_wait(requests: DataFrame, parts: DataFrame, keys: list[str], at: st
     known = first.withColumn("_ready", F.min("_ready").over(w))
     r = requests.join(known, [*keys, position], "left")
     wait = F.greatest(F.lit(0.0), (F.col("_ready") - F.col(at)).cast("double"))
-    return r.withColumn("wait", F.when(F.col("_ready").isNull() | (wait > timeout), F.lit(float(timeout))).otherwise(wait)).withColumn("timed_out", F.col("_ready").isNull() | (wait > timeout)).drop("_ready")
+    return r.withColumn(
+        "wait", F.when(F.col("_ready").isNull() | (wait > timeout), F.lit(float(timeout))).otherwise(wait)
+    ).withColumn("timed_out", F.col("_ready").isNull() | (wait > timeout)).drop("_ready")
 
 
 def gap_alerts(segments: DataFrame, keys: list[str], index: str, gap: Column, most: int = 3, bucket: int = BUCKET) -> DataFrame:
@@ -135,19 +152,28 @@ def join_lines(rows: DataFrame, keys: list[str], order: list[str], line: str, na
     return rows.groupBy(*keys).agg(F.concat(F.array_join(F.transform(joined, lambda x: x["_line"]), "\n"), F.lit("\n")).alias(name))
 
 
-def render_live(segments: DataFrame, keys: list[str], index: str, duration: str, uri: Column, size: int = 5, version: int = 7, playlist_type: str | None = None, ended: bool = False, discontinuity: Column | None = None) -> DataFrame:
+def render_live(
+    segments: DataFrame, keys: list[str], index: str, duration: str, uri: Column, size: int = 5, version: int = 7,
+    playlist_type: str | None = None, ended: bool = False, discontinuity: Column | None = None
+) -> DataFrame:
     """(keys, media_sequence, m3u8): the playlist of each stream's last `size` segments."""
     flag = F.coalesce(discontinuity, F.lit(False)) if discontinuity is not None else F.lit(False)
     seq = sequences(segments, keys, index, flag, size)
     kept = last_segments(segments.withColumn("_disc", flag).withColumn("_uri", uri), keys, index, size)
-    body = F.concat(F.when(F.col("_disc"), "#EXT-X-DISCONTINUITY\n").otherwise(""), F.lit("#EXTINF:"), T.decimal(F.col(duration)), F.lit(",\n"), F.col("_uri"))
+    body = F.concat(
+        F.when(F.col("_disc"), "#EXT-X-DISCONTINUITY\n").otherwise(""), F.lit("#EXTINF:"), T.decimal(F.col(duration)), F.lit(",\n"),
+        F.col("_uri")
+    )
     lines = join_lines(kept.withColumn("_line", body), keys, [index], "_line", "_body")
     target = target_duration(kept, keys, duration)
     out = lines.join(target, keys).join(seq, keys)
     head = F.concat(
         F.lit(f"#EXTM3U\n#EXT-X-VERSION:{version}\n#EXT-X-TARGETDURATION:"), F.col("target_duration").cast("string"),
         F.lit("\n#EXT-X-MEDIA-SEQUENCE:"), F.col("media_sequence").cast("string"),
-        F.when(F.col("discontinuity_sequence") > 0, F.concat(F.lit("\n#EXT-X-DISCONTINUITY-SEQUENCE:"), F.col("discontinuity_sequence").cast("string"))).otherwise(""),
+        F.when(
+            F.col("discontinuity_sequence") > 0,
+            F.concat(F.lit("\n#EXT-X-DISCONTINUITY-SEQUENCE:"), F.col("discontinuity_sequence").cast("string"))
+        ).otherwise(""),
         F.lit("\n" + (f"#EXT-X-PLAYLIST-TYPE:{playlist_type}\n" if playlist_type else "")),
     )
     return out.select(*keys, "media_sequence", F.concat(head, "_body", F.lit("#EXT-X-ENDLIST\n" if ended else "")).alias("m3u8"))

@@ -27,7 +27,10 @@ class Report:
     def finding(self, when: Column | str, rule: str, severity: str, field: str | Column, message: str | Column) -> Column:
         as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
         rule_set = "appleHLS" if rule.startswith("APPLE") else self.rule_set
-        body = F.struct(F.lit(severity).alias("severity"), as_col(message).alias("message"), as_col(field).alias("field"), F.lit(rule_set).alias("rule_set"), F.lit(rule).alias("rule_id"))
+        body = F.struct(
+            F.lit(severity).alias("severity"), as_col(message).alias("message"), as_col(field).alias("field"),
+            F.lit(rule_set).alias("rule_set"), F.lit(rule).alias("rule_id")
+        )
         return F.when(F.expr(when) if isinstance(when, str) else when, body)
 
     def rules(self, rows: DataFrame, *rules: tuple) -> None:
@@ -56,7 +59,10 @@ def video_layout(text: Column) -> Column:
     """struct(channels, projection) of a REQ-VIDEO-LAYOUT: the last known token of each kind; others are ignored."""
     tokens = F.transform(F.split(text, ","), lambda t: F.trim(t))
     last = lambda *known: F.try_element_at(F.filter(tokens, lambda t: t.isin(*known)), F.lit(-1))
-    return F.struct(last("CH-STEREO", "CH-MONO").alias("channels"), last("PROJ-RECT", "PROJ-EQUI", "PROJ-HEQU", "PROJ-PRIM", "PROJ-AIV").alias("projection"))
+    return F.struct(
+        last("CH-STEREO", "CH-MONO").alias("channels"),
+        last("PROJ-RECT", "PROJ-EQUI", "PROJ-HEQU", "PROJ-PRIM", "PROJ-AIV").alias("projection")
+    )
 
 
 def layout_fits(source: Column, target: Column) -> Column:
@@ -83,46 +89,91 @@ def master_findings(line_rows: DataFrame, key: str = "doc_id", variants: DataFra
         v.join(groups, key, "left"),
         ("bandwidth <= 0", "RFC8216-4.3.4.2-bandwidth", "error", at("variants", "bandwidth"), "BANDWIDTH must be a positive integer."),
         ("uri = ''", "RFC8216-4.3.4.2-uri", "error", at("variants", "uri"), "Variant stream must have a URI."),
-        ("resolution is null", "RFC8216-4.3.4.2-resolution", "warning", at("variants", "resolution"), "Variants with video should include RESOLUTION."),
-        (F.col("audio").isNotNull() & ~known(F.col("_a"), F.col("audio")), "RFC8216-4.3.4.2-audio-ref", "error", at("variants", "audio"), undefined("AUDIO", "audio")),
-        (F.col("subtitles").isNotNull() & ~known(F.col("_s"), F.col("subtitles")), "RFC8216-4.3.4.2-subtitle-ref", "error", at("variants", "subtitles"), undefined("SUBTITLES", "subtitles")),
-        (F.col("closed_captions").isNotNull() & (F.col("closed_captions") != "NONE") & ~known(F.col("_c"), F.col("closed_captions")), "RFC8216-4.3.4.2-cc-ref", "error", at("variants", "closedCaptions"), undefined("CLOSED-CAPTIONS", "closed_captions")),
-        ("codecs is null", "APPLE-2.1-codecs", "warning", at("variants", "codecs"), "Apple recommends including CODECS attribute for all variant streams."),
-        ("resolution is not null and frame_rate is null", "APPLE-2.1-frame-rate", "warning", at("variants", "frameRate"), "Video variants should include FRAME-RATE."),
-        ("resolution.height >= 2160 and hdcp_level is null", "APPLE-2.6-hdcp", "info", at("variants", "hdcpLevel"), "4K content should specify HDCP-LEVEL."),
-        ("supplemental_codecs is not null and codecs is null", "APPLE-2.8-supplemental-codecs", "warning", at("variants", "supplementalCodecs"), "SUPPLEMENTAL-CODECS present without CODECS. The CODECS attribute should also be specified."),
+        (
+            "resolution is null", "RFC8216-4.3.4.2-resolution", "warning", at("variants", "resolution"),
+            "Variants with video should include RESOLUTION."
+        ),
+        (
+            F.col("audio").isNotNull() & ~known(F.col("_a"), F.col("audio")), "RFC8216-4.3.4.2-audio-ref", "error",
+            at("variants", "audio"), undefined("AUDIO", "audio")
+        ),
+        (
+            F.col("subtitles").isNotNull() & ~known(F.col("_s"), F.col("subtitles")), "RFC8216-4.3.4.2-subtitle-ref", "error",
+            at("variants", "subtitles"), undefined("SUBTITLES", "subtitles")
+        ),
+        (
+            F.col("closed_captions").isNotNull() & (F.col("closed_captions") != "NONE") & ~known(F.col("_c"), F.col("closed_captions")),
+            "RFC8216-4.3.4.2-cc-ref", "error", at("variants", "closedCaptions"), undefined("CLOSED-CAPTIONS", "closed_captions")
+        ),
+        (
+            "codecs is null", "APPLE-2.1-codecs", "warning", at("variants", "codecs"),
+            "Apple recommends including CODECS attribute for all variant streams."
+        ),
+        (
+            "resolution is not null and frame_rate is null", "APPLE-2.1-frame-rate", "warning", at("variants", "frameRate"),
+            "Video variants should include FRAME-RATE."
+        ),
+        (
+            "resolution.height >= 2160 and hdcp_level is null", "APPLE-2.6-hdcp", "info", at("variants", "hdcpLevel"),
+            "4K content should specify HDCP-LEVEL."
+        ),
+        (
+            "supplemental_codecs is not null and codecs is null", "APPLE-2.8-supplemental-codecs", "warning",
+            at("variants", "supplementalCodecs"),
+            "SUPPLEMENTAL-CODECS present without CODECS. The CODECS attribute should also be specified."
+        ),
         (immersive & ~stereo, *layout, "PROJ-AIV needs CH-STEREO."),
         (half & bare, *layout, "PROJ-HEQU typically needs CH-STEREO."),
         (stereo & F.col("supplemental_codecs").isNull(), *layout, "CH-STEREO without SUPPLEMENTAL-CODECS."),
     )
     falls = F.col("bandwidth") < F.lag("bandwidth").over(Window.partitionBy(key).orderBy("pos"))
     tier = lambda h: F.bool_or(F.coalesce(F.col("resolution.height") >= h, F.lit(False))).cast("int").alias(f"h{h}")
-    whole = v.withColumn("_f", falls).groupBy(key).agg(F.count("*").alias("n"), F.bool_or("_f").alias("falls"), F.countDistinct("video_range").alias("ranges"), tier(480), tier(720), tier(1080))
+    whole = v.withColumn("_f", falls).groupBy(key).agg(
+        F.count("*").alias("n"), F.bool_or("_f").alias("falls"), F.countDistinct("video_range").alias("ranges"), tier(480), tier(720),
+        tier(1080)
+    )
     iframes = line_rows.groupBy(key).agg(F.count_if(F.col("tag") == "#EXT-X-I-FRAME-STREAM-INF").alias("iframes"))
     r.rules(
         iframes.join(whole, key, "left"),
         ("n is null", "RFC8216-general-variants", "warning", "variants", "Master playlist should have at least one variant."),
         ("iframes = 0", "APPLE-2.2-iframe", "info", "iFrameVariants", "Master playlist should include I-frame playlists."),
-        ("n >= 3 and h480 + h720 + h1080 < 3", "APPLE-2.4-resolution-ladder", "info", "variants", "At least 3 quality tiers recommended (480p, 720p, 1080p)."),
+        (
+            "n >= 3 and h480 + h720 + h1080 < 3", "APPLE-2.4-resolution-ladder", "info", "variants",
+            "At least 3 quality tiers recommended (480p, 720p, 1080p)."
+        ),
         ("falls", "APPLE-2.5-bandwidth-order", "info", "variants", "Variants should be listed in ascending bandwidth order."),
-        ("ranges > 1", "APPLE-2.7-video-range", "warning", "variants", "Master playlist contains mixed VIDEO-RANGE values. Ensure proper variant grouping for HDR/SDR."),
+        (
+            "ranges > 1", "APPLE-2.7-video-range", "warning", "variants",
+            "Master playlist contains mixed VIDEO-RANGE values. Ensure proper variant grouping for HDR/SDR."
+        ),
     )
     where = F.concat(F.lit("renditions["), "type", F.lit("|"), "group_id", F.lit("]"))
     r.rules(
-        m.groupBy(key, "type", "group_id").agg(F.count("name").alias("n"), F.countDistinct("name").alias("d"), F.count_if("is_default").alias("defaults")),
+        m.groupBy(key, "type", "group_id").agg(
+            F.count("name").alias("n"), F.countDistinct("name").alias("d"), F.count_if("is_default").alias("defaults")
+        ),
         ("d <> n", "RFC8216-4.3.4.1-group-id", "error", where, "Renditions with same TYPE and GROUP-ID must not duplicate NAME."),
         ("defaults > 1", "RFC8216-4.3.4.1-default", "warning", where, "At most one rendition in a group should have DEFAULT=YES."),
     )
     audio = m.where("type = 'AUDIO'").withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1)
-    r.rules(audio, ("language is null", "APPLE-2.3-audio-group", "warning", at("renditions", "language"), "Audio renditions should specify LANGUAGE."))
+    r.rules(
+        audio,
+        ("language is null", "APPLE-2.3-audio-group", "warning", at("renditions", "language"), "Audio renditions should specify LANGUAGE.")
+    )
     place = F.concat(F.lit("sessionData["), F.col("pos").cast("string"), F.lit("]"))
     r.rules(
         d,
-        ("value is not null and uri is not null", "RFC8216-4.3.4.5-session-data-value", "error", place, "SESSION-DATA must have VALUE or URI, not both."),
+        (
+            "value is not null and uri is not null", "RFC8216-4.3.4.5-session-data-value", "error", place,
+            "SESSION-DATA must have VALUE or URI, not both."
+        ),
         ("value is null and uri is null", "RFC8216-4.3.4.5-session-data-value", "error", place, "SESSION-DATA must have either VALUE or URI."),
     )
     twice = d.groupBy(key, "data_id").agg(F.count("language").alias("n"), F.countDistinct("language").alias("d")).where("n <> d")
-    r.add(twice, "RFC8216-4.3.4.5-session-data-id", "error", "sessionData", F.concat(F.lit('SESSION-DATA with DATA-ID "'), "data_id", F.lit('" must not duplicate LANGUAGE.')))
+    r.add(
+        twice, "RFC8216-4.3.4.5-session-data-id", "error", "sessionData",
+        F.concat(F.lit('SESSION-DATA with DATA-ID "'), "data_id", F.lit('" must not duplicate LANGUAGE.'))
+    )
     return r.all()
 
 
@@ -130,15 +181,21 @@ def features(segments: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per media playlist: number and mean duration of segments, and which features they use."""
     use = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
     return segments.groupBy(key).agg(
-        F.count("*").alias("segments"), F.avg("duration").alias("mean"), use(F.col("duration") % 1 != 0).alias("decimals"), use(F.col("byte_range").isNotNull()).alias("ranges"), use(F.col("map").isNotNull()).alias("maps"),
-        use(F.col("key_tag.iv").isNotNull()).alias("ivs"), use(F.col("key_tag.key_format").isNotNull() | F.col("key_tag.key_format_versions").isNotNull()).alias("formats"),
+        F.count("*").alias("segments"), F.avg("duration").alias("mean"), use(F.col("duration") % 1 != 0).alias("decimals"),
+        use(F.col("byte_range").isNotNull()).alias("ranges"), use(F.col("map").isNotNull()).alias("maps"),
+        use(F.col("key_tag.iv").isNotNull()).alias("ivs"), use(
+            F.col("key_tag.key_format").isNotNull() | F.col("key_tag.key_format_versions").isNotNull()
+        ).alias("formats"),
     )
 
 
 def required_version() -> Column:
     """The least version for the features of a row of features() joined to its header, low latency aside."""
     use = lambda c, v: F.when(F.col(c), v).otherwise(1)
-    return F.greatest(use("decimals", 3), use("ranges", 4), use("iframes_only", 4), use("ivs", 2), use("formats", 5), F.when(F.col("maps") & ~F.col("iframes_only"), 6).otherwise(1), F.when(F.col("definitions") > 0, 8).otherwise(1))
+    return F.greatest(
+        use("decimals", 3), use("ranges", 4), use("iframes_only", 4), use("ivs", 2), use("formats", 5),
+        F.when(F.col("maps") & ~F.col("iframes_only"), 6).otherwise(1), F.when(F.col("definitions") > 0, 8).otherwise(1)
+    )
 
 
 def required_version_master(hdcp: Column, definitions: Column, steering: Column) -> Column:
@@ -156,34 +213,78 @@ def media_findings(line_rows: DataFrame, key: str = "doc_id", segments: DataFram
     target = F.col("target_duration").cast("string")
     r.rules(
         hs,
-        (F.round("duration") > F.col("target_duration"), "RFC8216-4.3.3.1-segment-duration", "error", at("segments", "duration"), F.concat(F.lit("Segment duration "), double_text(F.col("duration")), F.lit("s exceeds TARGETDURATION "), target, F.lit("s."))),
+        (
+            F.round("duration") > F.col("target_duration"), "RFC8216-4.3.3.1-segment-duration", "error", at("segments", "duration"),
+            F.concat(F.lit("Segment duration "), double_text(F.col("duration")), F.lit("s exceeds TARGETDURATION "), target, F.lit("s."))
+        ),
         ("duration < 0", "RFC8216-4.3.2.1-extinf", "error", at("segments", "duration"), "Segment duration must not be negative."),
         ("uri = ''", "RFC8216-4.3.2.1-uri", "error", at("segments", "uri"), "Segment URI must not be empty."),
-        ("key_tag.method <> 'NONE' and key_tag.uri is null", "RFC8216-4.3.2.4-key-uri", "error", at("segments", "key.uri"), "EXT-X-KEY with METHOD != NONE must have URI."),
-        ("key_tag.iv is not null and version < 2", "RFC8216-4.3.2.4-key-iv", "error", at("segments", "key.iv"), "EXT-X-KEY with IV requires version >= 2."),
+        (
+            "key_tag.method <> 'NONE' and key_tag.uri is null", "RFC8216-4.3.2.4-key-uri", "error", at("segments", "key.uri"),
+            "EXT-X-KEY with METHOD != NONE must have URI."
+        ),
+        (
+            "key_tag.iv is not null and version < 2", "RFC8216-4.3.2.4-key-iv", "error", at("segments", "key.iv"),
+            "EXT-X-KEY with IV requires version >= 2."
+        ),
     )
-    doc = h.join(features(s, key), key, "left").fillna(False, ["decimals", "ranges", "maps", "ivs", "formats"]).withColumn("required", required_version())
+    doc = h.join(features(s, key), key, "left").fillna(
+        False, ["decimals", "ranges", "maps", "ivs", "formats"]
+    ).withColumn("required", required_version())
     low = "(has_server_control or part_target is not null or parts > 0 or hints > 0)"
     slow = "(not has_server_control and part_target is null)"
     r.rules(
         doc,
         ("target_duration <= 0", "RFC8216-4.3.3.1-integer", "error", "targetDuration", "TARGETDURATION must be a positive integer."),
         ("segments is null", "RFC8216-general-empty", "warning", "segments", "Playlist should have at least one segment."),
-        ("playlist_type = 'VOD' and not has_endlist", "RFC8216-4.3.3.5-endlist-vod", "error", "hasEndList", "VOD playlists must contain EXT-X-ENDLIST."),
+        (
+            "playlist_type = 'VOD' and not has_endlist", "RFC8216-4.3.3.5-endlist-vod", "error", "hasEndList",
+            "VOD playlists must contain EXT-X-ENDLIST."
+        ),
         ("ranges and version < 4", "RFC8216-4.3.2.2-byterange-version", "error", "version", "EXT-X-BYTERANGE requires version >= 4."),
-        ("maps and not iframes_only and version < 6", "RFC8216-4.3.2.5-map-version", "error", "version", "EXT-X-MAP without I-FRAMES-ONLY requires version >= 6."),
-        ("version < required", "RFC8216-4.4.3-version-match", "warning", "version", F.concat(F.lit("Features used require version >= "), F.col("required").cast("string"), F.lit(" but declared version is "), F.col("version").cast("string"), F.lit("."))),
-        ("parts > 0 and part_target is null", "RFC8216bis-part-inf", "error", "partTargetDuration", "Playlists with PART tags must have EXT-X-PART-INF."),
-        (f"{low} and not has_server_control", "RFC8216bis-server-control", "warning", "serverControl", "LL-HLS playlists should have EXT-X-SERVER-CONTROL."),
-        ("server_control.part_hold_back < 3 * part_target", "RFC8216bis-hold-back", "warning", "serverControl.partHoldBack", "PART-HOLD-BACK should be >= 3x PART-TARGET."),
+        (
+            "maps and not iframes_only and version < 6", "RFC8216-4.3.2.5-map-version", "error", "version",
+            "EXT-X-MAP without I-FRAMES-ONLY requires version >= 6."
+        ),
+        (
+            "version < required", "RFC8216-4.4.3-version-match", "warning", "version",
+            F.concat(
+                F.lit("Features used require version >= "), F.col("required").cast("string"), F.lit(" but declared version is "),
+                F.col("version").cast("string"), F.lit(".")
+            )
+        ),
+        (
+            "parts > 0 and part_target is null", "RFC8216bis-part-inf", "error", "partTargetDuration",
+            "Playlists with PART tags must have EXT-X-PART-INF."
+        ),
+        (
+            f"{low} and not has_server_control", "RFC8216bis-server-control", "warning", "serverControl",
+            "LL-HLS playlists should have EXT-X-SERVER-CONTROL."
+        ),
+        (
+            "server_control.part_hold_back < 3 * part_target", "RFC8216bis-hold-back", "warning", "serverControl.partHoldBack",
+            "PART-HOLD-BACK should be >= 3x PART-TARGET."
+        ),
         (f"{low} and version < 9", "RFC8216bis-version", "error", "version", "LL-HLS features require version >= 9."),
         ("mean < 4 or mean > 8", "APPLE-3.1-segment-duration", "info", "segments", "Segment durations should be approximately 6 seconds."),
         (f"not {slow} and target_duration > 4", "APPLE-3.2-target-duration", "info", "targetDuration", "TARGETDURATION should be <= 4 for LL-HLS."),
-        (f"{slow} and target_duration <> 6 and segments > 0", "APPLE-3.2-target-duration", "info", "targetDuration", "TARGETDURATION should be 6 for standard playlists."),
+        (
+            f"{slow} and target_duration <> 6 and segments > 0", "APPLE-3.2-target-duration", "info", "targetDuration",
+            "TARGETDURATION should be 6 for standard playlists."
+        ),
         ("not independent_segments", "APPLE-3.5-independent", "warning", "independentSegments", "EXT-X-INDEPENDENT-SEGMENTS recommended."),
         ("segments > 0 and not maps", "APPLE-3.4-fmp4", "info", "segments", "fMP4 (EXT-X-MAP) preferred over MPEG-TS."),
     )
-    r.rules(p.join(h.select(key, "part_target"), key), ("duration > part_target", "RFC8216bis-part-duration", "error", at("partialSegments", "duration"), F.concat(F.lit("PART duration "), double_text(F.col("duration")), F.lit("s exceeds PART-TARGET "), double_text(F.col("part_target")), F.lit("s."))))
+    r.rules(
+        p.join(h.select(key, "part_target"), key),
+        (
+            "duration > part_target", "RFC8216bis-part-duration", "error", at("partialSegments", "duration"),
+            F.concat(
+                F.lit("PART duration "), double_text(F.col("duration")), F.lit("s exceeds PART-TARGET "),
+                double_text(F.col("part_target")), F.lit("s.")
+            )
+        )
+    )
     return r.all()
 
 
@@ -194,22 +295,36 @@ def variable_rules(line_rows: DataFrame, fields: DataFrame, media: bool, key: st
     r = Report(key, "rfc8216")
     d = S.definitions(line_rows, key)
     if media:
-        r.add(d.where("kind = 'import'"), "RFC8216bis-4.4.3.8-import", "error", "definitions", F.concat(F.lit('IMPORT "'), "name", F.lit('" requires a multivariant playlist context.')))
+        r.add(
+            d.where("kind = 'import'"), "RFC8216bis-4.4.3.8-import", "error", "definitions",
+            F.concat(F.lit('IMPORT "'), "name", F.lit('" requires a multivariant playlist context.'))
+        )
     again = d.withColumn("_k", F.row_number().over(Window.partitionBy(key, "name").orderBy("pos"))).where("_k > 1")
     r.add(again, "RFC8216bis-4.4.3.8-duplicate", "warning", "definitions", F.concat(F.lit('Duplicate EXT-X-DEFINE name "'), "name", F.lit('".')))
     edges = d.where("kind = 'value'").select(key, "name", F.explode(F.array_distinct(T.variable_names(F.col("value")))).alias("ref"))
-    r.add(edges.where("name = ref"), "RFC8216bis-4.4.3.8-circular", "error", "definitions", F.concat(F.lit('Circular reference: variable "'), "name", F.lit('" references itself.')))
+    r.add(
+        edges.where("name = ref"), "RFC8216bis-4.4.3.8-circular", "error", "definitions",
+        F.concat(F.lit('Circular reference: variable "'), "name", F.lit('" references itself.'))
+    )
     back = edges.select(key, F.col("name").alias("ref"), F.col("ref").alias("name"))
-    r.add(edges.where("name <> ref").join(back, [key, "name", "ref"], "left_semi"), "RFC8216bis-4.4.3.8-circular", "error", "definitions", F.concat(F.lit('Circular reference between "'), "name", F.lit('" and "'), "ref", F.lit('".')))
+    r.add(
+        edges.where("name <> ref").join(back, [key, "name", "ref"], "left_semi"), "RFC8216bis-4.4.3.8-circular", "error", "definitions",
+        F.concat(F.lit('Circular reference between "'), "name", F.lit('" and "'), "ref", F.lit('".'))
+    )
     known = d.where("kind <> 'queryparam'").select(key, F.col("name").alias("ref")).distinct()
     uses = fields.select(key, "field", F.explode(T.variable_names(F.col("text"))).alias("ref"))
-    r.add(uses.join(known, [key, "ref"], "left_anti"), "RFC8216bis-4.4.3.8-undefined", "error", F.col("field"), F.concat(F.lit('Undefined variable reference "{$'), "ref", F.lit('}".')))
+    r.add(
+        uses.join(known, [key, "ref"], "left_anti"), "RFC8216bis-4.4.3.8-undefined", "error", F.col("field"),
+        F.concat(F.lit('Undefined variable reference "{$'), "ref", F.lit('}".'))
+    )
     return r.all()
 
 
 def master_fields(line_rows: DataFrame, variants: DataFrame, key: str = "doc_id") -> DataFrame:
     one = lambda rows, kind: rows.where("uri like '%{$%'").select(key, at(kind, "uri").alias("field"), F.col("uri").alias("text"))
-    return one(variants, "variants").unionByName(one(S.iframe_variants(line_rows, key), "iFrameVariants")).unionByName(one(S.renditions(line_rows, key), "renditions"))
+    return one(variants, "variants").unionByName(
+        one(S.iframe_variants(line_rows, key), "iFrameVariants")
+    ).unionByName(one(S.renditions(line_rows, key), "renditions"))
 
 
 def media_fields(segments: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -227,7 +342,12 @@ def validate(docs: DataFrame, rule_set: str = "all", key: str = "doc_id", text:
     """
     staged = materialize(S.scan(docs, key, text), "lines")
     refused = materialize(S.problems(staged, key), "refused")
-    out = [refused.select(key, F.lit("error").alias("severity"), F.col("message"), F.col("code").alias("field"), F.lit("rfc8216").alias("rule_set"), F.lit("parse").alias("rule_id"))]
+    out = [
+        refused.select(
+            key, F.lit("error").alias("severity"), F.col("message"), F.col("code").alias("field"), F.lit("rfc8216").alias("rule_set"),
+            F.lit("parse").alias("rule_id")
+        )
+    ]
     good = staged.drop("problem")
     if refused.limit(1).count():
         good = good.join(refused.select(key), key, "left_anti")
@@ -254,7 +374,10 @@ def ladder_checks(variants: DataFrame, keys: list[str], order: str) -> DataFrame
     """Per ladder: mixed ranges, mixed codec families (before the dot), bandwidths that don't ascend."""
     w = Window.partitionBy(*keys).orderBy(order)
     v = variants.withColumn("_f", F.col("bandwidth") <= F.lag("bandwidth").over(w)).withColumn("_c", F.substring_index("codecs", ".", 1))
-    return v.groupBy(*keys).agg((F.countDistinct("video_range") > 1).alias("mixed_ranges"), (F.countDistinct("_c") > 1).alias("mixed_codecs"), F.coalesce(F.bool_or("_f"), F.lit(False)).alias("not_ascending"))
+    return v.groupBy(*keys).agg(
+        (F.countDistinct("video_range") > 1).alias("mixed_ranges"), (F.countDistinct("_c") > 1).alias("mixed_codecs"),
+        F.coalesce(F.bool_or("_f"), F.lit(False)).alias("not_ascending")
+    )
 
 
 def redundancy(uris: DataFrame, keys: list[str]) -> DataFrame:

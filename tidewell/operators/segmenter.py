@@ -14,7 +14,9 @@ def segment_start() -> tuple[float, int, int]:
     return 0.0, 0, 0
 
 
-def segment_step(state: tuple[float, int, int], duration: float | None, may_cut: bool | None, target: float, most: float) -> tuple[tuple[float, int, int], int]:
+def segment_step(
+    state: tuple[float, int, int], duration: float | None, may_cut: bool | None, target: float, most: float
+) -> tuple[tuple[float, int, int], int]:
     """The next state and the segment of this frame.
 
     A frame that reaches the target where a cut is allowed opens the next segment; one that reaches
@@ -30,24 +32,36 @@ def segment_step(state: tuple[float, int, int], duration: float | None, may_cut:
     return (held + d, n + 1, segment), segment
 
 
-def assign_segments(frames: DataFrame, keys: list[str], order: list[str], duration: str, keyframe: Column | None, target: float = 6.0, most: float | None = None) -> DataFrame:
+def assign_segments(
+    frames: DataFrame, keys: list[str], order: list[str], duration: str, keyframe: Column | None, target: float = 6.0,
+    most: float | None = None
+) -> DataFrame:
     """frames with segment_index: the live segmenter over each stream.
 
     keyframe: where a cut is allowed; None allows it at any frame (audio, or not aligned). The last
     segment of a stream is what remains when its frames end.
     """
     most = 1.5 * target if most is None else most
-    ready = frames.withColumn("_cut", F.lit(True) if keyframe is None else F.coalesce(keyframe, F.lit(False))).withColumn("_d", F.col(duration).cast("double"))
-    return ordered_scan(ready, keys, order, ["_d", "_cut"], "segment_index int", segment_start, lambda s, d, c: segment_step(s, d, c, target, most)).drop("_cut", "_d")
+    ready = frames.withColumn(
+        "_cut", F.lit(True) if keyframe is None else F.coalesce(keyframe, F.lit(False))
+    ).withColumn("_d", F.col(duration).cast("double"))
+    return ordered_scan(
+        ready, keys, order, ["_d", "_cut"], "segment_index int", segment_start, lambda s, d, c: segment_step(s, d, c, target, most)
+    ).drop("_cut", "_d")
 
 
-def build_segments(assigned: DataFrame, keys: list[str], order: str, duration: str, keyframe: Column | None = None, codec: Column | None = None) -> DataFrame:
+def build_segments(
+    assigned: DataFrame, keys: list[str], order: str, duration: str, keyframe: Column | None = None, codec: Column | None = None
+) -> DataFrame:
     """One row per segment: frames, duration, first and last order value, whether it starts with a
     keyframe, and its sorted set of codecs."""
     key = F.lit(True) if keyframe is None else F.coalesce(keyframe, F.lit(False))
     rows = assigned.withColumn("_k", key)
     codecs = [F.array_sort(F.collect_set(codec)).alias("codecs")] if codec is not None else []
-    return rows.groupBy(*keys, "segment_index").agg(F.count("*").alias("frames"), F.sum(duration).alias("duration"), F.min(order).alias("first_frame"), F.max(order).alias("last_frame"), F.min_by("_k", order).alias("independent"), *codecs)
+    return rows.groupBy(*keys, "segment_index").agg(
+        F.count("*").alias("frames"), F.sum(duration).alias("duration"), F.min(order).alias("first_frame"),
+        F.max(order).alias("last_frame"), F.min_by("_k", order).alias("independent"), *codecs
+    )
 
 
 def exact_duration(frames: DataFrame, keys: list[str], value: str, timescale: str, order: str) -> DataFrame:
@@ -56,7 +70,9 @@ def exact_duration(frames: DataFrame, keys: list[str], value: str, timescale: st
     first = F.min_by(timescale, order).alias("_ts")
     lead = frames.groupBy(*keys).agg(first)
     rows = frames.join(lead, keys)
-    return rows.groupBy(*keys, "_ts").agg((F.sum(F.when(F.col(timescale) == F.col("_ts"), F.col(value)).otherwise(F.lit(0))) / F.col("_ts")).alias("duration")).drop("_ts")
+    return rows.groupBy(*keys, "_ts").agg(
+        (F.sum(F.when(F.col(timescale) == F.col("_ts"), F.col(value)).otherwise(F.lit(0))) / F.col("_ts")).alias("duration")
+    ).drop("_ts")
 
 
 def vod_cuts(samples: DataFrame, keys: list[str], order: str, duration: str, sync: Column, target: float) -> DataFrame:
@@ -70,7 +86,9 @@ def vod_cuts(samples: DataFrame, keys: list[str], order: str, duration: str, syn
         return (held + d, segment), (segment if segment >= 0 else None)
 
     rows = samples.withColumn("_s", F.coalesce(sync, F.lit(False))).withColumn("_d", F.col(duration).cast("double"))
-    return ordered_scan(rows, keys, [order], ["_d", "_s"], "segment_index int", lambda: (0.0, -1), step).where("segment_index is not null").drop("_s", "_d")
+    return ordered_scan(
+        rows, keys, [order], ["_d", "_s"], "segment_index int", lambda: (0.0, -1), step
+    ).where("segment_index is not null").drop("_s", "_d")
 
 
 def interleaved(video: DataFrame, audio: DataFrame, keys: list[str], at: str, bucket: int = BUCKET) -> DataFrame:
@@ -91,7 +109,9 @@ def align_audio(video: DataFrame, audio: DataFrame, keys: list[str], begin: str,
     return inside.groupBy(*keys, begin, end).agg(F.min(index).alias("first_sample"), F.max(index).alias("last_sample"), F.count("*").alias("samples"))
 
 
-def vod_files(cut: DataFrame, keys: list[str], order: str, ticks: str, payload: str, sync: str, container: str = "fmp4", timescale: int = 90000) -> DataFrame:
+def vod_files(
+    cut: DataFrame, keys: list[str], order: str, ticks: str, payload: str, sync: str, container: str = "fmp4", timescale: int = 90000
+) -> DataFrame:
     """(keys, segment_index, content, samples, ticks): the bytes of each segment of vod_cuts(), as fragmented
     MP4 or transport stream (one video track). ticks: a sample's duration on the clock `timescale`.
 
@@ -106,7 +126,10 @@ def vod_files(cut: DataFrame, keys: list[str], order: str, ticks: str, payload:
     length = cut.groupBy(*keys, "segment_index").agg(F.sum(ticks).alias("_length"))
     before = Window.partitionBy(*keys).orderBy("segment_index").rowsBetween(Window.unboundedPreceding, -1)
     starts = length.withColumn("_start", F.coalesce(F.sum("_length").over(before), F.lit(0))).drop("_length")
-    rows = cut.join(starts, [*keys, "segment_index"]).select(*keys, "segment_index", "_start", F.col(order).alias("_o"), F.col(ticks).cast("long").alias("_d"), F.col(payload).cast("binary").alias("_p"), F.col(sync).cast("boolean").alias("_k"))
+    rows = cut.join(starts, [*keys, "segment_index"]).select(
+        *keys, "segment_index", "_start", F.col(order).alias("_o"), F.col(ticks).cast("long").alias("_d"),
+        F.col(payload).cast("binary").alias("_p"), F.col(sync).cast("boolean").alias("_k")
+    )
     kinds = ", ".join(f"`{k}` {cut.schema[k].dataType.simpleString()}" for k in keys)
 
     def write(table: pa.Table) -> pa.Table:
@@ -121,6 +144,9 @@ def vod_files(cut: DataFrame, keys: list[str], order: str, ticks: str, payload:
                 t += r["_d"]
             content = transport_stream.segment(frames)
         head = [table.column(k).slice(0, 1).combine_chunks() for k in [*keys, "segment_index"]]
-        return pa.table([*head, pa.array([content], pa.binary()), pa.array([len(own)], pa.int64()), pa.array([sum(r["_d"] for r in own)], pa.int64())], [*keys, "segment_index", "content", "samples", "ticks"])
+        return pa.table(
+            [*head, pa.array([content], pa.binary()), pa.array([len(own)], pa.int64()), pa.array([sum(r["_d"] for r in own)], pa.int64())],
+            [*keys, "segment_index", "content", "samples", "ticks"]
+        )
 
     return rows.groupBy(*keys, "segment_index").applyInArrow(write, f"{kinds}, segment_index int, content binary, samples long, ticks long")

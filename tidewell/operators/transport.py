@@ -31,7 +31,8 @@ def dashboard(destinations: DataFrame, keys: list[str], grade: str) -> DataFrame
     """Counts by health and the worst grade."""
     g = F.col(grade)
     return destinations.groupBy(*keys).agg(
-        F.count_if(g.isin("excellent", "good")).alias("healthy"), F.count_if(g.isin("fair", "poor")).alias("degraded"), F.count_if(g == "critical").alias("failed"),
+        F.count_if(g.isin("excellent", "good")).alias("healthy"), F.count_if(g.isin("fair", "poor")).alias("degraded"),
+        F.count_if(g == "critical").alias("failed"),
         F.element_at(F.array(*map(F.lit, M.GRADE_ORDER)), F.coalesce(F.min(M.grade_ordinal(g)), F.lit(0)) + 1).alias("overall"),
     )
 
@@ -80,7 +81,10 @@ def breaker_step(state: tuple[int, float | None], at: float, ok: bool, threshold
 def circuit_breaker(calls: DataFrame, keys: list[str], order: list[str], at: str, ok: str, threshold: int = 5, reset: float = 60.0) -> DataFrame:
     """calls with breaker (the state that each meets) and allowed. Opens after `threshold` failures in a
     row, half opens `reset` later; a failed probe does not renew the time of opening."""
-    return ordered_scan(calls, keys, order, [at, ok], "breaker string, allowed boolean", lambda: (0, None), lambda s, t, good: breaker_step(s, t, good, threshold, reset))
+    return ordered_scan(
+        calls, keys, order, [at, ok], "breaker string, allowed boolean", lambda: (0, None),
+        lambda s, t, good: breaker_step(s, t, good, threshold, reset)
+    )
 
 
 def push_totals(pushes: DataFrame, keys: list[str], order: str, size: str, latency: str, ok: Column) -> DataFrame:
@@ -88,7 +92,9 @@ def push_totals(pushes: DataFrame, keys: list[str], order: str, size: str, laten
     good = pushes.withColumn("_ok", ok)
     rate = F.when(F.col("_ok") & (F.col(latency) > 0), F.col(size) / F.col(latency))
     return good.groupBy(*keys).agg(
-        F.count_if("_ok").alias("successes"), F.count_if(~F.col("_ok")).alias("failures"), F.sum(F.when(F.col("_ok"), F.col(size)).otherwise(F.lit(0))).alias("bytes"),
+        F.count_if("_ok").alias("successes"), F.count_if(~F.col("_ok")).alias("failures"), F.sum(
+            F.when(F.col("_ok"), F.col(size)).otherwise(F.lit(0))
+        ).alias("bytes"),
         F.avg(F.when(F.col("_ok"), F.col(latency))).alias("mean_latency"), F.max_by(rate, F.when(rate.isNotNull(), F.col(order))).alias("last_rate"),
     )
 

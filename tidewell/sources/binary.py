@@ -43,7 +43,10 @@ def rows_of(files: DataFrame, key: str, content: str, schema: str, walk: Callabl
                 rows = walk(data.as_py()) if data.is_valid else []
                 if rows:
                     columns = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(rows), batch.column(0).type), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [f.name for f in out])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k.as_py()] * len(rows), batch.column(0).type), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
+                        [f.name for f in out]
+                    )
 
     return files.select(key, content).mapInArrow(run, out)
 
@@ -100,7 +103,11 @@ def sample_table(found: dict[str, bytes]) -> tuple | None:
     sizes = [] if uniform else [x[0] for x in _table(found["stsz"], "I", 8)]
     count = struct.unpack_from(">I", found["stsz"], 8)[0]
     offsets = [x[0] for x in (_table(found["stco"], "I") if "stco" in found else _table(found["co64"], "Q"))]
-    return (pairs("stts", "II"), pairs("ctts", "Ii") if "ctts" in found else [], [{"first_chunk": a, "per_chunk": b} for a, b, _ in _table(found["stsc"], "III")], sizes, uniform, count, offsets, [x[0] for x in _table(found["stss"], "I")] if "stss" in found else None)
+    return (
+        pairs("stts", "II"), pairs("ctts", "Ii") if "ctts" in found else [],
+        [{"first_chunk": a, "per_chunk": b} for a, b, _ in _table(found["stsc"], "III")], sizes, uniform, count, offsets,
+        [x[0] for x in _table(found["stss"], "I")] if "stss" in found else None
+    )
 
 
 TRACK = "track int, handler string, timescale long, duration long, language string, stts array<struct<count:long,value:long>>, ctts array<struct<count:long,value:long>>, stsc array<struct<first_chunk:long,per_chunk:long>>, sizes array<long>, uniform_size long, sample_count long, chunk_offsets array<long>, sync array<long>, error string"
@@ -197,7 +204,10 @@ def access_units(nals: DataFrame, codec: str, key: str = "path") -> DataFrame:
 
     vcl, w = M.is_vcl(F.lit(codec), F.col("nal_type")), Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     r = nals.withColumn("_v", vcl).withColumn("access_unit", F.coalesce(F.count_if("_v").over(w), F.lit(0)))
-    return r.groupBy(key, "access_unit").agg(F.count("*").alias("nals"), F.bool_or("_v").alias("_v"), F.bool_or(M.is_keyframe(F.lit(codec), F.col("nal_type"))).alias("keyframe")).where("_v").drop("_v")
+    return r.groupBy(key, "access_unit").agg(
+        F.count("*").alias("nals"), F.bool_or("_v").alias("_v"),
+        F.bool_or(M.is_keyframe(F.lit(codec), F.col("nal_type"))).alias("keyframe")
+    ).where("_v").drop("_v")
 
 
 def protected_pieces(data: bytes, kind: str) -> list[tuple]:
@@ -367,7 +377,12 @@ def muxed_segment(sequence: int, tracks: list[tuple[int, int, list[tuple[int, in
         trafs, at = [], first
         for track, base_time, samples in tracks:
             run = b"".join(struct.pack(">IIIi", d, len(p), flags(s), c) for d, c, s, p in samples)
-            trafs.append(box("traf", full_box("tfhd", 0, 0x020000, struct.pack(">I", track)), full_box("tfdt", 1, 0, struct.pack(">Q", base_time)), full_box("trun", 1, 0x000F01, struct.pack(">Ii", len(samples), at), run)))
+            trafs.append(
+                box(
+                    "traf", full_box("tfhd", 0, 0x020000, struct.pack(">I", track)), full_box("tfdt", 1, 0, struct.pack(">Q", base_time)),
+                    full_box("trun", 1, 0x000F01, struct.pack(">Ii", len(samples), at), run)
+                )
+            )
             at += sum(len(p) for *_, p in samples)
         return box("moof", full_box("mfhd", 0, 0, struct.pack(">I", sequence)), *trafs)
 

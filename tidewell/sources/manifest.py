@@ -135,18 +135,27 @@ def _attribute_problem(tag: str, rules: dict, m: Column) -> Column:
 def line_problem(kind: Column, m: Column) -> Column:
     """What is wrong with a tag's value, as struct(code, message); null if nothing is. m: its attribute map."""
     tag, value = F.col("tag"), F.col("value")
-    out = F.when(tag == "#EXT-X-VERSION", F.when(version(value).isNull(), _problem("invalidVersion", "Invalid or unsupported EXT-X-VERSION value: ", value, ".")))
+    out = F.when(
+        tag == "#EXT-X-VERSION",
+        F.when(version(value).isNull(), _problem("invalidVersion", "Invalid or unsupported EXT-X-VERSION value: ", value, "."))
+    )
     for which, tags in REQUIRED.items():
         for name, rules in tags.items():
             out = out.when((kind == which) & (tag == f"#{name}"), _attribute_problem(name, rules, m))
     media = kind == "media"
     number = F.col("line_no").cast("string")
     for name in NUMBERS:
-        out = out.when(media & (tag == f"#{name}"), F.when(~value.rlike(r"^[+-]?\d{1,18}$"), _problem("invalidTagFormat", f"Invalid format for tag '{name}' at line ", number, ".")))
+        out = out.when(
+            media & (tag == f"#{name}"),
+            F.when(~value.rlike(r"^[+-]?\d{1,18}$"), _problem("invalidTagFormat", f"Invalid format for tag '{name}' at line ", number, "."))
+        )
     seconds = extinf_seconds(value)
     out = out.when(media & (tag == "#EXTINF"), F.when(seconds.isNull(), _bad_value("EXTINF", "duration", value)))
     out = out.when(media & (tag == "#EXT-X-BYTERANGE"), _range_problem(value))
-    return out.when(media & (tag == "#EXT-X-PROGRAM-DATE-TIME"), F.when(T.parse_iso8601(value).isNull(), _bad_value("EXT-X-PROGRAM-DATE-TIME", "date", value)))
+    return out.when(
+        media & (tag == "#EXT-X-PROGRAM-DATE-TIME"),
+        F.when(T.parse_iso8601(value).isNull(), _bad_value("EXT-X-PROGRAM-DATE-TIME", "date", value))
+    )
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,12 +179,17 @@ def problems(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     URI follows or a missing target duration."""
     d = scanned.groupBy(key).agg(
         F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("line_no"))).alias("p"), F.first("kind").alias("kind"),
-        F.max(F.when((F.col("tag") == "#EXT-X-STREAM-INF") & F.col("value").isNotNull(), F.col("line_no"))).alias("_i"), F.max(F.when(F.col("is_uri"), F.col("line_no"))).alias("_u"),
+        F.max(
+            F.when((F.col("tag") == "#EXT-X-STREAM-INF") & F.col("value").isNotNull(), F.col("line_no"))
+        ).alias("_i"), F.max(F.when(F.col("is_uri"), F.col("line_no"))).alias("_u"),
         F.bool_or((F.col("tag") == "#EXT-X-TARGETDURATION") & F.col("value").isNotNull()).alias("_t"),
     )
     waits = (F.col("kind") == "master") & (F.col("_i") > F.coalesce("_u", F.lit(0)))
     no_uri = F.when(waits, _problem("missingURI", "Missing URI after EXT-X-STREAM-INF at line ", F.col("_i").cast("string"), "."))
-    no_target = F.when((F.col("kind") == "media") & ~F.coalesce("_t", F.lit(False)), _problem("missingRequiredTag", "Missing required tag: EXT-X-TARGETDURATION."))
+    no_target = F.when(
+        (F.col("kind") == "media") & ~F.coalesce("_t", F.lit(False)),
+        _problem("missingRequiredTag", "Missing required tag: EXT-X-TARGETDURATION.")
+    )
     return d.select(key, F.coalesce("p", no_uri, no_target).alias("p")).where("p is not null").select(key, "p.*")
 
 
@@ -204,28 +218,55 @@ def media_headers(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document: version, target_duration, media_sequence, discontinuity_sequence, playlist_type,
     flags, part_target, server control (map), and error when a required tag is missing or bad."""
     h = line_rows.groupBy(key).agg(
-        _last("#EXT-X-VERSION").alias("_v"), _last("#EXT-X-TARGETDURATION").alias("_t"), _last("#EXT-X-MEDIA-SEQUENCE").alias("_m"), _last("#EXT-X-DISCONTINUITY-SEQUENCE").alias("_d"),
-        _last("#EXT-X-PLAYLIST-TYPE").alias("playlist_type"), _seen("#EXT-X-ENDLIST").alias("has_endlist"), _seen("#EXT-X-I-FRAMES-ONLY").alias("iframes_only"), _seen("#EXT-X-INDEPENDENT-SEGMENTS").alias("independent_segments"),
-        _last("#EXT-X-PART-INF").alias("_p"), _last("#EXT-X-SERVER-CONTROL").alias("_s"), _seen("#EXT-X-SERVER-CONTROL").alias("has_server_control"), _last("#EXT-X-START").alias("_start"), _last("#EXT-X-SKIP").alias("_skip"),
-        F.count_if(F.col("tag") == "#EXT-X-PRELOAD-HINT").alias("hints"), F.count_if(F.col("tag") == "#EXT-X-DEFINE").alias("definitions"), F.count_if(F.col("tag") == "#EXT-X-PART").alias("parts"),
+        _last("#EXT-X-VERSION").alias("_v"), _last("#EXT-X-TARGETDURATION").alias("_t"), _last("#EXT-X-MEDIA-SEQUENCE").alias("_m"),
+        _last("#EXT-X-DISCONTINUITY-SEQUENCE").alias("_d"),
+        _last("#EXT-X-PLAYLIST-TYPE").alias("playlist_type"), _seen("#EXT-X-ENDLIST").alias("has_endlist"),
+        _seen("#EXT-X-I-FRAMES-ONLY").alias("iframes_only"), _seen("#EXT-X-INDEPENDENT-SEGMENTS").alias("independent_segments"),
+        _last("#EXT-X-PART-INF").alias("_p"), _last("#EXT-X-SERVER-CONTROL").alias("_s"),
+        _seen("#EXT-X-SERVER-CONTROL").alias("has_server_control"), _last("#EXT-X-START").alias("_start"),
+        _last("#EXT-X-SKIP").alias("_skip"),
+        F.count_if(F.col("tag") == "#EXT-X-PRELOAD-HINT").alias("hints"), F.count_if(F.col("tag") == "#EXT-X-DEFINE").alias("definitions"),
+        F.count_if(F.col("tag") == "#EXT-X-PART").alias("parts"),
+    )
+    h = h.withColumn("_c", A.attribute_map(F.coalesce(F.col("_s"), F.lit("")))).withColumn(
+        "_start", A.attribute_map(F.coalesce(F.col("_start"), F.lit("")))
     )
-    h = h.withColumn("_c", A.attribute_map(F.coalesce(F.col("_s"), F.lit("")))).withColumn("_start", A.attribute_map(F.coalesce(F.col("_start"), F.lit(""))))
     control = F.col("_c")
     target = F.when(F.col("_t").rlike(r"^-?\d{1,9}$"), F.col("_t").try_cast("int"))
     number = lambda c: F.coalesce(F.when(F.col(c).rlike(r"^\d{1,18}$"), F.col(c).try_cast("long")), F.lit(0).cast("long"))
     return h.select(
-        key, version(F.col("_v")).alias("version"), target.alias("target_duration"), number("_m").alias("media_sequence"), number("_d").alias("discontinuity_sequence"), "playlist_type", "has_endlist", "iframes_only", "independent_segments",
+        key, version(F.col("_v")).alias("version"), target.alias("target_duration"), number("_m").alias("media_sequence"),
+        number("_d").alias("discontinuity_sequence"), "playlist_type", "has_endlist", "iframes_only", "independent_segments",
         A.double_of(A.attribute_map(F.coalesce(F.col("_p"), F.lit(""))), "PART-TARGET").alias("part_target"), "has_server_control",
-        F.struct(A.bool_of(control, "CAN-BLOCK-RELOAD").alias("can_block_reload"), A.double_of(control, "CAN-SKIP-UNTIL").alias("can_skip_until"), A.bool_of(control, "CAN-SKIP-DATERANGES").alias("can_skip_dateranges"), A.double_of(control, "HOLD-BACK").alias("hold_back"), A.double_of(control, "PART-HOLD-BACK").alias("part_hold_back")).alias("server_control"),
-        F.struct(A.double_of(F.col("_start"), "TIME-OFFSET").alias("time_offset"), F.coalesce(A.bool_of(F.col("_start"), "PRECISE"), F.lit(False)).alias("precise")).alias("start"),
-        A.int_of(A.attribute_map(F.coalesce(F.col("_skip"), F.lit(""))), "SKIPPED-SEGMENTS").alias("skipped_segments"), "hints", "definitions", "parts",
-        F.when(F.col("_t").isNull(), F.struct(F.lit("missingRequiredTag").alias("code"), F.lit("EXT-X-TARGETDURATION").alias("tag"))).when(F.col("_v").isNotNull() & version(F.col("_v")).isNull(), F.struct(F.lit("invalidVersion").alias("code"), F.lit("EXT-X-VERSION").alias("tag"))).alias("error"),
+        F.struct(
+            A.bool_of(control, "CAN-BLOCK-RELOAD").alias("can_block_reload"),
+            A.double_of(control, "CAN-SKIP-UNTIL").alias("can_skip_until"),
+            A.bool_of(control, "CAN-SKIP-DATERANGES").alias("can_skip_dateranges"), A.double_of(control, "HOLD-BACK").alias("hold_back"),
+            A.double_of(control, "PART-HOLD-BACK").alias("part_hold_back")
+        ).alias("server_control"),
+        F.struct(
+            A.double_of(F.col("_start"), "TIME-OFFSET").alias("time_offset"),
+            F.coalesce(A.bool_of(F.col("_start"), "PRECISE"), F.lit(False)).alias("precise")
+        ).alias("start"),
+        A.int_of(
+            A.attribute_map(F.coalesce(F.col("_skip"), F.lit(""))), "SKIPPED-SEGMENTS"
+        ).alias("skipped_segments"), "hints", "definitions", "parts",
+        F.when(F.col("_t").isNull(), F.struct(F.lit("missingRequiredTag").alias("code"), F.lit("EXT-X-TARGETDURATION").alias("tag"))).when(
+            F.col("_v").isNotNull() & version(F.col("_v")).isNull(),
+            F.struct(F.lit("invalidVersion").alias("code"), F.lit("EXT-X-VERSION").alias("tag"))
+        ).alias("error"),
     )
 
 
 def key_struct(m: Column) -> Column:
     """A KEY's attributes as a struct; null without a KEY."""
-    return F.when(m.isNotNull(), F.struct(A.text_of(m, "METHOD").alias("method"), A.text_of(m, "URI").alias("uri"), A.text_of(m, "IV").alias("iv"), A.text_of(m, "KEYFORMAT").alias("key_format"), A.text_of(m, "KEYFORMATVERSIONS").alias("key_format_versions")))
+    return F.when(
+        m.isNotNull(),
+        F.struct(
+            A.text_of(m, "METHOD").alias("method"), A.text_of(m, "URI").alias("uri"), A.text_of(m, "IV").alias("iv"),
+            A.text_of(m, "KEYFORMAT").alias("key_format"), A.text_of(m, "KEYFORMATVERSIONS").alias("key_format_versions")
+        )
+    )
 
 
 def segments(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -236,10 +277,16 @@ def segments(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     w = Window.partitionBy(key).orderBy("line_no")
     r = line_rows.withColumn("_g", F.coalesce(F.sum(F.col("is_uri").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    held = lambda tag: F.last(F.when(F.col("tag") == tag, F.coalesce(F.col("value"), F.lit(""))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    held = lambda tag: F.last(
+        F.when(F.col("tag") == tag, F.coalesce(F.col("value"), F.lit(""))), ignorenulls=True
+    ).over(w.rowsBetween(Window.unboundedPreceding, 0))
     r = r.withColumns({"_key": held("#EXT-X-KEY"), "_map": held("#EXT-X-MAP"), "_rate": held("#EXT-X-BITRATE")})
     at_uri = lambda c: F.max(F.when(F.col("is_uri"), F.col(c)))
-    g = r.groupBy(key, "_g").agg(at_uri("line").alias("uri"), at_uri("_key").alias("_key"), at_uri("_map").alias("_map"), at_uri("_rate").alias("_rate"), _last("#EXTINF").alias("_inf"), _last("#EXT-X-BYTERANGE").alias("_range"), _last("#EXT-X-PROGRAM-DATE-TIME").alias("_date"), _seen("#EXT-X-DISCONTINUITY").alias("discontinuity"), _seen("#EXT-X-GAP").alias("gap"))
+    g = r.groupBy(key, "_g").agg(
+        at_uri("line").alias("uri"), at_uri("_key").alias("_key"), at_uri("_map").alias("_map"), at_uri("_rate").alias("_rate"),
+        _last("#EXTINF").alias("_inf"), _last("#EXT-X-BYTERANGE").alias("_range"), _last("#EXT-X-PROGRAM-DATE-TIME").alias("_date"),
+        _seen("#EXT-X-DISCONTINUITY").alias("discontinuity"), _seen("#EXT-X-GAP").alias("gap")
+    )
     g = g.where("uri is not null and _inf is not null")
     title = F.trim(F.substr("_inf", F.instr("_inf", ",") + 1))
     # maps are columns of their own, so that each list is taken apart once
@@ -247,15 +294,23 @@ def segments(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     m = F.col("_mm")
     return g.select(
         key, (F.row_number().over(Window.partitionBy(key).orderBy("_g")) - 1).alias("pos"), extinf_seconds(F.col("_inf")).alias("duration"),
-        F.when((F.instr("_inf", ",") > 0) & (title != ""), title).alias("title"), "uri", A.byte_range(F.col("_range")).alias("byte_range"), T.parse_iso8601(F.col("_date")).alias("date"), "discontinuity", "gap", key_struct(F.col("_km")).alias("key_tag"),
-        F.when(F.col("_map").isNotNull(), F.struct(A.text_of(m, "URI").alias("uri"), A.byte_range(A.text_of(m, "BYTERANGE")).alias("byte_range"))).alias("map"), F.col("_rate").try_cast("long").alias("bitrate"),
+        F.when(
+            (F.instr("_inf", ",") > 0) & (title != ""), title
+        ).alias("title"), "uri", A.byte_range(F.col("_range")).alias("byte_range"), T.parse_iso8601(F.col("_date")).alias("date"), "discontinuity", "gap", key_struct(F.col("_km")).alias("key_tag"),
+        F.when(
+            F.col("_map").isNotNull(),
+            F.struct(A.text_of(m, "URI").alias("uri"), A.byte_range(A.text_of(m, "BYTERANGE")).alias("byte_range"))
+        ).alias("map"), F.col("_rate").try_cast("long").alias("bitrate"),
     )
 
 
 def tagged(line_rows: DataFrame, tag: str, key: str = "doc_id") -> DataFrame:
     """(key, pos, line_no, attrs) of each line with that tag, in order."""
     r = line_rows.where(F.col("tag") == tag)
-    return r.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("line_no")) - 1).alias("pos"), "line_no", A.attribute_map(F.coalesce(F.col("value"), F.lit(""))).alias("attrs"))
+    return r.select(
+        key, (F.row_number().over(Window.partitionBy(key).orderBy("line_no")) - 1).alias("pos"), "line_no",
+        A.attribute_map(F.coalesce(F.col("value"), F.lit(""))).alias("attrs")
+    )
 
 
 def variants(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -263,16 +318,34 @@ def variants(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     BANDWIDTH is missing or bad, or no URI follows."""
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     r = line_rows.withColumn("_g", F.coalesce(F.sum(F.col("is_uri").cast("int")).over(w), F.lit(0)))
-    g = r.groupBy(key, "_g").agg(F.max(F.when(F.col("is_uri"), F.col("line"))).alias("uri"), _last("#EXT-X-STREAM-INF").alias("_i"), F.count_if(F.col("tag") == "#EXT-X-STREAM-INF").alias("_n")).where("_n > 0")
+    g = r.groupBy(key, "_g").agg(
+        F.max(F.when(F.col("is_uri"), F.col("line"))).alias("uri"), _last("#EXT-X-STREAM-INF").alias("_i"),
+        F.count_if(F.col("tag") == "#EXT-X-STREAM-INF").alias("_n")
+    ).where("_n > 0")
     m = A.attribute_map(F.coalesce(F.col("_i"), F.lit("")))
     g = g.withColumn("m", m)
     t = lambda k: A.text_of(F.col("m"), k)
     known = lambda k, *values: F.when(t(k).isin(*values), t(k))
     return g.select(
-        key, (F.row_number().over(Window.partitionBy(key).orderBy("_g")) - 1).alias("pos"), F.coalesce("uri", F.lit("")).alias("uri"), A.int_of(F.col("m"), "BANDWIDTH").alias("bandwidth"), A.int_of(F.col("m"), "AVERAGE-BANDWIDTH").alias("average_bandwidth"),
-        t("CODECS").alias("codecs"), t("SUPPLEMENTAL-CODECS").alias("supplemental_codecs"), A.resolution_of(F.col("m")).alias("resolution"), A.double_of(F.col("m"), "FRAME-RATE").alias("frame_rate"), known("HDCP-LEVEL", "NONE", "TYPE-0", "TYPE-1").alias("hdcp_level"), known("VIDEO-RANGE", "SDR", "HLG", "PQ").alias("video_range"),
-        t("AUDIO").alias("audio"), t("VIDEO").alias("video"), t("SUBTITLES").alias("subtitles"), t("CLOSED-CAPTIONS").alias("closed_captions"), t("REQ-VIDEO-LAYOUT").alias("video_layout"),
-        F.coalesce(A.problem(F.col("m"), "EXT-X-STREAM-INF", BANDWIDTH="int"), F.when(F.col("uri").isNull(), F.struct(F.lit("missingURI").alias("code"), F.lit("EXT-X-STREAM-INF").alias("tag"), F.lit("URI").alias("attribute"), F.lit(None).cast("string").alias("value")))).alias("error"),
+        key, (
+            F.row_number().over(Window.partitionBy(key).orderBy("_g")) - 1
+        ).alias("pos"), F.coalesce("uri", F.lit("")).alias("uri"), A.int_of(F.col("m"),
+        "BANDWIDTH").alias("bandwidth"), A.int_of(F.col("m"), "AVERAGE-BANDWIDTH").alias("average_bandwidth"),
+        t("CODECS").alias("codecs"), t("SUPPLEMENTAL-CODECS").alias("supplemental_codecs"), A.resolution_of(F.col("m")).alias("resolution"), A.double_of(F.col("m"), "FRAME-RATE").alias("frame_rate"), known(
+            "HDCP-LEVEL", "NONE", "TYPE-0", "TYPE-1"
+        ).alias("hdcp_level"), known("VIDEO-RANGE", "SDR", "HLG", "PQ").alias("video_range"),
+        t("AUDIO").alias("audio"), t("VIDEO").alias("video"), t("SUBTITLES").alias("subtitles"),
+        t("CLOSED-CAPTIONS").alias("closed_captions"), t("REQ-VIDEO-LAYOUT").alias("video_layout"),
+        F.coalesce(
+            A.problem(F.col("m"), "EXT-X-STREAM-INF", BANDWIDTH="int"),
+            F.when(
+                F.col("uri").isNull(),
+                F.struct(
+                    F.lit("missingURI").alias("code"), F.lit("EXT-X-STREAM-INF").alias("tag"), F.lit("URI").alias("attribute"),
+                    F.lit(None).cast("string").alias("value")
+                )
+            )
+        ).alias("error"),
     )
 
 
@@ -289,7 +362,11 @@ def _yes(k: str) -> Column:
 
 
 def renditions(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    f = {"type": _t("TYPE"), "group_id": _t("GROUP-ID"), "name": _t("NAME"), "uri": _t("URI"), "language": _t("LANGUAGE"), "assoc_language": _t("ASSOC-LANGUAGE"), "is_default": _yes("DEFAULT"), "autoselect": _yes("AUTOSELECT"), "forced": _yes("FORCED"), "instream_id": _t("INSTREAM-ID"), "characteristics": _t("CHARACTERISTICS"), "channels": _t("CHANNELS")}
+    f = {
+        "type": _t("TYPE"), "group_id": _t("GROUP-ID"), "name": _t("NAME"), "uri": _t("URI"), "language": _t("LANGUAGE"),
+        "assoc_language": _t("ASSOC-LANGUAGE"), "is_default": _yes("DEFAULT"), "autoselect": _yes("AUTOSELECT"), "forced": _yes("FORCED"),
+        "instream_id": _t("INSTREAM-ID"), "characteristics": _t("CHARACTERISTICS"), "channels": _t("CHANNELS")
+    }
     return _project(tagged(line_rows, "#EXT-X-MEDIA", key), key, "EXT-X-MEDIA", f, TYPE="text", GROUP_ID="text", NAME="text")
 
 
@@ -299,22 +376,34 @@ def iframe_variants(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def session_data(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    return _project(tagged(line_rows, "#EXT-X-SESSION-DATA", key), key, "EXT-X-SESSION-DATA", {"data_id": _t("DATA-ID"), "value": _t("VALUE"), "uri": _t("URI"), "language": _t("LANGUAGE")}, DATA_ID="text")
+    return _project(
+        tagged(line_rows, "#EXT-X-SESSION-DATA", key), key, "EXT-X-SESSION-DATA",
+        {"data_id": _t("DATA-ID"), "value": _t("VALUE"), "uri": _t("URI"), "language": _t("LANGUAGE")}, DATA_ID="text"
+    )
 
 
 def session_keys(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    return _project(tagged(line_rows, "#EXT-X-SESSION-KEY", key), key, "EXT-X-SESSION-KEY", {"method": _t("METHOD"), "uri": _t("URI"), "iv": _t("IV"), "key_format": _t("KEYFORMAT")}, METHOD="text")
+    return _project(
+        tagged(line_rows, "#EXT-X-SESSION-KEY", key), key, "EXT-X-SESSION-KEY",
+        {"method": _t("METHOD"), "uri": _t("URI"), "iv": _t("IV"), "key_format": _t("KEYFORMAT")}, METHOD="text"
+    )
 
 
 def steering(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    return _project(tagged(line_rows, "#EXT-X-CONTENT-STEERING", key), key, "EXT-X-CONTENT-STEERING", {"server_uri": _t("SERVER-URI"), "pathway_id": _t("PATHWAY-ID")}, SERVER_URI="text")
+    return _project(
+        tagged(line_rows, "#EXT-X-CONTENT-STEERING", key), key, "EXT-X-CONTENT-STEERING",
+        {"server_uri": _t("SERVER-URI"), "pathway_id": _t("PATHWAY-ID")}, SERVER_URI="text"
+    )
 
 
 def definitions(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """name, value and kind (value, import, queryparam); tags that name none are left out."""
     rows = tagged(line_rows, "#EXT-X-DEFINE", key)
     kind = F.when(_t("NAME").isNotNull(), "value").when(_t("IMPORT").isNotNull(), "import").when(_t("QUERYPARAM").isNotNull(), "queryparam")
-    return rows.select(key, "pos", F.coalesce(_t("NAME"), _t("IMPORT"), _t("QUERYPARAM")).alias("name"), F.when(kind == "value", F.coalesce(_t("VALUE"), F.lit(""))).alias("value"), kind.alias("kind")).where("kind is not null")
+    return rows.select(
+        key, "pos", F.coalesce(_t("NAME"), _t("IMPORT"), _t("QUERYPARAM")).alias("name"),
+        F.when(kind == "value", F.coalesce(_t("VALUE"), F.lit(""))).alias("value"), kind.alias("kind")
+    ).where("kind is not null")
 
 
 def resolved(table: DataFrame, line_rows: DataFrame, columns: tuple[str, ...], key: str = "doc_id") -> DataFrame:
@@ -333,21 +422,39 @@ def resolved(table: DataFrame, line_rows: DataFrame, columns: tuple[str, ...], k
 
 def date_ranges(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Date ranges with their X- attributes as a map; a bad END-DATE is null."""
-    f = {"id": _t("ID"), "class": _t("CLASS"), "start_date": T.parse_iso8601(_t("START-DATE")), "end_date": T.parse_iso8601(_t("END-DATE")), "duration": A.double_of(F.col("attrs"), "DURATION"), "planned_duration": A.double_of(F.col("attrs"), "PLANNED-DURATION"), "end_on_next": _yes("END-ON-NEXT"), "client": F.map_filter("attrs", lambda k, _: k.startswith("X-"))}
+    f = {
+        "id": _t("ID"), "class": _t("CLASS"), "start_date": T.parse_iso8601(_t("START-DATE")), "end_date": T.parse_iso8601(_t("END-DATE")),
+        "duration": A.double_of(F.col("attrs"), "DURATION"), "planned_duration": A.double_of(F.col("attrs"), "PLANNED-DURATION"),
+        "end_on_next": _yes("END-ON-NEXT"), "client": F.map_filter("attrs", lambda k, _: k.startswith("X-"))
+    }
     return _project(tagged(line_rows, "#EXT-X-DATERANGE", key), key, "EXT-X-DATERANGE", f, ID="text", START_DATE="text")
 
 
 def parts(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    f = {"uri": _t("URI"), "duration": A.double_of(F.col("attrs"), "DURATION"), "independent": _yes("INDEPENDENT"), "gap": _yes("GAP"), "byte_range": A.byte_range(_t("BYTERANGE"))}
+    f = {
+        "uri": _t("URI"), "duration": A.double_of(F.col("attrs"), "DURATION"), "independent": _yes("INDEPENDENT"), "gap": _yes("GAP"),
+        "byte_range": A.byte_range(_t("BYTERANGE"))
+    }
     return _project(tagged(line_rows, "#EXT-X-PART", key), key, "EXT-X-PART", f, URI="text", DURATION="double")
 
 
 def preload_hints(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    return _project(tagged(line_rows, "#EXT-X-PRELOAD-HINT", key), key, "EXT-X-PRELOAD-HINT", {"type": F.when(_t("TYPE").isin("PART", "MAP"), _t("TYPE")), "uri": _t("URI"), "start": A.int_of(F.col("attrs"), "BYTERANGE-START"), "length": A.int_of(F.col("attrs"), "BYTERANGE-LENGTH")}, TYPE="text", URI="text")
+    return _project(
+        tagged(line_rows, "#EXT-X-PRELOAD-HINT", key), key, "EXT-X-PRELOAD-HINT",
+        {
+            "type": F.when(_t("TYPE").isin("PART", "MAP"), _t("TYPE")), "uri": _t("URI"),
+            "start": A.int_of(F.col("attrs"), "BYTERANGE-START"), "length": A.int_of(F.col("attrs"), "BYTERANGE-LENGTH")
+        },
+        TYPE="text", URI="text"
+    )
 
 
 def rendition_reports(line_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    return _project(tagged(line_rows, "#EXT-X-RENDITION-REPORT", key), key, "EXT-X-RENDITION-REPORT", {"uri": _t("URI"), "last_msn": A.int_of(F.col("attrs"), "LAST-MSN"), "last_part": A.int_of(F.col("attrs"), "LAST-PART")}, URI="text")
+    return _project(
+        tagged(line_rows, "#EXT-X-RENDITION-REPORT", key), key, "EXT-X-RENDITION-REPORT",
+        {"uri": _t("URI"), "last_msn": A.int_of(F.col("attrs"), "LAST-MSN"), "last_part": A.int_of(F.col("attrs"), "LAST-PART")},
+        URI="text"
+    )
 
 
 def read_manifests(spark, path: str) -> DataFrame:

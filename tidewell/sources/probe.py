@@ -24,9 +24,13 @@ def source_info(json: Column) -> Column:
     v, a = first("video"), first("audio")
     rate = F.when(v["r_frame_rate"].isNotNull(), frame_rate(v["r_frame_rate"]))
     return F.when(p.isNotNull(), F.struct(
-        F.coalesce(p["format"]["duration"].try_cast("double"), F.array_max(F.transform(p["streams"], lambda s: s["duration"].try_cast("double")))).alias("duration"), v.isNotNull().alias("has_video"), a.isNotNull().alias("has_audio"),
-        v["width"].alias("width"), v["height"].alias("height"), v["codec_name"].alias("video_codec"), rate.alias("frame_rate"), v["bit_rate"].try_cast("long").alias("video_bitrate"),
-        a["codec_name"].alias("audio_codec"), a["bit_rate"].try_cast("long").alias("audio_bitrate"), a["sample_rate"].try_cast("double").alias("sample_rate"), a["channels"].alias("channels"),
+        F.coalesce(
+            p["format"]["duration"].try_cast("double"), F.array_max(F.transform(p["streams"], lambda s: s["duration"].try_cast("double")))
+        ).alias("duration"), v.isNotNull().alias("has_video"), a.isNotNull().alias("has_audio"),
+        v["width"].alias("width"), v["height"].alias("height"), v["codec_name"].alias("video_codec"), rate.alias("frame_rate"),
+        v["bit_rate"].try_cast("long").alias("video_bitrate"),
+        a["codec_name"].alias("audio_codec"), a["bit_rate"].try_cast("long").alias("audio_bitrate"),
+        a["sample_rate"].try_cast("double").alias("sample_rate"), a["channels"].alias("channels"),
     ))
 
 

@@ -13,12 +13,21 @@ from ..operators.playlists import join_lines
 def extinf(duration: Column, title: Column | None = None, whole: Column | bool = False) -> Column:
     """EXTINF; whole seconds for versions under 3."""
     whole = F.lit(whole) if isinstance(whole, bool) else whole
-    return F.concat(F.lit("#EXTINF:"), F.when(whole, F.round(duration).cast("long").cast("string")).otherwise(T.decimal(duration)), F.lit(","), F.coalesce(title if title is not None else F.lit(""), F.lit("")))
+    return F.concat(
+        F.lit("#EXTINF:"), F.when(whole, F.round(duration).cast("long").cast("string")).otherwise(T.decimal(duration)), F.lit(","),
+        F.coalesce(title if title is not None else F.lit(""), F.lit(""))
+    )
 
 
 def key_line(key: Column) -> Column:
     """KEY of a struct of method, uri, iv, key_format, key_format_versions."""
-    return F.concat(F.lit("#EXT-X-KEY:"), T.attribute_list(T.plain("METHOD", key["method"]), T.quoted("URI", key["uri"]), T.plain("IV", key["iv"]), T.quoted("KEYFORMAT", key["key_format"]), T.quoted("KEYFORMATVERSIONS", key["key_format_versions"])))
+    return F.concat(
+        F.lit("#EXT-X-KEY:"),
+        T.attribute_list(
+            T.plain("METHOD", key["method"]), T.quoted("URI", key["uri"]), T.plain("IV", key["iv"]),
+            T.quoted("KEYFORMAT", key["key_format"]), T.quoted("KEYFORMATVERSIONS", key["key_format_versions"])
+        )
+    )
 
 
 def map_line(m: Column) -> Column:
@@ -41,25 +50,47 @@ def stream_inf(v: DataFrame | None = None) -> Column:
     size = F.concat(c("resolution.width").cast("string"), F.lit("x"), c("resolution.height").cast("string"))
     captions = F.when(c("closed_captions") == "NONE", F.lit("CLOSED-CAPTIONS=NONE")).otherwise(T.quoted("CLOSED-CAPTIONS", c("closed_captions")))
     return F.concat(F.lit("#EXT-X-STREAM-INF:"), T.attribute_list(
-        T.plain("BANDWIDTH", c("bandwidth")), T.plain("AVERAGE-BANDWIDTH", c("average_bandwidth")), T.plain("RESOLUTION", size), T.plain("FRAME-RATE", T.decimal(c("frame_rate"), 3, False)), T.quoted("CODECS", c("codecs")), T.quoted("AUDIO", c("audio")), T.quoted("VIDEO", c("video")), T.quoted("SUBTITLES", c("subtitles")), captions, T.plain("HDCP-LEVEL", c("hdcp_level")), T.plain("VIDEO-RANGE", c("video_range")), T.quoted("SUPPLEMENTAL-CODECS", c("supplemental_codecs")), T.quoted("REQ-VIDEO-LAYOUT", c("video_layout"))))
+        T.plain("BANDWIDTH", c("bandwidth")), T.plain("AVERAGE-BANDWIDTH", c("average_bandwidth")), T.plain("RESOLUTION", size),
+        T.plain("FRAME-RATE", T.decimal(c("frame_rate"), 3, False)), T.quoted("CODECS", c("codecs")), T.quoted("AUDIO", c("audio")),
+        T.quoted("VIDEO", c("video")), T.quoted("SUBTITLES", c("subtitles")), captions, T.plain("HDCP-LEVEL", c("hdcp_level")),
+        T.plain("VIDEO-RANGE", c("video_range")), T.quoted("SUPPLEMENTAL-CODECS", c("supplemental_codecs")),
+        T.quoted("REQ-VIDEO-LAYOUT", c("video_layout"))))
 
 
 def media_line() -> Column:
     """MEDIA of a row of renditions."""
     c = F.col
     return F.concat(F.lit("#EXT-X-MEDIA:"), T.attribute_list(
-        T.plain("TYPE", c("type")), T.quoted("GROUP-ID", c("group_id")), T.quoted("NAME", c("name")), T.flag("DEFAULT", c("is_default")), T.flag("AUTOSELECT", c("autoselect")), T.flag("FORCED", c("forced")), T.quoted("LANGUAGE", c("language")), T.quoted("ASSOC-LANGUAGE", c("assoc_language")), T.quoted("INSTREAM-ID", c("instream_id")), T.quoted("CHARACTERISTICS", c("characteristics")), T.quoted("CHANNELS", c("channels")), T.quoted("URI", c("uri"))))
+        T.plain("TYPE", c("type")), T.quoted("GROUP-ID", c("group_id")), T.quoted("NAME", c("name")), T.flag("DEFAULT", c("is_default")),
+        T.flag("AUTOSELECT", c("autoselect")), T.flag("FORCED", c("forced")), T.quoted("LANGUAGE", c("language")),
+        T.quoted("ASSOC-LANGUAGE", c("assoc_language")), T.quoted("INSTREAM-ID", c("instream_id")),
+        T.quoted("CHARACTERISTICS", c("characteristics")), T.quoted("CHANNELS", c("channels")), T.quoted("URI", c("uri"))))
 
 
 def part_line() -> Column:
     """PART of a row of parts."""
     c = F.col
-    return F.concat(F.lit("#EXT-X-PART:"), T.attribute_list(T.plain("DURATION", T.decimal(c("duration"), 5)), T.quoted("URI", c("uri")), T.flag("INDEPENDENT", c("independent")), T.flag("GAP", c("gap"))))
-
-
-def server_control_line(target: Column, part_target: Column, hold_back: Column, part_hold_back: Column, skip_until: Column, skip_dates: Column) -> Column:
+    return F.concat(
+        F.lit("#EXT-X-PART:"),
+        T.attribute_list(
+            T.plain("DURATION", T.decimal(c("duration"), 5)), T.quoted("URI", c("uri")), T.flag("INDEPENDENT", c("independent")),
+            T.flag("GAP", c("gap"))
+        )
+    )
+
+
+def server_control_line(
+    target: Column, part_target: Column, hold_back: Column, part_hold_back: Column, skip_until: Column, skip_dates: Column
+) -> Column:
     """Hold-backs are always written, three targets by default; skipping dates needs CAN-SKIP-UNTIL."""
-    return F.concat(F.lit("#EXT-X-SERVER-CONTROL:"), T.attribute_list(F.lit("CAN-BLOCK-RELOAD=YES"), T.plain("HOLD-BACK", T.decimal(F.coalesce(hold_back, target * 3), 5)), T.plain("PART-HOLD-BACK", T.decimal(F.coalesce(part_hold_back, part_target * 3), 5)), T.plain("CAN-SKIP-UNTIL", T.decimal(skip_until, 5)), F.when(skip_until.isNotNull(), T.flag("CAN-SKIP-DATERANGES", skip_dates))))
+    return F.concat(
+        F.lit("#EXT-X-SERVER-CONTROL:"),
+        T.attribute_list(
+            F.lit("CAN-BLOCK-RELOAD=YES"), T.plain("HOLD-BACK", T.decimal(F.coalesce(hold_back, target * 3), 5)),
+            T.plain("PART-HOLD-BACK", T.decimal(F.coalesce(part_hold_back, part_target * 3), 5)),
+            T.plain("CAN-SKIP-UNTIL", T.decimal(skip_until, 5)), F.when(skip_until.isNotNull(), T.flag("CAN-SKIP-DATERANGES", skip_dates))
+        )
+    )
 
 
 def media_playlist(headers: DataFrame, segments: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -70,10 +101,29 @@ def media_playlist(headers: DataFrame, segments: DataFrame, key: str = "doc_id")
     changed = lambda c: F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.lag(c).over(w))
     s = s.withColumn("_k", changed("key_tag")).withColumn("_m", changed("map")).withColumn("_b", changed("bitrate"))
     whole = F.coalesce(F.col("version") < 3, F.lit(False))
-    line = F.concat_ws("\n", F.when(F.col("_k"), key_line(F.col("key_tag"))), F.when(F.col("_m"), map_line(F.col("map"))), F.when(F.col("date").isNotNull(), date_line(F.unix_micros("date"))), F.when(F.col("discontinuity"), "#EXT-X-DISCONTINUITY"), F.when(F.col("gap"), "#EXT-X-GAP"), F.when(F.col("_b"), F.concat(F.lit("#EXT-X-BITRATE:"), F.col("bitrate").cast("string"))), F.when(F.col("byte_range").isNotNull(), byte_range_line(F.col("byte_range"))), extinf(F.col("duration"), F.col("title"), whole), F.col("uri"))
+    line = F.concat_ws(
+        "\n", F.when(F.col("_k"), key_line(F.col("key_tag"))), F.when(F.col("_m"), map_line(F.col("map"))),
+        F.when(F.col("date").isNotNull(), date_line(F.unix_micros("date"))), F.when(F.col("discontinuity"), "#EXT-X-DISCONTINUITY"),
+        F.when(F.col("gap"), "#EXT-X-GAP"), F.when(F.col("_b"), F.concat(F.lit("#EXT-X-BITRATE:"), F.col("bitrate").cast("string"))),
+        F.when(F.col("byte_range").isNotNull(), byte_range_line(F.col("byte_range"))), extinf(F.col("duration"), F.col("title"), whole),
+        F.col("uri")
+    )
     body = join_lines(s.withColumn("_line", line), [key], ["pos"], "_line", "_body")
-    head = F.concat_ws("\n", F.lit("#EXTM3U"), F.when(F.col("version") > 1, F.concat(F.lit("#EXT-X-VERSION:"), F.col("version").cast("string"))), F.concat(F.lit("#EXT-X-TARGETDURATION:"), F.col("target_duration").cast("string")), F.when(F.col("media_sequence") > 0, F.concat(F.lit("#EXT-X-MEDIA-SEQUENCE:"), F.col("media_sequence").cast("string"))), F.when(F.col("discontinuity_sequence") > 0, F.concat(F.lit("#EXT-X-DISCONTINUITY-SEQUENCE:"), F.col("discontinuity_sequence").cast("string"))), F.when(F.col("playlist_type").isNotNull(), F.concat(F.lit("#EXT-X-PLAYLIST-TYPE:"), F.col("playlist_type"))), F.when(F.col("iframes_only"), "#EXT-X-I-FRAMES-ONLY"), F.when(F.col("independent_segments"), "#EXT-X-INDEPENDENT-SEGMENTS"))
-    return headers.join(body, key, "left").select(key, F.concat(head, F.lit("\n"), F.coalesce("_body", F.lit("")), F.when(F.col("has_endlist"), "#EXT-X-ENDLIST\n").otherwise("")).alias("text"))
+    head = F.concat_ws(
+        "\n", F.lit("#EXTM3U"), F.when(F.col("version") > 1, F.concat(F.lit("#EXT-X-VERSION:"), F.col("version").cast("string"))),
+        F.concat(F.lit("#EXT-X-TARGETDURATION:"), F.col("target_duration").cast("string")),
+        F.when(F.col("media_sequence") > 0, F.concat(F.lit("#EXT-X-MEDIA-SEQUENCE:"), F.col("media_sequence").cast("string"))),
+        F.when(
+            F.col("discontinuity_sequence") > 0,
+            F.concat(F.lit("#EXT-X-DISCONTINUITY-SEQUENCE:"), F.col("discontinuity_sequence").cast("string"))
+        ),
+        F.when(F.col("playlist_type").isNotNull(), F.concat(F.lit("#EXT-X-PLAYLIST-TYPE:"), F.col("playlist_type"))),
+        F.when(F.col("iframes_only"), "#EXT-X-I-FRAMES-ONLY"), F.when(F.col("independent_segments"), "#EXT-X-INDEPENDENT-SEGMENTS")
+    )
+    return headers.join(body, key, "left").select(
+        key,
+        F.concat(head, F.lit("\n"), F.coalesce("_body", F.lit("")), F.when(F.col("has_endlist"), "#EXT-X-ENDLIST\n").otherwise("")).alias("text")
+    )
 
 
 def master_playlist(headers: DataFrame, renditions: DataFrame, variants: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -81,19 +131,34 @@ def master_playlist(headers: DataFrame, renditions: DataFrame, variants: DataFra
     m = renditions.select(key, F.lit(0).alias("_block"), "pos", media_line().alias("_line"))
     v = variants.select(key, F.lit(1).alias("_block"), "pos", F.concat(stream_inf(), F.lit("\n"), F.col("uri")).alias("_line"))
     body = join_lines(m.unionByName(v), [key], ["_block", "pos"], "_line", "_body")
-    head = F.concat_ws("\n", F.lit("#EXTM3U"), F.when(F.col("version") > 1, F.concat(F.lit("#EXT-X-VERSION:"), F.col("version").cast("string"))), F.when(F.col("independent_segments"), "#EXT-X-INDEPENDENT-SEGMENTS"))
+    head = F.concat_ws(
+        "\n", F.lit("#EXTM3U"), F.when(F.col("version") > 1, F.concat(F.lit("#EXT-X-VERSION:"), F.col("version").cast("string"))),
+        F.when(F.col("independent_segments"), "#EXT-X-INDEPENDENT-SEGMENTS")
+    )
     return headers.join(body, key, "left").select(key, F.concat(head, F.lit("\n"), F.coalesce("_body", F.lit(""))).alias("text"))
 
 
 def chapters_json(chapters: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, json): podcast chapters 1.2.0 of (start, end, title)."""
-    one = F.concat(F.lit('{"startTime":'), T.json_time(F.col("start")), F.lit(',"endTime":'), T.json_time(F.col("end")), F.lit(',"title":"'), T.json_escape(F.col("title")), F.lit('"}'))
+    one = F.concat(
+        F.lit('{"startTime":'), T.json_time(F.col("start")), F.lit(',"endTime":'), T.json_time(F.col("end")), F.lit(',"title":"'),
+        T.json_escape(F.col("title")), F.lit('"}')
+    )
     c = chapters.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", one.alias("x")))).alias("_c"))
-    return c.select(*keys, F.concat(F.lit('{"version":"1.2.0","chapters":['), F.array_join(F.transform("_c", lambda x: x["x"]), ","), F.lit("]}")).alias("json"))
+    return c.select(
+        *keys,
+        F.concat(F.lit('{"version":"1.2.0","chapters":['), F.array_join(F.transform("_c", lambda x: x["x"]), ","), F.lit("]}")).alias("json")
+    )
 
 
 def cues_vtt(cues: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, vtt): numbered cues of (start, end, title)."""
     c = cues.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "title"))).alias("_c"))
-    cue = F.transform("_c", lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n"), T.vtt_time(x["start"]), F.lit(" --> "), T.vtt_time(x["end"]), F.lit("\n"), x["title"], F.lit("\n")))
+    cue = F.transform(
+        "_c",
+        lambda x, i: F.concat(
+            (i + 1).cast("string"), F.lit("\n"), T.vtt_time(x["start"]), F.lit(" --> "), T.vtt_time(x["end"]), F.lit("\n"), x["title"],
+            F.lit("\n")
+        )
+    )
     return c.select(*keys, F.concat(F.lit("WEBVTT\n\n"), F.array_join(cue, "\n")).alias("vtt"))

@@ -59,7 +59,10 @@ class Writer:
         stamp = lambda mark, t: struct.pack(">BHH", mark << 4 | t >> 29 & 14 | 1, (t >> 14 & 0xFFFE) | 1, (t << 1 & 0xFFFE) | 1)
         times = stamp(3, pts) + stamp(1, dts) if dts is not None and dts != pts else stamp(2, pts)
         size = 3 + len(times) + len(payload)
-        head = struct.pack(">IHBBB", 0x100 | STREAMS[pid][1], size if pid == AUDIO and size < 65536 else 0, 0x80, 0xC0 if len(times) == 10 else 0x80, len(times))
+        head = struct.pack(
+            ">IHBBB", 0x100 | STREAMS[pid][1], size if pid == AUDIO and size < 65536 else 0, 0x80, 0xC0 if len(times) == 10 else 0x80,
+            len(times)
+        )
         return self.packets(pid, head + times + payload, dts if dts is not None else pts, keyframe)
 
 
@@ -86,7 +89,12 @@ def units(data: bytes) -> list[tuple]:
         pes = bytes(held.pop(pid, b""))
         if len(pes) >= 9 and pes[:3] == b"\0\0\1":
             flags, size = pes[7] >> 6, pes[8]
-            out.append((pid, len(out), time_at(pes, 9) if flags & 2 else None, time_at(pes, 14) if flags == 3 else None, whole.get(pid, True), pes[9 + size :]))
+            out.append(
+                (
+                    pid, len(out), time_at(pes, 9) if flags & 2 else None, time_at(pes, 14) if flags == 3 else None, whole.get(pid, True),
+                    pes[9 + size :]
+                )
+            )
 
     at = 0
     while at + 188 <= len(data):

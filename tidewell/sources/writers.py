@@ -35,14 +35,23 @@ def sample_entry(kind: str, codec: str = "", width: int = 0, height: int = 0, ra
     start = b"\0" * 6 + struct.pack(">H", 1)
     if kind == "video":
         name, conf = ("hvc1", "hvcC") if codec == "h265" else ("avc1", "avcC")
-        return box(name, start, b"\0" * 16, struct.pack(">HHIIIH", width, height, 0x480000, 0x480000, 0, 1), b"\0" * 32, struct.pack(">Hh", 24, -1), box(conf, config))
+        return box(
+            name, start, b"\0" * 16, struct.pack(">HHIIIH", width, height, 0x480000, 0x480000, 0, 1), b"\0" * 32,
+            struct.pack(">Hh", 24, -1), box(conf, config)
+        )
     if kind == "audio":
         dec = descriptor(4, b"\x40\x15" + b"\0" * 11 + descriptor(5, config or audio_config(2, rate, channels)))
-        return box("mp4a", start, b"\0" * 8, struct.pack(">HHHHI", channels, 16, 0, 0, rate << 16), full_box("esds", 0, 0, descriptor(3, b"\0\0\0" + dec + descriptor(6, b"\2"))))
+        return box(
+            "mp4a", start, b"\0" * 8, struct.pack(">HHHHI", channels, 16, 0, 0, rate << 16),
+            full_box("esds", 0, 0, descriptor(3, b"\0\0\0" + dec + descriptor(6, b"\2")))
+        )
     return box("stpp", start, b"http://www.w3.org/ns/ttml\0\0\0")
 
 
-def sample_tables(durations: list[int], sizes: list[int], chunks: list[tuple[int, int]], offsets: list[int] | None = None, sync: list[int] | None = None, wide: bool = False) -> list[bytes]:
+def sample_tables(
+    durations: list[int], sizes: list[int], chunks: list[tuple[int, int]], offsets: list[int] | None = None, sync: list[int] | None = None,
+    wide: bool = False
+) -> list[bytes]:
     """stts, stsc, stsz, stco (or co64 if wide), and ctts and stss if given. chunks: (offset, samples) of each;
     sync: sample numbers from 1. Runs of equal values are written once, sizes that are all alike as one."""
     def runs(values: list[int]) -> list[tuple[int, int]]:
@@ -51,11 +60,16 @@ def sample_tables(durations: list[int], sizes: list[int], chunks: list[tuple[int
             out = [*out[:-1], (out[-1][0] + 1, v)] if out and out[-1][1] == v else [*out, (1, v)]
         return out
 
-    table = lambda name, rows, fields, version=0: full_box(name, version, 0, struct.pack(">I", len(rows)), *(struct.pack(f">{fields}", *r) for r in rows))
+    table = lambda name, rows, fields, version=0: full_box(
+        name, version, 0, struct.pack(">I", len(rows)), *(struct.pack(f">{fields}", *r) for r in rows)
+    )
     firsts = [(i + 1, n, 1) for i, (_, n) in enumerate(chunks) if i == 0 or chunks[i - 1][1] != n]
     alike = len(set(sizes)) == 1
     stsz = full_box("stsz", 0, 0, struct.pack(">II", sizes[0] if alike else 0, len(sizes)), b"" if alike else struct.pack(f">{len(sizes)}I", *sizes))
-    out = [table("stts", runs(durations), "II"), table("stsc", firsts, "III"), stsz, table("co64" if wide else "stco", [(at,) for at, _ in chunks], "Q" if wide else "I")]
+    out = [
+        table("stts", runs(durations), "II"), table("stsc", firsts, "III"), stsz,
+        table("co64" if wide else "stco", [(at,) for at, _ in chunks], "Q" if wide else "I")
+    ]
     if offsets is not None:
         out.append(table("ctts", runs(offsets), "Ii", 1))
     if sync is not None:
@@ -76,13 +90,20 @@ def init_segment(tracks: list[dict], timescale: int = 1000) -> bytes:
     """ftyp and moov of tracks (id, kind, timescale, language and what sample_entry takes); for fMP4, CMAF
     audio and video, and IMSC1 text."""
     ftyp = box("ftyp", b"iso6", struct.pack(">I", 0), b"iso6cmfcmp41")
-    mvhd = full_box("mvhd", 0, 0, struct.pack(">IIIIIH", 0, 0, timescale, 0, 0x10000, 0x100), b"\0" * 10, MATRIX, b"\0" * 24, struct.pack(">I", max(t["id"] for t in tracks) + 1))
+    mvhd = full_box(
+        "mvhd", 0, 0, struct.pack(">IIIIIH", 0, 0, timescale, 0, 0x10000, 0x100), b"\0" * 10, MATRIX, b"\0" * 24,
+        struct.pack(">I", max(t["id"] for t in tracks) + 1)
+    )
     traks, extends = [], []
     for t in tracks:
         kind = t["kind"]
         own = {k: v for k, v in t.items() if k not in ("id", "timescale", "language")}
         letters = [ord(c) - 96 for c in t.get("language", "und")]
-        tkhd = full_box("tkhd", 0, 3, struct.pack(">IIII", 0, 0, t["id"], 0), b"\0" * 12, struct.pack(">hhHH", 0, 0, 0x100 if kind == "audio" else 0, 0), MATRIX, struct.pack(">II", t.get("width", 0) << 16, t.get("height", 0) << 16))
+        tkhd = full_box(
+            "tkhd", 0, 3, struct.pack(">IIII", 0, 0, t["id"], 0), b"\0" * 12,
+            struct.pack(">hhHH", 0, 0, 0x100 if kind == "audio" else 0, 0), MATRIX,
+            struct.pack(">II", t.get("width", 0) << 16, t.get("height", 0) << 16)
+        )
         mdhd = full_box("mdhd", 0, 0, struct.pack(">IIIIHH", 0, 0, t["timescale"], 0, letters[0] << 10 | letters[1] << 5 | letters[2], 0))
         hdlr = full_box("hdlr", 0, 0, b"\0" * 4, HANDLERS[kind], b"\0" * 12, b"main\0")
         head = {"video": full_box("vmhd", 0, 1, b"\0" * 8), "audio": full_box("smhd", 0, 0, b"\0" * 4), "text": full_box("sthd", 0, 0)}[kind]
@@ -115,7 +136,9 @@ def splice_section(command: str, event_id: int = 0, out_of_network: bool = False
     stamp = lambda t: struct.pack(">BI", 0xFE | t >> 32 & 1, t & 0xFFFFFFFF)
     if command == "splice_insert":
         kind, flags = 5, 0x80 * out_of_network | 0x40 | 0x20 * (duration is not None) | 0x10 * (pts is None) | 0x0F
-        body = struct.pack(">IBB", event_id, 0, flags) + (stamp(pts) if pts is not None else b"") + (stamp(duration) if duration is not None else b"") + struct.pack(">HBB", 0, 0, 0)
+        body = struct.pack(">IBB", event_id, 0, flags) + (stamp(pts) if pts is not None else b"") + (
+            stamp(duration) if duration is not None else b""
+        ) + struct.pack(">HBB", 0, 0, 0)
     elif command == "time_signal":
         kind, body = 6, stamp(pts) if pts is not None else b"\x7e"
     else:

@@ -20,7 +20,10 @@ RETRYABLE = (429, 500, 502, 503, 504)
 BREAKER = (5, 60.0)
 
 
-def push_rows(rows: Iterable[Row], send: Callable[[Row], int], preset: str = "default", sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> dict[str, int]:
+def push_rows(
+    rows: Iterable[Row], send: Callable[[Row], int], preset: str = "default", sleep: Callable[[float], None] = time.sleep,
+    clock: Callable[[], float] = time.monotonic
+) -> dict[str, int]:
     """Sends rows in order; counts of sent, failed, attempts and rejected (breaker open)."""
     attempts, base, growth, longest = RETRY[preset]
     threshold, reset = BREAKER

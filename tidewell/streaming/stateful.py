@@ -20,7 +20,10 @@ from ..operators.segmenter import segment_start, segment_step
 from ..operators.transport import breaker_step
 
 
-def stateful(stream: DataFrame, keys: list[str], order: list[str], output: str, start: Callable[[], object], step: Callable[[object, dict], tuple[object, list[tuple]]]) -> DataFrame:
+def stateful(
+    stream: DataFrame, keys: list[str], order: list[str], output: str, start: Callable[[], object],
+    step: Callable[[object, dict], tuple[object, list[tuple]]]
+) -> DataFrame:
     """(keys, *output) of step(state, row) -> (state, output rows) along each key's rows.
 
     The state is what `step` makes of it and no more; keep it of bounded size."""
@@ -40,14 +43,19 @@ def stateful(stream: DataFrame, keys: list[str], order: list[str], output: str,
     return stream.groupBy(*keys).applyInPandasWithState(run, f"{kinds}, {output}", "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def live_segments(stream: DataFrame, keys: list[str], order: str, duration: str, keyframe: Column | None, target: float = 6.0, most: float | None = None, end: Column | None = None) -> DataFrame:
+def live_segments(
+    stream: DataFrame, keys: list[str], order: str, duration: str, keyframe: Column | None, target: float = 6.0, most: float | None = None,
+    end: Column | None = None
+) -> DataFrame:
     """Segments as they close: (keys, segment_index, frames, duration, first_frame, last_frame, independent).
 
     A row for which `end` holds is no frame: it closes the open segment of its key, as a forced boundary
     or the final flush; without an open one it does nothing. A frame older than the last one of its key
     is rejected."""
     most = 1.5 * target if most is None else most
-    rows = stream.withColumn("_cut", F.lit(True) if keyframe is None else F.coalesce(keyframe, F.lit(False))).withColumn("_end", F.lit(False) if end is None else F.coalesce(end, F.lit(False)))
+    rows = stream.withColumn(
+        "_cut", F.lit(True) if keyframe is None else F.coalesce(keyframe, F.lit(False))
+    ).withColumn("_end", F.lit(False) if end is None else F.coalesce(end, F.lit(False)))
 
     def step(state: tuple, row: dict) -> tuple[tuple, list[tuple]]:
         inner, open_, newest = state
@@ -71,7 +79,11 @@ def live_segments(stream: DataFrame, keys: list[str], order: str, duration: str,
         return (inner, open_, row[order]), out
 
     kind = stream.schema[order].dataType.simpleString()
-    return stateful(rows, keys, [order], f"segment_index int, frames long, duration double, first_frame {kind}, last_frame {kind}, independent boolean", lambda: (segment_start(), None, None), step)
+    return stateful(
+        rows, keys, [order],
+        f"segment_index int, frames long, duration double, first_frame {kind}, last_frame {kind}, independent boolean",
+        lambda: (segment_start(), None, None), step
+    )
 
 
 def playlist_states(stream: DataFrame, keys: list[str], index: str, duration: str, discontinuity: Column, size: int = 5) -> DataFrame:
@@ -88,10 +100,16 @@ def playlist_states(stream: DataFrame, keys: list[str], index: str, duration: st
 
     kind = stream.schema[index].dataType.simpleString()
     rows = stream.withColumn("_disc", F.coalesce(discontinuity, F.lit(False)))
-    return stateful(rows, keys, [index], f"first_index {kind}, last_index {kind}, media_sequence long, discontinuity_sequence long, target_duration long", lambda: ([], 0, 0), step)
+    return stateful(
+        rows, keys, [index],
+        f"first_index {kind}, last_index {kind}, media_sequence long, discontinuity_sequence long, target_duration long",
+        lambda: ([], 0, 0), step
+    )
 
 
-def bandwidth_alerts(stream: DataFrame, keys: list[str], order: str, at: str, size: str, seconds: str, required: float, preset: str = "standard") -> DataFrame:
+def bandwidth_alerts(
+    stream: DataFrame, keys: list[str], order: str, at: str, size: str, seconds: str, required: float, preset: str = "standard"
+) -> DataFrame:
     """Changes of the bandwidth state over the trailing window of the preset, in event time."""
     window, alert, critical, least = M.BANDWIDTH[preset]
 
@@ -152,10 +170,14 @@ def framed(stream: DataFrame, keys: list[str], order: str, content: str) -> Data
     return stateful(stream, keys, [order], f"{order} {kind}, length int, sample_rate int", bytes, step)
 
 
-def windowed_bandwidth(stream: DataFrame, keys: list[str], ts: str, size: Column, seconds: Column, window: str = "10 seconds", late: str = "30 seconds") -> DataFrame:
+def windowed_bandwidth(
+    stream: DataFrame, keys: list[str], ts: str, size: Column, seconds: Column, window: str = "10 seconds", late: str = "30 seconds"
+) -> DataFrame:
     """Bits a second by event-time window and key, late rows accepted up to the watermark; built-in state."""
     w = stream.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), *keys)
-    return w.agg(F.sum(size).alias("bytes"), F.sum(F.greatest(seconds, F.lit(0.001))).alias("seconds")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "bytes", (F.col("bytes") * 8 / F.col("seconds")).alias("bps"))
+    return w.agg(F.sum(size).alias("bytes"), F.sum(F.greatest(seconds, F.lit(0.001))).alias("seconds")).select(
+        F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "bytes", (F.col("bytes") * 8 / F.col("seconds")).alias("bps")
+    )
 
 
 def drained(rows: DataFrame, make: Callable[[DataFrame], DataFrame], label: str, batches: int = 1) -> DataFrame:
