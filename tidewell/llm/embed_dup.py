@@ -10,14 +10,16 @@ threshold, into random directions and along differences of sample vectors, and t
 turned vector's cell in the order of its origin is noted; the larger need holds.  The codebooks and the calibration use a bounded sample; every vector is indexed
 and every vector is a query.
 
-Equal vectors are one from the start.  Crowded cells are cut into blocks of members and blocks of
-queries, and each pair of blocks is a task of bounded size that returns, for each row with a link, a
+Equal vectors are one from the start.  A task takes a row of the grid (one code of the left half), so a
+query is sent there once for all the cells of the row that it visits.  Crowded rows are cut into blocks
+of members and blocks of queries, and each pair of blocks is a task of bounded size that returns, for each row with a link, a
 count and one link of a spanning forest, never the pairs.  A pair that only one side finds counts for
 both and joins their components.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ from .common import connected_components, materialize
 SAMPLE = 20_000
 PROBES = 2_000
 CELL = 256
-MEMBERS, QUERIES = 512, 2048
+MEMBERS, QUERIES = 2048, 4096
 MAX_CODES = 1024
 
 
@@ -139,6 +141,13 @@ def _unit(v: list | None) -> np.ndarray | None:
     return x / np.linalg.norm(x) + 0.0
 
 
+def units_of(raw: np.ndarray) -> np.ndarray:
+    """The unit vectors of rows, in double precision; each row's depends on that row alone."""
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True)) + 0.0
+
+
 def compare(ids: np.ndarray, units: np.ndarray, weights: np.ndarray, cells: list[list[int]], query_ids: np.ndarray, queries: np.ndarray, query_weights: np.ndarray, homes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For queries and members of found links: (id, linked rows, smallest id of the part).
 
@@ -182,52 +191,82 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     another row. Other columns don't matter, an empty table gives no rows.
     """
 
+    # vectors travel as they were given, in single precision if that is what they are in, and become
+    # unit vectors in double precision wherever they are compared
+    single = "float" in vectors.schema[embedding].dataType.simpleString()
+    kind, width = ("<f4", 4) if single else ("<f8", 8)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [_unit(v) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if u is None else u.astype("<f8").tobytes().rstrip(b"\0").ljust(8, b"\0") for u in units], pa.binary())], ["key", "unit"])
-
-    rows = vectors.select(F.col(f"`{key}`").alias("key"), F.col(f"`{embedding}`").alias("e")).mapInArrow(read, "key long, unit binary")
-    rows = materialize(rows.select("key", "unit", F.sha2("unit", 256).alias("h")), "vectors")
-    sets = materialize(rows.where("unit is not null and key is not null").groupBy("h").agg(F.min("key").alias("node"), F.count("*").alias("weight"), F.first("unit").alias("unit")), "distinct")
-    size = sets.agg(F.count("*").alias("n"), F.max(F.length("unit")).alias("bytes")).first()
-    dim = -(-(size["bytes"] or 0) // 16) * 2  # even
+            given = batch.column(1).to_pylist()
+            units = [_unit(v) for v in given]
+            raw = [None if u is None else np.array(v, kind).tobytes().rstrip(b"\0").ljust(width, b"\0") for u, v in zip(units, given, strict=True)]
+            marks = [None if u is None else hashlib.sha256(u.astype("<f8").tobytes().rstrip(b"\0")).digest() for u in units]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(marks, pa.binary())], ["key", "raw", "h"])
+
+    rows = vectors.select(F.col(f"`{key}`").alias("key"), F.col(f"`{embedding}`").alias("e")).mapInArrow(read, "key long, raw binary, h binary")
+    rows = materialize(rows, "vectors")
+    sets = rows.where("raw is not null and key is not null").groupBy("h").agg(F.min("key").alias("node"), F.count("*").alias("weight"), F.min("raw").alias("raw"))
+    sets = materialize(sets, "distinct")
+    size = sets.agg(F.count("*").alias("n"), F.max(F.length("raw")).alias("bytes")).first()
+    dim = -(-(size["bytes"] or 0) // (2 * width)) * 2  # even
 
     def matrix(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(u.ljust(8 * dim, b"\0") for u in column.to_pylist()), "<f8").reshape(-1, dim)
+        return units_of(np.frombuffer(b"".join(u.ljust(width * dim, b"\0") for u in column.to_pylist()), kind).reshape(-1, dim))
 
     if not size["n"]:
         links = sets.selectExpr("node", "0L as n", "node as least").limit(0)
     else:
-        sample = np.frombuffer(b"".join(bytes(r[0]).ljust(8 * dim, b"\0") for r in sets.orderBy("h", "node").limit(SAMPLE).select("unit").collect()), "<f8").reshape(-1, dim)
+        sample = matrix(pa.array([bytes(r[0]) for r in sets.orderBy("h", "node").limit(SAMPLE).select("raw").collect()], pa.binary()))
         index = MultiIndex(sample, size["n"], threshold, recall)
+        columns = len(index.books[1])
+        spot = pa.struct([("row", pa.int32()), ("columns", pa.list_(pa.int32()))])
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = matrix(batch.column(2))
-                home = index.cell(*index.codes(x))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(home, pa.int32()), pa.array(index.visited(x), pa.list_(pa.int32()))], ["node", "weight", "unit", "home", "cells"])
-
-        placed = materialize(sets.select("node", "weight", "unit").mapInArrow(place, "node long, weight long, unit binary, home int, cells array<int>"), "cells")
-        members = placed.select(F.col("home").alias("cell"), "node", "weight", "unit", F.lit(-1).alias("home"), "cells")
-        queries = placed.select(F.explode("cells").alias("cell"), "node", "weight", "unit", "home", F.lit(None).cast("array<int>").alias("cells"))
-        sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("mb")).join(queries.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qb")), "cell")
-        # home -1 marks a member; members go to every block of queries and queries to every block of members
+                home, cells, spots = index.cell(*index.codes(x)), index.visited(x), []
+                for found in cells:
+                    by: dict[int, list[int]] = {}
+                    for c in found:
+                        by.setdefault(c // columns, []).append(c % columns)
+                    spots.append([{"row": r, "columns": js} for r, js in by.items()])
+                out = [pa.array(home, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(spots, pa.list_(spot))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *out], ["node", "weight", "raw", "home", "cells", "spots"])
+
+        placed = sets.select("node", "weight", "raw").mapInArrow(place, "node long, weight long, raw binary, home int, cells array<int>, spots array<struct<row:int,columns:array<int>>>")
+        placed = materialize(placed, "cells")
+        # a row of the grid is one code of the left half: a query goes there once for all its cells in it
+        none = F.lit(None).cast("array<int>")
+        members = placed.select(F.floor(F.col("home") / columns).cast("int").alias("row"), "node", "weight", "raw", "home", "cells", none.alias("columns"))
+        queries = placed.select(F.explode("spots").alias("spot"), "node", "weight", "raw", "home").select("spot.row", "node", "weight", "raw", "home", none.alias("cells"), "spot.columns")
+        count = lambda df, block, name: df.groupBy("row").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+        sizes = F.broadcast(count(members, MEMBERS, "mb").join(count(queries, QUERIES, "qb"), "row"))  # at most MAX_CODES rows
+        # members go to every block of queries and queries to every block of members
         own = lambda n: F.expr(f"cast(pmod(xxhash64(node), {n}) as int)")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        tasks = members.join(sizes, "cell").select("cell", own("mb").alias("m"), every("qb").alias("q"), "node", "weight", "unit", "home", "cells").union(queries.join(sizes, "cell").select("cell", every("mb").alias("m"), own("qb").alias("q"), "node", "weight", "unit", "home", "cells"))
+        rest = ("node", "weight", "raw", "home", "cells", "columns")
+        tasks = members.join(sizes, "row").select("row", own("mb").alias("m"), every("qb").alias("q"), *rest).union(queries.join(sizes, "row").select("row", every("mb").alias("m"), own("qb").alias("q"), *rest))
 
         def verify(table: pa.Table) -> pa.Table:
-            weight, home = table.column("weight").to_numpy(), table.column("home").to_numpy()
-            node, x = table.column("node").to_numpy(), matrix(table.column("unit"))
-            m = home < 0
-            if m.any() and not m.all():
-                ids, n, least = compare(node[m], x[m], weight[m], table.column("cells").filter(pa.array(m)).to_pylist(), node[~m], x[~m], weight[~m], home[~m], threshold)
-            else:
-                ids = n = least = np.empty(0, np.int64)
+            member = np.array([v is None for v in table.column("columns").to_pylist()]) if table.num_rows else np.empty(0, bool)
+            weight, home, node = (table.column(c).to_numpy() for c in ("weight", "home", "node"))
+            found: list[tuple] = []
+            if member.any() and not member.all():
+                x = matrix(table.column("raw"))
+                cells = table.column("cells").to_pylist()
+                place, asked = np.flatnonzero(member), np.flatnonzero(~member)
+                visits = table.column("columns").filter(pa.array(~member)).to_pylist()
+                flat = np.concatenate([np.asarray(v, np.int64) for v in visits])
+                owner = np.repeat(asked, [len(v) for v in visits])
+                for j in np.unique(home[place] % columns):
+                    m, q = place[home[place] % columns == j], owner[flat == j]
+                    if len(q):
+                        found.append(compare(node[m], x[m], weight[m], [cells[i] for i in m], node[q], x[q], weight[q], home[q], threshold))
+            ids, n, least = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
             return pa.table({"node": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "least": pa.array(least, pa.int64())})
 
-        links = tasks.groupBy("cell", "m", "q").applyInArrow(verify, "node long, n long, least long")
+        links = tasks.groupBy("row", "m", "q").applyInArrow(verify, "node long, n long, least long")
     links = materialize(links, "links")
     parts = connected_components(links.select(F.col("node").alias("a"), F.col("least").alias("b")), "vector-links")
     per_node = sets.select("h", "node", "weight").join(links.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(parts, "node", "left")
