@@ -3,7 +3,9 @@
 import random
 import re
 
-from tidewell.llm.quality_rules import BOILERPLATE, MARKS, SEPARATORS, Rules, clean_lines, keep_clean, quality_rules
+from pyspark.sql import functions as F
+
+from tidewell.llm.quality_rules import BOILERPLATE, MARKS, SEPARATORS, Rules, clean_lines, keep_clean, quality_rules, repeated_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -63,3 +65,25 @@ def test_no_python_in_plan(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = quality_rules(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_clashing_window_hashes(spark):
+    """Windows that share a hash with others between them in order are found all the same."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(12)}" for _ in range(rng.randint(20, 60))]
+        at, to = rng.randrange(10), rng.randrange(11, 20)
+        words[to : to] = words[at : at + rng.choice([4, 8, 9])]
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "id int, text string")
+    weak = lambda w: F.pmod(F.xxhash64(w), F.lit(3).cast("long"))
+    got = {r.id: r.n for r in df.select("id", repeated_words(F.split("text", " "), 8, weak).alias("n")).collect()}
+    want = {}
+    for i, text in rows:
+        w = text.split()
+        found = {}
+        for k in range(len(w) - 7):
+            found.setdefault(tuple(w[k : k + 8]), []).append(k)
+        want[i] = len({p for at in found.values() if len(at) > 1 for k in at for p in range(k, k + 8)})
+    assert got == want and any(want.values())

@@ -65,15 +65,27 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WHITE + "+"), lambda w: w != "")
 
 
-def repeated_words(words: Column, window: int) -> Column:
-    """Words that lie in a window found twice or more in `words`, first occurrences included."""
+def repeated_words(words: Column, window: int, hash_of: Callable[[Column], Column] = F.xxhash64) -> Column:
+    """Words that lie in a window found twice or more in `words`, first occurrences included.
+
+    Windows are sorted by hash and place in one long, and neighbours of equal hash compared word by
+    word; where two that differ have one hash, which could hide a third, they are sorted by their words.
+    """
 
     def covered(spots: Column) -> Column:
         steps = F.transform(spots, lambda p, i: F.when(i == F.size(spots) - 1, F.lit(window)).otherwise(F.least(F.lit(window), (F.get(spots, i + 1) - p).cast("int"))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
+    def beside(n: Column, same: Callable[[Column], Column]) -> Column:
+        """The places whose neighbour before or after is the same; same(k) compares k - 1 and k."""
+        return F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.when(k > 0, same(k)).otherwise(False) | F.when(k < n - 1, same(k + 1)).otherwise(False))
+
+    def by_words(n: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.slice(words, i + 1, window).alias("w"), i.alias("i")))
+        spots = lambda keys: F.array_sort(F.transform(beside(n, lambda k: F.get(keys, k - 1)["w"] == F.get(keys, k)["w"]), lambda k: F.get(keys, k)["i"].cast("long")))
+        return let(F.sort_array(own), lambda keys: let(spots(keys), covered))
+
     def search(hashes: Column) -> Column:
-        """Sorts (hash, position) packed into a long; equal neighbours are compared word by word."""
         n = F.size(hashes)
 
         def packed(bits: Column) -> Column:
@@ -82,16 +94,18 @@ def repeated_words(words: Column, window: int) -> Column:
 
             def flagged(keys: Column) -> Column:
                 at = lambda k: F.get(keys, k).bitwiseAND(low).cast("int")
-                same = lambda j, k: (F.call_function("shiftrightunsigned", F.get(keys, j), bits) == F.call_function("shiftrightunsigned", F.get(keys, k), bits)) & (F.slice(words, at(j) + 1, window) == F.slice(words, at(k) + 1, window))
-                hits = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.when(k > 0, same(k - 1, k)).otherwise(False) | F.when(k < n - 1, same(k, k + 1)).otherwise(False))
-                return let(F.array_sort(F.transform(hits, lambda k: at(k).cast("long"))), covered)
+                hashed = lambda k: F.call_function("shiftrightunsigned", F.get(keys, k - 1), bits) == F.call_function("shiftrightunsigned", F.get(keys, k), bits)
+                alike = lambda k: F.slice(words, at(k - 1) + 1, window) == F.slice(words, at(k) + 1, window)
+                hits = beside(n, lambda k: hashed(k) & alike(k))
+                clash = F.exists(F.sequence(F.lit(1), n - 1), lambda k: hashed(k) & ~alike(k))
+                return F.when(clash, by_words(n)).otherwise(let(F.array_sort(F.transform(hits, lambda k: at(k).cast("long"))), covered))
 
             return let(keys, flagged)
 
         return F.when(F.size(F.array_distinct(hashes)) < n, let(F.length(F.bin(n.cast("long"))), packed)).otherwise(F.lit(0).cast("long"))
 
     def windows(codes: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(codes) - (window - 1)), lambda i: F.xxhash64(F.slice(codes, i, window)))
+        return F.transform(F.sequence(F.lit(1), F.size(codes) - (window - 1)), lambda i: hash_of(F.slice(codes, i, window)))
 
     hashes = let(F.transform(words, lambda w: F.xxhash64(w)), windows)
     return F.when(F.size(words) > window, let(hashes, search)).otherwise(F.lit(0).cast("long"))
