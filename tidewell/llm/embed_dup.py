@@ -34,7 +34,7 @@ from .common import connected_components, materialize
 SAMPLE = 20_000
 PROBES = 2_000
 CELL = 256
-MEMBERS, QUERIES = 2048, 4096
+MEMBERS, QUERIES = 4096, 8192
 MAX_CODES = 1024
 
 
@@ -155,28 +155,35 @@ def compare(ids: np.ndarray, units: np.ndarray, weights: np.ndarray, cells: list
     that it does not find by its own visits, so that a pair counts once for each end.
     """
     link = queries @ units.T >= threshold
-    same = query_ids[:, None] == ids[None]
-    other = link & ~same
-    link |= same
+    order = np.argsort(ids)
+    place = np.minimum(np.searchsorted(ids, query_ids, sorter=order), len(ids) - 1)
+    itself = np.flatnonzero(ids[order[place]] == query_ids)
+    link[itself, order[place[itself]]] = False
+    # few rows have links: all that follows looks at these alone
+    finds, met = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))
+    if not len(finds):
+        return (np.empty(0, np.int64),) * 3
+    other = link[np.ix_(finds, met)]
+    query_ids, ids = query_ids[finds], ids[met]
+    joint = other | (query_ids[:, None] == ids[None])
     q, m = query_ids.copy(), ids.copy()
     far = np.iinfo(np.int64).max
     while True:
-        q2 = np.minimum(q, np.where(link, m[None], far).min(1))
-        m2 = np.minimum(m, np.where(link, q2[:, None], far).min(0))
+        q2 = np.minimum(q, np.where(joint, m[None], far).min(1))
+        m2 = np.minimum(m, np.where(joint, q2[:, None], far).min(0))
         if (q2 == q).all() and (m2 == m).all():
             break
         q, m = q2, m2
-    known, at = np.unique(homes, return_inverse=True)
-    flat = np.concatenate([np.asarray(c, np.int64) for c in cells])
-    owner = np.repeat(np.arange(len(ids)), [len(c) for c in cells])
-    place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-    visits = np.zeros((len(known), len(ids)), bool)
-    visits[place[known[place] == flat], owner[known[place] == flat]] = True
-    finds, met = other.any(1), other.any(0)
-    node, first, at_node = np.unique(np.concatenate([query_ids[finds], ids[met]]), return_index=True, return_inverse=True)
+    known, at = np.unique(homes[finds], return_inverse=True)
+    flat = np.concatenate([np.asarray(cells[i], np.int64) for i in met])
+    owner = np.repeat(np.arange(len(met)), [len(cells[i]) for i in met])
+    spot = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    visits = np.zeros((len(known), len(met)), bool)
+    visits[spot[known[spot] == flat], owner[known[spot] == flat]] = True
+    node, first, at_node = np.unique(np.concatenate([query_ids, ids]), return_index=True, return_inverse=True)
     n = np.zeros(len(node), np.int64)
-    np.add.at(n, at_node, np.concatenate([other[finds] @ weights, query_weights @ (other & ~visits[at])[:, met]]))
-    least = np.concatenate([q[finds], m[met]])[first]
+    np.add.at(n, at_node, np.concatenate([other @ weights[met], query_weights[finds] @ (other & ~visits[at])]))
+    least = np.concatenate([q, m])[first]
     told = (n > 0) | (least != node)
     return node[told], n[told], least[told]
 
