@@ -40,6 +40,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def adopt(spark: SparkSession, path: str) -> None:
+    """A folder that something else wrote to the shared folder, to be deleted with the session's tables."""
+    _WRITTEN.append((spark, path))
+
+
 def mark() -> int:
     """A point in the order of materialize() calls, for settle()."""
     return len(_WRITTEN)

@@ -184,10 +184,11 @@ def drained(rows: DataFrame, make: Callable[[DataFrame], DataFrame], label: str,
     """What a streaming operator gives for rows that are there already: they are written to the shared
     folder, `batches` files one after the other along their first column (a number), each a micro-batch;
     run through `make` until the input is used up; and the output table is read back."""
-    from ..stage import shared_dir
+    from ..stage import adopt, shared_dir
 
     spark, at = rows.sparkSession, F.col(rows.columns[0])
     top = f"{shared_dir(spark).rstrip('/')}/tidewell-{uuid.uuid4().hex}-{label}"
+    adopt(spark, top)
     cuts = rows.approxQuantile(rows.columns[0], [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
         part = rows if low is None else rows.where(at > low)
