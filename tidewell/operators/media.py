@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .patterns import BUCKET, last_known, running_sum
+from .patterns import BUCKET, last_known, running_sums
 
 
 def decode_times(runs: DataFrame, keys: list[str], order: str, count: str, delta: str, bucket: int = BUCKET) -> DataFrame:
@@ -15,8 +15,7 @@ def decode_times(runs: DataFrame, keys: list[str], order: str, count: str, delta
     Prefix sums of the runs, in buckets of `order`, place each run; samples inside a run need none.
     """
     length = F.greatest(F.col(count), F.lit(0)).cast("long")
-    r = running_sum(runs, keys, order, length, "_n", bucket)
-    r = running_sum(r, keys, order, length * F.col(delta), "_t", bucket).where(F.col(count) > 0)
+    r = running_sums(runs, keys, order, {"_n": length, "_t": length * F.col(delta)}, bucket).where(F.col(count) > 0)
     s = r.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1)))
     return s.select(
         *keys, (F.col("_n") + F.col("_i")).cast("long").alias("sample"),

@@ -48,22 +48,28 @@ def ordered_scan(
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], order: str, value: Column, name: str, bucket: int = BUCKET, inclusive: bool = False,
-    ties: tuple[str, ...] = ()
+    df: DataFrame, keys: list[str], order: str, value: Column, name: str, bucket: int = BUCKET, inclusive: bool = False, ties: tuple[str, ...] = ()
 ) -> DataFrame:
     """Sum of `value` over a key's earlier rows by `order` (a whole-number column) and then `ties`; rows
-    alike in both come in no order.
+    alike in both come in no order."""
+    return running_sums(df, keys, order, {name: value}, bucket, inclusive, ties)
+
+
+def running_sums(
+    df: DataFrame, keys: list[str], order: str, values: dict[str, Column], bucket: int = BUCKET, inclusive: bool = False, ties: tuple[str, ...] = ()
+) -> DataFrame:
+    """running_sum() of several values in one pass.
 
     Rows are summed inside buckets of the order column; the buckets' totals, few to a key, are summed
     across, and the two parts added.
     """
-    b = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / bucket).cast("long"))
+    b = df.withColumns({f"_v_{n}": v for n, v in values.items()}).withColumn("_b", F.floor(F.col(order) / bucket).cast("long"))
     inside = Window.partitionBy(*keys, "_b").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = b.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(across), F.lit(0))).drop("_t")
-    return b.withColumn(
-        "_in", F.coalesce(F.sum("_v").over(inside), F.lit(0))
-    ).join(totals, [*keys, "_b"]).withColumn(name, F.col("_before") + F.col("_in")).select(*df.columns, name)
+    totals = b.groupBy(*keys, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    totals = totals.select(*keys, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_before_{n}") for n in values])
+    b = b.withColumns({f"_in_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in values}).join(totals, [*keys, "_b"])
+    return b.withColumns({n: F.col(f"_before_{n}") + F.col(f"_in_{n}") for n in values}).select(*df.columns, *values)
 
 
 def last_rows(

@@ -8,15 +8,13 @@ from pyspark.sql.window import Window
 
 from ..functions import media as M
 from .ladders import KEY_FORMATS
-from .patterns import as_of, running_sum
+from .patterns import as_of, running_sum, running_sums
 
 
 def ticks(segments: DataFrame, keys: list[str], order: str, duration: str, size: str, bucket: int = 1 << 20) -> DataFrame:
     """segments with the pipeline's counters after each: segments, seconds and bytes so far."""
-    out = segments.withColumn("_one", F.lit(1).cast("long"))
-    for value, name in (("_one", "segments_so_far"), (duration, "seconds_so_far"), (size, "bytes_so_far")):
-        out = running_sum(out, keys, order, F.col(value), name, bucket, inclusive=True)
-    return out.drop("_one")
+    counters = {"segments_so_far": F.lit(1).cast("long"), "seconds_so_far": F.col(duration), "bytes_so_far": F.col(size)}
+    return running_sums(segments, keys, order, counters, bucket, inclusive=True)
 
 
 def route_quality(events: DataFrame, grade: Column, state: Column, least: str = "fair") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from .patterns import BUCKET, last_rows, running_sum
+from .patterns import BUCKET, last_rows, running_sum, running_sums
 
 
 def sliding_state(segments: DataFrame, keys: list[str], index: str, duration: str, size: int = 5, bucket: int = BUCKET) -> DataFrame:
@@ -137,8 +137,7 @@ def gap_alerts(segments: DataFrame, keys: list[str], index: str, gap: Column, mo
 
 def tile_layout(frames: DataFrame, keys: list[str], order: str, duration: str, columns: int, rows: int, bucket: int = BUCKET) -> DataFrame:
     """Thumbnails in row-major sheets: sheet, column, row and start time of each frame; missing durations count 6 s."""
-    f = running_sum(frames, keys, order, F.lit(1).cast("long"), "_i", bucket)
-    f = running_sum(f, keys, order, F.coalesce(F.col(duration), F.lit(6.0)), "start", bucket)
+    f = running_sums(frames, keys, order, {"_i": F.lit(1).cast("long"), "start": F.coalesce(F.col(duration), F.lit(6.0))}, bucket)
     return f.select(
         *keys, order, F.floor(F.col("_i") / (columns * rows)).cast("int").alias("sheet"), (F.col("_i") % columns).cast("int").alias("tile_column"),
         (F.floor(F.col("_i") / columns) % rows).cast("int").alias("tile_row"), F.col("start").cast("double").alias("start"),
