@@ -18,6 +18,12 @@ from ..stage import materialize
 SEVERITY = {"error": 2, "warning": 1, "info": 0}
 
 
+def sorted_join(rows: DataFrame) -> DataFrame:
+    """A side of a join that has a row a document: shuffled and sorted, never broadcast. The optimizer would
+    judge it by the few compressed bytes a row of its Parquet file and gather it in the driver."""
+    return rows.hint("merge")
+
+
 class Report:
     """Gathers findings. Rules about the same rows are tried in one pass over them."""
 
@@ -209,7 +215,7 @@ def media_findings(line_rows: DataFrame, key: str = "doc_id", segments: DataFram
     r = Report(key)
     h = materialize(S.media_headers(line_rows, key).where("error is null"), "headers")
     s, p = S.segments(line_rows, key) if segments is None else segments, S.parts(line_rows, key)
-    hs = s.join(h.select(key, "version", "target_duration"), key)
+    hs = s.join(sorted_join(h.select(key, "version", "target_duration")), key)
     target = F.col("target_duration").cast("string")
     r.rules(
         hs,
@@ -228,7 +234,7 @@ def media_findings(line_rows: DataFrame, key: str = "doc_id", segments: DataFram
             "EXT-X-KEY with IV requires version >= 2."
         ),
     )
-    doc = h.join(features(s, key), key, "left").fillna(
+    doc = h.join(sorted_join(features(s, key)), key, "left").fillna(
         False, ["decimals", "ranges", "maps", "ivs", "formats"]
     ).withColumn("required", required_version())
     low = "(has_server_control or part_target is not null or parts > 0 or hints > 0)"
@@ -276,7 +282,7 @@ def media_findings(line_rows: DataFrame, key: str = "doc_id", segments: DataFram
         ("segments > 0 and not maps", "APPLE-3.4-fmp4", "info", "segments", "fMP4 (EXT-X-MAP) preferred over MPEG-TS."),
     )
     r.rules(
-        p.join(h.select(key, "part_target"), key),
+        p.join(sorted_join(h.where("parts > 0").select(key, "part_target")), key),
         (
             "duration > part_target", "RFC8216bis-part-duration", "error", at("partialSegments", "duration"),
             F.concat(
@@ -350,7 +356,7 @@ def validate(docs: DataFrame, rule_set: str = "all", key: str = "doc_id", text:
     ]
     good = staged.drop("problem")
     if refused.limit(1).count():
-        good = good.join(refused.select(key), key, "left_anti")
+        good = good.join(sorted_join(refused.select(key)), key, "left_anti")
     for kind in ("master", "media"):
         rows = good.where(F.col("kind") == kind).drop("kind")
         if not staged.where(F.col("kind") == kind).limit(1).count():
