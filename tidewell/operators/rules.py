@@ -373,7 +373,7 @@ def validate(docs: DataFrame, rule_set: str = "all", key: str = "doc_id", text:
 def roll_up(docs: DataFrame, findings: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document: errors, warnings, infos, and whether it is valid (no errors)."""
     f = findings.groupBy(key).agg(*[F.count_if(F.col("severity") == s).alias(f"{s}s") for s in SEVERITY])
-    return docs.select(key).join(f, key, "left").fillna(0).withColumn("is_valid", F.col("errors") == 0)
+    return docs.select(key).join(sorted_join(f), key, "left").fillna(0).withColumn("is_valid", F.col("errors") == 0)
 
 
 def ladder_checks(variants: DataFrame, keys: list[str], order: str) -> DataFrame:
