@@ -305,5 +305,5 @@ def chapter_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
         load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value"), ["user_id"], "event_id", F.col("value"), "s",
         4096
     )
-    c = e.select("user_id", F.round("s", 3).alias("start"), F.round(F.col("s") + F.col("value"), 3).alias("end"), F.col("event_type").alias("title"))
-    return sinks.chapters_json(c, ["user_id"]).join(sinks.cues_vtt(c, ["user_id"]), "user_id")
+    c = e.select("user_id", "event_id", F.round("s", 3).alias("start"), F.round(F.col("s") + F.col("value"), 3).alias("end"), F.col("event_type").alias("title"))
+    return sinks.chapters_json(c, ["user_id"], "event_id").join(sinks.cues_vtt(c, ["user_id"], "event_id"), "user_id")
