@@ -75,11 +75,12 @@ def emit_date(index: Column, policy: str, every: int = 1, discontinuity: Column
 
 
 def skipped(segments: DataFrame, keys: list[str], index: str, duration: str, skip_until: Column, bucket: int = BUCKET) -> DataFrame:
-    """How many leading segments a delta update leaves out: those that end `skip_until` or more before the end."""
+    """How many leading segments a delta update leaves out: those that end `skip_until` or more before the end,
+    in whole microseconds: sums of a stream come in another order each time."""
     run = running_sum(segments, keys, index, F.col(duration), "_run", bucket, inclusive=True)
     total = segments.groupBy(*keys).agg(F.sum(duration).alias("_total"))
     return run.join(total, keys).select(
-        *keys, (F.col("_run") <= F.col("_total") - skip_until).alias("_s")
+        *keys, (F.round(F.col("_total") - F.col("_run"), 6) >= skip_until).alias("_s")
     ).groupBy(*keys).agg(F.count_if("_s").alias("skipped_segments"))
 
 
