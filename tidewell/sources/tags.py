@@ -142,7 +142,8 @@ def iframe_playlist(frames: DataFrame, keys: list[str], order: str, version: int
 
 def recording(segments: DataFrame, keys: list[str], order: str, final: bool, template: str | None = None, init: str | None = None) -> DataFrame:
     """(keys, text): an EVENT playlist while recording, VOD with ENDLIST when final; names kept, or
-    renumbered by a template with {index}. Durations are not trimmed."""
+    renumbered by a template with {index}. Durations are not trimmed; the target is that of whole microseconds,
+    so that the noise of a sum does not add a second."""
     s = segments
     name = C("uri")
     if template:
@@ -153,7 +154,7 @@ def recording(segments: DataFrame, keys: list[str], order: str, final: bool, tem
         F.lit(",\n"), name
     )
     body = join_lines(s.withColumn("_line", line), keys, [order], "_line", "_body")
-    target = segments.groupBy(*keys).agg(F.coalesce(F.ceil(F.max("duration")), F.lit(6)).cast("long").alias("_t"))
+    target = segments.groupBy(*keys).agg(F.coalesce(F.ceil(F.round(F.max("duration"), 6)), F.lit(6)).cast("long").alias("_t"))
     kind = "VOD" if final else "EVENT"
     head = F.concat(
         F.lit("#EXTM3U\n#EXT-X-VERSION:7\n#EXT-X-TARGETDURATION:"), C("_t").cast("string"),
