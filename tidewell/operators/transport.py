@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import media as M
 from .patterns import BUCKET, last_known, last_rows, ordered_scan, running_sum, trailing
@@ -88,14 +89,17 @@ def circuit_breaker(calls: DataFrame, keys: list[str], order: list[str], at: str
 
 
 def push_totals(pushes: DataFrame, keys: list[str], order: str, size: str, latency: str, ok: Column) -> DataFrame:
-    """Successes, failures, bytes, mean latency and the last success's bytes a second."""
-    good = pushes.withColumn("_ok", ok)
+    """Successes, failures, bytes, mean latency and the last success's bytes a second.
+
+    Latencies are added in `order`, so that the mean doesn't depend on how rows are dealt; each stream is sorted, with spill."""
+    along = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    good = pushes.withColumn("_ok", ok).withColumn("_run", F.sum(F.when(F.col("_ok"), F.col(latency))).over(along))
     rate = F.when(F.col("_ok") & (F.col(latency) > 0), F.col(size) / F.col(latency))
     return good.groupBy(*keys).agg(
         F.count_if("_ok").alias("successes"), F.count_if(~F.col("_ok")).alias("failures"), F.sum(
             F.when(F.col("_ok"), F.col(size)).otherwise(F.lit(0))
         ).alias("bytes"),
-        F.avg(F.when(F.col("_ok"), F.col(latency))).alias("mean_latency"), F.max_by(rate, F.when(rate.isNotNull(), F.col(order))).alias("last_rate"),
+        (F.max_by("_run", order) / F.count(F.when(F.col("_ok"), F.col(latency)))).alias("mean_latency"), F.max_by(rate, F.when(rate.isNotNull(), F.col(order))).alias("last_rate"),
     )
 
 
