@@ -13,6 +13,7 @@ from ..sources import binary as B
 from ..sources import pcm, tags
 from ..sources import transport_stream as TS
 from ..sources import writers as W
+from ..stage import materialize
 from .registry import load, query
 
 
@@ -108,7 +109,8 @@ SELECT k, i AS sample, dts::BIGINT AS dts, delta, (dts + CASE WHEN k % 2 = 1 THE
   (1000 + 50 * (chunk - 1) + before)::BIGINT AS file_offset FROM d""")
 def sample_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2.1.50–2.1.52, 2.6.9–2.6.15: run lengths of files read and expanded to samples: times, sizes, chunks, places in the file."""
-    t = B.track_table(movies(spark, sf_dir), "k")
+    # each table below reads the tracks: written once, or every file is made and parsed again for each of them
+    t = materialize(B.track_table(movies(spark, sf_dir), "k"), "tracks")
     runs = lambda c: t.select("k", F.posexplode(c).alias("run", "r")).select("k", "run", "r.*")
     d = media.decode_times(runs("stts"), ["k"], "run", "count", "value")
     s = media.presentation_times(d, runs("ctts"), ["k"], "sample", "dts", "run", "count", "value")
